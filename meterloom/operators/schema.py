@@ -9,7 +9,7 @@ from meterloom.functions.values import drop_null_tokens, to_boolean, to_number
 
 
 def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(ord, column, type) for the string columns of `df`.
+    """(ord, column, type, n_values) for the string columns of `df`.
 
     long, else double (also for whole numbers with gaps, and for columns without
     any value), else boolean, else string. Dates stay strings.
@@ -45,4 +45,4 @@ def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         .when(F.col("c.n_boolean") == F.col("c.n"), "boolean")
         .otherwise("string")
     )
-    return tall.select("ord", "column", kind.alias("type"))
+    return tall.select("ord", "column", kind.alias("type"), F.col("c.n").alias("n_values"))

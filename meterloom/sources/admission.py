@@ -10,12 +10,22 @@ CSV_MEDIA_TYPE = "text/csv"
 
 
 def list_files(spark: SparkSession, paths, glob: str = "*") -> DataFrame:
-    """One row per file: path, length. File contents are never opened."""
-    return (
+    """One row per file: path, length. File contents are never opened.
+
+    Spark's scans pass over files without a byte, so those are added from the
+    list of names the reader has on the driver anyway.
+    """
+    reader = (
         spark.read.format("binaryFile")
         .options(recursiveFileLookup=True, pathGlobFilter=glob)
         .load(paths)
-        .select(F.col("_metadata.file_path").alias("source_file"), "length")
+    )
+    names = spark.createDataFrame([(n,) for n in reader.inputFiles()], "name string").select(
+        F.regexp_replace("name", "^([a-z0-9]+):///", "$1:/").alias("source_file")
+    )
+    lengths = reader.select(F.col("_metadata.file_path").alias("source_file"), "length")
+    return names.join(lengths, "source_file", "left").withColumn(
+        "length", F.coalesce("length", F.lit(0))
     )
 
 

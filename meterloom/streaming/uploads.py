@@ -29,6 +29,7 @@ def score_stream(
     max_files: int = 1_000,
     available_now: bool = True,
     interval: str = "1 minute",
+    glob: str = "*.csv",
     **options,
 ) -> StreamingQuery:
     """Score files as they arrive into `<out>/batch=<n>/{predictions,quarantine,status}`.
@@ -42,11 +43,11 @@ def score_stream(
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         paths = [row["path"] for row in batch.select("path").collect()]  # at most max_files
         if paths:
-            scored = score_files(batch.sparkSession, paths, model, **options)
+            scored = score_files(batch.sparkSession, paths, model, glob=glob, **options)
             write_run(scored, f"{out.rstrip('/')}/batch={batch_id}")
 
     writer = (
-        arriving_files(spark, folder, max_files)
+        arriving_files(spark, folder, max_files, glob)
         .writeStream.foreachBatch(score_batch)
         .option("checkpointLocation", checkpoint)
     )
