@@ -27,22 +27,28 @@ def to_boolean(text: Column) -> Column:
     return F.when(text.isin(TRUE_TOKENS), F.lit(True)).when(text.isin(FALSE_TOKENS), F.lit(False))
 
 
+def _lookup(entries: dict[str, float], key: Column) -> Column:
+    pairs = [F.lit(x) for entry in entries.items() for x in entry]
+    return F.try_element_at(F.create_map(*pairs), key)
+
+
 def to_number(text: Column) -> Column:
     """Double, or null if the text is no decimal number or infinity.
 
     Spark's cast also takes Java literals (`1d`, `2f`, `0x1p3`) and any casing
-    of NaN; those are plain text in a CSV file.
+    of NaN; those are plain text in a CSV file. Texts with such letters
+    therefore skip the cast.
     """
-    java_suffix = F.right(F.rtrim(text), F.lit(1)).isin("d", "D", "f", "F")
-    hexadecimal = text.contains("x") | text.contains("X")
-    infinite = F.lower(F.trim(text)).isin(INFINITE_TOKENS)
-    number = text.try_cast("double")
-    return F.when(((~java_suffix & ~hexadecimal) | infinite) & ~F.isnan(number), number)
+    infinite = _lookup({t: float(t) for t in INFINITE_TOKENS}, F.lower(F.trim(text)))
+    return F.when(~text.rlike("[dDfFxXnN]"), text.try_cast("double")).otherwise(infinite)
 
 
 def to_feature(text: Column) -> Column:
     """Number as `to_number`; booleans count as 0 and 1."""
-    return F.coalesce(to_number(text), to_boolean(text).cast("double"))
+    truth = _lookup(
+        {t: 1.0 for t in TRUE_TOKENS} | {t: 0.0 for t in FALSE_TOKENS}, text
+    )
+    return F.coalesce(to_number(text), truth)
 
 
 def parse_as(text: Column, data_type: T.DataType) -> Column:

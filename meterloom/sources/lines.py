@@ -6,7 +6,9 @@ Both readers return the same two things:
   open_quote and the columns of `facts`, a table with a row per wanted file.
   `row_no` is dense in file order, the header being -1;
 * groups(source_file, width, open_quote, valid, first, n, first_raw): records per
-  shape, with the first record of each shape and its `row_no`. A few rows a file.
+  shape, with the first record of each shape and its `row_no`. A few rows a file;
+
+and `widest`, the field count of the widest header.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ SPLIT = ["source_file", "block_start"]
 @dataclass
 class NumberedRecords:
     groups: DataFrame
+    widest: int
     records: Callable[[DataFrame], DataFrame]
 
 
@@ -96,7 +99,8 @@ def read_lines(spark: SparkSession, paths, glob: str = "*.csv") -> NumberedRecor
         .where(~is_blank(F.col("raw")))
         .withColumn("position", F.monotonically_increasing_id())
     )
-    split_groups = settle(_group(lines, SPLIT, "position"), "splits")
+    # The counts are small; one exchange by file serves all steps on them.
+    split_groups = settle(_group(lines, SPLIT, "position"), "splits").repartition("source_file")
     splits = offsets(
         split_groups.groupBy(*SPLIT).agg(
             F.min("first").alias("first_position"), F.sum("n").alias("n")
@@ -113,7 +117,11 @@ def read_lines(spark: SparkSession, paths, glob: str = "*.csv") -> NumberedRecor
             F.bool_and("valid").alias("valid"),
         )
     )
-    n_splits = split_groups.count()
+    headers = split_groups.groupBy("source_file").agg(
+        F.min_by("width", F.struct("block_start", "first")).alias("width"),
+        F.count_distinct("block_start").alias("n"),
+    )
+    widest, n_splits = headers.agg(F.max("width"), F.sum("n")).first()
     in_split = F.col("position") - F.col("first_position")
     row_no = F.when(
         (in_split >= 0) & (in_split < F.col("n")), F.col("offset") + in_split - 1
@@ -130,7 +138,7 @@ def read_lines(spark: SparkSession, paths, glob: str = "*.csv") -> NumberedRecor
             .select("source_file", "row_no", "raw", "width", "open_quote", *known)
         )
 
-    return NumberedRecords(groups, records)
+    return NumberedRecords(groups, widest or 1, records)
 
 
 # Quoted line breaks ---------------------------------------------------------
@@ -240,4 +248,6 @@ def read_stitched(spark: SparkSession, paths, glob: str = "*.csv") -> NumberedRe
     def records(facts: DataFrame) -> DataFrame:
         return shaped.join(small_side(facts, facts.count()), "source_file")
 
-    return NumberedRecords(_group(shaped, ["source_file"], "row_no"), records)
+    groups = settle(_group(shaped, ["source_file"], "row_no"), "groups")
+    widest = groups.where(F.col("first") == -1).agg(F.max("width")).first()[0]
+    return NumberedRecords(groups, widest or 1, records)

@@ -35,16 +35,14 @@ class Uploads:
     files: DataFrame
 
 
-def profile_files(groups: DataFrame, leading_index: bool) -> DataFrame:
+def profile_files(numbered: NumberedRecords, leading_index: bool) -> DataFrame:
     """Header names and record counts per file, from the counts per record shape."""
+    groups = numbered.groups
     headers = groups.where(F.col("first") == -1).select(
         "source_file", F.col("first_raw").alias("header"), F.col("width").alias("n_columns")
     )
-    widest = headers.agg(F.max("n_columns")).first()[0] or 1
-    named = headers.withColumn(
-        "names",
-        unique_names(F.slice(split_fields(F.col("header"), widest), F.lit(1), F.col("n_columns"))),
-    ).drop("header")
+    fields = F.slice(split_fields(F.col("header"), numbered.widest), F.lit(1), F.col("n_columns"))
+    named = headers.withColumn("names", unique_names(fields)).drop("header")
 
     extra = F.col("width") - F.col("n_columns")
     indexed = F.lit(leading_index) & F.bool_or((F.col("first") == 0) & (extra == 1))
@@ -133,18 +131,18 @@ def read_uploads(
     listed = list_files(spark, paths, glob)
     files = settle(
         classify(
-            listed.join(profile_files(numbered.groups, leading_index), "source_file", "left"),
+            listed.join(profile_files(numbered, leading_index), "source_file", "left"),
             columns if required is None else required,
             strict,
         ),
         "files",
     )
-    widest = files.agg(F.max("n_columns")).first()[0] or 1
 
     where = F.transform(
         F.array(*map(F.lit, columns)),
-        lambda name: F.nullif(F.array_position("names", name), F.lit(0)) - 1
-        + F.col("leading_index").cast("int"),
+        lambda name: (
+            F.nullif(F.array_position("names", name), F.lit(0)) - 1 + F.col("leading_index").cast("int")
+        ).cast("int"),
     )
     binding = files.select(
         "source_file",
@@ -158,35 +156,51 @@ def read_uploads(
     parsed = (
         numbered.records(binding)
         .where(F.col("row_no") >= 0)
-        .withColumn("fields", split_fields(F.col("raw"), widest + 1))
+        .withColumn("fields", split_fields(F.col("raw"), numbered.widest + 1))
     )
-    texts = {f"text_{i}": F.get("fields", F.get("where", F.lit(i))) for i in range(len(columns))}
-    values = {
-        f"value_{i}": parse_as(F.col(f"text_{i}"), f.dataType) for i, f in enumerate(schema.fields)
-    }
+    # Values are parsed array by array, one per type: the generated code stays
+    # small however many columns there are.
+    by_type: dict[T.DataType, list[int]] = {}
+    for i, f in enumerate(schema.fields):
+        by_type.setdefault(f.dataType, []).append(i)
+    text = [F.get("texts", F.lit(i)) for i in range(len(columns))]
+    arrays, value = {}, {}
+    for k, (data_type, members) in enumerate(by_type.items()):
+        if isinstance(data_type, T.StringType):
+            value |= {i: text[i] for i in members}
+            continue
+        source = F.array(*[text[i] for i in members]) if len(by_type) > 1 else F.col("texts")
+        arrays[f"values_{k}"] = F.transform(source, _parser(data_type))
+        value |= {i: F.get(f"values_{k}", F.lit(j)) for j, i in enumerate(members)}
     row_id = F.when(
         F.col("leading_index"), F.get("fields", F.lit(0)).try_cast("long")
     ).otherwise(F.col("first_id") + F.col("row_no"))
     typed = (
-        parsed.withColumns({k: drop_null_tokens(v) for k, v in texts.items()})
-        .withColumns(values)
+        parsed.withColumn(
+            "texts",
+            F.transform("where", lambda w: drop_null_tokens(F.get("fields", w))),
+        )
+        .withColumns(arrays)
         .withColumn("row_id", row_id)
     )
-    unfit = [
-        F.col(f"text_{i}").isNotNull() & F.col(f"value_{i}").isNull() for i in range(len(columns))
-    ]
+    unfit = {
+        c: text[i].isNotNull() & value[i].isNull()
+        for i, c in enumerate(columns)
+        if not isinstance(schema[c].dataType, T.StringType)
+    }
     reason = (
         F.when(F.col("open_quote"), F.lit("open_quote"))
         .when(F.col("width") > F.col("allowed"), F.lit("long_row"))
-        .when(reduce(Column.__or__, unfit), F.lit("bad_value"))
+        .when(reduce(Column.__or__, unfit.values(), F.lit(False)), F.lit("bad_value"))
     )
     judged = fence(typed.withColumn("reason", reason))
     rows = judged.where(F.col("_fence") & F.col("reason").isNull()).select(
         "source_file",
         "row_id",
-        *[F.col(f"value_{i}").alias(c) for i, c in enumerate(columns)],
+        *[value[i].alias(c) for i, c in enumerate(columns)],
     )
-    named_unfit = F.array_compact(F.array(*[F.when(u, F.lit(c)) for u, c in zip(unfit, columns)]))
+    names = F.array(*[F.when(u, F.lit(c)) for c, u in unfit.items()]).cast("array<string>")
+    named_unfit = F.array_compact(names)
     quarantine = judged.where(F.col("_fence") & F.col("reason").isNotNull()).select(
         "source_file",
         "row_id",
@@ -199,6 +213,10 @@ def read_uploads(
     return Uploads(rows, quarantine, files)
 
 
+def _parser(data_type: T.DataType):
+    return lambda text: parse_as(text, data_type)
+
+
 def _first_id(one_numbering: bool) -> Column:
     """Id of each file's first row; the window runs over the file list only."""
     if not one_numbering:
@@ -210,4 +228,4 @@ def _first_id(one_numbering: bool) -> Column:
 def read_headers(spark: SparkSession, paths, glob: str = "*.csv", multiline: bool = False) -> DataFrame:
     """source_file, names, n_columns, n_rows, ...: one row per file that has a header."""
     reader = read_stitched if multiline else read_lines
-    return profile_files(reader(spark, paths, glob).groups, leading_index=False)
+    return profile_files(reader(spark, paths, glob), leading_index=False)
