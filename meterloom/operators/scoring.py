@@ -10,19 +10,27 @@ from pyspark.sql import functions as F
 CSV_NAMES = {"row_id": "Row Id", "prediction": "Prediction"}
 
 
-def score(df: DataFrame, model, *, on_null: str = "null", output: str = "prediction") -> DataFrame:
+def score(
+    df: DataFrame,
+    model,
+    *,
+    on_null: str = "null",
+    means: dict[str, float] | None = None,
+    output: str = "prediction",
+) -> DataFrame:
     """Add the model's prediction to every row.
 
     on_null: what a missing feature does.
       "null": the prediction is null and `null_features` names the missing ones;
       "drop": the row is dropped;
-      "mean": the feature's mean over `df` is used (one extra pass over `df`).
+      "mean": the feature's mean is used, from `means` if given, else over `df`
+        (one extra pass).
     """
     features = model.features
     if on_null == "drop":
         return df.dropna(subset=features).withColumn(output, model.column())
     if on_null == "mean":
-        means = df.agg(*[F.avg(f).alias(f) for f in features]).first()
+        means = means or feature_means(df, features)
         filled = {f: F.coalesce(F.col(f), F.lit(means[f])) for f in features}
         return df.withColumn(output, model.column(lambda f: filled[f] if f in filled else F.col(f)))
     if on_null != "null":
@@ -32,6 +40,10 @@ def score(df: DataFrame, model, *, on_null: str = "null", output: str = "predict
     )
 
 
+def feature_means(df: DataFrame, features: list[str]) -> dict[str, float]:
+    return df.agg(*[F.avg(f).alias(f) for f in features]).first().asDict()
+
+
 def null_features(features: list[str]) -> Column:
     """Names of the row's missing features; null when none is missing."""
     any_missing = reduce(Column.__or__, [F.col(f).isNull() for f in features], F.lit(False))

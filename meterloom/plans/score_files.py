@@ -5,22 +5,35 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from meterloom.operators.catalog import feature_schema
-from meterloom.operators.scoring import score, to_output
-from meterloom.sinks.files import in_row_order, run_path, write_csv
+from meterloom.operators.scoring import feature_means, score
+from meterloom.sinks.files import run_path, spread_by_place, write_csv
 from meterloom.sources.uploads import read_uploads
 
 
 @dataclass
 class Scored:
-    """`predictions`: source_file, row_id, prediction; `quarantine` and `files`
-    as in `Uploads`. Nothing but the file list has been computed yet."""
+    """`judged`: all rows of the accepted files with prediction and reason; only
+    the file list has been computed yet. `files`: as in `Uploads`."""
 
-    predictions: DataFrame
-    quarantine: DataFrame
+    judged: DataFrame
     files: DataFrame
 
+    @property
+    def predictions(self) -> DataFrame:
+        """source_file, row_id, prediction of the valid rows."""
+        valid = self.judged.where(F.col("_fence") & F.col("reason").isNull())
+        return valid.select("source_file", "row_id", "prediction")
+
+    @property
+    def quarantine(self) -> DataFrame:
+        """source_file, row_id, reason, columns, raw of the other rows."""
+        return self.judged.where(F.col("_fence") & F.col("reason").isNotNull()).select(
+            "source_file", "row_id", "reason", F.col("bad_columns").alias("columns"), "raw"
+        )
+
 
 def score_files(
     spark: SparkSession,
@@ -40,8 +53,17 @@ def score_files(
     uploads = read_uploads(
         spark, paths, feature_schema(features or model.features), required, **read_options
     )
-    scored = score(uploads.rows, model, on_null=on_null)
-    return Scored(to_output(scored, "source_file", "row_id"), uploads.quarantine, uploads.files)
+    valid = F.col("reason").isNull()
+    if on_null == "mean":
+        means = feature_means(uploads.rows, model.features)
+        scored = score(uploads.judged, model, on_null="mean", means=means)
+    else:
+        scored = score(uploads.judged, model)
+    if on_null == "drop":
+        scored = scored.where(F.col("_fence") & (~valid | F.col("null_features").isNull()))
+    return Scored(
+        scored.withColumn("prediction", F.when(valid, F.col("prediction"))), uploads.files
+    )
 
 
 def status_table(files: DataFrame) -> DataFrame:
@@ -53,20 +75,55 @@ def status_table(files: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, paths, model, base: str, *, format: str = "parquet", **options) -> str:
-    """Score and write one run: `<run>/{predictions,quarantine,status}`.
+    """Score and write one run into a folder of its own; returns the folder.
 
-    Each run has its own folder, so runs never overwrite each other.
+    `read_run` reads its tables. With format "csv" the predictions are also
+    exported as CSV files to `<folder>/csv`.
     """
-    scored = score_files(spark, paths, model, **options)
-    return write_run(scored, run_path(base), format)
+    folder = write_run(score_files(spark, paths, model, **options), run_path(base))
+    if format == "csv":
+        scored = spark.read.parquet(f"{folder}/rows").where("outcome = 'scored'")
+        n_places = scored.agg(F.max("place")).first()[0] or 0
+        spread = spread_by_place(scored, n_places + 1)
+        write_csv(spread.select("source_file", "row_id", "prediction"), f"{folder}/csv")
+    return folder
 
 
-def write_run(scored: Scored, folder: str, format: str = "parquet") -> str:
-    ordered = in_row_order(scored.predictions, "source_file", "row_id")
-    if format == "csv":
-        write_csv(ordered, f"{folder}/predictions")
-    else:
-        ordered.write.mode("overwrite").format(format).save(f"{folder}/predictions")
-    scored.quarantine.write.mode("overwrite").parquet(f"{folder}/quarantine")
-    status_table(scored.files).write.mode("overwrite").parquet(f"{folder}/status")
+def write_run(scored: Scored, folder: str, batch: int | None = None) -> str:
+    """Write `<folder>/rows/outcome={scored,quarantined}` and `<folder>/status`,
+    or their `batch=<n>` parts, replacing only what this run or batch wrote before.
+
+    One parse and one shuffle serve both outcomes: rows go to the output file
+    that their place through all files names, and are in order there.
+    """
+    rows = scored.judged.select(
+        "source_file", "row_id", "place", "prediction", "reason",
+        F.when(F.col("reason").isNotNull(), F.col("bad_columns")).alias("columns"),
+        F.when(F.col("reason").isNotNull(), F.col("raw")).alias("raw"),
+        F.when(F.col("reason").isNull(), "scored").otherwise("quarantined").alias("outcome"),
+    )
+    part = "" if batch is None else f"/batch={batch}"
+    n_rows = scored.files.agg(F.sum("n_rows")).first()[0] or 0
+    spread_by_place(rows, n_rows, "outcome", "place").write.mode("overwrite").partitionBy(
+        "outcome"
+    ).parquet(f"{folder}/rows{part}")
+    status_table(scored.files).write.mode("overwrite").parquet(f"{folder}/status{part}")
     return folder
+
+
+RUN_COLUMNS = {
+    "scored": ("source_file", "row_id", "prediction"),
+    "quarantined": ("source_file", "row_id", "reason", "columns", "raw"),
+}
+ROWS_SCHEMA = (
+    "source_file string, row_id bigint, place bigint, prediction double, reason string, "
+    "columns array<string>, raw string, outcome string"
+)
+
+
+def read_run(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """The "scored" or "quarantined" rows or the "status" of a run or a stream."""
+    if table == "status":
+        return spark.read.parquet(f"{folder}/status")
+    rows = spark.read.schema(ROWS_SCHEMA).parquet(f"{folder}/rows")
+    return rows.where(F.col("outcome") == table).select(*RUN_COLUMNS[table])

@@ -27,14 +27,14 @@ from meterloom.operators.rowid import with_row_id
 from meterloom.operators.schema import infer_types
 from meterloom.operators.scoring import in_row_order, score, to_output
 from meterloom.operators.training import fit_linear, fit_stack, holdout_error
-from meterloom.plans.score_files import score_files, status_table
+from meterloom.plans.score_files import read_run, score_files, status_table
 from meterloom.plans.staging import stage_csv, stage_lines, table, upload_name
 from meterloom.session import scratch_path
-from meterloom.sinks.files import spread_by_row_id, write_csv, write_result
+from meterloom.sinks.files import spread_by_place, write_csv, write_result
 from meterloom.sources.admission import admit, list_files
 from meterloom.sources.lines import read_lines
 from meterloom.sources.uploads import read_headers, read_uploads
-from meterloom.streaming.uploads import read_scored, score_stream
+from meterloom.streaming.uploads import score_stream
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
 LINEAR = Linear({"l_quantity": 900.0, "l_discount": -20000.0, "l_tax": 5000.0}, 1000.0)
@@ -348,10 +348,10 @@ def row_id_file_order(spark, sf_dir):
 
 def row_id_per_upload(spark, sf_dir):
     """Many uploads in one job, each numbered from 0."""
-    orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("row_id"), "o_orderkey", "o_totalprice"
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    ordered = spread_by_place(
+        orders, orders.count(), place="o_orderkey", rows_per_file=ROWS_PER_UPLOAD
     )
-    ordered = spread_by_row_id(orders, orders.count(), ROWS_PER_UPLOAD).drop("row_id")
     path = stage_csv(ordered, "orders")
     rows = read_uploads(spark, path, ordered.schema).rows
     part = F.regexp_extract("source_file", r"part-(\d+)", 1).cast("bigint")
@@ -599,7 +599,7 @@ def stream_score(spark, sf_dir):
         glob="*.txt", leading_index=True,
     )
     query.awaitTermination()
-    return rounded(read_scored(spark, out).select("row_id", "prediction"))
+    return rounded(read_run(spark, out, "scored").select("row_id", "prediction"))
 
 
 QUERIES = {

@@ -184,8 +184,8 @@ ORACLE = {
     "row_id_file_order": """select row_number() over (order by o_orderkey) - 1 as row_id,
         o_orderkey, o_totalprice from orders""",
     "row_id_per_upload": """
-        with k as (select count(*) as n, -(-count(*) // 5000) as files from orders),
-        p as (select -(-n // files) as per_file from k)
+        with k as (select count(*) as n, (count(*) + 4999) // 5000 as files from orders),
+        p as (select (n + files - 1) // files as per_file from k)
         select o_orderkey // per_file as upload, o_orderkey % per_file as row_id,
           o_orderkey, o_totalprice from orders, p""",
     "score_linear": _lineitem(LINEITEM_LINEAR),

@@ -25,19 +25,25 @@ def run_path(base: str, name: str = "result") -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def spread_by_row_id(df: DataFrame, n_rows: int, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
-    """Total order by dense row ids below `n_rows`, with one shuffle.
+def spread_by_place(
+    df: DataFrame,
+    n_rows: int,
+    *order: str,
+    place: str = "place",
+    rows_per_file: int | None = None,
+) -> DataFrame:
+    """Total order by dense places below `n_rows`, with one shuffle.
 
-    The ids themselves say which output file a row belongs to, so Spark need not
-    sample the input (which would compute it twice) as it does for `orderBy`.
+    The places themselves say which output file a row belongs to, so Spark need
+    not sample the input (which would compute it twice) as it does for `orderBy`.
+    Within a file rows are sorted by `order`, or by place.
     """
-    files = max(1, -(-n_rows // rows_per_file))
+    files = max(1, -(-n_rows // (rows_per_file or ROWS_PER_FILE)))
     per_file = max(1, -(-n_rows // files))
-    place = F.coalesce(F.expr(f"row_id div {per_file}"), F.lit(files - 1))
     last = F.lit(files - 1)
-    return df.repartitionById(files, F.least(place, last).cast("int")).sortWithinPartitions(
-        F.col("row_id").asc_nulls_last()
-    )
+    file = F.least(F.coalesce(F.expr(f"{place} div {per_file}"), last), last).cast("int")
+    sort = [F.col(c).asc_nulls_last() for c in order or (place,)]
+    return df.repartitionById(files, file).sortWithinPartitions(*sort)
 
 
 def write_csv(df: DataFrame, path: str, decimals: int | None = None) -> str:
@@ -62,7 +68,10 @@ def write_result(
     Give `n_rows` when ids are dense in one numbering; otherwise rows are
     sorted by `keys`.
     """
-    ordered = spread_by_row_id(df, n_rows) if n_rows is not None else in_row_order(df, *keys)
+    if n_rows is not None:
+        ordered = spread_by_place(df, n_rows, place="row_id")
+    else:
+        ordered = in_row_order(df, *keys)
     path = run_path(base)
     if format == "csv":
         return write_csv(ordered, path, decimals)

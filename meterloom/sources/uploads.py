@@ -25,14 +25,29 @@ BAD_CSV = "Error parsing CSV file. Upload a valid CSV file with valid columns"
 
 @dataclass
 class Uploads:
-    """`rows`: source_file, row_id and the declared columns, valid rows only.
-    `quarantine`: source_file, row_id, reason, columns, raw.
+    """`judged`: every data row of the accepted files, parsed once, with
+    source_file, row_id, place (position through all files in path order), the
+    declared columns, reason (null for a valid row), bad_columns and raw.
     `files`: one row per file with its header, counts and status.
     """
 
-    rows: DataFrame
-    quarantine: DataFrame
+    judged: DataFrame
     files: DataFrame
+    columns: list[str]
+
+    @property
+    def rows(self) -> DataFrame:
+        """The valid rows: source_file, row_id, declared columns, place."""
+        return self.judged.where(F.col("_fence") & F.col("reason").isNull()).select(
+            "source_file", "row_id", *[F.col(f"`{c}`") for c in self.columns], "place"
+        )
+
+    @property
+    def quarantine(self) -> DataFrame:
+        """The other rows: source_file, row_id, reason, columns, raw."""
+        return self.judged.where(F.col("_fence") & F.col("reason").isNotNull()).select(
+            "source_file", "row_id", "reason", F.col("bad_columns").alias("columns"), "raw"
+        )
 
 
 def profile_files(numbered: NumberedRecords, leading_index: bool) -> DataFrame:
@@ -134,7 +149,7 @@ def read_uploads(
             listed.join(profile_files(numbered, leading_index), "source_file", "left"),
             columns if required is None else required,
             strict,
-        ),
+        ).withColumn("first_place", _first_place()),
         "files",
     )
 
@@ -149,7 +164,7 @@ def read_uploads(
         where.alias("where"),
         (F.col("n_columns") + F.col("leading_index").cast("int")).alias("allowed"),
         "leading_index",
-        _first_id(one_numbering).alias("first_id"),
+        "first_place",
         "status",
     ).where("status = 200").drop("status")
 
@@ -172,15 +187,17 @@ def read_uploads(
         source = F.array(*[text[i] for i in members]) if len(by_type) > 1 else F.col("texts")
         arrays[f"values_{k}"] = F.transform(source, _parser(data_type))
         value |= {i: F.get(f"values_{k}", F.lit(j)) for j, i in enumerate(members)}
+    own_row_id = F.col("place") if one_numbering else F.col("row_no")
     row_id = F.when(
         F.col("leading_index"), F.get("fields", F.lit(0)).try_cast("long")
-    ).otherwise(F.col("first_id") + F.col("row_no"))
+    ).otherwise(own_row_id)
     typed = (
         parsed.withColumn(
             "texts",
             F.transform("where", lambda w: drop_null_tokens(F.get("fields", w))),
         )
         .withColumns(arrays)
+        .withColumn("place", F.col("first_place") + F.col("row_no"))
         .withColumn("row_id", row_id)
     )
     unfit = {
@@ -193,36 +210,32 @@ def read_uploads(
         .when(F.col("width") > F.col("allowed"), F.lit("long_row"))
         .when(reduce(Column.__or__, unfit.values(), F.lit(False)), F.lit("bad_value"))
     )
-    judged = fence(typed.withColumn("reason", reason))
-    rows = judged.where(F.col("_fence") & F.col("reason").isNull()).select(
-        "source_file",
-        "row_id",
-        *[value[i].alias(c) for i, c in enumerate(columns)],
+    unfit_names = F.array(*[F.when(u, F.lit(c)) for c, u in unfit.items()]).cast("array<string>")
+    bad_columns = F.when(F.col("reason") == "bad_value", F.array_compact(unfit_names)).otherwise(
+        F.array().cast("array<string>")
     )
-    names = F.array(*[F.when(u, F.lit(c)) for c, u in unfit.items()]).cast("array<string>")
-    named_unfit = F.array_compact(names)
-    quarantine = judged.where(F.col("_fence") & F.col("reason").isNotNull()).select(
+    judged = fence(typed.withColumn("reason", reason)).select(
         "source_file",
         "row_id",
+        "place",
+        *[value[i].alias(c) for i, c in enumerate(columns)],
         "reason",
-        F.when(F.col("reason") == "bad_value", named_unfit)
-        .otherwise(F.array().cast("array<string>"))
-        .alias("columns"),
+        bad_columns.alias("bad_columns"),
         "raw",
+        "_fence",
     )
-    return Uploads(rows, quarantine, files)
+    return Uploads(judged, files, columns)
 
 
 def _parser(data_type: T.DataType):
     return lambda text: parse_as(text, data_type)
 
 
-def _first_id(one_numbering: bool) -> Column:
-    """Id of each file's first row; the window runs over the file list only."""
-    if not one_numbering:
-        return F.lit(0).cast("long")
+def _first_place() -> Column:
+    """Rows in accepted files before this one; the window runs over the file list."""
     earlier = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum("n_rows").over(earlier), F.lit(0))
+    rows = F.when(F.col("status") == 200, F.col("n_rows"))
+    return F.coalesce(F.sum(rows).over(earlier), F.lit(0))
 
 
 def read_headers(spark: SparkSession, paths, glob: str = "*.csv", multiline: bool = False) -> DataFrame:

@@ -32,11 +32,11 @@ def score_stream(
     glob: str = "*.csv",
     **options,
 ) -> StreamingQuery:
-    """Score files as they arrive into `<out>/batch=<n>/{predictions,quarantine,status}`.
+    """Score files as they arrive into the run folder `out`, see `read_run`.
 
     The checkpoint remembers which files were taken. A micro-batch is a list of at
     most `max_files` paths; its rows are scored by an ordinary batch job. A batch
-    that is repeated after a failure rewrites its own folder, so every file is
+    that is repeated after a failure rewrites its own part, so every file is
     counted once. A file must not change under the same name.
     """
 
@@ -44,7 +44,7 @@ def score_stream(
         paths = [row["path"] for row in batch.select("path").collect()]  # at most max_files
         if paths:
             scored = score_files(batch.sparkSession, paths, model, glob=glob, **options)
-            write_run(scored, f"{out.rstrip('/')}/batch={batch_id}")
+            write_run(scored, out.rstrip("/"), batch_id)
 
     writer = (
         arriving_files(spark, folder, max_files, glob)
@@ -54,8 +54,3 @@ def score_stream(
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     return writer.trigger(**trigger).start()
 
-
-def read_scored(spark: SparkSession, out: str, table: str = "predictions") -> DataFrame:
-    """All batches of a scored stream's `predictions`, `quarantine` or `status`."""
-    return spark.read.parquet(f"{out.rstrip('/')}/batch=*/{table}")
-
