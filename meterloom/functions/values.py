@@ -32,15 +32,20 @@ def _lookup(entries: dict[str, float], key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
+def is_whole(text: Column) -> Column:
+    return text.rlike(r"^\s*[+-]?\d+\s*$")
+
+
 def to_number(text: Column) -> Column:
     """Double, or null if the text is no decimal number or infinity.
 
     Spark's cast also takes Java literals (`1d`, `2f`, `0x1p3`) and any casing
-    of NaN; those are plain text in a CSV file. Texts with such letters
-    therefore skip the cast.
+    of NaN; those are plain text in a CSV file. Casting only what looks like a
+    number also avoids an exception per text, which a failing cast costs.
     """
+    decimal = text.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$")
     infinite = _lookup({t: float(t) for t in INFINITE_TOKENS}, F.lower(F.trim(text)))
-    return F.when(~text.rlike("[dDfFxXnN]"), text.try_cast("double")).otherwise(infinite)
+    return F.when(decimal, text.try_cast("double")).otherwise(infinite)
 
 
 def to_feature(text: Column) -> Column:
@@ -59,4 +64,6 @@ def parse_as(text: Column, data_type: T.DataType) -> Column:
         return to_feature(text).cast(data_type)
     if isinstance(data_type, T.BooleanType):
         return to_boolean(text)
+    if isinstance(data_type, T.IntegralType):
+        return F.when(is_whole(text), text.try_cast(data_type))
     return text.try_cast(data_type)

@@ -14,7 +14,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.functions.models import Ensemble, Leaf, Linear, Split, Tree
+from meterloom.functions.models import MAX_COMPILED_NODES, Ensemble, Leaf, Linear, Split, Tree
 from meterloom.session import scratch_path
 
 REGRESSORS = {
@@ -128,6 +128,8 @@ def compile_pipeline(spark, model: PipelineModel):
     path = scratch_path(spark, "ml-model")
     fitted.write().save(path)
     nodes = spark.read.parquet(f"{path}/data")
+    if nodes.count() > MAX_COMPILED_NODES:
+        raise ValueError(f"model has more than {MAX_COMPILED_NODES} nodes; score it as a pipeline")
     if "nodeData" not in nodes.columns:
         return _tree(nodes.collect(), features)
     trees: dict[int, list] = {}

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from meterloom.functions.values import drop_null_tokens, to_boolean, to_number
+from meterloom.functions.values import drop_null_tokens, parse_as, to_boolean, to_number
+
+
+def _kind(text: Column) -> Column:
+    """The narrowest type of one text; null for a null token."""
+    value = drop_null_tokens(text)
+    return (
+        F.when(value.isNull(), F.lit(None))
+        .when(parse_as(value, T.LongType()).isNotNull(), F.lit("long"))
+        .when(to_number(value).isNotNull(), F.lit("double"))
+        .when(to_boolean(value).isNotNull(), F.lit("boolean"))
+        .otherwise(F.lit("string"))
+    )
 
 
 def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -15,34 +28,33 @@ def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     any value), else boolean, else string. Dates stay strings.
     """
     columns = columns or df.columns
-    texts = df.select(*[drop_null_tokens(F.col(c)).alias(c) for c in columns])
-    counts = texts.agg(
-        F.count("*").alias("n_rows"),
-        *[
-            F.struct(
-                F.count(c).alias("n"),
-                F.count(F.col(c).try_cast("long")).alias("n_long"),
-                F.count(to_number(F.col(c))).alias("n_double"),
-                F.count(to_boolean(F.col(c))).alias("n_boolean"),
-            ).alias(f"c_{i}")
-            for i, c in enumerate(columns)
-        ],
+    kinds = F.transform(F.array(*[F.col(f"`{c}`") for c in columns]), _kind)
+    # At most five counts per column leave each task.
+    counts = (
+        df.select(F.posexplode(kinds).alias("at", "kind"))
+        .groupBy("at", "kind")
+        .agg(F.count("*").alias("n"))
     )
-    tall = counts.select(
-        "n_rows",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(i + 1).alias("ord"), F.lit(c).alias("column"), F.col(f"c_{i}").alias("c"))
-                    for i, c in enumerate(columns)
-                ]
-            )
-        ),
+    of = lambda *kinds: F.coalesce(
+        F.sum(F.when(F.col("kind").isin(*kinds), F.col("n"))), F.lit(0)
     )
-    kind = (
-        F.when((F.col("c.n_long") == F.col("c.n")) & (F.col("c.n") == F.col("n_rows")), "long")
-        .when(F.col("c.n_double") == F.col("c.n"), "double")
-        .when(F.col("c.n_boolean") == F.col("c.n"), "boolean")
+    totals = counts.groupBy("at").agg(
+        F.sum("n").alias("n_rows"),
+        of("long", "double", "boolean", "string").alias("n_values"),
+        of("long").alias("n_long"),
+        of("long", "double").alias("n_number"),
+        of("boolean").alias("n_boolean"),
+    )
+    found = (
+        F.when((F.col("n_long") == F.col("n_rows")), "long")
+        .when(F.col("n_number") == F.col("n_values"), "double")
+        .when(F.col("n_boolean") == F.col("n_values"), "boolean")
         .otherwise("string")
     )
-    return tall.select("ord", "column", kind.alias("type"), F.col("c.n").alias("n_values"))
+    names = F.array(*map(F.lit, columns))
+    return totals.select(
+        (F.col("at") + 1).alias("ord"),
+        F.get(names, F.col("at")).alias("column"),
+        found.alias("type"),
+        "n_values",
+    )

@@ -1,8 +1,8 @@
 """Least squares and stacked models, fitted from sums.
 
 One aggregation over the data yields every sum a fit needs; the equations left
-to solve are as small as the feature list. Sums are decimal and therefore equal
-for every order and partitioning of the rows.
+to solve are as small as the feature list. Values are taken to four decimals and
+sums are exact, so they are equal for every order and partitioning of the rows.
 """
 
 from __future__ import annotations
@@ -15,9 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.functions.models import Linear, Stack
-
-EXACT = "decimal(18,4)"
-
+from meterloom.functions.sums import SCALE, exact_product, exact_sum, whole
 
 @dataclass
 class Sums:
@@ -39,38 +37,49 @@ def _pairs(features: list[str], label: str) -> list[tuple[str, str]]:
     return list(combinations_with_replacement(["", *features, label], 2))
 
 
-def _sum_columns(features: list[str], label: str) -> list[Column]:
-    exact = {"": F.lit(1).cast("decimal(1,0)")}
-    exact |= {f: F.col(f).cast(EXACT) for f in [*features, label]}
-    product = lambda a, b: exact[b] if a == "" else exact[a] * exact[b]
-    return [
-        F.sum(product(a, b)).alias(f"s{i}") for i, (a, b) in enumerate(_pairs(features, label))
-    ]
+def _sum_columns(features: list[str], label: str, wide: bool) -> list[Column]:
+    """A sum per pair, in units of 1/10000 (one value) or its square (two values).
+
+    `wide` multiplies decimals, which is slower but takes any value.
+    """
+    names = ["", *features, label]
+    unit = {f: whole(F.col(f)) if f else F.lit(1).cast("long") for f in names}
+    if wide:
+        unit = {f: u.cast("decimal(19,0)") for f, u in unit.items()}
+        add = lambda a, b: F.sum(unit[a] * unit[b]).cast("decimal(38,0)")
+    else:
+        add = lambda a, b: exact_sum(exact_product(unit[a], unit[b]))
+    return [add(a, b).alias(f"s{i}") for i, (a, b) in enumerate(_pairs(features, label))]
 
 
 def _to_sums(row, features: list[str], label: str) -> Sums:
-    return Sums(
-        {
-            pair: Fraction(row[f"s{i}"]) if row[f"s{i}"] is not None else Fraction(0)
-            for i, pair in enumerate(_pairs(features, label))
-        }
-    )
+    products = {}
+    for i, (a, b) in enumerate(_pairs(features, label)):
+        units = SCALE ** ((a != "") + (b != ""))
+        products[(a, b)] = Fraction(row[f"s{i}"] or 0) / units
+    return Sums(products)
+
+
+def _collect(grouped, features: list[str], label: str) -> list:
+    """One row of sums per group, from the fast form unless a value is too large."""
+    rows = grouped(_sum_columns(features, label, wide=False))
+    counts = [f"s{i}" for i in range(len(_pairs(features, label)))]
+    if any(row[c] is None for row in rows if row["s0"] for c in counts):
+        rows = grouped(_sum_columns(features, label, wide=True))
+    return rows
 
 
 def collect_sums(df: DataFrame, features: list[str], label: str) -> Sums:
     complete = df.dropna(subset=[*features, label])
-    return _to_sums(complete.agg(*_sum_columns(features, label)).first(), features, label)
+    rows = _collect(lambda columns: complete.agg(*columns).collect(), features, label)
+    return _to_sums(rows[0], features, label)
 
 
 def collect_fold_sums(df, features: list[str], label: str, fold: Column, k: int) -> list[Sums]:
     """Sums per fold 0..k-1: k rows reach the driver."""
-    rows = (
-        df.dropna(subset=[*features, label])
-        .groupBy(fold.alias("_fold"))
-        .agg(*_sum_columns(features, label))
-        .where(F.col("_fold").between(0, k - 1))
-        .collect()
-    )
+    complete = df.dropna(subset=[*features, label]).withColumn("_fold", fold)
+    in_folds = complete.where(F.col("_fold").between(0, k - 1)).groupBy("_fold")
+    rows = _collect(lambda columns: in_folds.agg(*columns).collect(), features, label)
     by_fold = {row["_fold"]: _to_sums(row, features, label) for row in rows}
     empty = Sums({pair: Fraction(0) for pair in _pairs(features, label)})
     return [by_fold.get(i, empty) for i in range(k)]
@@ -149,8 +158,8 @@ def fit_stack(
 
 def holdout_error(df: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
     """One row: n, rmse, mae, r2; values are taken to four decimals."""
-    y = F.col(label).cast(EXACT)
-    error = y - F.col(prediction).cast(EXACT)
+    y = F.col(label).cast("decimal(18,4)")
+    error = y - F.col(prediction).cast("decimal(18,4)")
     sums = df.dropna(subset=[label, prediction]).agg(
         F.count("*").alias("n"),
         F.sum(error * error).cast("double").alias("sse"),

@@ -2,9 +2,10 @@
 
 Both readers return the same two things:
 
-* records(facts): one row per record with source_file, row_no, raw, width,
-  open_quote and the columns of `facts`, a table with a row per wanted file.
-  `row_no` is dense in file order, the header being -1;
+* records(facts, n_bytes): one row per record with source_file, row_no, raw,
+  width, open_quote and the columns of `facts`, a table with a row per wanted
+  file that takes up to `n_bytes` besides the path. `row_no` is dense in file
+  order, the header being -1;
 * groups(source_file, width, open_quote, valid, first, n, first_raw): records per
   shape, with the first record of each shape and its `row_no`. A few rows a file;
 
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 from meterloom.functions.lines import field_count, has_open_quote, is_blank, outside_quotes
 from meterloom.session import pin_split_layout, scratch_path, settle
 
-# Above this many splits the offset table is joined by a shuffle instead of
-# being broadcast. At 100 bytes a row the bound is about 100 MB.
-MAX_BROADCAST_SPLITS = 1_000_000
+# A lookup table above this size is joined by a shuffle instead of being broadcast.
+MAX_BROADCAST_BYTES = 256 << 20
+# Upper estimate of a lookup row without its path and its column positions.
+ROW_BYTES = 128
 
 SPLIT = ["source_file", "block_start"]
 
@@ -33,11 +35,12 @@ SPLIT = ["source_file", "block_start"]
 class NumberedRecords:
     groups: DataFrame
     widest: int
-    records: Callable[[DataFrame], DataFrame]
+    records: Callable[[DataFrame, int], DataFrame]
 
 
-def small_side(table: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(table) if rows <= MAX_BROADCAST_SPLITS else table
+def small_side(table: DataFrame, n_bytes: int) -> DataFrame:
+    """Broadcast only what is known to be small; without the hint Spark shuffles."""
+    return F.broadcast(table) if n_bytes <= MAX_BROADCAST_BYTES else table.hint("merge")
 
 
 def read_text(spark: SparkSession, paths, glob: str, **options) -> DataFrame:
@@ -121,18 +124,22 @@ def read_lines(spark: SparkSession, paths, glob: str = "*.csv") -> NumberedRecor
         F.min_by("width", F.struct("block_start", "first")).alias("width"),
         F.count_distinct("block_start").alias("n"),
     )
-    widest, n_splits = headers.agg(F.max("width"), F.sum("n")).first()
+    path_bytes = F.col("n") * F.length("source_file")
+    widest, n_splits, n_path_bytes = headers.agg(
+        F.max("width"), F.sum("n"), F.sum(path_bytes)
+    ).first()
     in_split = F.col("position") - F.col("first_position")
     row_no = F.when(
         (in_split >= 0) & (in_split < F.col("n")), F.col("offset") + in_split - 1
     ).otherwise(F.raise_error(F.lit("files were split differently in the second scan")))
 
-    def records(facts: DataFrame) -> DataFrame:
+    def records(facts: DataFrame, n_bytes: int) -> DataFrame:
+        size = (n_splits or 0) * (ROW_BYTES + n_bytes) + (n_path_bytes or 0)
         known = [c for c in facts.columns if c != "source_file"]
         # One lookup per line: file facts ride along with the split offsets.
         places = splits.join(facts.withColumn("_known", F.lit(True)), "source_file", "left")
         return (
-            lines.join(small_side(places, n_splits), SPLIT, "left")
+            lines.join(small_side(places, size), SPLIT, "left")
             .where(F.col("_known") | F.col("n").isNull())  # an unknown split must raise
             .withColumn("row_no", row_no)
             .select("source_file", "row_no", "raw", "width", "open_quote", *known)
@@ -215,7 +222,9 @@ def read_stitched(spark: SparkSession, paths, glob: str = "*.csv") -> NumberedRe
         .select(*SPLIT, F.col("before").alias("starts_open"), "offset", "n_file", "file_open")
     )
 
-    placed = lines.join(small_side(splits, summary.count()), SPLIT)
+    n_splits, n_path_bytes = summary.agg(F.count("*"), F.sum(F.length("source_file"))).first()
+    size = n_splits * ROW_BYTES + (n_path_bytes or 0)
+    placed = lines.join(small_side(splits, size), SPLIT)
     traced = _trace_quotes(placed, in_split, F.col("starts_open"))
     starts = (~F.col("before") & ~F.col("blank")).cast("long")
     numbered = (
@@ -245,8 +254,10 @@ def read_stitched(spark: SparkSession, paths, glob: str = "*.csv") -> NumberedRe
     stored = settle(stitched, "records")
     shaped = _shape(stored).withColumn("open_quote", F.col("open_tail")).drop("open_tail")
 
-    def records(facts: DataFrame) -> DataFrame:
-        return shaped.join(small_side(facts, facts.count()), "source_file")
+    def records(facts: DataFrame, n_bytes: int) -> DataFrame:
+        n_files, n_path_bytes = facts.agg(F.count("*"), F.sum(F.length("source_file"))).first()
+        size = n_files * (ROW_BYTES + n_bytes) + (n_path_bytes or 0)
+        return shaped.join(small_side(facts, size), "source_file")
 
     groups = settle(_group(shaped, ["source_file"], "row_no"), "groups")
     widest = groups.where(F.col("first") == -1).agg(F.max("width")).first()[0]

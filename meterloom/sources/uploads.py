@@ -169,7 +169,7 @@ def read_uploads(
     ).where("status = 200").drop("status")
 
     parsed = (
-        numbered.records(binding)
+        numbered.records(binding, n_bytes=8 * len(columns))
         .where(F.col("row_no") >= 0)
         .withColumn("fields", split_fields(F.col("raw"), numbered.widest + 1))
     )

@@ -45,10 +45,12 @@ def test_numbering_per_file(spark, five_files, small_splits):
     }
 
 
-def test_numbering_without_broadcast(spark, five_files, small_splits, monkeypatch):
-    monkeypatch.setattr(lines, "MAX_BROADCAST_SPLITS", 0)
+@pytest.mark.parametrize("multiline", [False, True])
+def test_numbering_without_broadcast(spark, five_files, small_splits, monkeypatch, multiline):
+    monkeypatch.setattr(lines, "MAX_BROADCAST_BYTES", 0)
     small_splits(5000, 100)
-    rows = read_uploads(spark, five_files, SCHEMA, one_numbering=True).rows
+    rows = read_uploads(spark, five_files, SCHEMA, one_numbering=True, multiline=multiline).rows
+    assert "SortMergeJoin" in rows._jdf.queryExecution().executedPlan().toString()
     assert rows.count() == sum(SIZES.values())
     assert rows.where("row_id <> n").count() == 0
 

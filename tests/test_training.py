@@ -1,5 +1,7 @@
 """Fits against numpy on the same rows, and Spark ML pipelines."""
 
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from meterloom.operators.pipeline import (
     compile_pipeline, fit_pipeline, fit_stacked_pipeline, load_pipeline, save_pipeline, score_pipeline,
 )
 from meterloom.operators.scoring import score
-from meterloom.operators.training import fit_linear, fit_stack, holdout_error
+from meterloom.operators.training import collect_sums, fit_linear, fit_stack, holdout_error
 
 FEATURES = ["a", "b", "c"]
 
@@ -125,3 +127,24 @@ def test_stacked_pipeline(table, tmp_path):
     single = score_pipeline(table, fit_pipeline(table, ["a", "b"], "y"), ["a", "b"])
     rmse = lambda df: holdout_error(df, "y").first().rmse
     assert rmse(scored) < rmse(single)
+
+
+@pytest.mark.parametrize("factor", [1, 10**7])
+def test_sums_are_exact(spark, factor):
+    """Also for negative values, and for values too large for the fast sums."""
+    draw = np.random.default_rng(11)
+    cents = [[int(c) for c in row] for row in draw.integers(-(10**9), 10**9, (300, 2))]
+    frame = spark.createDataFrame([(a * factor / 100, b / 100) for a, b in cents], "a double, y double")
+    sums = collect_sums(frame.repartition(5), ["a"], "y")
+    a, y = [Fraction(a * factor, 100) for a, _ in cents], [Fraction(b, 100) for _, b in cents]
+    assert sums.of("", "") == 300
+    assert sums.of("", "a") == sum(a) and sums.of("a", "a") == sum(v * v for v in a)
+    assert sums.of("a", "y") == sum(v * w for v, w in zip(a, y))
+    assert sums.of("y", "y") == sum(w * w for w in y)
+
+
+def test_no_rows(spark, table):
+    sums = collect_sums(table.where("id < 0"), ["a"], "y")
+    assert sums.of("", "") == sums.of("a", "y") == 0
+    with pytest.raises(ValueError):
+        fit_linear(table.where("id < 0"), ["a"], "y")
