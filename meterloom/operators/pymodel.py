@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable
+from types import ModuleType
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_loaded: dict = {}
-
 
 def score_python(
     df: DataFrame,
@@ -31,12 +31,11 @@ def score_python(
     token = uuid.uuid4().hex
 
     def run(batches):
-        from meterloom.operators import pymodel
-
-        if token not in pymodel._loaded:
-            pymodel._loaded.clear()
-            pymodel._loaded[token] = load()
-        predict = pymodel._loaded[token]
+        # A module made here lives as long as the worker; no package is needed there.
+        worker = sys.modules.setdefault("_meterloom_worker", ModuleType("_meterloom_worker"))
+        if getattr(worker, "token", None) != token:
+            worker.predict, worker.token = load(), token
+        predict = worker.predict
         for batch in batches:
             values = predict(batch[features])
             if len(values) != len(batch):

@@ -53,14 +53,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/meterloom/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df, label: str):
+def settle(df, label: str, *partition_by: str):
     """Write a small or expensive intermediate once and read it back.
 
     The written table survives lost executors and gives later plans exact sizes.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

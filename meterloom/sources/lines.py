@@ -17,11 +17,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterloom.functions.lines import field_count, has_open_quote, is_blank, outside_quotes
-from meterloom.session import pin_split_layout, scratch_path, settle
+from meterloom.session import pin_split_layout, settle
+from meterloom.sources import stitch
+
+# Executors get these helpers with the task and need not have the package.
+cloudpickle.register_pickle_by_value(stitch)
 
 # A lookup table above this size is joined by a shuffle instead of being broadcast.
 MAX_BROADCAST_BYTES = 256 << 20
@@ -151,25 +156,31 @@ def read_lines(spark: SparkSession, paths, glob: str = "*.csv") -> NumberedRecor
 # Quoted line breaks ---------------------------------------------------------
 
 
-def _trace_quotes(lines: DataFrame, window, start: Column, suffix: str = "") -> DataFrame:
-    """Add `before` and `after`: is a quoted field open around each row of `window`?
+def chain_splits(summary: DataFrame) -> DataFrame:
+    """What each split needs to know of the splits before it and of its file.
 
-    Each row maps the state before it to the state after it (`if_closed`,
-    `if_open`). A row with equal answers fixes the state; others keep or flip
-    it. So the state is the last fixed one (or `start`), flipped once per
-    flipping row since then, which two running aggregates give.
+    The state before a split follows from the summaries of the earlier ones, as
+    `stitch.states_after` does for lines: the last fixed state, flipped once per
+    flipping split since then.
     """
-    running = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_file = Window.partitionBy("source_file").orderBy("block_start")
+    running = in_file.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole_file = Window.partitionBy("source_file")
     flip = (F.col("if_closed") & ~F.col("if_open")).cast("long")
     fixes = F.col("if_closed") == F.col("if_open")
-    before, after = f"before{suffix}", f"after{suffix}"
+    chained = (
+        summary.withColumn("odd", F.sum(flip).over(running) % 2 == 1)
+        .withColumn("base", F.when(fixes, F.col("if_closed") != F.col("odd")))
+        .withColumn("base", F.coalesce(F.last("base", True).over(running), F.lit(False)))
+        .withColumn("ends_open", F.col("base") != F.col("odd"))
+        .withColumn("starts_open", F.coalesce(F.lag("ends_open").over(in_file), F.lit(False)))
+        .withColumn("n", F.when(F.col("starts_open"), F.col("n1")).otherwise(F.col("n0")))
+    )
     return (
-        lines.withColumn("_odd", F.sum(flip).over(running) % 2 == 1)
-        .withColumn("_base", F.when(fixes, F.col("if_closed") != F.col("_odd")))
-        .withColumn("_base", F.last("_base", True).over(running))
-        .withColumn(after, F.coalesce(F.col("_base"), start) != F.col("_odd"))
-        .withColumn(before, F.coalesce(F.lag(after).over(window), start))
-        .drop("_odd", "_base")
+        offsets(chained)
+        .withColumn("n_file", F.sum("n").over(whole_file))
+        .withColumn("file_open", F.max_by("ends_open", "block_start").over(whole_file))
+        .select(*SPLIT, "starts_open", "ends_open", "offset", "n", "n_file", "file_open")
     )
 
 
@@ -178,81 +189,40 @@ def read_stitched(spark: SparkSession, paths, glob: str = "*.csv") -> NumberedRe
 
     Whether a line starts inside a quoted field depends on all lines before it.
     Each split is therefore summarised for both cases, the summaries are chained
-    per file, and only then are lines numbered and joined into records. An open
-    quote at the end of a file would glue its whole tail into one record; those
-    lines stay single and are marked `open_quote`.
+    per file, and only then are lines joined into records. Lines never leave
+    their task; only pieces of records at the edges of splits, at most two per
+    split, are brought together. An open quote at the end of a file would glue
+    its whole tail into one record; those lines stay single, as `open_quote`.
     """
     pin_split_layout(spark)
     raw = F.col("raw")
-    lines = (
-        read_text(spark, paths, glob, lineSep="\n")
-        .withColumn("position", F.monotonically_increasing_id())
-        .withColumns(
-            {
-                "if_closed": _ends_open(raw),
-                "if_open": F.when(
-                    raw.contains('"'), _ends_open(F.concat(F.lit('"'), raw))
-                ).otherwise(F.lit(True)),
-                "blank": is_blank(raw),
-            }
-        )
-    )
-    in_split = Window.partitionBy(*SPLIT).orderBy("position")
-    in_file = Window.partitionBy("source_file").orderBy("block_start")
-
-    both = lines.drop("raw")
-    for case, start in (("0", F.lit(False)), ("1", F.lit(True))):
-        both = _trace_quotes(both, in_split, start, case)
-    summary = settle(
-        both.groupBy(*SPLIT).agg(
-            *[F.count_if(~F.col(f"before{c}") & ~F.col("blank")).alias(f"n{c}") for c in "01"],
-            F.max_by("after0", "position").alias("if_closed"),
-            F.max_by("after1", "position").alias("if_open"),
-        ),
-        "splits",
-    )
-    chained = _trace_quotes(summary, in_file, F.lit(False)).withColumn(
-        "n", F.when(F.col("before"), F.col("n1")).otherwise(F.col("n0"))
-    )
-    whole_file = Window.partitionBy("source_file")
-    splits = (
-        offsets(chained)
-        .withColumn("n_file", F.sum("n").over(whole_file))
-        .withColumn("file_open", F.max_by("after", "block_start").over(whole_file))
-        .select(*SPLIT, F.col("before").alias("starts_open"), "offset", "n_file", "file_open")
+    if_open = F.when(raw.contains('"'), _ends_open(F.concat(F.lit('"'), raw)))
+    lines = read_text(spark, paths, glob, lineSep="\n").select(
+        *SPLIT,
+        raw.cast("binary").alias("raw"),
+        _ends_open(raw).alias("if_closed"),
+        F.coalesce(if_open, F.lit(True)).alias("if_open"),
+        is_blank(raw).alias("blank"),
     )
-
+    summary = settle(lines.drop("raw").mapInArrow(stitch.summarise, stitch.SUMMARY), "splits")
     n_splits, n_path_bytes = summary.agg(F.count("*"), F.sum(F.length("source_file"))).first()
-    size = n_splits * ROW_BYTES + (n_path_bytes or 0)
-    placed = lines.join(small_side(splits, size), SPLIT)
-    traced = _trace_quotes(placed, in_split, F.col("starts_open"))
-    starts = (~F.col("before") & ~F.col("blank")).cast("long")
-    numbered = (
-        traced.withColumn("record", F.col("offset") + F.sum(starts).over(in_split) - 1)
-        .where(F.col("before") | ~F.col("blank"))
-        .withColumn("open_tail", F.col("file_open") & (F.col("record") == F.col("n_file") - 1))
-    )
-    alone = F.col("open_tail") | (~F.col("before") & ~F.col("after"))
-    single = numbered.where(alone).select("source_file", "record", "raw", "open_tail")
-    joined = (
-        numbered.where(~alone)
-        .groupBy("source_file", "record")
-        .agg(F.sort_array(F.collect_list(F.struct("block_start", "position", "raw"))).alias("parts"))
-        .select(
-            "source_file",
-            "record",
-            F.array_join(F.col("parts.raw"), "\n").alias("raw"),
-            F.lit(False).alias("open_tail"),
-        )
+    splits = small_side(chain_splits(summary), n_splits * ROW_BYTES + (n_path_bytes or 0))
+    pieces = settle(lines.join(splits, SPLIT, "left").mapInArrow(stitch.join_lines, stitch.PIECES), "records", "edge")
+    crossing = (
+        pieces.where("edge")
+        .groupBy("source_file", "record", "open_tail")
+        .agg(F.sort_array(F.collect_list(F.struct("block_start", "raw"))).alias("parts"))
+        .withColumn("raw", F.array_join(F.col("parts.raw").cast("array<string>"), "\n"))
     )
-    stitched = single.unionByName(joined).select(
+    columns = ("source_file", "record", "raw", "open_tail")
+    whole = pieces.where("not edge").withColumn("raw", raw.cast("string"))
+    stitched = whole.select(*columns).unionByName(crossing.select(*columns)).select(
         "source_file",
         (F.col("record") - 1).alias("row_no"),
         F.when(raw.endswith("\r"), F.expr("left(raw, length(raw) - 1)")).otherwise(raw).alias("raw"),
         "open_tail",
     )
-    stored = settle(stitched, "records")
-    shaped = _shape(stored).withColumn("open_quote", F.col("open_tail")).drop("open_tail")
+    shaped = _shape(stitched).withColumn("open_quote", F.col("open_tail")).drop("open_tail")
 
     def records(facts: DataFrame, n_bytes: int) -> DataFrame:
         n_files, n_path_bytes = facts.agg(F.count("*"), F.sum(F.length("source_file"))).first()

@@ -2,13 +2,14 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterloom.operators.rowid import with_row_id
 from meterloom.sinks.files import spread_by_place
-from meterloom.sources import lines
+from meterloom.sources import lines, stitch
 from meterloom.sources.uploads import read_uploads
 
 SCHEMA = T.StructType([T.StructField("n", T.LongType()), T.StructField("t", T.StringType())])
@@ -82,6 +83,21 @@ def test_changed_split_layout_is_noticed(spark, five_files, small_splits):
         rows.collect()
 
 
+@pytest.mark.parametrize("n", [None, 5])
+def test_changed_split_layout_is_noticed_when_stitching(n):
+    """A split the first scan did not know, or with another number of records."""
+    facts = {"starts_open": False, "ends_open": False, "offset": 0, "n": n, "n_file": n, "file_open": False}
+    line = {"source_file": "f", "block_start": 0, "raw": b"x", "if_closed": False, "if_open": True, "blank": False}
+    schema = pa.schema(
+        [("source_file", pa.string()), ("block_start", pa.int64()), ("raw", pa.binary())]
+        + [(c, pa.bool_()) for c in ("if_closed", "if_open", "blank", "starts_open", "ends_open", "file_open")]
+        + [(c, pa.int64()) for c in ("offset", "n", "n_file")]
+    )
+    batch = pa.RecordBatch.from_pylist([line | facts] * 3, schema=schema)
+    with pytest.raises(RuntimeError, match="split differently"):
+        list(stitch.join_lines([batch]))
+
+
 def test_numbering_does_not_gather_rows(spark, five_files):
     plan = read_uploads(spark, five_files, SCHEMA).rows._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
