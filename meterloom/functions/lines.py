@@ -6,7 +6,7 @@ a quoted field `""` is one quote. Elsewhere a quote is an ordinary character.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CSV_OPTIONS = {"sep": ",", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
@@ -35,12 +35,32 @@ def field_count(outside: Column) -> Column:
     return (commas + 1).cast("int")
 
 
+def parse_fields(raw: Column, width: int) -> Column:
+    """The first `width` fields as a struct c0, c1, ... of strings."""
+    return F.from_csv(raw, ", ".join(f"c{i} string" for i in range(width)), CSV_OPTIONS)
+
+
 def split_fields(raw: Column, width: int) -> Column:
     """The first `width` fields as an array of strings, null where absent."""
-    names = [f"c{i}" for i in range(width)]
-    schema = ", ".join(f"{n} string" for n in names)
-    parsed = F.from_csv(raw, schema, CSV_OPTIONS)
-    return F.array(*[parsed.getField(n) for n in names])
+    parsed = parse_fields(raw, width)
+    return F.array(*[parsed.getField(f"c{i}") for i in range(width)])
+
+
+def with_fields(df: DataFrame, width: int) -> DataFrame:
+    """Add `fields`, as `split_fields`; lines without a quote need no CSV parser.
+
+    The parse is a column of its own, so that it runs once per line.
+    """
+    raw = F.col("raw")
+    parsed = parse_fields(F.when(raw.contains('"'), raw), width)
+    from_parser = F.array(*[F.col(f"_parsed.c{i}") for i in range(width)])
+    return (
+        df.withColumn("_parsed", parsed)
+        .withColumn(
+            "fields", F.when(F.col("_parsed").isNull(), F.split(raw, ",", -1)).otherwise(from_parser)
+        )
+        .drop("_parsed")
+    )
 
 
 def unique_names(fields: Column) -> Column:

@@ -49,20 +49,26 @@ def fit_stacked_pipeline(
 
     `bases` maps a name to (kind, features, params). The meta model is fitted on
     predictions by models that have not seen the row: k fits per base, each on
-    the other folds. The returned pipeline holds bases fitted on all rows.
+    the other folds. The returned pipeline holds bases fitted on all rows. Every
+    fit scans `df`, so hand in a written table rather than a long computation.
     """
     names = list(bases)
     complete = df.dropna(subset=[label, *{f for _, fs, _ in bases.values() for f in fs}])
-    # Fits read the data many times; the fold is fixed once per row.
     folded = complete.withColumn("_fold", fold)
-    held_out = None
-    for i in range(k):
-        part = folded.where(F.col("_fold") == i)
-        for name, (kind, features, params) in bases.items():
-            fitted = _base(name, kind, features, label, params).fit(folded.where(F.col("_fold") != i))
-            part = fitted.transform(part).drop(f"_{name}_features")
-        part = part.select(label, *names)
-        held_out = part if held_out is None else held_out.unionByName(part)
+    # All k models of a base predict every row and the row's fold picks one: one
+    # scan for the meta fit instead of one per fold.
+    judged = folded
+    for name, (kind, features, params) in bases.items():
+        chosen = F.lit(None).cast("double")
+        for i in range(k):
+            column = f"_{name}_{i}"
+            model = _base(column, kind, features, label, params).fit(
+                folded.where(F.col("_fold") != i)
+            )
+            judged = model.transform(judged).drop(f"_{column}_features")
+            chosen = F.when(F.col("_fold") == i, F.col(column)).otherwise(chosen)
+        judged = judged.withColumn(name, chosen).drop(*[f"_{name}_{i}" for i in range(k)])
+    held_out = judged.where(F.col("_fold").between(0, k - 1)).select(label, *names)
     top = Pipeline(
         stages=[
             VectorAssembler(inputCols=names, outputCol="_meta_features", handleInvalid="keep"),

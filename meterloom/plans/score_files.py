@@ -103,7 +103,7 @@ def write_run(scored: Scored, folder: str, batch: int | None = None) -> str:
         F.when(F.col("reason").isNull(), "scored").otherwise("quarantined").alias("outcome"),
     )
     part = "" if batch is None else f"/batch={batch}"
-    n_rows = scored.files.agg(F.sum("n_rows")).first()[0] or 0
+    n_rows = scored.files.where("status = 200").agg(F.sum("n_rows")).first()[0] or 0
     spread_by_place(rows, n_rows, "outcome", "place").write.mode("overwrite").partitionBy(
         "outcome"
     ).parquet(f"{folder}/rows{part}")

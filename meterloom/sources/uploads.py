@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterloom.functions.lines import split_fields, unique_names
+from meterloom.functions.lines import split_fields, unique_names, with_fields
 from meterloom.functions.values import drop_null_tokens, parse_as
 from meterloom.session import fence, settle
 from meterloom.sources.admission import list_files
@@ -168,11 +168,8 @@ def read_uploads(
         "status",
     ).where("status = 200").drop("status")
 
-    parsed = (
-        numbered.records(binding, n_bytes=8 * len(columns))
-        .where(F.col("row_no") >= 0)
-        .withColumn("fields", split_fields(F.col("raw"), numbered.widest + 1))
-    )
+    records = numbered.records(binding, n_bytes=8 * len(columns)).where(F.col("row_no") >= 0)
+    parsed = with_fields(records, numbered.widest + 1)
     # Values are parsed array by array, one per type: the generated code stays
     # small however many columns there are.
     by_type: dict[T.DataType, list[int]] = {}
@@ -194,7 +191,10 @@ def read_uploads(
     typed = (
         parsed.withColumn(
             "texts",
-            F.transform("where", lambda w: drop_null_tokens(F.get("fields", w))),
+            F.array(*[
+                drop_null_tokens(F.get("fields", F.get("where", F.lit(i))))
+                for i in range(len(columns))
+            ]),
         )
         .withColumns(arrays)
         .withColumn("place", F.col("first_place") + F.col("row_no"))
