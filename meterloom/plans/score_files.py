@@ -82,7 +82,7 @@ def run(spark: SparkSession, paths, model, base: str, *, format: str = "parquet"
     """
     folder = write_run(score_files(spark, paths, model, **options), run_path(base))
     if format == "csv":
-        scored = spark.read.parquet(f"{folder}/rows").where("outcome = 'scored'")
+        scored = _stored_rows(spark, folder, "scored")
         n_places = scored.agg(F.max("place")).first()[0] or 0
         spread = spread_by_place(scored, n_places + 1)
         write_csv(spread.select("source_file", "row_id", "prediction"), f"{folder}/csv")
@@ -121,9 +121,13 @@ ROWS_SCHEMA = (
 )
 
 
+def _stored_rows(spark: SparkSession, folder: str, outcome: str) -> DataFrame:
+    rows = spark.read.schema(ROWS_SCHEMA).parquet(f"{folder}/rows")
+    return rows.where(F.col("outcome") == outcome)
+
+
 def read_run(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """The "scored" or "quarantined" rows or the "status" of a run or a stream."""
     if table == "status":
         return spark.read.parquet(f"{folder}/status")
-    rows = spark.read.schema(ROWS_SCHEMA).parquet(f"{folder}/rows")
-    return rows.where(F.col("outcome") == table).select(*RUN_COLUMNS[table])
+    return _stored_rows(spark, folder, table).select(*RUN_COLUMNS[table])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,6 +21,11 @@ def arriving_files(spark: SparkSession, folder: str, max_files: int, glob: str =
     )
 
 
+def literal_path(path: str) -> str:
+    """`path` as a pattern that matches only itself."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def score_stream(
     spark: SparkSession,
     folder: str,
@@ -41,7 +48,8 @@ def score_stream(
     """
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
-        paths = [row["path"] for row in batch.select("path").collect()]  # at most max_files
+        # At most max_files names.
+        paths = [literal_path(row["path"]) for row in batch.select("path").collect()]
         if paths:
             scored = score_files(batch.sparkSession, paths, model, glob=glob, **options)
             write_run(scored, out.rstrip("/"), batch_id)

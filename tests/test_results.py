@@ -168,6 +168,30 @@ def test_stream_equals_batch_and_takes_each_file_once(spark, tmp_path):
     assert read_run(spark, out, "status").count() == 7
 
 
+def test_unusual_file_names(spark, tmp_path):
+    os.mkdir(tmp_path / "in")
+    names = ["my file.csv", "data (1).csv", "data [2].csv", "a{b}.csv", "100%.csv", "x+y&z.csv", "é.csv"]
+    for i, name in enumerate(names):
+        (tmp_path / "in" / name).write_text(f"a,b\n{i},0\n")
+    batch = score_files(spark, str(tmp_path / "in"), MODEL)
+    assert batch.files.where("status = 200").count() == len(names)
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    score_stream(spark, str(tmp_path / "in"), MODEL, out, state).awaitTermination()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(read_run(spark, out, "scored")) == rows(batch.predictions)
+    assert batch.predictions.count() == len(names)
+
+
+def test_no_files(spark, tmp_path):
+    os.mkdir(tmp_path / "in")
+    (tmp_path / "in" / "note.txt").write_text("a,b\n1,2\n")
+    for multiline in (False, True):
+        scored = score_files(spark, str(tmp_path / "in"), MODEL, multiline=multiline)
+        assert scored.predictions.isEmpty() and scored.quarantine.isEmpty() and scored.files.isEmpty()
+    made = run(spark, str(tmp_path / "in"), MODEL, str(tmp_path / "runs"), format="csv")
+    assert read_run(spark, made, "scored").isEmpty()
+
+
 def test_shared_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     assert shared_dir(spark) == named
