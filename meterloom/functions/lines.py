@@ -31,7 +31,7 @@ def has_open_quote(outside: Column) -> Column:
 
 def field_count(outside: Column) -> Column:
     """Number of fields (takes `outside_quotes`)."""
-    commas = F.length(outside) - F.length(F.replace(outside, F.lit(","), F.lit("")))
+    commas = F.octet_length(outside) - F.octet_length(F.replace(outside, F.lit(","), F.lit("")))
     return (commas + 1).cast("int")
 
 

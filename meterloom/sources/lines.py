@@ -5,7 +5,8 @@ Both readers return the same two things:
 * records(facts, n_bytes): one row per record with source_file, row_no, raw,
   width, open_quote and the columns of `facts`, a table with a row per wanted
   file that takes up to `n_bytes` besides the path. `row_no` is dense in file
-  order, the header being -1;
+  order, the header being -1. Facts tell in `malformed` whether a file has long
+  rows or open quotes at all; only then are `width` and `open_quote` worked out;
 * groups(source_file, width, open_quote, valid, first, n, first_raw): records per
   shape, with the first record of each shape and its `row_no`. A few rows a file;
 
@@ -64,8 +65,8 @@ def _ends_open(raw: Column) -> Column:
     return has_open_quote(outside_quotes(raw))
 
 
-def _shape(records: DataFrame) -> DataFrame:
-    outside = records.withColumn("outside", outside_quotes(F.col("raw")))
+def _shape(records: DataFrame, raw: Column) -> DataFrame:
+    outside = records.withColumn("outside", outside_quotes(raw))
     return outside.withColumns(
         {
             "width": field_count(F.col("outside")),
@@ -102,13 +103,16 @@ def read_lines(spark: SparkSession, paths, glob: str = "*.csv") -> NumberedRecor
     within the split into a position within the file by one small join.
     """
     pin_split_layout(spark)
-    lines = _shape(
+    raw = F.col("raw")
+    lines = (
         read_text(spark, paths, glob)
-        .where(~is_blank(F.col("raw")))
+        .where(~is_blank(raw))
         .withColumn("position", F.monotonically_increasing_id())
     )
     # The counts are small; one exchange by file serves all steps on them.
-    split_groups = settle(_group(lines, SPLIT, "position"), "splits").repartition("source_file")
+    split_groups = settle(_group(_shape(lines, raw), SPLIT, "position"), "splits").repartition(
+        "source_file"
+    )
     splits = offsets(
         split_groups.groupBy(*SPLIT).agg(
             F.min("first").alias("first_position"), F.sum("n").alias("n")
@@ -143,12 +147,12 @@ def read_lines(spark: SparkSession, paths, glob: str = "*.csv") -> NumberedRecor
         known = [c for c in facts.columns if c != "source_file"]
         # One lookup per line: file facts ride along with the split offsets.
         places = splits.join(facts.withColumn("_known", F.lit(True)), "source_file", "left")
-        return (
+        placed = (
             lines.join(small_side(places, size), SPLIT, "left")
             .where(F.col("_known") | F.col("n").isNull())  # an unknown split must raise
-            .withColumn("row_no", row_no)
-            .select("source_file", "row_no", "raw", "width", "open_quote", *known)
+            .select("source_file", row_no.alias("row_no"), "raw", *known)
         )
+        return _shape(placed, F.when(F.col("malformed"), raw))
 
     return NumberedRecords(groups, widest or 1, records)
 
@@ -222,12 +226,14 @@ def read_stitched(spark: SparkSession, paths, glob: str = "*.csv") -> NumberedRe
         F.when(raw.endswith("\r"), F.expr("left(raw, length(raw) - 1)")).otherwise(raw).alias("raw"),
         "open_tail",
     )
-    shaped = _shape(stitched).withColumn("open_quote", F.col("open_tail")).drop("open_tail")
+    shaped = _shape(stitched, raw).withColumn("open_quote", F.col("open_tail")).drop("open_tail")
 
     def records(facts: DataFrame, n_bytes: int) -> DataFrame:
         n_files, n_path_bytes = facts.agg(F.count("*"), F.sum(F.length("source_file"))).first()
         size = n_files * (ROW_BYTES + n_bytes) + (n_path_bytes or 0)
-        return shaped.join(small_side(facts, size), "source_file")
+        placed = stitched.join(small_side(facts, size), "source_file")
+        shaped = _shape(placed, F.when(F.col("malformed"), raw))
+        return shaped.withColumn("open_quote", F.col("open_tail")).drop("open_tail")
 
     groups = settle(_group(shaped, ["source_file"], "row_no"), "groups")
     widest = groups.where(F.col("first") == -1).agg(F.max("width")).first()[0]

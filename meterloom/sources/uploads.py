@@ -165,6 +165,7 @@ def read_uploads(
         (F.col("n_columns") + F.col("leading_index").cast("int")).alias("allowed"),
         "leading_index",
         "first_place",
+        (F.col("bad_rows") > 0).alias("malformed"),
         "status",
     ).where("status = 200").drop("status")
 
