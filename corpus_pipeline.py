@@ -1,4 +1,4 @@
-"""A corpus pipeline of the operators: `run(spark, sf_dir)` applies STAGES to `documents`.
+"""A corpus pipeline of five operators: `run(spark, sf_dir)` applies STAGES to `documents`.
 
 Every stage reads what its predecessor kept, written as Parquet under the folder
 of `spark.checkpoint.dir`, so a lost executor costs a stage's tasks at most.
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterloom.llm import exact, langid, packing, secret_scan
+from meterloom.llm import exact, hyperminhash, langid, packing, secret_scan
 from meterloom.session import settle
 
 ORACLE_SQL = None
@@ -28,6 +28,11 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts linked by a similarity of 0.8 on five-word shingles, the row with the smallest id."""
+    return hyperminhash.drop_near_copies(docs, words=5)
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark; n_chars follows the text."""
     clean = secret_scan.redact(docs)
@@ -42,6 +47,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("language ID", identify_language),
     ("exact dedup", drop_exact_copies),
+    ("MinHash near-dedup", drop_near_copies),
     ("secret scans", redact_secrets),
     ("packing", pack_sequences),
 ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterloom.llm import exact, fingerprint, langid, packing, pieces, secret_scan, shard
+from meterloom.llm import exact, fingerprint, hyperminhash, langid, packing, pieces, secret_scan, shard
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,10 @@ def op4_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.classes(_documents(spark, sf_dir), words=4).drop("crc")
+
+
 def op8_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.cut(_documents(spark, sf_dir)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.number_sequences(cut).select(
@@ -105,6 +109,7 @@ QUERIES = {
         op2_histogram_shards,
         op3_multiset_hash,
         op4_streaming_viterbi,
+        op5_hyperminhash,
         op8_binary_packing,
         op9_exact_dedup,
         op10_language_id,
