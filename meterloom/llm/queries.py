@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterloom.llm import exact, fingerprint, hyperminhash, langid, packing, pieces, secret_scan, shard
+from meterloom.llm import automaton, exact, fingerprint, hyperminhash, langid, packing, pieces, secret_scan, shard, suffixes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,16 @@ def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.classes(_documents(spark, sf_dir), words=4).drop("crc")
 
 
+def op6_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = automaton.remove_repeats(_documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "n_spans")
+
+
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.remove_repeats(_documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.cut(_documents(spark, sf_dir)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.number_sequences(cut).select(
@@ -110,6 +120,8 @@ QUERIES = {
         op3_multiset_hash,
         op4_streaming_viterbi,
         op5_hyperminhash,
+        op6_suffix_automaton,
+        op7_suffix_array,
         op8_binary_packing,
         op9_exact_dedup,
         op10_language_id,
