@@ -14,10 +14,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(_documents(spark, sf_dir).select("doc_id", "text"))
-    counts = [
-        F.size(F.filter("spans", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-        for kind in secret_scan.BASE
-    ]
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in secret_scan.BASE]
     base = F.filter("spans", lambda s: s["base"])
     return found.select(
         "doc_id",

@@ -40,7 +40,7 @@ KINDS = (
     (
         "account",
         "identifier",
-        r"(?i:\b(?:user(?:_?name)?|login|client_?id|account)\b)[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?[A-Za-z0-9@._-]{3,64}",
+        r"(?<![A-Za-z0-9_])(?i:user(?:_?name)?|login|client_?id|account)[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?[A-Za-z0-9@._-]{3,64}",
         None,
     ),
     (
@@ -53,7 +53,7 @@ KINDS = (
     (
         "endpoint",
         "endpoint",
-        r"(?i:\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://)[A-Za-z0-9.:@_-]{3,128}",
+        r"(?<![A-Za-z0-9_])(?i:https?|ftp|ssh|jdbc:[a-z]{1,16}|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9.:@_-]{3,128}",
         None,
     ),
 )

@@ -152,10 +152,10 @@ def shard_by_bytes(
     table breaks ties, so a group of any size can be cut. A splitter may be off
     by `tolerance` of a shard's size. Every shard is exchanged in several
     ranges, at least `pieces` in all (default: the shuffle partitions), so no
-    task holds a whole shard.
+    task holds a whole shard. Input columns named size, shard or slot give way.
     """
     spark = rows.sparkSession
-    named = list(rows.columns)
+    named = [c for c in rows.columns if c not in ("size", "shard", "slot")]
     keys = KEYS[-len(order_by) - 1 :]
     keyed = rows.select(
         *named,
