@@ -1,12 +1,14 @@
 """Least squares and stacked models, fitted from sums.
 
-One aggregation over the data yields every sum a fit needs; the equations left
-to solve are as small as the feature list. Values are taken to four decimals and
-sums are exact, so they are equal for every order and partitioning of the rows.
+Two passes over the data yield every sum a fit needs (see `functions.sums`); the
+equations left to solve are as small as the feature list. Sums are exact, so
+they are equal for every order and partitioning of the rows. Rows with a null,
+NaN or infinite value in a used column take no part.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from fractions import Fraction
 from itertools import combinations_with_replacement
@@ -15,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.functions.models import Linear, Stack
-from meterloom.functions.sums import SCALE, exact_product, exact_sum, whole
+from meterloom.functions.sums import product_sums, usable
+
 
 @dataclass
 class Sums:
@@ -37,71 +40,47 @@ def _pairs(features: list[str], label: str) -> list[tuple[str, str]]:
     return list(combinations_with_replacement(["", *features, label], 2))
 
 
-def _sum_columns(features: list[str], label: str, wide: bool) -> list[Column]:
-    """A sum per pair, in units of 1/10000 (one value) or its square (two values).
-
-    `wide` multiplies decimals, which is slower but takes any value.
-    """
-    names = ["", *features, label]
-    unit = {f: whole(F.col(f)) if f else F.lit(1).cast("long") for f in names}
-    if wide:
-        unit = {f: u.cast("decimal(19,0)") for f, u in unit.items()}
-        add = lambda a, b: F.sum(unit[a] * unit[b]).cast("decimal(38,0)")
-    else:
-        add = lambda a, b: exact_sum(exact_product(unit[a], unit[b]))
-    return [add(a, b).alias(f"s{i}") for i, (a, b) in enumerate(_pairs(features, label))]
-
-
-def _to_sums(row, features: list[str], label: str) -> Sums:
-    products = {}
-    for i, (a, b) in enumerate(_pairs(features, label)):
-        units = SCALE ** ((a != "") + (b != ""))
-        products[(a, b)] = Fraction(row[f"s{i}"] or 0) / units
-    return Sums(products)
-
-
-def _collect(grouped, features: list[str], label: str) -> list:
-    """One row of sums per group, from the fast form unless a value is too large."""
-    rows = grouped(_sum_columns(features, label, wide=False))
-    counts = [f"s{i}" for i in range(len(_pairs(features, label)))]
-    if any(row[c] is None for row in rows if row["s0"] for c in counts):
-        rows = grouped(_sum_columns(features, label, wide=True))
-    return rows
-
-
 def collect_sums(df: DataFrame, features: list[str], label: str) -> Sums:
-    complete = df.dropna(subset=[*features, label])
-    rows = _collect(lambda columns: complete.agg(*columns).collect(), features, label)
-    return _to_sums(rows[0], features, label)
+    """Sums over the rows whose features and label are all there and finite."""
+    empty = {pair: Fraction(0) for pair in _pairs(features, label)}
+    return Sums(product_sums(df, [*features, label]).get(0, empty))
 
 
 def collect_fold_sums(df, features: list[str], label: str, fold: Column, k: int) -> list[Sums]:
-    """Sums per fold 0..k-1: k rows reach the driver."""
-    complete = df.dropna(subset=[*features, label]).withColumn("_fold", fold)
-    in_folds = complete.where(F.col("_fold").between(0, k - 1)).groupBy("_fold")
-    rows = _collect(lambda columns: in_folds.agg(*columns).collect(), features, label)
-    by_fold = {row["_fold"]: _to_sums(row, features, label) for row in rows}
-    empty = Sums({pair: Fraction(0) for pair in _pairs(features, label)})
-    return [by_fold.get(i, empty) for i in range(k)]
+    """Sums per fold 0..k-1; rows of other folds take no part."""
+    in_folds = df.withColumn("_fold", fold).where(F.col("_fold").between(0, k - 1))
+    found = product_sums(in_folds, [*features, label], F.col("_fold"))
+    empty = {pair: Fraction(0) for pair in _pairs(features, label)}
+    return [Sums(found.get(i, empty)) for i in range(k)]
+
+
+#: A feature with less than this share of its variance left after the others is taken to follow from them.
+DEPENDENT = Fraction(1, 2**90)
 
 
 def solve(sums: Sums, features: list[str], label: str) -> Linear:
-    """Weights that minimise the squared error, by exact elimination."""
+    """Weights that minimise the squared error, by exact elimination in whole numbers."""
     names = ["", *features]
-    rows = [[sums.of(a, b) for b in names] + [sums.of(a, label)] for a in names]
-    size = len(names)
+    exact = [[sums.of(a, b) for b in names] + [sums.of(a, label)] for a in names]
+    shared = math.lcm(*[v.denominator for row in exact for v in row])
+    rows = [[int(v * shared) for v in row] for row in exact]
+    size, before, own = len(names), 1, [row[i] for i, row in enumerate(rows)]
     for i in range(size):
-        pivot = next((r for r in range(i, size) if rows[r][i] != 0), None)
-        if pivot is None:
-            raise ValueError(f"feature {names[i]!r} is constant or follows from the others")
-        rows[i], rows[pivot] = rows[pivot], rows[i]
-        rows[i] = [v / rows[i][i] for v in rows[i]]
-        for r in range(size):
-            if r != i and rows[r][i] != 0:
-                factor = rows[r][i]
-                rows[r] = [v - factor * w for v, w in zip(rows[r], rows[i])]
-    values = [float(row[-1]) for row in rows]
-    return Linear(dict(zip(features, values[1:])), values[0])
+        # What is left on the diagonal is rows[i][i] / before: a sum of squares, never negative.
+        if rows[i][i] <= own[i] * before * DEPENDENT:
+            what = f"feature {names[i]!r} is constant or follows from the others" if i else "no rows to fit"
+            raise ValueError(what)
+        for r in range(i + 1, size):
+            for c in range(size, i, -1):
+                rows[r][c] = (rows[r][c] * rows[i][i] - rows[r][i] * rows[i][c]) // before
+        before = rows[i][i]
+        if i == 0:
+            own = [Fraction(row[j], before) for j, row in enumerate(rows)]
+    values = [Fraction(0)] * size
+    for i in reversed(range(size)):
+        rest = rows[i][-1] - sum(rows[i][c] * values[c] for c in range(i + 1, size))
+        values[i] = Fraction(rest) / rows[i][i]
+    return Linear(dict(zip(features, map(float, values[1:]))), float(values[0]))
 
 
 def fit_linear(df: DataFrame, features: list[str], label: str) -> Linear:
@@ -133,10 +112,10 @@ def fit_stack(
     k: int,
     decimals: int | None = None,
 ) -> StackFit:
-    """Linear base models under a linear meta model, in two passes over `df`.
+    """Linear base models under a linear meta model.
 
-    Pass 1 takes the sums per fold, which give all k models of every base. Pass 2
-    fits the meta model on out-of-fold base predictions, computed in the row.
+    First come the sums per fold, which give all k models of every base. Then the
+    meta model is fitted on out-of-fold base predictions, computed in the row.
     """
     features = list(dict.fromkeys(f for fs in bases.values() for f in fs))
     per_fold = collect_fold_sums(df, features, label, fold, k)
@@ -149,7 +128,7 @@ def fit_stack(
     full = {name: solve(total, fs, label) for name, fs in bases.items()}
     names = list(bases)
     fit = StackFit(Stack(full, Linear({}), decimals), folds, fold)
-    judged = df.dropna(subset=[*features, label]).select(
+    judged = df.where(usable([*features, label])).select(
         label, *[fit.out_of_fold(n).alias(n) for n in names]
     )
     fit.model = Stack(full, fit_linear(judged, names, label), decimals)
@@ -157,20 +136,20 @@ def fit_stack(
 
 
 def holdout_error(df: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
-    """One row: n, rmse, mae, r2; values are taken to four decimals."""
-    y = F.col(label).cast("decimal(18,4)")
-    error = y - F.col(prediction).cast("decimal(18,4)")
-    sums = df.dropna(subset=[label, prediction]).agg(
-        F.count("*").alias("n"),
-        F.sum(error * error).cast("double").alias("sse"),
-        F.sum(F.abs(error)).cast("double").alias("sae"),
-        F.sum(y).cast("double").alias("sy"),
-        F.sum(y * y).cast("double").alias("syy"),
+    """One row: n, rmse, mae, r2, over rows whose label and prediction are finite."""
+    y = F.col(label).cast("double")
+    error = y - F.col(prediction).cast("double")
+    judged = df.where(usable([label, prediction])).select(
+        y.alias("y"), error.alias("error"), F.abs(error).alias("size")
     )
-    spread = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), "n")
-    return sums.select(
-        "n",
-        F.sqrt(F.try_divide("sse", "n")).alias("rmse"),
-        F.try_divide("sae", "n").alias("mae"),
-        (F.lit(1.0) - F.try_divide(F.col("sse"), spread)).alias("r2"),
+    sums = product_sums(judged, ["y", "error", "size"]).get(0)
+    n, rmse, mae, r2 = 0, None, None, None
+    if sums:
+        n = int(sums[("", "")])
+        squares = sums[("error", "error")]
+        rmse, mae = math.sqrt(squares / n), float(sums[("", "size")] / n)
+        spread = sums[("y", "y")] - sums[("", "y")] ** 2 / n
+        r2 = float(1 - squares / spread) if spread else None
+    return df.sparkSession.createDataFrame(
+        [(n, rmse, mae, r2)], "n bigint, rmse double, mae double, r2 double"
     )

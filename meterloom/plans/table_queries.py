@@ -483,6 +483,18 @@ def fit_linear_two(spark, sf_dir):
     return _weights(spark, fit_linear(lineitem, ["l_quantity", "l_discount"], "l_extendedprice"))
 
 
+def fit_linear_many(spark, sf_dir):
+    """Seventeen features; the label is a known combination of them, so its weights are known."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    key = F.col("l_orderkey") * 31 + F.col("l_linenumber") * 1009 + F.floor(F.col("l_extendedprice") * 100)
+    features = {f"f{i}": F.pmod(key * (2 * i + 1), F.lit(97 + 6 * i)) / (i + 1) for i in range(17)}
+    label = F.lit(3.0)
+    for i, name in enumerate(features):
+        label = label + F.lit(0.5 * (i + 1)) * F.col(name)
+    frame = lineitem.select(*[c.cast("double").alias(n) for n, c in features.items()]).withColumn("label", label)
+    return _weights(spark, fit_linear(frame, list(features), "label"))
+
+
 def _fitted_stack(spark, sf_dir):
     lineitem = table(spark, sf_dir, "lineitem")
     fold = F.pmod("l_orderkey", F.lit(5))
@@ -610,7 +622,7 @@ QUERIES = {
         upload_status, row_id_keyed, row_id_file_order, row_id_per_upload, score_linear, score_tree,
         score_forest, score_stack, score_null_features, score_drop_null, score_mean_imputed,
         score_output, score_uploads, python_model, model_spec_roundtrip, model_roundtrip,
-        model_compiled, fit_linear_one, fit_linear_two, fit_stack_oof, score_out_of_fold,
+        model_compiled, fit_linear_one, fit_linear_two, fit_linear_many, fit_stack_oof, score_out_of_fold,
         eval_metrics, csv_sink_roundtrip, csv_sink_plain_numbers, page_slice, page_unnumbered, pages,
         page_bounds, page_summaries, result_display, feature_profile, stream_score,
     )

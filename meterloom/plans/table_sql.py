@@ -219,6 +219,8 @@ ORACLE = {
     "model_compiled": "select count(*) as n, 0::bigint as n_different from lineitem",
     "fit_linear_one": ONE_FEATURE,
     "fit_linear_two": TWO_FEATURES,
+    "fit_linear_many": """select 'intercept' as term, 3.0::double as weight
+        union all select 'f' || i, 0.5::double * (i + 1) from range(17) as t(i)""",
     "fit_stack_oof": STACK_META,
     "score_out_of_fold": OUT_OF_FOLD
     + "select l_orderkey, l_linenumber, by_quantity, by_discount from p",

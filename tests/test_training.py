@@ -68,10 +68,7 @@ def test_stack(table, rows):
         got = [r[0] for r in table.orderBy("id").select(fit.out_of_fold(name)).collect()]
         assert got == pytest.approx(list(held_out[name]))
     meta = least_squares(np.column_stack(list(held_out.values())), y)
-    # The meta fit takes base predictions to four decimals.
-    assert [fit.model.meta.intercept, *fit.model.meta.weights.values()] == pytest.approx(
-        list(meta), rel=1e-4, abs=1e-4
-    )
+    assert [fit.model.meta.intercept, *fit.model.meta.weights.values()] == pytest.approx(list(meta))
     full = {n: least_squares(x[:, idx], y) for n, idx in bases.items()}
     for name, idx in bases.items():
         base = fit.model.bases[name]
@@ -85,9 +82,9 @@ def test_holdout_error(table, rows):
     p = np.array([r.prediction for r in scored.orderBy("id").collect()])
     error = holdout_error(scored, "y").first()
     assert error.n == len(y)
-    assert error.rmse == pytest.approx(np.sqrt(np.mean((y - p) ** 2)), rel=1e-4)
-    assert error.mae == pytest.approx(np.mean(np.abs(y - p)), rel=1e-4)
-    assert error.r2 == pytest.approx(1 - np.sum((y - p) ** 2) / np.sum((y - y.mean()) ** 2), rel=1e-4)
+    assert error.rmse == pytest.approx(np.sqrt(np.mean((y - p) ** 2)), rel=1e-9)
+    assert error.mae == pytest.approx(np.mean(np.abs(y - p)), rel=1e-9)
+    assert error.r2 == pytest.approx(1 - np.sum((y - p) ** 2) / np.sum((y - y.mean()) ** 2), rel=1e-9)
     none = holdout_error(scored.where("id < 0"), "y").first()
     assert (none.n, none.rmse, none.r2) == (0, None, None)
 
@@ -129,18 +126,60 @@ def test_stacked_pipeline(table, tmp_path):
     assert rmse(scored) < rmse(single)
 
 
-@pytest.mark.parametrize("factor", [1, 10**7])
-def test_sums_are_exact(spark, factor):
-    """Also for negative values, and for values too large for the fast sums."""
+@pytest.mark.parametrize("factor", [1e-6, 1, 1e7, 1e15])
+def test_sums_do_not_depend_on_partitions(spark, factor):
     draw = np.random.default_rng(11)
-    cents = [[int(c) for c in row] for row in draw.integers(-(10**9), 10**9, (300, 2))]
-    frame = spark.createDataFrame([(a * factor / 100, b / 100) for a, b in cents], "a double, y double")
+    values = draw.integers(-(10**9), 10**9, (300, 2)) / 100 * [factor, 1]
+    frame = spark.createDataFrame(values.tolist(), "a double, y double")
     sums = collect_sums(frame.repartition(5), ["a"], "y")
-    a, y = [Fraction(a * factor, 100) for a, _ in cents], [Fraction(b, 100) for _, b in cents]
+    assert sums == collect_sums(frame.orderBy("y").coalesce(1), ["a"], "y")
+    a, y = ([Fraction(v) for v in values[:, i].tolist()] for i in (0, 1))
     assert sums.of("", "") == 300
-    assert sums.of("", "a") == sum(a) and sums.of("a", "a") == sum(v * v for v in a)
-    assert sums.of("a", "y") == sum(v * w for v, w in zip(a, y))
-    assert sums.of("y", "y") == sum(w * w for w in y)
+    assert float(sums.of("a", "a")) == pytest.approx(float(sum(v * v for v in a)), rel=1e-13)
+    wide = float(sum(abs(v * w) for v, w in zip(a, y)))
+    assert float(sums.of("a", "y")) == pytest.approx(float(sum(v * w for v, w in zip(a, y))), abs=1e-13 * wide)
+
+
+@pytest.mark.parametrize("slope, step", [(1e5, 3e-5), (2e6, 1e-6), (1e-15, 1e15), (3.0, 1.0)])
+def test_fit_keeps_small_and_large_values(spark, slope, step):
+    x = np.arange(500) * step
+    y = slope * x + 7
+    frame = spark.createDataFrame(np.column_stack([x, y]).tolist(), "x double, y double")
+    model = fit_linear(frame, ["x"], "y")
+    assert model.weights["x"] == pytest.approx(slope, rel=1e-9)
+    assert model.intercept == pytest.approx(7, rel=1e-9)
+
+
+def test_many_features_match_numpy(spark):
+    draw = np.random.default_rng(2)
+    x = draw.normal(0, 1, (800, 17)) * 10.0 ** draw.integers(-6, 7, 17)
+    y = x @ draw.normal(0, 1, 17) + draw.normal(0, 1, 800)
+    names = [f"f{i}" for i in range(17)]
+    frame = spark.createDataFrame(np.column_stack([x, y]).tolist(), ", ".join(f"{n} double" for n in [*names, "y"]))
+    model = fit_linear(frame, names, "y")
+    scale = np.abs(x).max(axis=0)
+    wanted = np.linalg.lstsq(np.column_stack([np.ones(800), x / scale]), y, rcond=None)[0]
+    assert [model.intercept, *model.weights.values()] == pytest.approx(
+        [wanted[0], *(wanted[1:] / scale)], rel=1e-8, abs=1e-8
+    )
+
+
+def test_values_that_are_not_finite_take_no_part(spark, table):
+    wanted = fit_linear(table, FEATURES, "y")
+    odd = [float("inf"), float("-inf"), float("nan"), None]
+    extra = spark.createDataFrame([(i, v, 1.0, 1.0, 1.0) for i, v in enumerate(odd)], table.schema)
+    assert fit_linear(table.unionByName(extra), FEATURES, "y") == wanted
+    large = spark.createDataFrame([(float(i) * 1e18, float(i)) for i in range(9)], "x double, y double")
+    assert fit_linear(large, ["x"], "y").weights["x"] == pytest.approx(1e-18, rel=1e-9)
+    scored = extra.withColumn("prediction", F.col("a"))
+    assert holdout_error(scored, "y").first().n == 0
+
+
+def test_small_errors_are_reported(spark):
+    rows = [(float(i), i + 1.73e-4 * (-1) ** i) for i in range(100)]
+    frame = spark.createDataFrame(rows, "y double, prediction double")
+    error = holdout_error(frame, "y").first()
+    assert error.rmse == pytest.approx(1.73e-4, rel=1e-9) and error.mae == pytest.approx(1.73e-4, rel=1e-9)
 
 
 def test_no_rows(spark, table):
