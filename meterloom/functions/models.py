@@ -2,6 +2,8 @@
 
 A compiled model is ordinary column arithmetic: it runs inside whole-stage code
 generation, lets the scan read only the model's features, and needs no Python.
+Trees too large for generated code are walked in Arrow batches instead (see
+`functions.forests`); `column()` chooses, and the result is the same.
 """
 
 from __future__ import annotations
@@ -13,8 +15,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Larger tree models would exceed the size of a generated Java method; they are
-# scored with `operators.pipeline` instead.
+from meterloom.functions.forests import walk_trees
+
+# Larger tree models would exceed the size of a generated Java method.
 MAX_COMPILED_NODES = 2_000
 
 
@@ -45,12 +48,18 @@ class Leaf:
 
 @dataclass(frozen=True)
 class Split:
-    """`left` where feature <= threshold, else `right`."""
+    """`left` where feature <= threshold (feature < threshold if `strict`), else `right`.
+
+    `missing` names the side a missing feature takes; without it the prediction
+    is null.
+    """
 
     feature: str
     threshold: float
     left: Split | Leaf
     right: Split | Leaf
+    strict: bool = False
+    missing: str | None = None
 
 
 @dataclass(frozen=True)
@@ -62,17 +71,20 @@ class Tree:
         return sorted(_split_features(self.root))
 
     def column(self, inputs=None) -> Column:
-        if node_count(self) > MAX_COMPILED_NODES:
-            raise ValueError(f"tree has more than {MAX_COMPILED_NODES} nodes; score it as a pipeline")
         value = inputs or F.col
+        if node_count(self) > MAX_COMPILED_NODES:
+            return walk_trees([self], [1.0], 0.0, self.features, value)
 
         def walk(node) -> Column:
             if isinstance(node, Leaf):
                 return F.lit(float(node.value))
-            goes_left = value(node.feature) <= F.lit(float(node.threshold))
+            feature, threshold = value(node.feature), F.lit(float(node.threshold))
+            goes_left = feature < threshold if node.strict else feature <= threshold
+            if node.missing is not None:
+                goes_left = F.coalesce(goes_left, F.lit(node.missing == "left"))
             return F.when(goes_left, walk(node.left)).otherwise(walk(node.right))
 
-        present = [value(f).isNotNull() for f in self.features]
+        present = [value(f).isNotNull() for f in sorted(needed_features(self.root))]
         return F.when(reduce(Column.__and__, present, F.lit(True)), walk(self.root))
 
     def spec(self) -> dict:
@@ -92,12 +104,17 @@ class Ensemble:
         return list(dict.fromkeys(f for m in self.members for f in m.features))
 
     def column(self, inputs=None) -> Column:
-        if node_count(self) > MAX_COMPILED_NODES:
-            raise ValueError(
-                f"ensemble has more than {MAX_COMPILED_NODES} nodes; score it as a pipeline"
-            )
-        terms = [F.lit(float(w)) * m.column(inputs) for m, w in zip(self.members, self.weights)]
-        return reduce(Column.__add__, terms, F.lit(float(self.intercept)))
+        members = list(zip(self.members, self.weights))
+        if node_count(self) <= MAX_COMPILED_NODES:
+            terms = [F.lit(float(w)) * m.column(inputs) for m, w in members]
+            return reduce(Column.__add__, terms, F.lit(float(self.intercept)))
+        trees = [(m, w) for m, w in members if isinstance(m, Tree)]
+        features = list(dict.fromkeys(f for m, _ in trees for f in m.features))
+        walked = walk_trees(
+            [m for m, _ in trees], [w for _, w in trees], self.intercept, features, inputs or F.col
+        )
+        others = [F.lit(float(w)) * m.column(inputs) for m, w in members if not isinstance(m, Tree)]
+        return reduce(Column.__add__, others, walked)
 
     def spec(self) -> dict:
         return {
@@ -112,7 +129,9 @@ class Ensemble:
 class Stack:
     """Base models feed a meta model, which knows them by their names here.
 
-    With `decimals`, base predictions are rounded before the meta model.
+    With `decimals`, base predictions are rounded before the meta model. As one
+    column, a base is repeated wherever the meta model names it; `scoring.score`
+    gives bases columns of their own instead.
     """
 
     bases: dict[str, object]
@@ -144,6 +163,14 @@ class Stack:
         }
 
 
+def needed_features(node) -> set[str]:
+    """Features without which a tree has no prediction."""
+    if isinstance(node, Leaf):
+        return set()
+    own = {node.feature} if node.missing is None else set()
+    return own | needed_features(node.left) | needed_features(node.right)
+
+
 def _split_features(node) -> set[str]:
     if isinstance(node, Leaf):
         return set()
@@ -153,18 +180,25 @@ def _split_features(node) -> set[str]:
 def _node_spec(node) -> dict:
     if isinstance(node, Leaf):
         return {"value": node.value}
-    return {
+    spec = {
         "feature": node.feature,
         "threshold": node.threshold,
         "left": _node_spec(node.left),
         "right": _node_spec(node.right),
     }
+    if node.strict:
+        spec["strict"] = True
+    if node.missing is not None:
+        spec["missing"] = node.missing
+    return spec
 
 
 def _node(spec: dict):
     if "value" in spec:
         return Leaf(spec["value"])
-    return Split(spec["feature"], spec["threshold"], _node(spec["left"]), _node(spec["right"]))
+    left, right = _node(spec["left"]), _node(spec["right"])
+    strict, missing = spec.get("strict", False), spec.get("missing")
+    return Split(spec["feature"], spec["threshold"], left, right, strict, missing)
 
 
 def node_count(model) -> int:

@@ -14,7 +14,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.functions.models import MAX_COMPILED_NODES, Ensemble, Leaf, Linear, Split, Tree
+from meterloom.functions.models import Ensemble, Leaf, Linear, Split, Stack, Tree
 from meterloom.session import scratch_path
 
 REGRESSORS = {
@@ -91,20 +91,45 @@ def _base(name, kind, features, label, params) -> Pipeline:
     )
 
 
-def score_pipeline(df: DataFrame, model: PipelineModel, features: list[str]) -> DataFrame:
-    """Add `prediction`; null where a feature is missing, so no row is lost."""
+def pipeline_features(model: PipelineModel) -> list[str]:
+    """The columns a fitted pipeline takes from outside."""
+    made, taken = set(), []
+    for stage in _stages(model):
+        if isinstance(stage, VectorAssembler):
+            taken += [c for c in stage.getInputCols() if c not in made]
+            made.add(stage.getOutputCol())
+        else:
+            made.add(stage.getPredictionCol())
+    return list(dict.fromkeys(taken))
+
+
+def score_pipeline(df: DataFrame, model: PipelineModel, features: list[str] | None = None) -> DataFrame:
+    """Add `prediction`; null where a feature is missing, so no row is lost.
+
+    The caller's model is left as it is.
+    """
     complete = F.lit(True)
-    for f in features:
+    for f in features or pipeline_features(model):
         complete = complete & F.col(f).isNotNull()
     # The assembler keeps rows with missing features as NaN; their result is blanked.
-    for stage in _stages(model):
-        if isinstance(stage, VectorAssembler):
-            stage.setHandleInvalid("keep")
-    made = [c for c in model.transform(df.limit(0)).columns if c not in df.columns]
-    scored = model.transform(df).withColumn("prediction", F.when(complete, F.col("prediction")))
+    lenient = _lenient(model)
+    made = [c for c in lenient.transform(df.limit(0)).columns if c not in df.columns]
+    scored = lenient.transform(df).withColumn("prediction", F.when(complete, F.col("prediction")))
     return scored.drop(*[c for c in made if c != "prediction"])
 
 
+def _lenient(model: PipelineModel) -> PipelineModel:
+    """A copy whose assemblers keep rows with missing features."""
+    stages = []
+    for stage in model.stages:
+        if isinstance(stage, PipelineModel):
+            stage = _lenient(stage)
+        elif isinstance(stage, VectorAssembler):
+            stage = stage.copy().setHandleInvalid("keep")
+        stages.append(stage)
+    return PipelineModel(stages=stages)
+
+
 def _stages(model):
     for stage in model.stages:
         if isinstance(stage, PipelineModel):
@@ -124,8 +149,14 @@ def load_pipeline(path: str) -> PipelineModel:
 def compile_pipeline(spark, model: PipelineModel):
     """The plain-data form of a fitted pipeline, for scoring as columns.
 
-    Tree nodes are read from the table Spark ML writes when it saves the model.
+    A pipeline of pipelines (see `fit_stacked_pipeline`) becomes a `Stack`. Tree
+    nodes are read from the table Spark ML writes when it saves the model; they
+    are the model itself and pass the driver.
     """
+    if all(isinstance(stage, PipelineModel) for stage in model.stages):
+        *bases, top = model.stages
+        named = {base.stages[-1].getPredictionCol(): compile_pipeline(spark, base) for base in bases}
+        return Stack(named, compile_pipeline(spark, top))
     assembler, fitted = model.stages
     features = assembler.getInputCols()
     if hasattr(fitted, "coefficients"):
@@ -134,8 +165,6 @@ def compile_pipeline(spark, model: PipelineModel):
     path = scratch_path(spark, "ml-model")
     fitted.write().save(path)
     nodes = spark.read.parquet(f"{path}/data")
-    if nodes.count() > MAX_COMPILED_NODES:
-        raise ValueError(f"model has more than {MAX_COMPILED_NODES} nodes; score it as a pipeline")
     if "nodeData" not in nodes.columns:
         return _tree(nodes.collect(), features)
     trees: dict[int, list] = {}
@@ -155,6 +184,9 @@ def _tree(rows, features: list[str]) -> Tree:
         if row["leftChild"] < 0:
             return Leaf(float(row["prediction"]))
         split = row["split"]
+        if split["numCategories"] >= 0:
+            name = features[split["featureIndex"]]
+            raise ValueError(f"feature {name!r} is split by categories; score the model as a pipeline")
         return Split(
             features[split["featureIndex"]],
             float(split["leftCategoriesOrThreshold"][0]),

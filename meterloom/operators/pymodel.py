@@ -5,10 +5,13 @@ from __future__ import annotations
 import sys
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass, field
 from types import ModuleType
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -46,3 +49,41 @@ def score_python(
 
     columns = list(dict.fromkeys([*keys, *features]))
     return df.select(*columns).mapInPandas(run, schema)
+
+
+@dataclass(frozen=True)
+class PythonModel:
+    """A Python model that scores wherever a compiled one does.
+
+    `load() -> predict(frame)` as in `score_python`. Rows with a missing feature
+    are not handed to the model and have no prediction, unless it takes them
+    (`takes_missing`, as NaN).
+    """
+
+    features: list[str]
+    load: Callable[[], Callable]
+    takes_missing: bool = False
+    token: str = field(default_factory=lambda: uuid.uuid4().hex, compare=False)
+
+    def column(self, inputs=None) -> Column:
+        value = inputs or F.col
+        names, load, token, takes_missing = list(self.features), self.load, self.token, self.takes_missing
+
+        @F.pandas_udf("double")
+        def predict(frame: pd.DataFrame) -> pd.Series:
+            worker = sys.modules.setdefault("_meterloom_worker", ModuleType("_meterloom_worker"))
+            if getattr(worker, "token", None) != token:
+                worker.predict, worker.token = load(), token
+            frame.columns = names
+            wanted = np.ones(len(frame), bool) if takes_missing else frame.notna().all(axis=1).to_numpy()
+            out = pd.Series(np.nan, index=frame.index, dtype="float64")
+            if wanted.any():
+                values = worker.predict(frame[wanted])
+                if len(values) != wanted.sum():
+                    raise ValueError(f"{len(values)} predictions for {wanted.sum()} rows")
+                out[wanted] = np.asarray(values, dtype="float64")
+            return out
+
+        inputs_ = F.struct(*[value(f).cast("double").alias(f"c{i}") for i, f in enumerate(names)])
+        predicted = predict(inputs_)
+        return F.when(~F.isnan(predicted), predicted)

@@ -4,44 +4,93 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterloom.functions.models import Stack
+from meterloom.operators.pipeline import pipeline_features, score_pipeline
+
 CSV_NAMES = {"row_id": "Row Id", "prediction": "Prediction"}
 
 
+def model_features(model) -> list[str]:
+    """The columns a model needs; compiled, Python and Spark ML models alike."""
+    return pipeline_features(model) if isinstance(model, PipelineModel) else list(model.features)
+
+
+def with_prediction(df: DataFrame, model, output: str = "prediction") -> DataFrame:
+    """Add a model's prediction, whatever its kind."""
+    if isinstance(model, PipelineModel):
+        return score_pipeline(df, model).withColumnRenamed("prediction", output)
+    if isinstance(model, Stack):
+        # Columns of their own, so that a base is computed once however often it is used.
+        bases = {f"_base_{name}": c for name, c in model.base_columns().items()}
+        inputs = lambda f: F.col(f"_base_{f}") if f in model.bases else F.col(f)
+        return df.withColumns(bases).withColumn(output, model.meta.column(inputs)).drop(*bases)
+    return df.withColumn(output, model.column())
+
+
 def score(
     df: DataFrame,
     model,
     *,
     on_null: str = "null",
-    means: dict[str, float] | None = None,
+    means: dict[str, float] | DataFrame | None = None,
+    unit: str | None = None,
     output: str = "prediction",
 ) -> DataFrame:
     """Add the model's prediction to every row.
 
+    `model`: a compiled model, a `PythonModel` or a fitted Spark ML pipeline.
     on_null: what a missing feature does.
       "null": the prediction is null and `null_features` names the missing ones;
       "drop": the row is dropped;
-      "mean": the feature's mean is used, from `means` if given, else over `df`
-        (one extra pass).
+      "mean": the feature's mean is used: from `means` if given (by feature, or a
+        table as from `unit_means`); else over the rows that share the value of
+        column `unit`, or over all of `df` without a unit.
     """
-    features = model.features
+    features = model_features(model)
     if on_null == "drop":
-        return df.dropna(subset=features).withColumn(output, model.column())
+        return with_prediction(df.dropna(subset=features), model, output)
     if on_null == "mean":
-        means = means or feature_means(df, features)
-        filled = {f: F.coalesce(F.col(f), F.lit(means[f])) for f in features}
-        return df.withColumn(output, model.column(lambda f: filled[f] if f in filled else F.col(f)))
+        if means is None:
+            means = feature_means(df, features) if unit is None else unit_means(df, features, unit)
+        if isinstance(means, DataFrame):
+            df = df.join(means, unit, "left")
+            mean = {f: F.col(f"_mean_{f}") for f in features}
+        else:
+            mean = {f: F.lit(means[f]) for f in features}
+        return _with_filled(df, model, output, mean).drop(*[f"_mean_{f}" for f in features])
     if on_null != "null":
         raise ValueError(f"unknown on_null {on_null!r}")
-    return df.withColumns(
-        {output: model.column(), "null_features": null_features(features)}
+    return with_prediction(df, model, output).withColumn("null_features", null_features(features))
+
+
+def _with_filled(df: DataFrame, model, output: str, mean: dict[str, Column]) -> DataFrame:
+    """Predict with stand-ins for missing features; the features themselves stay as they are."""
+    own = {f: f"_own_{f}" for f in mean}
+    filled = df.withColumnsRenamed(own).withColumns(
+        {f: F.coalesce(F.col(f"`{own[f]}`"), m) for f, m in mean.items()}
     )
+    scored = with_prediction(filled, model, output)
+    return scored.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in df.columns], output)
+
+
+def _mean(feature: str) -> Column:
+    """To twelve digits: the last ones of a sum of doubles depend on the order of the rows."""
+    value = F.col(f"`{feature}`").cast("double")
+    finite = F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
+    return F.format_string("%.11e", F.avg(finite)).try_cast("double")
 
 
 def feature_means(df: DataFrame, features: list[str]) -> dict[str, float]:
-    return df.agg(*[F.avg(f).alias(f) for f in features]).first().asDict()
+    return df.agg(*[_mean(f).alias(f) for f in features]).first().asDict()
+
+
+def unit_means(df: DataFrame, features: list[str], unit: str) -> DataFrame:
+    """(unit, _mean_<feature>...): means over the rows of each unit, a row per unit."""
+    return df.groupBy(unit).agg(*[_mean(f).alias(f"_mean_{f}") for f in features])
 
 
 def null_features(features: list[str]) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterloom.operators.catalog import feature_schema
-from meterloom.operators.scoring import feature_means, score
+from meterloom.operators.scoring import model_features, score, unit_means
+from meterloom.session import settle
 from meterloom.sinks.files import run_path, spread_by_place, write_csv
 from meterloom.sources.uploads import read_uploads
 
@@ -43,20 +44,26 @@ def score_files(
     features: list[str] | None = None,
     required: list[str] | None = None,
     on_null: str = "null",
+    means: dict[str, float] | None = None,
     **read_options,
 ) -> Scored:
     """Score every row of every accepted file.
 
+    model: a compiled model, a `PythonModel` or a fitted Spark ML pipeline.
     features: columns to read, the model's own if not given; required: columns a
-    file must have, all `features` if not given. Other options: `read_uploads`.
+    file must have, all `features` if not given. With `on_null="mean"` a missing
+    feature gets its mean from `means`, or else over the valid rows of its own
+    file; other files, and other batches of a stream, have no part in it.
+    Other options: `read_uploads`.
     """
-    uploads = read_uploads(
-        spark, paths, feature_schema(features or model.features), required, **read_options
-    )
+    needed = model_features(model)
+    uploads = read_uploads(spark, paths, feature_schema(features or needed), required, **read_options)
     valid = F.col("reason").isNull()
     if on_null == "mean":
-        means = feature_means(uploads.rows, model.features)
-        scored = score(uploads.judged, model, on_null="mean", means=means)
+        if means is None:
+            # Text is parsed once more for the means; a row per file comes out.
+            means = settle(unit_means(uploads.rows, needed, "source_file"), "means")
+        scored = score(uploads.judged, model, on_null="mean", means=means, unit="source_file")
     else:
         scored = score(uploads.judged, model)
     if on_null == "drop":

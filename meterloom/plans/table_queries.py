@@ -18,11 +18,12 @@ from meterloom.operators.paging import clamp_page, display, page, page_count, pa
 from meterloom.operators.pipeline import (
     compile_pipeline,
     fit_pipeline,
+    fit_stacked_pipeline,
     load_pipeline,
     save_pipeline,
     score_pipeline,
 )
-from meterloom.operators.pymodel import score_python
+from meterloom.operators.pymodel import PythonModel, score_python
 from meterloom.operators.rowid import with_row_id
 from meterloom.operators.schema import infer_types
 from meterloom.operators.scoring import in_row_order, score, to_output
@@ -413,13 +414,82 @@ def score_output(spark, sf_dir):
     return in_row_order(scored_events(spark, sf_dir))
 
 
+def _order_uploads(spark, sf_dir) -> str:
+    line = F.concat_ws(",", "o_orderkey", "o_totalprice", "o_orderstatus", "o_custkey")
+    return stage_lines(
+        table(spark, sf_dir, "orders"), line, "o_totalprice,o_orderstatus,o_custkey", "orders"
+    )
+
+
+def _scored_uploads(spark, sf_dir, model, **options):
+    path = _order_uploads(spark, sf_dir)
+    scored = score_files(spark, path, model, glob="*.txt", leading_index=True, **options)
+    return rounded(to_output(scored.predictions))
+
+
 def score_uploads(spark, sf_dir):
     """The whole job: CSV uploads to row ids and predictions."""
+    return _scored_uploads(spark, sf_dir, ORDER_MODEL)
+
+
+def score_uploads_python(spark, sf_dir):
+    """The same job with a Python model."""
+    weights, intercept = dict(ORDER_MODEL.weights), ORDER_MODEL.intercept
+
+    def load():
+        return lambda frame: intercept + sum(w * frame[f] for f, w in weights.items())
+
+    return _scored_uploads(spark, sf_dir, PythonModel(list(weights), load))
+
+
+def score_uploads_pipeline(spark, sf_dir):
+    """The same job with a Spark ML pipeline, fitted on the orders themselves."""
+    orders = table(spark, sf_dir, "orders").withColumn("label", ORDER_MODEL.column())
+    return _scored_uploads(
+        spark, sf_dir, fit_pipeline(orders, ORDER_MODEL.features, "label", solver="normal")
+    )
+
+
+def score_uploads_mean(spark, sf_dir):
+    """Missing prices get the mean price of their own file."""
     orders = table(spark, sf_dir, "orders")
-    line = F.concat_ws(",", "o_orderkey", "o_totalprice", "o_orderstatus", "o_custkey")
-    path = stage_lines(orders, line, "o_totalprice,o_orderstatus,o_custkey", "orders")
-    scored = score_files(spark, path, ORDER_MODEL, glob="*.txt", leading_index=True)
-    return rounded(to_output(scored.predictions))
+    price = F.when(F.col("o_orderkey") % 7 == 0, F.lit("NA")).otherwise(F.col("o_totalprice").cast("string"))
+    line = F.concat_ws(",", price, "o_custkey", "o_orderkey")
+    path = scratch_path(spark, "orders-by-status")
+    for status in [r[0] for r in orders.select("o_orderstatus").distinct().collect()]:
+        own = orders.where(F.col("o_orderstatus").eqNullSafe(F.lit(status))).coalesce(1)
+        stage_lines(own, line, "o_totalprice,o_custkey,o_orderkey", "", f"{path}/{status}")
+    model = Linear({"o_totalprice": 1.0, "o_orderkey": 0.0}, 0.0)
+    judged = score_files(spark, path, model, glob="*.txt", on_null="mean").judged
+    return judged.select(F.col("o_orderkey").cast("long").alias("row_id"), F.round("prediction", 4).alias("prediction"))
+
+
+def score_stack_pipeline(spark, sf_dir):
+    """Spark ML bases under a Spark ML meta model, on a label that follows from the features."""
+    lineitem = table(spark, sf_dir, "lineitem").withColumn("label", LINEAR.column())
+    solver = {"solver": "normal"}
+    bases = {
+        "price": ("linear", ["l_quantity", "l_discount", "l_tax"], solver),
+        "size": ("linear", ["l_quantity"], solver),
+    }
+    fitted = fit_stacked_pipeline(lineitem, bases, "label", F.pmod("l_orderkey", F.lit(3)), 3)
+    scored = score(lineitem, fitted).withColumn("compiled", compile_pipeline(spark, fitted).column())
+    agree = F.abs(F.col("prediction") - F.col("compiled")) < 1e-6
+    right = F.abs(F.col("prediction") - F.col("label")) < 1.0
+    return scored.agg(F.count("*").alias("n"), F.count_if(agree & right).alias("n_right"))
+
+
+def score_large_ensemble(spark, sf_dir):
+    """More nodes than generated code holds: 600 trees over the quantity, discount and tax."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    trees = []
+    for i in range(600):
+        inner = Split("l_discount", (i % 11) / 100, Leaf(float(i % 5)), Leaf(float(i % 3)), strict=True)
+        outer = Split("l_tax", (i % 9) / 100, Leaf(1.0), Leaf(2.0), missing="left")
+        trees.append(Tree(Split("l_quantity", float(i % 50), inner, outer)))
+    model = Ensemble(tuple(trees), (1.0,) * len(trees), 5.0)
+    taxed = lineitem.withColumn("l_tax", F.when(F.col("l_linenumber") != 2, F.col("l_tax")))
+    return rounded(to_output(score(taxed, model), "l_orderkey", "l_linenumber"))
 
 
 def python_model(spark, sf_dir):
@@ -621,7 +691,8 @@ QUERIES = {
         utf8_check, ragged_rows, cast_quarantine, leading_index, required_columns, file_admission,
         upload_status, row_id_keyed, row_id_file_order, row_id_per_upload, score_linear, score_tree,
         score_forest, score_stack, score_null_features, score_drop_null, score_mean_imputed,
-        score_output, score_uploads, python_model, model_spec_roundtrip, model_roundtrip,
+        score_output, score_uploads, score_uploads_python, score_uploads_pipeline, score_uploads_mean,
+        score_stack_pipeline, score_large_ensemble, python_model, model_spec_roundtrip, model_roundtrip,
         model_compiled, fit_linear_one, fit_linear_two, fit_linear_many, fit_stack_oof, score_out_of_fold,
         eval_metrics, csv_sink_roundtrip, csv_sink_plain_numbers, page_slice, page_unnumbered, pages,
         page_bounds, page_summaries, result_display, feature_profile, stream_score,

@@ -132,6 +132,10 @@ def _status() -> str:
     return "\nunion all ".join(parts)
 
 
+SCORED_ORDERS = """select o_orderkey as row_id,
+    round((7.0::double + 0.5::double * o_custkey) + 0.01::double * o_totalprice, 4) as prediction
+    from orders"""
+
 ORACLE = {
     "csv_scan_typed": "select * from lineitem",
     "csv_scan_quoted": f"""select doc_id,
@@ -206,9 +210,26 @@ ORACLE = {
             q="coalesce(l_quantity, q)", d="coalesce(l_discount, d)", t="coalesce(l_tax, t)"
         )}, 4) as prediction from gaps, m""",
     "score_output": SCORED_EVENTS + " order by row_id",
-    "score_uploads": """select o_orderkey as row_id,
-        round((7.0::double + 0.5::double * o_custkey) + 0.01::double * o_totalprice, 4) as prediction
-        from orders""",
+    "score_uploads": SCORED_ORDERS,
+    "score_uploads_python": SCORED_ORDERS,
+    "score_uploads_pipeline": SCORED_ORDERS,
+    "score_uploads_mean": """
+        select o_orderkey as row_id, round(case when o_orderkey % 7 = 0
+            then avg(o_totalprice) filter (o_orderkey % 7 <> 0) over (partition by o_orderstatus)
+            else o_totalprice end, 4) as prediction from orders""",
+    "score_stack_pipeline": "select count(*) as n, count(*) as n_right from lineitem",
+    "score_large_ensemble": """
+        with trees as (select i % 50 as q, (i % 11) / 100.0::double as d, (i % 9) / 100.0::double as t,
+            i % 5 as a, i % 3 as b from range(600) as r(i)),
+        known as (select distinct l_quantity, l_discount,
+            case when l_linenumber <> 2 then l_tax end as l_tax from lineitem),
+        sums as (select l_quantity, l_discount, l_tax, 5.0::double + sum(
+            case when l_quantity <= q then case when l_discount < d then a else b end
+                 else case when l_tax is null or l_tax <= t then 1 else 2 end end) as prediction
+            from known, trees group by all)
+        select l_orderkey, l_linenumber, prediction from lineitem join sums
+          on lineitem.l_quantity = sums.l_quantity and lineitem.l_discount = sums.l_discount
+          and (case when l_linenumber <> 2 then lineitem.l_tax end) is not distinct from sums.l_tax""",
     "python_model": _lineitem(LINEITEM_LINEAR),
     "model_spec_roundtrip": _lineitem(STACK),
     "model_roundtrip": """

@@ -10,7 +10,7 @@ from meterloom.functions.models import (
     Ensemble, Leaf, Linear, Split, Stack, Tree, from_spec, load_model, node_count, save_model,
 )
 from meterloom.operators.scoring import score, to_output
-from meterloom.operators.pymodel import score_python
+from meterloom.operators.pymodel import PythonModel, score_python
 
 LINEAR = Linear({"x": 2.0, "y": -0.5}, 1.0)
 TREE = Tree(Split("x", 1.5, Leaf(10.0), Split("y", 0.0, Leaf(20.0), Leaf(30.0))))
@@ -81,16 +81,55 @@ def test_missing_features(spark):
     assert filled == {0: 2.0, 1: 4.0, 2: 6.0, 3: 4.0}
 
 
-def test_large_trees_are_refused():
-    def grow(depth):
-        return Leaf(1.0) if depth == 0 else Split("x", depth, grow(depth - 1), grow(depth - 1))
+def grown(draw, depth, odd=False):
+    if depth == 0:
+        return Leaf(draw.uniform(-5, 5))
+    options = {"strict": draw.random() < 0.5, "missing": draw.choice(["left", "right"])} if odd else {}
+    left, right = grown(draw, depth - 1, odd), grown(draw, depth - 1, odd)
+    return Split(draw.choice("xy"), draw.choice([0.0, 1.5, draw.uniform(-3, 3)]), left, right, **options)
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_large_trees_are_walked_in_batches(spark, table, monkeypatch, odd):
+    """The same predictions as in generated code, also for missing values."""
+    from meterloom.functions import models
+
+    draw = random.Random(8)
+    gaps = table.unionByName(
+        spark.createDataFrame([(300, None, 0.0), (301, 1.5, None), (302, None, None)], table.schema)
+    )
+    big = Tree(grown(draw, 11, odd))
+    many = Ensemble((*(Tree(grown(draw, 5, odd)) for _ in range(60)), LINEAR), (0.5,) * 61, 2.0)
+    stack = Stack({"a": many, "b": big}, Tree(Split("a", 0.0, Leaf(1.0), Split("a", 9.0, Leaf(2.0), Leaf(3.0)))))
+    assert node_count(big) == 4095 and node_count(many) > models.MAX_COMPILED_NODES
+    walked = [sorted(map(tuple, to_output(score(gaps, m)).collect())) for m in (big, many, stack)]
+    monkeypatch.setattr(models, "MAX_COMPILED_NODES", 10**9)
+    small = [Tree(grown(random.Random(i), 5, odd)) for i in range(3)]
+    compiled = [sorted(map(tuple, to_output(score(gaps, m)).collect())) for m in small]
+    monkeypatch.setattr(models, "MAX_COMPILED_NODES", 1)
+    assert [sorted(map(tuple, to_output(score(gaps, m)).collect())) for m in small] == compiled
+    for rows, model in zip(walked, (big, many)):
+        for row_id, value in rows[:200]:
+            row = table.where(F.col("row_id") == row_id).first().asDict() if row_id < 3 else None
+            assert row is None or odd or value == pytest.approx(predict(model, row))
+    if odd:
+        assert all(value is not None for _, value in walked[0])
+    else:
+        assert [value for row_id, value in walked[0] if row_id >= 300] == [None] * 3
+    assert from_spec(json.loads(json.dumps(big.spec()))) == big
+
+
+def test_python_model_as_a_model(spark, table):
+    def load():
+        return lambda frame: 1.0 + 2.0 * frame["x"] - 0.5 * frame["y"]
 
-    tree = Tree(grow(11))
-    assert node_count(tree) == 4095
-    with pytest.raises(ValueError):
-        tree.column()
-    with pytest.raises(ValueError):
-        Ensemble((Tree(grow(9)), Tree(grow(9))), (1.0, 1.0)).column()
+    model = PythonModel(["x", "y"], load)
+    gaps = table.unionByName(spark.createDataFrame([(300, None, 0.0)], table.schema))
+    got = {r.row_id: r.prediction for r in score(gaps, model).collect()}
+    assert got.pop(300) is None
+    assert got == pytest.approx({r.row_id: r.prediction for r in score(table, LINEAR).collect()})
+    filled = score(gaps, model, on_null="mean", means={"x": 4.0, "y": 0.0}).where("row_id = 300").first()
+    assert filled.prediction == 9.0 and filled.x is None
 
 
 def test_python_model(table):
