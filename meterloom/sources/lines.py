@@ -30,11 +30,16 @@ from meterloom.sources import stitch
 cloudpickle.register_pickle_by_value(stitch)
 
 # A lookup table above this size is joined by a shuffle instead of being broadcast.
-MAX_BROADCAST_BYTES = 256 << 20
-# Upper estimate of a lookup row without its path and its column positions.
-ROW_BYTES = 128
+# Lookups are keyed by a hash of the path, so that this is some ten million splits.
+MAX_BROADCAST_BYTES = 1 << 30
+# Upper estimate of a lookup row without its column positions.
+ROW_BYTES = 96
+# A record of more bytes than this is not put together; its pieces stay rows with an open quote.
+MAX_RECORD_BYTES = 256 << 20
 
 SPLIT = ["source_file", "block_start"]
+FILE_KEY = "_file"
+SPLIT_KEY = [FILE_KEY, "block_start"]
 
 
 @dataclass
@@ -49,6 +54,10 @@ def small_side(table: DataFrame, n_bytes: int) -> DataFrame:
     return F.broadcast(table) if n_bytes <= MAX_BROADCAST_BYTES else table.hint("merge")
 
 
+def file_key() -> Column:
+    return F.xxhash64("source_file")
+
+
 def read_text(spark: SparkSession, paths, glob: str, **options) -> DataFrame:
     return (
         spark.read.options(recursiveFileLookup=True, pathGlobFilter=glob, **options)
@@ -86,6 +95,13 @@ def _group(records: DataFrame, keys: list[str], order: str) -> DataFrame:
     )
 
 
+def with_facts(records: DataFrame, facts: DataFrame, n_bytes: int) -> DataFrame:
+    """Records of the files in `facts` (a row per file), with its columns; `records` has FILE_KEY."""
+    n_files = facts.count()
+    keyed = facts.withColumn(FILE_KEY, file_key()).drop("source_file")
+    return records.join(small_side(keyed, n_files * (ROW_BYTES + n_bytes)), FILE_KEY)
+
+
 def offsets(splits: DataFrame) -> DataFrame:
     """Rows before each split of its file, from the split's own row count `n`."""
     before = (
@@ -133,24 +149,19 @@ def read_lines(spark: SparkSession, paths, glob: str = "*.csv") -> NumberedRecor
         F.min_by("width", F.struct("block_start", "first")).alias("width"),
         F.count_distinct("block_start").alias("n"),
     )
-    path_bytes = F.col("n") * F.length("source_file")
-    widest, n_splits, n_path_bytes = headers.agg(
-        F.max("width"), F.sum("n"), F.sum(path_bytes)
-    ).first()
+    widest, n_splits = headers.agg(F.max("width"), F.sum("n")).first()
+    places = splits.select(file_key().alias(FILE_KEY), "block_start", "first_position", "offset", "n")
     in_split = F.col("position") - F.col("first_position")
     row_no = F.when(
         (in_split >= 0) & (in_split < F.col("n")), F.col("offset") + in_split - 1
     ).otherwise(F.raise_error(F.lit("files were split differently in the second scan")))
 
     def records(facts: DataFrame, n_bytes: int) -> DataFrame:
-        size = (n_splits or 0) * (ROW_BYTES + n_bytes) + (n_path_bytes or 0)
-        known = [c for c in facts.columns if c != "source_file"]
-        # One lookup per line: file facts ride along with the split offsets.
-        places = splits.join(facts.withColumn("_known", F.lit(True)), "source_file", "left")
+        known = with_facts(lines.withColumn(FILE_KEY, file_key()), facts, n_bytes)
         placed = (
-            lines.join(small_side(places, size), SPLIT, "left")
-            .where(F.col("_known") | F.col("n").isNull())  # an unknown split must raise
-            .select("source_file", row_no.alias("row_no"), "raw", *known)
+            known.join(small_side(places, (n_splits or 0) * ROW_BYTES), SPLIT_KEY, "left")
+            .withColumn("row_no", row_no)  # an unknown split raises
+            .drop(*SPLIT_KEY, "position", "first_position", "offset", "n")
         )
         return _shape(placed, F.when(F.col("malformed"), raw))
 
@@ -195,7 +206,7 @@ def read_stitched(spark: SparkSession, paths, glob: str = "*.csv") -> NumberedRe
     Each split is therefore summarised for both cases, the summaries are chained
     per file, and only then are lines joined into records. Lines never leave
     their task; only pieces of records at the edges of splits, at most two per
-    split, are brought together. An open quote at the end of a file would glue
+    split, are written and brought together. An open quote at the end of a file would glue
     its whole tail into one record; those lines stay single, as `open_quote`.
     """
     pin_split_layout(spark)
@@ -209,18 +220,33 @@ def read_stitched(spark: SparkSession, paths, glob: str = "*.csv") -> NumberedRe
         is_blank(raw).alias("blank"),
     )
     summary = settle(lines.drop("raw").mapInArrow(stitch.summarise, stitch.SUMMARY), "splits")
-    n_splits, n_path_bytes = summary.agg(F.count("*"), F.sum(F.length("source_file"))).first()
-    splits = small_side(chain_splits(summary), n_splits * ROW_BYTES + (n_path_bytes or 0))
-    pieces = settle(lines.join(splits, SPLIT, "left").mapInArrow(stitch.join_lines, stitch.PIECES), "records", "edge")
+    n_splits = summary.count()
+    splits = chain_splits(summary).withColumn(FILE_KEY, file_key()).drop("source_file")
+    # Should the lookup ever be joined by a shuffle, lines are put back in their order.
+    broadcast = n_splits * ROW_BYTES <= MAX_BROADCAST_BYTES
+    keyed = lines.withColumn(FILE_KEY, file_key())
+    if not broadcast:
+        keyed = keyed.withColumn("position", F.monotonically_increasing_id())
+    placed = keyed.join(small_side(splits, n_splits * ROW_BYTES), SPLIT_KEY, "left").drop(FILE_KEY)
+    if not broadcast:
+        placed = placed.sortWithinPartitions(*SPLIT, "position").drop("position")
+    pieces = placed.mapInArrow(stitch.join_lines, stitch.PIECES)
+    edges = settle(pieces.where("edge"), "edges")
+    of_record = ["source_file", "record", "open_tail"]
+    sizes = edges.groupBy(*of_record).agg((F.sum(F.length("raw")) > MAX_RECORD_BYTES).alias("long"))
+    sized = edges.join(sizes, of_record)
+    too_long = sized.where("long").select("source_file", "record", F.lit(True).alias("open_tail"), "raw")
     crossing = (
-        pieces.where("edge")
-        .groupBy("source_file", "record", "open_tail")
+        sized.where("not long")
+        .groupBy(*of_record)
         .agg(F.sort_array(F.collect_list(F.struct("block_start", "raw"))).alias("parts"))
         .withColumn("raw", F.array_join(F.col("parts.raw").cast("array<string>"), "\n"))
     )
     columns = ("source_file", "record", "raw", "open_tail")
     whole = pieces.where("not edge").withColumn("raw", raw.cast("string"))
-    stitched = whole.select(*columns).unionByName(crossing.select(*columns)).select(
+    long_pieces = too_long.withColumn("raw", raw.cast("string"))
+    gathered = crossing.select(*columns).unionByName(long_pieces.select(*columns))
+    stitched = whole.select(*columns).unionByName(gathered).select(
         "source_file",
         (F.col("record") - 1).alias("row_no"),
         F.when(raw.endswith("\r"), F.expr("left(raw, length(raw) - 1)")).otherwise(raw).alias("raw"),
@@ -229,9 +255,7 @@ def read_stitched(spark: SparkSession, paths, glob: str = "*.csv") -> NumberedRe
     shaped = _shape(stitched, raw).withColumn("open_quote", F.col("open_tail")).drop("open_tail")
 
     def records(facts: DataFrame, n_bytes: int) -> DataFrame:
-        n_files, n_path_bytes = facts.agg(F.count("*"), F.sum(F.length("source_file"))).first()
-        size = n_files * (ROW_BYTES + n_bytes) + (n_path_bytes or 0)
-        placed = stitched.join(small_side(facts, size), "source_file")
+        placed = with_facts(stitched.withColumn(FILE_KEY, file_key()), facts, n_bytes).drop(FILE_KEY)
         shaped = _shape(placed, F.when(F.col("malformed"), raw))
         return shaped.withColumn("open_quote", F.col("open_tail")).drop("open_tail")
 

@@ -84,29 +84,15 @@ def join_lines(batches):
 
     Pieces of records that cross a split's edge are marked `edge`. Lines of a
     record still open at the end of its file stay apart, marked `open_tail`.
+    The last record of a stretch waits for the next one, which may go on with it.
     """
+    names = ["source_file", "block_start", "record", "edge", "open_tail", "raw"]
     split, state, record, last = None, False, 0, 0
-    pending, pending_key = [], None
-    out: list[tuple] = []
+    waiting = None  # a table of one row: the record that may go on
 
     def finish_split():
         if record != last:
             raise RuntimeError("files were split differently in the second scan")
-        flush()
-
-    def flush():
-        nonlocal pending, pending_key
-        if pending:
-            out.append((*pending_key, b"\n".join(pending)))
-        pending, pending_key = [], None
-
-    def take():
-        columns = list(zip(*out))
-        out.clear()
-        types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
-        names = ["source_file", "block_start", "record", "edge", "open_tail", "raw"]
-        arrays = [pa.array(c, t) for c, t in zip(columns, types)]
-        return pa.RecordBatch.from_arrays(arrays, names=names)
 
     for batch in batches:
         for first, past in _runs(batch):
@@ -117,6 +103,9 @@ def join_lines(batches):
             }
             if _split_of(part) != split:
                 finish_split()
+                if waiting is not None:
+                    yield waiting
+                    waiting = None
                 if fact["n"] is None:
                     raise RuntimeError("files were split differently in the second scan")
                 split, state, record = _split_of(part), fact["starts_open"], fact["offset"] - 1
@@ -125,27 +114,45 @@ def join_lines(batches):
             after = states_after(if_closed, if_open, state)
             before = np.append(state, after[:-1])
             records = record + np.cumsum(~before & ~blank)
+            state, record = bool(after[-1]), int(records[-1])
             kept = np.flatnonzero(before | ~blank)
-            lines = part.column("raw").take(pa.array(kept)).to_pylist()
-            tail = fact["n_file"] - 1 if fact["file_open"] else None
-            edges = set()
+            if not len(kept):
+                continue
+            numbers = records[kept]
+            tail = numbers == (fact["n_file"] - 1 if fact["file_open"] else -2)
+            begins = np.diff(numbers, prepend=numbers[0] - 1) != 0
+            starts = np.flatnonzero(begins | tail)
+            offsets = pa.array(np.append(starts, len(kept)), pa.int32())
+            lines = part.column("raw").take(pa.array(kept)).cast(pa.binary())
+            raw = pc.binary_join(pa.ListArray.from_arrays(offsets, lines), b"\n")
+            numbers, tail = numbers[starts], tail[starts]
+            edge = np.zeros(len(starts), bool)
             if fact["starts_open"]:
-                edges.add(fact["offset"] - 1)
+                edge |= numbers == fact["offset"] - 1
             if fact["ends_open"]:
-                edges.add(fact["offset"] + fact["n"] - 1)
-            for number, line in zip(records[kept].tolist(), lines):
-                if number == tail:
-                    flush()
-                    out.append((*split, number, False, True, line))
-                    continue
-                key = (*split, number, number in edges, False)
-                if key != pending_key:
-                    flush()
-                    pending_key = key
-                pending.append(line)
-            state, record = bool(after[-1]), int(records[-1])
-        if out:
-            yield take()
+                edge |= numbers == fact["offset"] + fact["n"] - 1
+            edge &= ~tail
+            if waiting is not None:
+                if not tail[0] and waiting.column("record")[0].as_py() == int(numbers[0]):
+                    joined = waiting.column("raw")[0].as_py() + b"\n" + raw[0].as_py()
+                    raw = pa.concat_arrays([pa.array([joined], pa.binary()), raw.slice(1)])
+                else:
+                    yield waiting
+                waiting = None
+            n = len(starts)
+            out = pa.RecordBatch.from_arrays(
+                [
+                    pa.array([split[0]] * n, pa.string()), pa.array(np.full(n, split[1]), pa.int64()),
+                    pa.array(numbers, pa.int64()), pa.array(edge), pa.array(tail), raw,
+                ],
+                names=names,
+            )
+            if tail[-1]:
+                yield out
+            else:
+                waiting = out.slice(n - 1)
+                if n > 1:
+                    yield out.slice(0, n - 1)
     finish_split()
-    if out:
-        yield take()
+    if waiting is not None:
+        yield waiting

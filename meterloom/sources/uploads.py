@@ -140,10 +140,11 @@ def read_uploads(
     strict: reject a file with any malformed row instead of quarantining the row.
     one_numbering: number rows through all files in path order, not per file.
     """
+    # Listed before the scan is planned: a file that arrives in between is left out, not called empty.
+    listed = list_files(spark, paths, glob)
     reader = read_stitched if multiline else read_lines
     numbered: NumberedRecords = reader(spark, paths, glob)
     columns = schema.fieldNames()
-    listed = list_files(spark, paths, glob)
     files = settle(
         classify(
             listed.join(profile_files(numbered, leading_index), "source_file", "left"),
