@@ -6,6 +6,7 @@ a quoted field `""` is one quote. Elsewhere a quote is an ordinary character.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,45 +47,63 @@ def split_fields(raw: Column, width: int) -> Column:
     return F.array(*[parsed.getField(f"c{i}") for i in range(width)])
 
 
-def with_fields(df: DataFrame, width: int) -> DataFrame:
-    """Add `fields`, as `split_fields`; lines without a quote need no CSV parser.
+def width_tiers(widest: int) -> list[int]:
+    """Widths at which lines are parsed: powers of four up to the widest."""
+    tiers = [8]
+    while tiers[-1] < widest:
+        tiers.append(4 * tiers[-1])
+    return tiers
 
-    The parse is a column of its own, so that it runs once per line.
+
+def with_fields(df: DataFrame, own: Column, tiers: list[int]) -> DataFrame:
+    """Add `fields`: at least the first `own` fields as strings, null or absent where there are fewer.
+
+    Lines without a quote need no CSV parser. The others are parsed at the
+    smallest of `tiers` that holds `own` fields, so that one wide file does not
+    make the lines of all others wide. Each parse is a column of its own, so that
+    it runs once per line.
     """
     raw = F.col("raw")
-    parsed = parse_fields(F.when(raw.contains('"'), raw), width)
-    from_parser = F.array(*[F.col(f"_parsed.c{i}") for i in range(width)])
-    return (
-        df.withColumn("_parsed", parsed)
-        .withColumn(
-            "fields", F.when(F.col("_parsed").isNull(), F.split(raw, ",", -1)).otherwise(from_parser)
-        )
-        .drop("_parsed")
+    quoted = raw.contains('"')
+    fields, below = None, 0
+    for i, width in enumerate(tiers):
+        fits = (own > below) & (own <= width) if below else own <= width
+        df = df.withColumn(f"_parsed_{i}", parse_fields(F.when(quoted & fits, raw), width))
+        as_array = F.array(*[F.col(f"_parsed_{i}.c{j}") for j in range(width)])
+        here = F.col(f"_parsed_{i}").isNotNull()
+        fields = F.when(here, as_array) if fields is None else fields.when(here, as_array)
+        below = width
+    return df.withColumn("fields", fields.otherwise(F.split(raw, ",", -1))).drop(
+        *[f"_parsed_{i}" for i in range(len(tiers))]
     )
 
 
 def unique_names(fields: Column) -> Column:
-    """Header names made unique.
+    """Header names made unique; a small helper in Python, for one header per file.
 
     An empty name becomes `Unnamed: <position>`. The k-th repeat of a name gets
     the k-th suffix `.1`, `.2`, ... that no other header name already uses.
     """
-    named = F.transform(
-        fields,
-        lambda x, i: F.when(F.coalesce(x, F.lit("")) != "", x).otherwise(
-            F.concat(F.lit("Unnamed: "), i.cast("string"))
-        ),
-    )
 
-    def rename(name, i):
-        repeats = F.size(F.filter(F.slice(named, 1, i), lambda other: other == name))
-        free = F.filter(
-            F.transform(
-                F.sequence(F.lit(1), F.size(named) * 2),
-                lambda s: F.concat(name, F.lit("."), s.cast("string")),
-            ),
-            lambda candidate: ~F.array_contains(named, candidate),
-        )
-        return F.when(repeats == 0, name).otherwise(F.get(free, repeats - 1))
-
-    return F.transform(named, rename)
+    @F.pandas_udf("array<string>")
+    def rename(headers: pd.Series) -> pd.Series:
+        def unique(header):
+            if header is None:
+                return None
+            named = [x if x else f"Unnamed: {i}" for i, x in enumerate(header)]
+            taken, suffix, seen, out = set(named), {}, set(), []
+            for name in named:
+                if name not in seen:
+                    seen.add(name)
+                    out.append(name)
+                    continue
+                n = suffix.get(name, 0) + 1
+                while f"{name}.{n}" in taken:
+                    n += 1
+                suffix[name] = n
+                out.append(f"{name}.{n}")
+            return out
+
+        return headers.map(unique)
+
+    return rename(fields)

@@ -1,53 +1,45 @@
-"""Dense row ids 0..n-1 over a unique business key, without a global window."""
+"""Dense row ids 0..n-1 in key order, without a global window."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-ORDERED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+from meterloom.session import settle
 
-
-def _as_number(name: str, data_type: T.DataType):
-    """A double that never decreases as the key grows; ties are harmless."""
-    if isinstance(data_type, T.DateType):
-        return F.unix_date(name).cast("double")
-    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    return F.col(name).cast("double")
+_PLACE_BITS = 33
 
 
 def with_row_id(df: DataFrame, key: str, *, buckets: int | None = None) -> DataFrame:
-    """Add `row_id`: the row's rank by `key`, starting at 0.
+    """Add `row_id`: the row's rank by `key`, starting at 0. No row is lost.
+
+    `key` may be of any type that can be ordered. Null keys come last. Rows that
+    share a key are ordered by a hash of the whole row, so that a frequent key is
+    split over ranges too; rows equal in all columns get ids in any order.
 
-    The key range is cut at quantiles into buckets. Rows are ranked inside their
-    bucket, and each bucket starts after the rows of the buckets before it. Two
-    passes read the key column only; the data is shuffled once.
+    The rows are exchanged once, into ranges that are written in order; each
+    range then starts after the rows of the ranges before it.
     """
-    data_type = df.schema[key].dataType
-    if not isinstance(data_type, ORDERED):
-        raise TypeError(f"row ids need a numeric or time key, not {data_type.simpleString()}")
-    if buckets is None:
-        buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    number = _as_number(key, data_type)
-    steps = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(number, steps, 10 * buckets)).first()[0] or []
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    if len(splits) < 3:
-        splits.insert(1, 0.0)
-    bucketed = Bucketizer(splits=splits, inputCol="_number", outputCol="_bucket").transform(
-        df.withColumn("_number", number)
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(f"`{key}`").asc_nulls_last(), F.col("_tie").asc()]
+    ranged = (
+        df.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+        .repartitionByRange(buckets, *order)
+        .sortWithinPartitions(*order)
+        .drop("_tie")
+        .withColumn("_place", F.monotonically_increasing_id())
     )
-    counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("n"))
-    # One row per bucket, so the single-partition window and the broadcast are
-    # bounded by `buckets`.
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_start"))
-    in_bucket = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
+    ranged = settle(ranged, "ranges")
+    range_no = F.shiftright("_place", _PLACE_BITS)
+    # A row per range, so the window in one task and the broadcast are bounded by `buckets`.
+    counts = ranged.groupBy(range_no.alias("_range")).agg(F.count("*").alias("n"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_start"))
+    in_range = F.col("_place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
     return (
-        bucketed.join(F.broadcast(starts), "_bucket")
-        .withColumn("row_id", F.col("_start") + in_bucket - 1)
-        .drop("_bucket", "_number", "_start")
+        ranged.withColumn("_range", range_no)
+        .join(F.broadcast(starts), "_range")
+        .withColumn("row_id", F.col("_start") + in_range)
+        .select(*[F.col(f"`{c}`") for c in df.columns], "row_id")
     )

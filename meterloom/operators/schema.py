@@ -9,15 +9,21 @@ from pyspark.sql import types as T
 from meterloom.functions.values import drop_null_tokens, parse_as, to_boolean, to_number
 
 
+SPARK_TYPES = {
+    "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType(),
+}
+_KINDS = ("long", "double", "boolean", "string")
+
+
 def _kind(text: Column) -> Column:
-    """The narrowest type of one text; null for a null token."""
+    """Place in `_KINDS` of the narrowest type of one text; null for a null token."""
     value = drop_null_tokens(text)
     return (
-        F.when(value.isNull(), F.lit(None))
-        .when(parse_as(value, T.LongType()).isNotNull(), F.lit("long"))
-        .when(to_number(value).isNotNull(), F.lit("double"))
-        .when(to_boolean(value).isNotNull(), F.lit("boolean"))
-        .otherwise(F.lit("string"))
+        F.when(value.isNull(), F.lit(None).cast("int"))
+        .when(parse_as(value, T.LongType()).isNotNull(), F.lit(0))
+        .when(to_number(value).isNotNull(), F.lit(1))
+        .when(to_boolean(value).isNotNull(), F.lit(2))
+        .otherwise(F.lit(3))
     )
 
 
@@ -25,36 +31,32 @@ def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(ord, column, type, n_values) for the string columns of `df`.
 
     long, else double (also for whole numbers with gaps, and for columns without
-    any value), else boolean, else string. Dates stay strings.
+    any value), else boolean, else string. Dates stay strings. One aggregation
+    with a few counts per column; its single row is unpivoted.
     """
     columns = columns or df.columns
-    kinds = F.transform(F.array(*[F.col(f"`{c}`") for c in columns]), _kind)
-    # At most five counts per column leave each task.
-    counts = (
-        df.select(F.posexplode(kinds).alias("at", "kind"))
-        .groupBy("at", "kind")
-        .agg(F.count("*").alias("n"))
-    )
-    of = lambda *kinds: F.coalesce(
-        F.sum(F.when(F.col("kind").isin(*kinds), F.col("n"))), F.lit(0)
-    )
-    totals = counts.groupBy("at").agg(
-        F.sum("n").alias("n_rows"),
-        of("long", "double", "boolean", "string").alias("n_values"),
-        of("long").alias("n_long"),
-        of("long", "double").alias("n_number"),
-        of("boolean").alias("n_boolean"),
+    kinds = df.select(*[_kind(F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(columns)])
+    counted = kinds.agg(
+        F.count("*").alias("n_rows"),
+        *[
+            F.struct(*[F.count_if(F.col(f"k{i}") == k).alias(f"n{k}") for k in range(4)]).alias(f"s{i}")
+            for i in range(len(columns))
+        ],
     )
+    tall = counted.select(
+        "n_rows",
+        F.inline(
+            F.array(*[
+                F.struct(F.lit(i + 1).alias("ord"), F.lit(c).alias("column"), F.col(f"s{i}").alias("s"))
+                for i, c in enumerate(columns)
+            ])
+        ),
+    ).where("n_rows > 0")
+    n_values = F.col("s.n0") + F.col("s.n1") + F.col("s.n2") + F.col("s.n3")
     found = (
-        F.when((F.col("n_long") == F.col("n_rows")), "long")
-        .when(F.col("n_number") == F.col("n_values"), "double")
-        .when(F.col("n_boolean") == F.col("n_values"), "boolean")
+        F.when(F.col("s.n0") == F.col("n_rows"), "long")
+        .when(F.col("s.n0") + F.col("s.n1") == n_values, "double")
+        .when(F.col("s.n2") == n_values, "boolean")
         .otherwise("string")
     )
-    names = F.array(*map(F.lit, columns))
-    return totals.select(
-        (F.col("at") + 1).alias("ord"),
-        F.get(names, F.col("at")).alias("column"),
-        found.alias("type"),
-        "n_values",
-    )
+    return tall.select("ord", "column", found.alias("type"), n_values.alias("n_values"))

@@ -17,10 +17,12 @@ from meterloom.sources.uploads import read_uploads
 @dataclass
 class Scored:
     """`judged`: all rows of the accepted files with prediction and reason; only
-    the file list has been computed yet. `files`: as in `Uploads`."""
+    the file list has been computed yet. `files`: as in `Uploads`. `drops`: rows
+    with missing features were left out."""
 
     judged: DataFrame
     files: DataFrame
+    drops: bool = False
 
     @property
     def predictions(self) -> DataFrame:
@@ -68,19 +70,41 @@ def score_files(
         scored = score(uploads.judged, model)
     if on_null == "drop":
         scored = scored.where(F.col("_fence") & (~valid | F.col("null_features").isNull()))
-    return Scored(
-        scored.withColumn("prediction", F.when(valid, F.col("prediction"))), uploads.files
-    )
+    predicted = scored.withColumn("prediction", F.when(valid, F.col("prediction")))
+    return Scored(predicted, uploads.files, on_null == "drop")
+
 
+def status_table(files: DataFrame, written: DataFrame | None = None) -> DataFrame:
+    """source_file, status, error_class, detail, rows, bad_rows, extra_columns.
 
-def status_table(files: DataFrame) -> DataFrame:
-    """source_file, status, error_class, detail, rows, bad_rows."""
+    `bad_rows` counts malformed rows; with `written`, the rows of a finished run,
+    it counts the quarantined rows of accepted files, bad values included. A bad
+    value never rejects its file, in strict mode neither.
+    """
+    if written is not None:
+        quarantined = F.count_if(F.col("outcome") == "quarantined")
+        bad = written.groupBy("source_file").agg(quarantined.alias("n_quarantined"))
+        files = files.join(bad, "source_file", "left").withColumn(
+            "bad_rows",
+            F.when(F.col("status") == 200, F.coalesce("n_quarantined", F.lit(0))).otherwise(F.col("bad_rows")),
+        )
     return files.selectExpr(
         "source_file", "status", "error_class", "detail",
-        "coalesce(n_rows, 0L) AS rows", "bad_rows",
+        "coalesce(n_rows, 0L) AS rows", "bad_rows", "extra_columns",
     )
 
 
+def _check_counts(scored: Scored, written: DataFrame) -> None:
+    """Every row read is scored, quarantined or, if asked for, dropped."""
+    out = written.groupBy("source_file").agg(F.count("*").alias("n_out"))
+    n_out, n_read = F.coalesce("n_out", F.lit(0)), F.coalesce("n_rows", F.lit(0))
+    wrong = n_out > n_read if scored.drops else n_out != n_read
+    lost = scored.files.where("status = 200").join(out, "source_file", "left").where(wrong)
+    first = lost.select("source_file", n_read.alias("n_read"), n_out.alias("n_out")).first()
+    if first:
+        raise RuntimeError(f"{first.source_file}: {first.n_read} rows read, {first.n_out} written")
+
+
 def run(spark: SparkSession, paths, model, base: str, *, format: str = "parquet", **options) -> str:
     """Score and write one run into a folder of its own; returns the folder.
 
@@ -103,6 +127,7 @@ def write_run(scored: Scored, folder: str, batch: int | None = None) -> str:
     One parse and one shuffle serve both outcomes: rows go to the output file
     that their place through all files names, and are in order there.
     """
+    spark = scored.files.sparkSession
     rows = scored.judged.select(
         "source_file", "row_id", "place", "prediction", "reason",
         F.when(F.col("reason").isNotNull(), F.col("bad_columns")).alias("columns"),
@@ -114,7 +139,9 @@ def write_run(scored: Scored, folder: str, batch: int | None = None) -> str:
     spread_by_place(rows, n_rows, "outcome", "place").write.mode("overwrite").partitionBy(
         "outcome"
     ).parquet(f"{folder}/rows{part}")
-    status_table(scored.files).write.mode("overwrite").parquet(f"{folder}/status{part}")
+    written = spark.read.schema(ROWS_SCHEMA).parquet(f"{folder}/rows{part}")
+    _check_counts(scored, written)
+    status_table(scored.files, written).write.mode("overwrite").parquet(f"{folder}/status{part}")
     return folder
 
 
@@ -136,5 +163,5 @@ def _stored_rows(spark: SparkSession, folder: str, outcome: str) -> DataFrame:
 def read_run(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """The "scored" or "quarantined" rows or the "status" of a run or a stream."""
     if table == "status":
-        return spark.read.parquet(f"{folder}/status")
+        return spark.read.parquet(f"{folder}/status").drop("batch")
     return _stored_rows(spark, folder, table).select(*RUN_COLUMNS[table])

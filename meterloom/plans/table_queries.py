@@ -79,11 +79,32 @@ def csv_scan_typed(spark, sf_dir):
 
 
 def csv_scan_quoted(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    documents = table(spark, sf_dir, "documents")
     path = stage_csv(documents, "documents")
     return read_uploads(spark, path, documents.schema, multiline=True).rows.select(documents.columns)
 
 
+def csv_scan_inferred(spark, sf_dir):
+    """Types found in the text of the files; times come back as text."""
+    orders = table(spark, sf_dir, "orders").withColumn("o_orderdate", F.to_date("o_orderdate"))
+    rows = read_uploads(spark, stage_csv(orders, "orders")).rows
+    return rows.select(*orders.columns)
+
+
+def csv_odd_header(spark, sf_dir):
+    """One file of two thousand columns beside the orders; both bind by name."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    root = scratch_path(spark, "orders")
+    stage_csv(orders, "", f"{root}/narrow")
+    header = ",".join(["x"] * 1997 + ["o_totalprice", "o_custkey", "o_orderkey"])
+    first = orders.where(F.col("o_orderkey") % 1000 == 0).coalesce(1)
+    line = F.concat(F.repeat(F.lit(","), 1997), F.concat_ws(",", "o_totalprice", "o_custkey", F.col("o_orderkey") + 1))
+    stage_lines(first, line, header, "", f"{root}/wide")
+    schema = "o_orderkey bigint, o_custkey bigint, o_totalprice double"
+    rows = read_uploads(spark, root, T.StructType.fromDDL(schema), glob="part-*").rows
+    return rows.select(upload_name(F.col("source_file")).alias("upload"), "o_orderkey", "o_custkey", "o_totalprice")
+
+
 def csv_bind_by_name(spark, sf_dir):
     """Uploads with different column orders, one with a column to spare."""
     orders = table(spark, sf_dir, "orders")
@@ -339,6 +360,21 @@ def row_id_keyed(spark, sf_dir):
     return with_row_id(events, "event_id").select("event_id", "value", "row_id")
 
 
+def row_id_text_key(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer")
+    return with_row_id(customer, "c_name").select("c_custkey", "c_name", "row_id")
+
+
+def row_id_null_key(spark, sf_dir):
+    """Missing and repeated keys; only the ids that the keys alone decide are shown."""
+    orders = table(spark, sf_dir, "orders")
+    key = F.when(F.col("o_orderkey") % 3 != 0, F.floor(F.col("o_orderkey") / 2))
+    numbered = with_row_id(orders.select("o_orderkey", key.alias("key")), "key")
+    return numbered.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id")
+    )
+
+
 def row_id_file_order(spark, sf_dir):
     """Rows numbered through several files in path order."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
@@ -626,6 +662,23 @@ def csv_sink_plain_numbers(spark, sf_dir):
     return rows.select(F.col("Row Id").alias("row_id"), F.col("Prediction").alias("printed"))
 
 
+def csv_sink_infinite(spark, sf_dir):
+    """Infinite, missing and very large predictions survive the file."""
+    orders = table(spark, sf_dir, "orders")
+    value = (
+        F.when(F.col("o_orderkey") % 5 == 0, F.lit(float("inf")))
+        .when(F.col("o_orderkey") % 5 == 1, F.lit(float("-inf")))
+        .when(F.col("o_orderkey") % 5 == 2, F.lit(1e300))
+        .when(F.col("o_orderkey") % 5 == 3, F.col("o_totalprice"))
+    )
+    frame = orders.select(F.col("o_orderkey").alias("row_id"), value.alias("prediction"))
+    path = write_csv(frame, scratch_path(spark, "csv"), decimals=4)
+    schema = T.StructType.fromDDL("`Row Id` bigint, Prediction double")
+    return read_uploads(spark, path, schema).rows.select(
+        F.col("Row Id").alias("row_id"), F.col("Prediction").alias("prediction")
+    )
+
+
 def page_slice(spark, sf_dir):
     return page(stored_events(spark, sf_dir), 7)
 
@@ -687,7 +740,8 @@ def stream_score(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        csv_scan_typed, csv_scan_quoted, csv_bind_by_name, header_dedup, schema_infer, null_tokens,
+        csv_scan_typed, csv_scan_quoted, csv_scan_inferred, csv_odd_header, csv_sink_infinite,
+        row_id_text_key, row_id_null_key, csv_bind_by_name, header_dedup, schema_infer, null_tokens,
         utf8_check, ragged_rows, cast_quarantine, leading_index, required_columns, file_admission,
         upload_status, row_id_keyed, row_id_file_order, row_id_per_upload, score_linear, score_tree,
         score_forest, score_stack, score_null_features, score_drop_null, score_mean_imputed,

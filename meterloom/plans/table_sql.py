@@ -140,7 +140,22 @@ ORACLE = {
     "csv_scan_typed": "select * from lineitem",
     "csv_scan_quoted": f"""select doc_id,
         case when list_contains({_list(NULL_TOKENS)}, text) then null else text end as text,
-        n_chars from documents""",
+        lang, source, n_chars from documents""",
+    "csv_scan_inferred": """select o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+        strftime(o_orderdate, '%Y-%m-%d') as o_orderdate, o_orderpriority from orders""",
+    "csv_odd_header": """select 'narrow' as upload, o_orderkey, o_custkey, o_totalprice from orders
+        union all select 'wide', o_orderkey + 1, o_custkey, o_totalprice from orders
+        where o_orderkey % 1000 = 0""",
+    "csv_sink_infinite": """select o_orderkey as row_id, case o_orderkey % 5
+        when 0 then 'inf'::double when 1 then '-inf'::double when 2 then 1e300::double
+        when 3 then o_totalprice end as prediction from orders""",
+    "row_id_text_key": """select c_custkey, c_name,
+        row_number() over (order by encode(c_name)) - 1 as row_id from customer""",
+    "row_id_null_key": """
+        with k as (select case when o_orderkey % 3 <> 0 then o_orderkey // 2 end as key from orders),
+        n as (select key, count(*) as n from k group by key)
+        select key, n, sum(n) over (order by key nulls last)::bigint - n as first_id,
+            sum(n) over (order by key nulls last)::bigint - 1 as last_id from n""",
     "csv_bind_by_name": """select case when o_orderkey % 2 = 0 then 'a' else 'b' end as upload,
         o_orderkey, o_custkey, o_totalprice from orders""",
     "header_dedup": """select c_custkey as first_key, c_nationkey as second_key,

@@ -41,15 +41,37 @@ def spread_by_place(
     files = max(1, -(-n_rows // (rows_per_file or ROWS_PER_FILE)))
     per_file = max(1, -(-n_rows // files))
     last = F.lit(files - 1)
+    beyond = F.raise_error(F.concat(F.lit(f"{n_rows} rows expected, found place "), F.col(place).cast("string")))
+    df = df.withColumn(place, F.when(F.col(place) >= F.lit(max(n_rows, 0)), beyond).otherwise(F.col(place)))
     file = F.least(F.coalesce(F.expr(f"{place} div {per_file}"), last), last).cast("int")
     sort = [F.col(c).asc_nulls_last() for c in order or (place,)]
     return df.repartitionById(files, file).sortWithinPartitions(*sort)
 
 
+def plain_number(value, decimals: int):
+    """A double as text without an exponent; what a decimal cannot hold is printed as a double."""
+    fits = F.abs(value) < F.lit(10.0 ** (37 - decimals))
+    infinite = F.when(value > 0, F.lit("inf")).otherwise(F.lit("-inf"))
+    return (
+        F.when(fits, F.when(fits, value).cast(f"decimal(38,{decimals})").cast("string"))
+        .when(F.abs(value) == F.lit(float("inf")), infinite)
+        .when(value.isNotNull() & ~F.isnan(value), value.cast("string"))
+    )
+
+
 def write_csv(df: DataFrame, path: str, decimals: int | None = None) -> str:
-    """Plain CSV write. `decimals` prints predictions without an exponent."""
-    if decimals is not None:
-        df = df.withColumn("prediction", F.col("prediction").cast(f"decimal(38,{decimals})"))
+    """Plain CSV write. `decimals` prints predictions without an exponent.
+
+    Infinite predictions are written as `inf` and `-inf`; null and NaN as nothing.
+    """
+    value = F.col("prediction")
+    if "prediction" in df.columns:
+        infinite = F.when(value > 0, F.lit("inf")).otherwise(F.lit("-inf"))
+        as_double = F.when(F.abs(value) == F.lit(float("inf")), infinite).when(
+            ~F.isnan(value), value.cast("string")
+        )
+        text = as_double if decimals is None else plain_number(value, decimals)
+        df = df.withColumn("prediction", text)
     df.withColumnsRenamed(CSV_NAMES).write.options(**CSV_WRITE_OPTIONS).csv(path)
     return path
 

@@ -13,14 +13,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterloom.functions.lines import split_fields, unique_names, with_fields
+from meterloom.functions.lines import unique_names, width_tiers, with_fields
 from meterloom.functions.values import drop_null_tokens, parse_as
+from meterloom.operators.schema import SPARK_TYPES, infer_types
 from meterloom.session import fence, settle
 from meterloom.sources.admission import list_files
 from meterloom.sources.lines import NumberedRecords, read_lines, read_stitched
 
+# The texts of the status report.
 BAD_ENCODING = "Error Parsing File. Please Upload a Valid CSV File!"
 BAD_CSV = "Error parsing CSV file. Upload a valid CSV file with valid columns"
+EMPTY_FILE = "No columns to parse from file"
+MISSING_BEFORE, MISSING_AFTER = "KeyError: ", ". Ensure correct columns in your Data!"
+NO_ROWS = "No predictions to display."
 
 
 @dataclass
@@ -54,10 +59,12 @@ def profile_files(numbered: NumberedRecords, leading_index: bool) -> DataFrame:
     """Header names and record counts per file, from the counts per record shape."""
     groups = numbered.groups
     headers = groups.where(F.col("first") == -1).select(
-        "source_file", F.col("first_raw").alias("header"), F.col("width").alias("n_columns")
+        "source_file", F.col("first_raw").alias("raw"), F.col("width").alias("n_columns")
     )
-    fields = F.slice(split_fields(F.col("header"), numbered.widest), F.lit(1), F.col("n_columns"))
-    named = headers.withColumn("names", unique_names(fields)).drop("header")
+    cut = with_fields(headers, F.col("n_columns"), width_tiers(numbered.widest)).drop("raw")
+    names = unique_names(F.slice("fields", F.lit(1), F.col("n_columns")))
+    # Written, as names go on into joins: the helper runs once per header.
+    named = settle(cut.withColumn("names", names).drop("fields"), "headers")
 
     extra = F.col("width") - F.col("n_columns")
     indexed = F.lit(leading_index) & F.bool_or((F.col("first") == 0) & (extra == 1))
@@ -82,11 +89,13 @@ def missing_columns(names: Column, required: list[str]) -> Column:
     return F.array_except(F.array(*map(F.lit, required)).cast("array<string>"), names)
 
 
-def classify(files: DataFrame, required: list[str], strict: bool) -> DataFrame:
-    """Status per file. A bad byte outranks everything, then an empty file, then
+def classify(files: DataFrame, required: list[str], strict: bool, known: list[str]) -> DataFrame:
+    """Status per file, and the columns of its header that are not `known`. A bad byte outranks everything, then an empty file, then
     malformed rows (only in strict mode), then missing columns."""
     malformed = F.coalesce(F.col("n_long") + F.col("n_open"), F.lit(0))
-    missing = F.coalesce(missing_columns(F.col("names"), required), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    missing = F.coalesce(missing_columns(F.col("names"), required), none)
+    extra = F.coalesce(F.array_except("names", F.array(*map(F.lit, known)).cast("array<string>")), none)
     error = (
         F.when(~F.coalesce("valid", F.lit(True)), F.lit("encoding"))
         .when(F.col("names").isNull(), F.lit("empty"))
@@ -98,23 +107,23 @@ def classify(files: DataFrame, required: list[str], strict: bool) -> DataFrame:
     kind = F.col("error_class")
     detail = (
         F.when(kind == "encoding", F.lit(BAD_ENCODING))
-        .when(kind == "empty", F.lit("No columns to parse from file"))
+        .when(kind == "empty", F.lit(EMPTY_FILE))
         .when(kind == "malformed", F.lit(BAD_CSV))
         .when(
             kind == "missing_column",
             F.concat(
-                F.lit("KeyError: "),
+                F.lit(MISSING_BEFORE),
                 F.array_join("missing", ", "),
-                F.lit(". Ensure correct columns in your Data!"),
+                F.lit(MISSING_AFTER),
             ),
         )
-        .when(kind == "no_rows", F.lit("No predictions to display."))
+        .when(kind == "no_rows", F.lit(NO_ROWS))
     )
     status = (
         F.when(kind.isin("ok", "no_rows"), 200).when(kind == "empty", 500).otherwise(422)
     )
     return (
-        files.withColumn("missing", missing)
+        files.withColumns({"missing": missing, "extra_columns": extra})
         .withColumn("error_class", error)
         .withColumns({"status": status, "detail": detail, "bad_rows": malformed})
     )
@@ -123,7 +132,7 @@ def classify(files: DataFrame, required: list[str], strict: bool) -> DataFrame:
 def read_uploads(
     spark: SparkSession,
     paths,
-    schema: T.StructType,
+    schema: T.StructType | None = None,
     required: list[str] | None = None,
     *,
     glob: str = "*.csv",
@@ -132,7 +141,7 @@ def read_uploads(
     strict: bool = False,
     one_numbering: bool = False,
 ) -> Uploads:
-    """Read CSV files into the columns of `schema`.
+    """Read CSV files into the columns of `schema`, or of `infer_schema` without one.
 
     required: columns each file must have; all of `schema` if not given.
     multiline: quoted fields may hold line breaks.
@@ -140,6 +149,9 @@ def read_uploads(
     strict: reject a file with any malformed row instead of quarantining the row.
     one_numbering: number rows through all files in path order, not per file.
     """
+    if schema is None:
+        schema = infer_schema(spark, paths, glob=glob, multiline=multiline, leading_index=leading_index)
+        required = [] if required is None else required
     # Listed before the scan is planned: a file that arrives in between is left out, not called empty.
     listed = list_files(spark, paths, glob)
     reader = read_stitched if multiline else read_lines
@@ -150,6 +162,7 @@ def read_uploads(
             listed.join(profile_files(numbered, leading_index), "source_file", "left"),
             columns if required is None else required,
             strict,
+            columns,
         ).withColumn("first_place", _first_place()),
         "files",
     )
@@ -171,7 +184,7 @@ def read_uploads(
     ).where("status = 200").drop("status")
 
     records = numbered.records(binding, n_bytes=8 * len(columns)).where(F.col("row_no") >= 0)
-    parsed = with_fields(records, numbered.widest + 1)
+    parsed = with_fields(records, F.col("allowed") + 1, _tiers(files))
     # Values are parsed array by array, one per type: the generated code stays
     # small however many columns there are.
     by_type: dict[T.DataType, list[int]] = {}
@@ -229,6 +242,35 @@ def read_uploads(
     return Uploads(judged, files, columns)
 
 
+def _tiers(files: DataFrame) -> list[int]:
+    """The parse widths that the accepted files need; a handful of numbers."""
+    widest = files.where("status = 200").agg(F.max("n_columns")).first()[0] or 1
+    tiers = width_tiers(widest + 2)
+    tier = F.lit(tiers[-1])
+    for width in reversed(tiers[:-1]):
+        tier = F.when(F.col("n_columns") + 2 <= width, width).otherwise(tier)
+    needed = files.where("status = 200").select(tier.alias("t")).distinct().collect()
+    return sorted(r.t for r in needed) or tiers[:1]
+
+
+def infer_schema(spark: SparkSession, paths, columns: list[str] | None = None, **options) -> T.StructType:
+    """Column names and types of a folder of CSV files, from their text.
+
+    `columns`: those to look at; every name in any header if not given, in the
+    order of the headers. One pass over the text for the values, by one aggregate.
+    """
+    if columns is None:
+        headers = read_headers(spark, paths, options.get("glob", "*.csv"), options.get("multiline", False))
+        at = headers.select("source_file", F.posexplode("names").alias("at", "name"))
+        # A row per distinct name.
+        first = at.groupBy("name").agg(F.min(F.struct("source_file", "at")).alias("first")).orderBy("first")
+        columns = [r.name for r in first.collect()]
+    text = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    rows = read_uploads(spark, paths, text, [], **options).rows
+    found = {r["column"]: r["type"] for r in infer_types(rows, columns).collect()}
+    return T.StructType([T.StructField(c, SPARK_TYPES[found.get(c, "double")]) for c in columns])
+
+
 def _parser(data_type: T.DataType):
     return lambda text: parse_as(text, data_type)
 

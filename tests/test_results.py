@@ -61,6 +61,57 @@ def test_csv_text(spark, tmp_path):
     assert text.splitlines() == ["Row Id,Prediction", "0,10000000.50", "1,", "2,0.10"]
 
 
+@pytest.mark.parametrize("decimals", [None, 2])
+def test_csv_keeps_every_number(spark, tmp_path, decimals):
+    inf = float("inf")
+    values = [inf, -inf, 1e37, -1e300, 0.5, float("nan"), None]
+    frame = spark.createDataFrame(list(enumerate(values)), "row_id long, prediction double")
+    folder = write_csv(frame.coalesce(1), str(tmp_path / "out"), decimals=decimals)
+    text = "".join(open(f"{folder}/{f}").read() for f in sorted(os.listdir(folder)) if f.endswith(".csv"))
+    got = [line.split(",")[1] for line in text.splitlines()[1:]]
+    assert got[:2] == ["inf", "-inf"] and got[5:] == ["", ""]
+    assert [float(v) for v in got[:5]] == values[:5]
+
+
+def test_ids_past_the_given_count_are_an_error(spark, tmp_path):
+    frame = spark.createDataFrame([(0, 1.0), (7, 2.0)], "row_id long, prediction double")
+    with pytest.raises(Exception, match="2 rows expected"):
+        write_result(frame, str(tmp_path), n_rows=2)
+
+
+def test_means_belong_to_a_file(spark, folder, tmp_path):
+    path = folder(one="a,b\n2,0\n,0\n", two="a,b\n5000,0\n,0\n")
+    model = Linear({"a": 1.0, "b": 0.0})
+    batch = score_files(spark, path, model, on_null="mean")
+    got = {(r.source_file[-7:-4], r.row_id): r.prediction for r in batch.predictions.collect()}
+    assert got == {("one", 0): 2.0, ("one", 1): 2.0, ("two", 0): 5000.0, ("two", 1): 5000.0}
+    given = score_files(spark, path, model, on_null="mean", means={"a": 7.0, "b": 0.0})
+    assert {r.prediction for r in given.predictions.where("row_id = 1").collect()} == {7.0}
+    for max_files in (1, 2):
+        out, state = (str(tmp_path / f"{n}{max_files}") for n in ("out", "state"))
+        score_stream(spark, path, model, out, state, max_files=max_files, on_null="mean").awaitTermination()
+        rows = lambda df: sorted(map(tuple, df.collect()))
+        assert rows(read_run(spark, out, "scored")) == rows(batch.predictions)
+        assert "batch" not in read_run(spark, out, "status").columns
+
+
+def test_a_file_that_arrives_late_is_left_out(spark, folder, tmp_path, monkeypatch):
+    from meterloom.sources import uploads
+
+    path = folder(one="a,b\n1,0\n")
+    list_files_ = uploads.list_files
+
+    def then_one_more(*args):
+        listed = list_files_(*args)
+        (tmp_path / "late.csv").write_text("a,b\n9,0\n")
+        return listed
+
+    monkeypatch.setattr(uploads, "list_files", then_one_more)
+    scored = score_files(spark, path, MODEL)
+    assert [r.error_class for r in scored.files.collect()] == ["ok"]
+    assert scored.predictions.count() == 1
+
+
 def test_missing_ids_come_last(spark, tmp_path):
     frame = spark.createDataFrame([(None, 1.0), (1, 2.0), (0, 3.0)], "row_id long, prediction double")
     for n_rows in (None, 2):
@@ -84,8 +135,9 @@ def test_run_writes_predictions_quarantine_and_status(spark, folder, tmp_path):
     assert [(r.row_id, r.reason, r["columns"]) for r in bad] == [(1, "bad_value", ["a"]), (2, "long_row", [])]
     status = read_run(spark, first, "status").orderBy("source_file").collect()
     assert [(r.status, r.error_class, r.rows, r.bad_rows) for r in status] == [
-        (500, "empty", 0, 0), (200, "ok", 2, 0), (422, "missing_column", 1, 0), (200, "ok", 4, 1),
+        (500, "empty", 0, 0), (200, "ok", 2, 0), (422, "missing_column", 1, 0), (200, "ok", 4, 2),
     ]
+    assert [r.extra_columns for r in status] == [[], ["more"], [], []]
     csv = run(spark, path, MODEL, base, format="csv", strict=True)
     lines = [r.value for r in spark.read.text(f"{csv}/csv").collect()]
     assert lines[0] == "source_file,Row Id,Prediction"

@@ -120,8 +120,17 @@ def test_ids_by_time_and_of_nothing(spark):
     )
     assert with_row_id(frame, "at").where("row_id <> id").count() == 0
     assert with_row_id(frame.where("id < 0"), "at").count() == 0
-    with pytest.raises(TypeError):
-        with_row_id(frame.withColumn("s", F.lit("x")), "s")
+
+
+def test_ids_lose_no_row(spark):
+    """Null, repeated and text keys; a key that half of the rows share is split over ranges."""
+    rows = [(None if i % 10 == 0 else "same" if i % 2 else f"k{i:04d}", i) for i in range(1000)]
+    frame = spark.createDataFrame(rows, "k string, n int").repartition(3)
+    numbered = with_row_id(frame, "k", buckets=8)
+    got = sorted((r.row_id, r.k) for r in numbered.collect())
+    assert [i for i, _ in got] == list(range(1000))
+    assert [k for _, k in got] == sorted((k for k, _ in rows if k), key=str) + [None] * 100
+    assert numbered.columns == ["k", "n", "row_id"]
 
 
 def test_spread_keeps_total_order(spark):
