@@ -12,19 +12,23 @@ empty result. Only the named columns are read, so clashing names do no harm.
 
 from __future__ import annotations
 
-import zlib
+import sys
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterloom.llm.remember import Recent, once_per_worker
 from meterloom.session import settle
 
+assert sys.byteorder == "little" and array("I").itemsize == 4
+
 LENGTH = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-#: Words kept with their ids in each Python worker.
-REMEMBERED_WORDS = 400_000
+#: Words kept with their ids in each Python worker, twice as many at most; about 200 bytes a word.
+REMEMBERED_WORDS = 600_000
 LONGEST_REMEMBERED = 48
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, task int, place bigint"
@@ -48,28 +52,23 @@ class WordTokenizer:
 
             path = public_tokenizers.path(TOKENIZER)
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known = Recent(REMEMBERED_WORDS)
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode("utf-8") for w in words]
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in encoded]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        import numpy as np
-
         words = [t.encode("utf-8").split() for t in texts]
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known = {}
-        known, rare = self.known, {}
-        new = list({w for ws in words for w in ws if w not in known})
-        if new:
-            encoded = self.tokenizer.encode_batch([w.decode("utf-8") for w in new], add_special_tokens=False)
-            for w, e in zip(new, encoded):
-                ids = np.array(e.ids, "<u4").tobytes()
-                if len(w) <= LONGEST_REMEMBERED:
-                    known[w] = ids
-                else:
-                    rare[w] = ids
-        if not rare:
+        distinct = set().union(*words)
+        long = [w for w in distinct if len(w) > LONGEST_REMEMBERED]
+        known = self.known.settle(distinct.difference(long), self._words)
+        if not long:
             return [b"".join(map(known.__getitem__, ws)) for ws in words]
-        return [b"".join([known.get(w) or rare.get(w, b"") for w in ws]) for ws in words]
+        rare = dict(zip(long, self._words(long)))
+        return [b"".join([rare[w] if w in rare else known[w] for w in ws]) for ws in words]
 
 
 def piece_lengths(n: int, length: int = LENGTH) -> list[int]:
@@ -90,7 +89,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        tokenizer = WordTokenizer(path)
+        tokenizer = once_per_worker(("words", path), lambda: WordTokenizer(path))
         task, place = TaskContext.get().partitionId(), 0
         end = END_ID.to_bytes(4, "little")
         schema = pa.schema([
@@ -139,7 +138,3 @@ def number_sequences(pieces: DataFrame) -> DataFrame:
         .withColumn("offset", F.lit(0).cast("long"))
         .drop("task", "place", "first")
     )
-
-
-def crc32_of(ids: bytes) -> int:
-    return zlib.crc32(ids)

@@ -25,19 +25,20 @@ gives an empty result.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterloom.llm.remember import Recent, once_per_worker
+
 MARK = "▁"
 #: A character without a piece scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 NORMAL, BYTE = 1, 6
 REMEMBERED_SEGMENTS = 400_000
 LONGEST_REMEMBERED = 48
-#: Code points of a text that are searched at a time.
-CHUNK = 1 << 16
 SCHEMA = "doc_id bigint, text string, ids binary, decoded string"
 
 
@@ -141,45 +142,42 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.known: dict[str, list[int]] = {}
+        self.known = Recent(REMEMBERED_SEGMENTS)
         # marks and the run after them, or what stands before the first mark
         self.segment = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if vocabulary.cuts_at_mark else None
 
-    def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        marked = MARK + text.replace(" ", MARK)
+    def _segments(self, segments: list[str]) -> list[bytes]:
         search = self.vocabulary.search
+        return [array("I", [i for ids in search(s) for i in ids]).tobytes() for s in segments]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
         if self.segment is None:
-            return [i for ids in search(marked) for i in ids]
-        if len(self.known) > REMEMBERED_SEGMENTS:
-            self.known = {}
-        known, out = self.known, []
-        for s in self.segment.findall(marked):
-            ids = known.get(s)
-            if ids is None:
-                ids = [i for part in search(s) for i in part]
-                if len(s) <= LONGEST_REMEMBERED:
-                    known[s] = ids
-            out += ids
-        return out
+            return self._segments(marked)
+        parts = [self.segment.findall(t) for t in marked]
+        distinct = set().union(*parts)
+        long = [s for s in distinct if len(s) > LONGEST_REMEMBERED]
+        known = self.known.settle(distinct.difference(long), self._segments)
+        if not long:
+            return [b"".join(map(known.__getitem__, own)) for own in parts]
+        rare = dict(zip(long, self._segments(long)))
+        return [b"".join([rare[s] if s in rare else known[s] for s in own]) for own in parts]
 
 
 def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None):
     """doc_id, text, ids (packed little-endian unsigned 32-bit numbers) and the text decoded from them."""
 
     def work(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
-        vocabulary = Vocabulary(path)
-        encoder = Encoder(vocabulary)
+        encoder = once_per_worker(("pieces", path), lambda: Encoder(Vocabulary(path)))
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                ids = [encoder.encode(t or "") for t in part.column(1).to_pylist()]
-                packed = pa.array([np.array(i, "<u4").tobytes() for i in ids], pa.binary())
-                back = pa.array([vocabulary.decode(i) for i in ids], pa.string())
+                packed = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+                back = pa.array([encoder.vocabulary.decode(array("I", i)) for i in packed], pa.string())
+                packed = pa.array(packed, pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, packed, back], names=["doc_id", "text", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
