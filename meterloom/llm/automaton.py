@@ -67,10 +67,14 @@ class WordAutomaton:
                 least[link[state]] = least[state]
         self.follow, self.link, self.longest, self.least = follow, link, longest, least
 
-    def find(self, passage: bytes, doc: int):
-        """A flag for every window of the passage, and a function that cuts a range of words out of it."""
+    def find(self, passages: list[bytes], docs: list[int]):
+        """For each passage a flag per window, and a function that cuts a range of words out of it."""
+        split = [p.split(b" ") for p in passages]
+        cuts = [lambda a, b, words=words: b" ".join(words[a:b]) for words in split]
+        return [self._stream(words, doc) for words, doc in zip(split, docs)], cuts
+
+    def _stream(self, words: list[bytes], doc: int) -> np.ndarray:
         follow, link, longest, least, length = self.follow, self.link, self.longest, self.least, self.length
-        words = passage.split(b" ")
         flags = np.zeros(len(words) - length + 1, bool)
         state = size = 0
         for i, w in enumerate(words):
@@ -88,7 +92,7 @@ class WordAutomaton:
                     state = link[state]
                 size = length
                 flags[i - length + 1] = least[state] < doc
-        return flags, lambda a, b: b" ".join(words[a:b])
+        return flags
 
 
 def remove_repeats(docs: DataFrame, length: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -53,7 +53,12 @@ def grams(units: np.ndarray, k: int) -> np.ndarray:
     for at in range(0, n, CHUNK):
         part = units[at : at + CHUNK + k - 1]
         m = len(part) - k + 1
-        out[at : at + m] = runs(part, np.arange(m), np.arange(k, m + k))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * _power(_BASE, len(part)), out=sums[1:])
+        own = sums[k:] - sums[:-k]
+        own *= _power(_INVERSE, m)
+        own += np.uint64(k)
+        out[at : at + m] = mix(own)
     return out
 
 

@@ -7,8 +7,8 @@ work follow what repeats, not what could repeat:
 1. Anchors. In every window, the run of k units with the least hash is its
    anchor; equal windows have equal anchors at equal places. Only anchors are
    shuffled, about 2 in (length - k + 2) positions, and only those that occur in
-   two documents are followed up. The smallest such document is the anchor's
-   source.
+   two documents are followed up. Short runs thin out the texts first; then, on
+   what is left, longer ones, whose smallest document is the anchor's source.
 2. Matching. The sources' passages around their anchors are dealt to reference
    shards of bounded size, and the passages of other documents to the shard of
    their source. A matcher (suffix automaton, suffix array) is built for each
@@ -38,22 +38,26 @@ from pyspark.sql import functions as F
 from meterloom.llm.grams import grams, mix, words
 from meterloom.session import settle
 
-#: Lengths of the runs of the successive rounds; the window's own length follows.
-RUNS = (24,)
+#: Lengths of the runs that thin out the texts, and of those that name a source in the first round.
+SIEVE, FIRST_RUN = 24, 40
 #: Bytes of reference passages in a shard, and of passages that are streamed past one copy of it.
 SHARD_BYTES = 1 << 18
 BLOCK_BYTES = 1 << 23
-_SHORT = np.uint64(0xFFFFFFFFFFFF)
+#: Bytes of passages that a matcher is given at a time.
+GIVEN_BYTES = 1 << 19
+_SHORT, _NONE = np.uint64(0xFFFFFFFFFFFF), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 class Words:
     """Units are words `[^\\x20\\x09-\\x0D]+`; a passage is its words joined by one space."""
 
     @staticmethod
-    def read(raw: bytes):
-        """Hashes of the units, and what `passage` needs."""
+    def read(slices: list[bytes]):
+        """Hashes of the units of all slices, units per slice, and what `passage` needs."""
+        raw = b" ".join(slices)
         hashes, starts, ends = words(np.frombuffer(raw, np.uint8))
-        return hashes, (raw, starts, ends)
+        sizes = [len(hashes)] if len(slices) == 1 else [s.count(b" ") + 1 for s in slices]
+        return hashes, np.array(sizes, np.int64), (raw, starts, ends)
 
     @staticmethod
     def passage(read, start: int, end: int) -> bytes:
@@ -67,8 +71,13 @@ class Bytes:
     _hash = mix(np.arange(1, 257, dtype=np.uint64))
 
     @staticmethod
-    def read(raw: bytes):
-        return Bytes._hash[np.frombuffer(raw, np.uint8)], raw
+    def hashes(raw: bytes) -> np.ndarray:
+        return Bytes._hash[np.frombuffer(raw, np.uint8)]
+
+    @staticmethod
+    def read(slices: list[bytes]):
+        raw = b"".join(slices)
+        return Bytes.hashes(raw), np.array([len(s) for s in slices], np.int64), raw
 
     @staticmethod
     def passage(read, start: int, end: int) -> bytes:
@@ -85,20 +94,28 @@ def _least_of(values: np.ndarray, width: int, least=np.minimum) -> np.ndarray:
     return out
 
 
-def anchors(hashes: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and shortened hashes of the runs of k units that are least in some window of `length` units."""
+def anchors(hashes: np.ndarray, sizes: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and shortened hashes of the runs of k units that are least in some window of `length` units.
+
+    `sizes`: units per slice; no run crosses from one slice to the next. Windows
+    that do may choose a run too many, which does no harm.
+    """
     if len(hashes) < length:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     runs = grams(hashes, k)
+    inside = np.ones(len(runs), bool)
+    if len(sizes) > 1:
+        for end in np.cumsum(sizes)[:-1].tolist():
+            inside[max(0, end - k + 1) : end] = False
+        runs[~inside] = _NONE
     width = length - k + 1
     if width > 1:
         least = _least_of(runs, width)
         # a run is chosen if the greatest of the least values of its windows is its own
         edge = np.zeros(width - 1, np.uint64)
         greatest = _least_of(np.concatenate([edge, least, edge]), width, np.maximum)
-        places = np.flatnonzero(greatest == runs)
-    else:
-        places = np.arange(len(runs))
+        inside &= greatest == runs
+    places = np.flatnonzero(inside)
     return places, runs[places] & _SHORT
 
 
@@ -123,8 +140,9 @@ def _shared_anchors(pieces: DataFrame, units, length: int, k: int) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 docs, hashes = [], []
-                for doc, raw in zip(part.column("doc").to_pylist(), part.column("payload").to_pylist()):
-                    own = np.unique(anchors(units.read(raw)[0], length, k)[1])
+                for doc, slices in zip(part.column("doc").to_pylist(), part.column("slices").to_pylist()):
+                    unit_hashes, sizes, _ = units.read([x["payload"] for x in slices])
+                    own = np.unique(anchors(unit_hashes, sizes, length, k)[1])
                     docs.append(np.full(len(own), doc, np.int64))
                     hashes.append(own)
                 docs, hashes = np.concatenate(docs), np.concatenate(hashes)
@@ -176,6 +194,66 @@ def _shared_anchors(pieces: DataFrame, units, length: int, k: int) -> DataFrame:
     return met.groupBy("doc").agg(F.collect_list(F.struct("hashes", "sources")).alias("found"))
 
 
+def _passages(pieces: DataFrame, shared: DataFrame, units, length: int, k: int):
+    """For tasks: per document its row and (start, end, source, where, read) of its passages around shared anchors."""
+
+    def of(row, by_source):
+        known = np.concatenate([_unpack(f["hashes"]) for f in row["found"]])
+        source = np.concatenate([np.frombuffer(f["sources"], np.int64) for f in row["found"]])
+        order = np.argsort(known)
+        known, source = known[order], source[order]
+        hashes, sizes, read = units.read([x["payload"] for x in row["slices"]])
+        places, own = anchors(hashes, sizes, length, k)
+        spot = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        hit = known[spot] == own
+        places, source = places[hit], source[spot[hit]]
+        if not len(places):
+            return read, []
+        if not by_source:
+            source = np.zeros_like(source)
+        ends = np.cumsum(sizes)
+        piece = np.searchsorted(ends, places, side="right")
+        # neighbours with one source whose passages touch become one passage
+        new = (np.diff(places, prepend=places[0]) > length) | (np.diff(piece, prepend=piece[0]) != 0)
+        new |= np.diff(source, prepend=source[0]) != 0
+        new[0] = True
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(places)) - 1
+        piece = piece[first]
+        begin = ends[piece] - sizes[piece]
+        start = np.maximum(begin, places[first] - (length - k))
+        end = np.minimum(ends[piece], places[last] + length)
+        at = np.array([x["start"] for x in row["slices"]], np.int64)[piece] + start - begin
+        return read, list(zip(start.tolist(), end.tolist(), source[first].tolist(), at.tolist()))
+
+    return pieces.join(shared, "doc"), of
+
+
+def _sieve(pieces: DataFrame, shared: DataFrame, units, length: int, k: int) -> DataFrame:
+    """`pieces` cut down to what lies around shared anchors."""
+    import pyarrow as pa
+
+    joined, of = _passages(pieces, shared, units, length, k)
+    slices = pa.list_(pa.struct([("start", pa.int64()), ("payload", pa.binary())]))
+
+    def cut(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = []
+                for r in batch.slice(at, 256).to_pylist():
+                    read, found = of(r, False)
+                    if found:
+                        own = [{"start": p, "payload": units.passage(read, a, b)} for a, b, _, p in found]
+                        rows.append((r["doc"], r["crc"], own))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 3, (pa.int64(), pa.int64(), slices))],
+                    names=["doc", "crc", "slices"],
+                )
+
+    return joined.mapInArrow(cut, _PIECES)
+
+
+_PIECES = "doc bigint, crc bigint, slices array<struct<start:bigint,payload:binary>>"
 _ROUTES = "source bigint, kind int, doc bigint, crc bigint, start bigint, payload binary"
 
 
@@ -183,44 +261,23 @@ def _routes(pieces: DataFrame, shared: DataFrame, units, length: int, k: int) ->
     """Passages around shared anchors: kind 0 of a source itself, kind 1 of another document."""
     import pyarrow as pa
 
+    joined, of = _passages(pieces, shared, units, length, k)
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
     def route(batches: Iterator) -> Iterator:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = []
                 for r in batch.slice(at, 256).to_pylist():
-                    known = np.concatenate([_unpack(f["hashes"]) for f in r["found"]])
-                    source = np.concatenate([np.frombuffer(f["sources"], np.int64) for f in r["found"]])
-                    order = np.argsort(known)
-                    known, source = known[order], source[order]
-                    hashes, read = units.read(r["payload"])
-                    places, own = anchors(hashes, length, k)
-                    if not len(places):
-                        continue
-                    spot = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    hit = known[spot] == own
-                    places, source = places[hit], source[spot[hit]]
-                    # neighbours with one source whose passages touch become one passage
-                    new = (np.diff(source, prepend=source[:1] - 1) != 0) | (np.diff(places, prepend=0) > length)
-                    cuts = np.flatnonzero(new)
-                    for a, b in zip(cuts, [*cuts[1:], len(places)]):
-                        start = max(0, int(places[a]) - (length - k))
-                        end = min(len(hashes), int(places[b - 1]) + length)
-                        to = int(source[a])
-                        rows.append(
-                            (to, int(to != r["doc"]), r["doc"], r["crc"], r["start"] + start, units.passage(read, start, end))
-                        )
+                    read, found = of(r, True)
+                    doc, crc = r["doc"], r["crc"]
+                    rows += [(to, int(to != doc), doc, crc, p, units.passage(read, a, b)) for a, b, to, p in found]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(c, t)
-                        for c, t in zip(
-                            zip(*rows) if rows else ([],) * 6,
-                            (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()),
-                        )
-                    ],
+                    [pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 6, types)],
                     names=["source", "kind", "doc", "crc", "start", "payload"],
                 )
 
-    return pieces.join(shared, "doc").mapInArrow(route, _ROUTES)
+    return joined.mapInArrow(route, _ROUTES)
 
 
 def _matched(routes: DataFrame, matcher: Callable, length: int) -> DataFrame:
@@ -245,31 +302,49 @@ def _matched(routes: DataFrame, matcher: Callable, length: int) -> DataFrame:
     )
 
     def match(batches: Iterator) -> Iterator:
-        at, references, index = None, [], None
-        for batch in batches:
+        at, references, index, given, size = None, [], None, [], 0
+
+        def judge():
+            """Rows for the passages that were given; one flag per window tells what was found."""
             out = []
+            flags, cuts = index.find([r["payload"] for r in given], [r["doc"] for r in given])
+            sizes = np.array([len(f) for f in flags], np.int64)
+            joined = np.concatenate(flags)
+            new = np.diff(joined.view(np.int8), prepend=2) != 0
+            offsets = np.cumsum(sizes) - sizes
+            new[offsets] = True
+            first = np.flatnonzero(new)
+            of = np.searchsorted(offsets, first, side="right") - 1
+            starts = first - offsets[of]
+            ends = np.append(first[1:], len(joined)) - offsets[of] + length - 1
+            for i, a, b, hit in zip(of.tolist(), starts.tolist(), ends.tolist(), joined[first].tolist()):
+                r = given[i]
+                out.append((r["doc"], r["crc"], r["start"] + a, r["start"] + b, None if hit else cuts[i](a, b)))
+            given.clear()
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out), types)],
+                names=["doc", "crc", "start", "end", "payload"],
+            )
+
+        for batch in batches:
             for r in batch.to_pylist():
                 if (r["shard"], r["block"]) != at:
-                    at, references, index = (r["shard"], r["block"]), [], None
+                    if given:
+                        yield judge()
+                    at, references, index, size = (r["shard"], r["block"]), [], None, 0
                 if r["kind"] == 0:
                     references.append((r["doc"], r["payload"]))
                     continue
                 if index is None:
                     index, references = matcher(references, length), []
-                flags, passage = index.find(r["payload"], r["doc"])  # one flag per window
-                edges = np.flatnonzero(np.diff(flags.astype(np.int8), prepend=2, append=2))
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                    rest = None if flags[a] else passage(a, b + length - 1)
-                    out.append((r["doc"], r["crc"], r["start"] + a, r["start"] + b + length - 1, rest))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(c, t)
-                    for c, t in zip(
-                        zip(*out) if out else ([],) * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                    )
-                ],
-                names=["doc", "crc", "start", "end", "payload"],
-            )
+                given.append(r)
+                size += len(r["payload"])
+                if size > GIVEN_BYTES:
+                    yield judge()
+                    size = 0
+        if given:
+            yield judge()
 
     columns = dealt.select("shard", "block", "kind", "doc", "crc", "start", "payload")
     return columns.mapInArrow(match, "doc bigint, crc bigint, start bigint, end bigint, payload binary")
@@ -278,19 +353,19 @@ def _matched(routes: DataFrame, matcher: Callable, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, units, matcher: Callable, length: int, id_col: str, text_col: str) -> DataFrame:
     """(doc, crc, spans): per text, its unit ranges that are covered by repeated windows; ranges may overlap."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), text.cast("binary").alias("payload")))
     pieces = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("doc"),
-        F.crc32(text).alias("crc"),
-        F.lit(0).cast("long").alias("start"),
-        text.cast("binary").alias("payload"),
+        F.col(id_col).cast("long").alias("doc"), F.crc32(text).alias("crc"), whole.alias("slices")
     )
+    pieces = settle(_sieve(pieces, _shared_anchors(pieces, units, length, SIEVE), units, length, SIEVE), "sieved")
     found = []
-    for k in (*RUNS, length):
+    for k in (FIRST_RUN, length):
         shared = _shared_anchors(pieces, units, length, k)
         routes = settle(_routes(pieces, shared, units, length, k), "passages")
         judged = settle(_matched(routes, matcher, length), "matches")
         found.append(judged.where("payload is null").drop("payload"))
-        pieces = judged.where("payload is not null").drop("end")
+        rest = judged.where("payload is not null").groupBy("doc", "crc")
+        pieces = rest.agg(F.collect_list(F.struct("start", "payload")).alias("slices"))
     all_found = found[0]
     for more in found[1:]:
         all_found = all_found.unionByName(more)
