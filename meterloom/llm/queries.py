@@ -13,7 +13,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.find_secrets(_documents(spark, sf_dir).select("doc_id", "text"))
+    found = secret_scan.find_secrets(_documents(spark, sf_dir), carry=["doc_id"])
 
     def count(kind):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

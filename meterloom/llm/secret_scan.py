@@ -85,8 +85,12 @@ def _matches(text: Column, order: int, pattern: str, test: str | None) -> Column
     return F.when(text.rlike(test or pattern), rows).otherwise(none)
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """`docs` with `spans`: array of (start, order, end, kind, base), by start, then kind, then end."""
+def find_secrets(docs: DataFrame, text_col: str = "text", scope: int = SCOPE, carry=None) -> DataFrame:
+    """`docs` with `spans`: array of (start, order, end, kind, base), by start, then kind, then end.
+
+    `carry`: the columns to keep, all if not given; others do not travel.
+    """
+    columns = [c for c in (carry or docs.columns) if c != "spans"]
     text = F.coalesce(F.col(text_col), F.lit(""))
     header = F.array(
         F.struct(
@@ -98,7 +102,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", scope: int = SCOPE) ->
         )
     )
     found = F.concat(header, *[_matches(text, i, pattern, test) for i, (_, _, pattern, test) in enumerate(KINDS)])
-    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    carried = F.struct(*[F.col(f"`{c}`") for c in columns])
     rows = (
         docs.select(carried.alias("_ss_doc"), F.monotonically_increasing_id().alias("_ss_row"), found.alias("_ss_found"))
         .select("_ss_doc", "_ss_row", F.explode("_ss_found").alias("p"))
@@ -141,7 +145,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", scope: int = SCOPE) ->
         F.first("_ss_doc", ignorenulls=True).alias("_ss_doc"), F.array_sort(F.collect_list(kept)).alias("_ss_spans")
     )
     return per_doc.select(
-        *[F.col("_ss_doc").getField(c).alias(c) for c in docs.columns if c != "spans"], F.col("_ss_spans").alias("spans")
+        *[F.col("_ss_doc").getField(c).alias(c) for c in columns], F.col("_ss_spans").alias("spans")
     )
 
 
