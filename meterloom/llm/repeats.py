@@ -211,9 +211,11 @@ def _passages(pieces: DataFrame, shared: DataFrame, units, length: int, k: int):
             return read, []
         if not by_source:
             source = np.zeros_like(source)
+        order = np.lexsort((places, source))
+        places, source = places[order], source[order]
         ends = np.cumsum(sizes)
         piece = np.searchsorted(ends, places, side="right")
-        # neighbours with one source whose passages touch become one passage
+        # anchors of one source whose passages touch share one passage
         new = (np.diff(places, prepend=places[0]) > length) | (np.diff(piece, prepend=piece[0]) != 0)
         new |= np.diff(source, prepend=source[0]) != 0
         new[0] = True
