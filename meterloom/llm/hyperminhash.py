@@ -11,9 +11,10 @@ confirmed on their full sets.
 A band's bucket may hold a third of all documents, so its pairs are never all
 made. Equal sets are one node. In a first round every node is compared with one
 centre of its bucket; nodes linked to a centre are then one component, and only
-pairs across components are left. While those are many, further rounds take
-other centres; at last all pairs across components that share a bucket are
-compared, so no link between components is lost.
+pairs across components are left. While those are many and links turn up,
+further rounds take other centres; at last all pairs across components that
+share a bucket and are near in size are compared, so no link between components
+is lost.
 
 The chance that two sets at the bound agree in no band is (1 - 0.8^4)^32, below
 one in ten million.
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.llm.components import connected
-from meterloom.llm.grams import LOWER, shingles
+from meterloom.llm.grams import LOWER, mix, shingles
 from meterloom.session import settle
 
 REGISTERS = 128
@@ -53,18 +54,33 @@ def lowered(text: str | None) -> np.ndarray:
     return LOWER[np.frombuffer((text or "").encode("utf-8"), np.uint8)]
 
 
+_SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64))[:, None]
+
+
+def _register(values: np.ndarray) -> np.ndarray:
+    """Leading zeros and the bits after the first one, never 0."""
+    top = values >> np.uint64(11)
+    zeros = np.where(top == 0, 53, 53 - np.frexp(top.astype(np.float64))[1]).astype(np.uint64)
+    mantissa = (values << zeros << np.uint64(1)) >> np.uint64(64 - MANTISSA)
+    return (((zeros + np.uint64(1)) << np.uint64(MANTISSA)) | mantissa).astype(np.uint16)
+
+
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """REGISTERS numbers of 16 bits from sorted distinct hashes; 0 marks an empty register."""
+    """REGISTERS numbers of 16 bits from sorted distinct hashes; all 0 for an empty set.
+
+    A bucket that no hash falls into takes the least of all hashes under a
+    permutation of its own, so that small sets too agree in a register about as
+    often as they are similar, and not wherever both have nothing.
+    """
     out = np.zeros(REGISTERS, np.uint16)
     if not len(hashes):
         return out
     bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     first = np.flatnonzero(np.diff(bucket, prepend=-1))  # sorted: the least value of its bucket
-    rest = hashes[first] << np.uint64(BUCKET_BITS)
-    exponent = np.frexp((rest >> np.uint64(11)).astype(np.float64))[1]
-    zeros = np.where(rest >> np.uint64(11) == 0, 53, 53 - exponent).astype(np.uint64)
-    mantissa = (rest << zeros << np.uint64(1)) >> np.uint64(64 - MANTISSA)
-    out[bucket[first]] = (((zeros + np.uint64(1)) << np.uint64(MANTISSA)) | mantissa).astype(np.uint16)
+    out[bucket[first]] = _register(hashes[first] << np.uint64(BUCKET_BITS))
+    for b in np.array_split(np.flatnonzero(out == 0), 8):
+        if len(b):
+            out[b] = _register(mix(hashes[None, :] ^ _SEEDS[b]).min(axis=1))
     return out
 
 
@@ -103,24 +119,26 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
 
         import pyarrow as pa
 
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            sizes, digests, crcs, registers = [], [], [], []
-            for t in texts:
-                own = shingles(lowered(t), words)
-                sizes.append(len(own))
-                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                crcs.append(zlib.crc32((t or "").encode("utf-8")))
-                registers.append(sketch(own))
-            flat = np.concatenate(registers).view(np.int64) if registers else np.empty(0, np.int64)
-            offsets = np.arange(len(texts) + 1, dtype=np.int32) * (REGISTERS // PER_BAND)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                    pa.array(crcs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                ],
-                names=["doc_id", "n_shingles", "digest", "crc", "registers"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                texts = batch.column(1).to_pylist()
+                sizes, digests, crcs, registers = [], [], [], []
+                for t in texts:
+                    own = shingles(lowered(t), words)
+                    sizes.append(len(own))
+                    digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                    crcs.append(zlib.crc32((t or "").encode("utf-8")))
+                    registers.append(sketch(own))
+                flat = np.concatenate(registers).view(np.int64) if registers else np.empty(0, np.int64)
+                offsets = np.arange(len(texts) + 1, dtype=np.int32) * (REGISTERS // PER_BAND)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                        pa.array(crcs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                    ],
+                    names=["doc_id", "n_shingles", "digest", "crc", "registers"],
+                )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(
@@ -129,9 +147,9 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, nid) of all buckets with more than one node."""
-    members = nodes.select("nid", F.posexplode("registers").alias("band", "word")).where("word <> 0")
-    members = members.select(F.xxhash64("band", "word").alias("bucket"), "nid")
+    """(bucket, nid, size) of all buckets with more than one node."""
+    members = nodes.select("nid", "n_shingles", F.posexplode("registers").alias("band", "word"))
+    members = members.select(F.xxhash64("band", "word").alias("bucket"), "nid", F.col("n_shingles").alias("size"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     return settle(members.join(shared, "bucket"), "buckets")
 
@@ -147,12 +165,10 @@ def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str, te
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (a, b) that sizes and sketches do not rule out."""
+    """Pairs (a, b) that the sketches do not rule out."""
 
     def work(batches: Iterator) -> Iterator:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(at, 4096) for whole in batches for at in range(0, whole.num_rows, 4096)):
             sketches = [
                 batch.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(-1, REGISTERS)
                 for c in ("ra", "rb")
@@ -165,8 +181,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame
 
     left = nodes.select(F.col("nid").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
     right = nodes.select(F.col("nid").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
-    near_size = (100 * F.least("na", "nb")) >= (similarity * F.greatest("na", "nb"))
-    return pairs.join(left, "a").join(right, "b").where(near_size).mapInArrow(work, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(work, "a bigint, b bigint")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
@@ -176,7 +191,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: int)
         import pyarrow as pa
 
         last, last_set = None, None
-        for batch in batches:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             keep = []
             for row in batch.to_pylist():
                 if row["b"] != last:
@@ -234,12 +249,13 @@ def _link(docs, nodes, buckets, words, similarity, id_col, text_col) -> DataFram
     links = spark.createDataFrame([], "a bigint, b bigint")
     tested = links
     labels = spark.createDataFrame([], "node bigint, component bigint")
+    found = None
     for turn in range(STAR_ROUNDS + 1):
         members = buckets.join(labels, buckets["nid"] == labels["node"], "left").select(
-            "bucket", "nid", F.coalesce("component", "nid").alias("component")
+            "bucket", "nid", "size", F.coalesce("component", "nid").alias("component")
         )
         groups = members.groupBy("bucket", "component").agg(
-            F.count("*").alias("n"), F.min(F.struct(F.xxhash64("nid", F.lit(turn)), "nid")).alias("first")
+            F.count("*").alias("n"), F.min(F.struct(F.xxhash64("nid", F.lit(turn)), "nid", "size")).alias("first")
         )
         open_ = (
             groups.groupBy("bucket")
@@ -253,23 +269,27 @@ def _link(docs, nodes, buckets, words, similarity, id_col, text_col) -> DataFram
             .where("parts > 1")
             .select(
                 "bucket", "n", ((F.col("n") * F.col("n") - F.col("within")) / 2).alias("across"),
-                F.col("centre.nid").alias("centre"), F.col("largest.component").alias("largest"),
+                F.col("centre.nid").alias("centre"), F.col("centre.size").alias("centre_size"),
+                F.col("largest.component").alias("largest"),
             )
         )
         open_ = settle(open_, "open-buckets")
         size, across = open_.agg(F.sum("n"), F.sum("across")).first()
         if not size:
             break
-        last = turn == STAR_ROUNDS or across <= FEW * size
+        last = turn == STAR_ROUNDS or across <= FEW * size or found == 0
+        near_size = 100 * F.least("size", "other_size") >= similarity * F.greatest("size", "other_size")
         if last:
-            others = members.select("bucket", F.col("nid").alias("other"), F.col("component").alias("oc"))
+            others = members.select("bucket", F.col("nid").alias("other"), F.col("component").alias("oc"), F.col("size").alias("other_size"))
             outside = members.join(open_.select("bucket", "largest"), "bucket").where("component <> largest")
-            met = outside.join(others, "bucket").where("component <> oc")
+            met = outside.join(others, "bucket").where((F.col("component") != F.col("oc")) & near_size)
         else:
-            met = members.join(open_.select("bucket", F.col("centre").alias("other")), "bucket").where("nid <> other")
+            centres = open_.select("bucket", F.col("centre").alias("other"), F.col("centre_size").alias("other_size"))
+            met = members.join(centres, "bucket").where((F.col("nid") != F.col("other")) & near_size)
         pairs = met.select(F.greatest("nid", "other").alias("a"), F.least("nid", "other").alias("b")).distinct()
         pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         new = settle(_confirmed(settle(_plausible(pairs, nodes, similarity), "plausible"), texts, words, similarity), "links")
+        found = new.count()
         links = links.unionByName(new)
         tested = tested.unionByName(pairs)
         labels = settle(connected(links), "labels")
