@@ -17,6 +17,8 @@ def spark(tmp_path_factory):
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.showConsoleProgress": "false",
+            # sorts spill early, so that nothing leans on rows staying in memory
+            "spark.shuffle.spill.numElementsForceSpillThreshold": "5000",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         },
     )

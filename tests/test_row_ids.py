@@ -56,6 +56,33 @@ def test_numbering_without_broadcast(spark, five_files, small_splits, monkeypatc
     assert rows.where("row_id <> n").count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+def test_line_breaks_keep_their_order(spark, folder, small_splits, monkeypatch, limit):
+    """Quoted files whose lookups are broadcast or joined by a shuffle that spills."""
+    monkeypatch.setattr(lines, "MAX_BROADCAST_BYTES", limit)
+    files = {
+        name: "n,t\n" + "".join(f'{i},"a\n{i}"\n' if quoted and i % 3 else f"{i},b\n" for i in range(9000))
+        for name, quoted in (("a", True), ("b", False), ("c", True))
+    }
+    small_splits(20_000)
+    uploads = read_uploads(spark, folder(**files), SCHEMA, multiline=True)
+    assert uploads.files.where("error_class = 'ok' and n_rows = 9000").count() == 3
+    assert uploads.rows.count() == 27_000
+    assert uploads.rows.where("row_id <> n").count() == 0
+
+
+def test_endless_records_end_in_the_report(spark, folder, small_splits, monkeypatch):
+    """A stray quote at the top and one at the end would make one record of the whole file."""
+    monkeypatch.setattr(lines, "MAX_RECORD_BYTES", 2000)
+    bad = 'n,t\n0,"x\n' + "".join(f"{i},y\n" for i in range(1, 900)) + '900,y"\n'
+    small_splits(900)
+    uploads = read_uploads(spark, folder(bad=bad, good="n,t\n0,z\n"), SCHEMA, multiline=True)
+    assert [r.t for r in uploads.rows.collect()] == ["z"]
+    assert {r.reason for r in uploads.quarantine.collect()} == {"open_quote"}
+    status = {r.source_file[-8:-4]: r for r in uploads.files.collect()}
+    assert status["good"].bad_rows == 0 and status["/bad"].bad_rows > 0
+
+
 def test_line_breaks_in_many_splits(spark, folder, small_splits):
     """Random records, most over several lines, cut into many splits."""
     draw = random.Random(7)
