@@ -20,7 +20,8 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the model is sure of; it is trained on their own labels."""
     model = langid.train(docs, usable=~langid.held_out())
-    return langid.predict(docs, model).where("not rejected").select(*docs.columns)
+    judged = langid.predict(docs, model, made=("_li_lang", "_li_score", "_li_rejected"))
+    return judged.where("not _li_rejected").select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

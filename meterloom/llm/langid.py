@@ -179,10 +179,17 @@ def train(docs: DataFrame, usable=None, id_col: str = "doc_id", text_col: str =
     return fit(means, [r["label"] for r in got])
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """`docs` with lang_pred, score (the calibrated probability) and rejected; input columns of these names give way."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+def predict(
+    docs: DataFrame, model: Model | None, text_col: str = "text", made=("lang_pred", "score", "rejected")
+) -> DataFrame:
+    """`docs` with a language, its calibrated probability, and whether it is too low.
+
+    `made` names these columns; input columns of the same names give way.
+    """
+    names = [c for c in docs.columns if c not in made]
+    schema = docs.select(*names).schema
+    for name, kind in zip(made, ("string", "double", "boolean")):
+        schema = schema.add(name, kind)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x LANGUAGES numbers at most
 
     def label(batches: Iterator) -> Iterator:
@@ -200,10 +207,9 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                         scores = own.scores(means)
                         for i, j, s in zip(spots, scores.argmax(axis=1), scores.max(axis=1)):
                             lang[i], score[i], rejected[i] = own.languages[j], float(s), bool(s < own.reject_below)
-                columns = [part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(lang), pa.array(score), pa.array(rejected)],
-                    names=[*names, "lang_pred", "score", "rejected"],
+                    [*[part.column(c) for c in names], pa.array(lang), pa.array(score), pa.array(rejected)],
+                    names=[*names, *made],
                 )
 
     return docs.select(*names).mapInArrow(label, schema)
