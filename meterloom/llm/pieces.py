@@ -28,6 +28,7 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,10 +63,13 @@ class Vocabulary:
         self.entry = {p.piece: (p.score, i) for i, p in normal}
         self.longest = max(len(p) for p in self.entry)
         self.unknown = min(s for s, _ in self.entry.values()) - UNKNOWN_PENALTY
-        # pieces by last character and length: what can end at a position
+        self.is_byte = np.zeros(len(self.pieces), bool)
+        self.is_byte[list(self.byte_of)] = True
+        # longer pieces by last character and length: what can end at a position
         self.lengths_by_last: dict[str, list[int]] = {}
         for piece in self.entry:
-            self.lengths_by_last.setdefault(piece[-1], []).append(len(piece))
+            if len(piece) > 1:
+                self.lengths_by_last.setdefault(piece[-1], []).append(len(piece))
         # longest first, so that of equal scores the longer last piece wins
         self.lengths_by_last = {c: sorted(set(n), reverse=True) for c, n in self.lengths_by_last.items()}
         self.cuts_at_mark = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.entry)
@@ -74,31 +78,30 @@ class Vocabulary:
         """Ids of a normalised text, committed piece by piece as paths meet."""
         longest, entry, ends, unknown = self.longest, self.entry, self.lengths_by_last, self.unknown
         score, back = [0.0], [0]  # by position from `base` on; back holds the length of the last piece
-        base, window = 0, text[:0]
-        for c in text:
-            window += c
-            n = len(window)
-            best, length = score[n - 1] + unknown, 1
-            if (1 in (own := ends.get(c, ()))) and c in entry:
-                best = score[n - 1] + entry[c][0]
-            for m in own:
-                if 1 < m <= n:
-                    found = entry.get(window[n - m :])
-                    if found is not None and (s := score[n - m] + found[0]) > best or found is not None and s == best and m > length:
-                        best, length = s, m
+        base = 0
+        for i, c in enumerate(text, 1):
+            single = entry.get(c)
+            best = score[-1] + (unknown if single is None else single[0])
+            length, n = 1, i - base
+            for m in ends.get(c, ()):
+                if m <= n:
+                    found = entry.get(text[i - m : i])
+                    if found is not None:
+                        s = score[n - m] + found[0]
+                        if s > best or (s == best and length == 1):  # of equal scores the longer last piece
+                            best, length = s, m
             score.append(best)
             back.append(length)
             if n >= 4 * longest:
                 meet = self._meeting(back, longest)
                 if meet:
-                    yield self._ids(window, back, meet)
-                    window = window[meet:]
+                    yield self._ids(text, base, back, meet)
                     low = score[meet]
                     score = [s - low for s in score[meet:]]
                     back = back[meet:]
                     base += meet
-        if window:
-            yield self._ids(window, back, len(window))
+        if base < len(text):
+            yield self._ids(text, base, back, len(text) - base)
 
     @staticmethod
     def _meeting(back: list[int], longest: int) -> int:
@@ -110,12 +113,13 @@ class Vocabulary:
             at.add(top - back[top])
         return at.pop()
 
-    def _ids(self, window: str, back: list[int], end: int) -> list[int]:
+    def _ids(self, text: str, base: int, back: list[int], end: int) -> list[int]:
         out = []
         while end > 0:
-            piece = window[end - back[end] : end]
-            if piece in self.entry:
-                out.append(self.entry[piece][1])
+            piece = text[base + end - back[end] : base + end]
+            known = self.entry.get(piece)
+            if known is not None:
+                out.append(known[1])
             else:
                 out.extend(self.byte_ids[b] for b in reversed(piece.encode("utf-8")))
             end -= back[end]
@@ -123,17 +127,18 @@ class Vocabulary:
 
     def decode(self, ids: Iterable[int]) -> str:
         """Pieces joined, byte pieces put together as UTF-8, marks as spaces, the first mark left out."""
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(self.pieces[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
+        ids = np.asarray(ids, np.int64)
+        raw = self.is_byte[ids]
+        if not raw.any():
+            return "".join(map(self.pieces.__getitem__, ids.tolist())).replace(MARK, " ")[1:]
+        out = []
+        cuts = np.flatnonzero(np.diff(raw.view(np.int8), prepend=2))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)]):
+            run = ids[a:b].tolist()
+            if raw[a]:
+                out.append(bytes(self.byte_of[i] for i in run).decode("utf-8", "replace"))
+            else:
+                out.extend(map(self.pieces.__getitem__, run))
         return "".join(out).replace(MARK, " ")[1:]
 
 
