@@ -70,7 +70,7 @@ def pandas_rows(content, names, **options):
 
 
 def status_of(uploads):
-    return [tuple(r)[1:] for r in status_table(uploads.files).orderBy("source_file").collect()]
+    return [tuple(r)[1:6] for r in status_table(uploads.files).orderBy("source_file").collect()]
 
 
 NUMERIC = {
