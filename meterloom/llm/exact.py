@@ -32,9 +32,12 @@ def frequent_digests(digests: DataFrame, support: float = SUPPORT) -> DataFrame:
     """Digests found by Misra-Gries, with exact counts; at most 1 / support rows.
 
     `digests` has DIGEST and an order column `place`; the result also has the
-    largest `place` of each digest.
+    largest `place` of each digest. `freqItems` counts binary values by identity,
+    so it gets the digests as hex text, which it compares by value.
     """
-    candidates = digests.freqItems([DIGEST], support).select(F.explode(f"{DIGEST}_freqItems").alias(DIGEST))
+    items = digests.select(F.hex(DIGEST).alias(DIGEST)).freqItems([DIGEST], support)
+    candidates = items.select(F.explode(f"{DIGEST}_freqItems").alias(DIGEST)).distinct()
+    candidates = candidates.select(F.unhex(DIGEST).alias(DIGEST))
     n = F.lit(digests.count() * support)
     return (
         digests.join(F.broadcast(candidates), DIGEST)

@@ -331,6 +331,23 @@ def test_op9_frequent_and_rare_agree(spark, rows):
     assert len(kept[0]) == len({t or "" for _, t, *_ in rows})
 
 
+def test_op9_frequent_groups(spark, tmp_path):
+    """Digests above the support are found, among more distinct ones than 1 / support; group sizes are right."""
+    sizes = {"hot": 1200, "warm": 300, "cool": 15}
+    texts = [t for t, n in sizes.items() for _ in range(n)] + [f"text {i}" for i in range(18000)]
+    random.Random(6).shuffle(texts)
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    digests = docs.select(exact.text_digest("text").alias(exact.DIGEST), F.struct("doc_id").alias("place"))
+    found = {bytes(r[exact.DIGEST]).hex(): r["n"] for r in exact.frequent_digests(digests).collect()}
+    assert found == {brute.sha(t): n for t, n in sizes.items() if n > exact.SUPPORT * len(texts)}
+    got = rows_of([r.asDict() for r in exact.label_copies(docs).collect()], "doc_id", "keep_id", "group_size", "kept")
+    last = {t: i for i, t in enumerate(texts)}
+    assert got == collections.Counter((i, last[t], sizes.get(t, 1), last[t] == i) for i, t in enumerate(texts))
+    assert exact.drop_copies(docs).count() == len(last)
+
+
 def test_op10_accuracy_and_unknown(spark):
     got = result(spark, "op10_language_id", "/root/testdata/sf0.01")
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
