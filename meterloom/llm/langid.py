@@ -5,10 +5,17 @@ A text's features are its runs of 1 to 3 letters, with word borders, hashed to
 whole text and a linear softmax gives the languages. Vectors and weights are
 trained together by stochastic gradient descent in numpy on the driver, on at
 most `PER_LANGUAGE` labelled rows of each language (those with the smallest hash
-of their id), which reach the driver as feature averages of fixed width. A
-fifth of them is kept aside for calibration: a temperature that minimises their
-log loss, and the confidence below which a prediction is rejected, so set that
-`KEEP` of the calibration rows that were predicted rightly are kept.
+of their id), which reach the driver as feature averages of fixed width.
+
+Calibration is by `FOLDS` folds: every sampled row is judged by a model that has
+not seen it, so the bounds rest on the whole sample. A temperature minimises the
+log loss. Shares of learned languages say nothing about text in none of them (of
+two, one always has half), so a text is also held against the best language's
+feature distribution: the mean log share of its features. The bound for it lies
+midway between what `KEEP` of the rightly predicted rows reach and what rows reach
+for the best of the *other* languages (leave-one-language-out), or at the former if
+that is lower. Below it all scores fall steeply. A prediction is rejected if its
+score is below what `KEEP` of the rightly predicted rows reach.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and
 is rejected. Rows with null labels are not trained on. Without a labelled row
@@ -34,8 +41,15 @@ EPOCHS = 12
 BATCH = 32
 RATE = 1.0
 KEEP = 0.9995
-#: A rejected text is less sure than any usual one; the calibrated bound is lowered by this factor.
-LENIENCY = 0.5
+FOLDS = 5
+#: Share of the calibration rows that look stranger to the other languages than the bound aims at.
+FOREIGN = 0.99
+#: Share that features a language has not shown have in its distribution.
+UNSEEN = 0.01
+#: How fast scores fall below the bound of strange texts, a nat of mean log share.
+STEEP = 20.0
+#: Room for rounding of feature averages.
+NOISE = 1e-5
 #: Code points of a text that are held as features at a time.
 CHUNK = 1 << 18
 _MULTIPLY = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
@@ -75,9 +89,15 @@ class Model:
     bias: np.ndarray
     temperature: float
     reject_below: float
+    likely: np.ndarray  # buckets x languages: log share of each feature among a language's features
+    strange_below: np.ndarray  # per language: least usual mean of `likely` over a text's features
 
     def scores(self, means: np.ndarray) -> np.ndarray:
-        return _softmax((means @ self.table + self.bias) / self.temperature)
+        """Share of each language; all shares of a text are low if its features are strange to the best one."""
+        shares = _softmax((means @ self.table + self.bias) / self.temperature)
+        best = shares.argmax(axis=1)
+        excess = (means @ self.likely)[np.arange(len(best)), best] - self.strange_below[best]
+        return shares * np.exp(STEEP * np.clip(excess, -30, 0))[:, None]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -85,20 +105,15 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(means: np.ndarray, labels: list[str], seed: int = 7) -> Model | None:
-    """Train on feature averages; deterministic for equal input in equal order."""
-    if not labels:
-        return None
-    languages = sorted(set(labels))
-    target = np.array([languages.index(x) for x in labels])
-    aside = np.arange(len(labels)) % 5 == 4
-    scale = 1.0 / np.linalg.norm(means[~aside], axis=1).mean()  # averages then have a length of about 1
-    x, y = (means[~aside] * scale).astype(np.float32), target[~aside]
+def _descend(means: np.ndarray, target: np.ndarray, n_languages: int, seed: int) -> tuple[np.ndarray, ...]:
+    """Table, bias and log shares learned from feature averages."""
+    scale = 1.0 / np.linalg.norm(means, axis=1).mean()  # averages then have a length of about 1
+    x, y = (means * scale).astype(np.float32), target
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 1 / np.sqrt(WIDTH), (x.shape[1], WIDTH)).astype(np.float32)
-    weight, bias = np.zeros((WIDTH, len(languages)), np.float32), np.zeros(len(languages), np.float32)
+    weight, bias = np.zeros((WIDTH, n_languages), np.float32), np.zeros(n_languages, np.float32)
     weight += rng.normal(0, 1 / np.sqrt(WIDTH), weight.shape).astype(np.float32)
-    one_hot = np.eye(len(languages), dtype=np.float32)
+    one_hot = np.eye(n_languages, dtype=np.float32)
     for epoch in range(EPOCHS):
         rate = RATE / (1 + epoch / 4)
         order = rng.permutation(len(y))
@@ -110,20 +125,51 @@ def fit(means: np.ndarray, labels: list[str], seed: int = 7) -> Model | None:
             weight -= rate * hidden.T @ error
             bias -= rate * error.sum(axis=0)
             embed -= rate * step
-    table = (embed @ weight).astype(np.float64) * scale
-    model = Model(languages, table, bias.astype(np.float64), 1.0, 0.0)
-    held, truth = (means[aside], target[aside]) if aside.any() else (means, target)
-    logits = held @ table + model.bias
+    used = np.stack([means[y == k].sum(axis=0) for k in range(n_languages)], axis=1)
+    used /= np.maximum(used.sum(axis=0), 1e-300)
+    likely = np.log((1 - UNSEEN) * used + UNSEEN / len(used))
+    return (embed @ weight).astype(np.float64) * scale, bias.astype(np.float64), likely
+
+
+def fit(means: np.ndarray, labels: list[str], seed: int = 7) -> Model | None:
+    """Train on feature averages; deterministic for equal input in equal order."""
+    if not labels:
+        return None
+    languages = sorted(set(labels))
+    place = {x: i for i, x in enumerate(languages)}
+    target = np.array([place[x] for x in labels])
+    n, part = len(languages), np.arange(len(labels)) % FOLDS
+    if len(labels) < FOLDS:
+        folds = [(part >= 0, part >= 0)]
+    else:  # the last fold's model is the one that stays
+        folds = [(part != k, part == k) for k in range(FOLDS)]
+    logits, usual, truth = [], [], []
+    for learned, held in folds:
+        table, bias, likely = _descend(means[learned], target[learned], n, seed)
+        logits.append(means[held] @ table + bias)
+        usual.append(means[held] @ likely)
+        truth.append(target[held])
+    logits, usual, truth = np.concatenate(logits), np.concatenate(usual), np.concatenate(truth)
+    one_hot = np.eye(n, dtype=np.float32)
     grid = np.geomspace(0.05, 50, 80)
     # A few right answers do not prove certainty: targets keep one part in (rows + 2) for other languages.
     doubt = 1 / (len(truth) + 2)
-    target_share = one_hot[truth] * (1 - doubt) + doubt / len(languages)
+    target_share = one_hot[truth] * (1 - doubt) + doubt / n
     loss = [-(target_share * np.log(_softmax(logits / t) + 1e-300)).sum(axis=1).mean() for t in grid]
-    model.temperature = float(grid[int(np.argmin(loss))])
-    scores = model.scores(held)
-    right = scores.argmax(axis=1) == truth
+    model = Model(languages, table, bias, float(grid[int(np.argmin(loss))]), 0.0, likely, np.full(n, -np.inf))
+    rows, best = np.arange(len(truth)), logits.argmax(axis=1)
+    right = best == truth
     if right.any():
-        model.reject_below = float(np.quantile(scores.max(axis=1)[right], 1 - KEEP)) * LENIENCY
+        own = usual[rows, best][right]
+        middle = np.array([np.median(own[best[right] == k] if (best[right] == k).any() else own) for k in range(n)])
+        low = np.quantile(own - middle[best[right]], 1 - KEEP)
+        if n > 1:  # what every row looks like to a model without its language
+            other = np.where(one_hot[truth] > 0, -np.inf, logits).argmax(axis=1)
+            foreign = np.quantile(usual[rows, other] - middle[other], FOREIGN)
+            low = min(low, (low + foreign) / 2)
+        model.strange_below = middle + low - NOISE
+        # rows above the bound keep their share, so the share alone is calibrated
+        model.reject_below = float(np.quantile(_softmax(logits / model.temperature).max(axis=1)[right], 1 - KEEP)) - NOISE
     return model
 
 

@@ -380,6 +380,23 @@ def test_op10_learns_only_from_usable_rows(spark):
     assert all(r["lang_pred"] == r["lang"] and not r["rejected"] for r in got)
 
 
+@pytest.mark.parametrize("learned", [("en", "de"), ("en", "es", "fr"), ("de", "fr")])
+def test_op10_unlearned_languages_go_and_clean_documents_stay(spark, learned):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.train(docs.where(F.col("lang").isin(*learned)), usable=~langid.held_out())
+    assert model.languages == sorted(learned)
+    judged = langid.predict(docs.where(langid.held_out()), model)
+    counts = {r["lang"]: r for r in judged.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("rejected").alias("gone")).collect()}
+    for lang, r in counts.items():
+        if lang in learned:
+            assert r["gone"] <= 0.01 * r["n"], (lang, r)
+        else:
+            assert r["gone"] >= 0.9 * r["n"], (lang, r)
+    junk = ["xkcd zzzz qqqq wwww " * 5, "Это русский текст о языке и погоде", "这是中文文本。"]
+    strange = spark.createDataFrame(list(enumerate(junk)), "doc_id bigint, text string")
+    assert all(r["rejected"] for r in langid.predict(strange, model).collect())
+
+
 def test_op10_mean_does_not_depend_on_chunks(monkeypatch):
     text = "Die Sprache, la langue; the language " * 50
     whole = langid.feature_mean(text)
