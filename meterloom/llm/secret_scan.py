@@ -3,11 +3,13 @@
 Patterns find parts: identifiers (who), secrets (proof) and endpoints (where).
 The three base kinds are reported as they are. Weak kinds (an account name, a
 random-looking token, an address) say nothing alone, so they are reported only
-if complementary parts lie in the same scope: within `SCOPE` code points of the
-same document, either a base part of another role, or weak parts of both other
-roles. The link is an interval join: parts are laid out per document in the
-order of their starts, and a range frame of `SCOPE` to either side sees the
-other parts, so no pairs are made and work per part is bounded by the scope.
+if complementary parts lie in the same scope: at most `SCOPE` code points between
+the end of one and the start of the next, in the same document, either a base part
+of another role, or weak parts of both other roles. Parts have no greatest length.
+The link is an interval join: parts are laid out per document in the order of
+their starts; the furthest end of the parts so far and the nearest start of those
+to come, by role, say whether one is in scope, so no pairs are made and work per
+part is constant after sorting.
 
 Positions need no Python: the pieces between matches (`split`) and the matches
 themselves (`regexp_extract_all`) alternate, so running sums of their lengths
@@ -26,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Code points between the starts of parts that belong together.
+#: Code points between the end of a part and the start of the next that belong together, at most.
 SCOPE = 256
 
 _VALUE = "[A-Za-z0-9+/_.=-]"
@@ -40,20 +42,20 @@ KINDS = (
     (
         "account",
         "identifier",
-        r"(?<![A-Za-z0-9_])(?i:user(?:_?name)?|login|client_?id|account)[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?[A-Za-z0-9@._-]{3,64}",
+        r"(?<![A-Za-z0-9_])(?i:user(?:_?name)?|login|client_?id|account)[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?[A-Za-z0-9@._-]{3,}+",
         None,
     ),
     (
         "credential",
         "secret",
-        r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,127}[0-9])(?=[a-z0-9+/_-]{0,127}[A-Z])(?=[A-Z0-9+/_-]{0,127}[a-z])"
-        r"[A-Za-z0-9+/_-]{20,128}+(?![A-Za-z0-9+/_-])",
+        r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])"
+        r"[A-Za-z0-9+/_-]{20,}+",
         None,
     ),
     (
         "endpoint",
         "endpoint",
-        r"(?<![A-Za-z0-9_])(?i:https?|ftp|ssh|jdbc:[a-z]{1,16}|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9.:@_-]{3,128}",
+        r"(?<![A-Za-z0-9_])(?i:https?|ftp|ssh|jdbc:[a-z]{1,16}|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9.:@_-]{3,}+",
         None,
     ),
 )
@@ -122,25 +124,32 @@ def find_secrets(docs: DataFrame, text_col: str = "text", scope: int = SCOPE, ca
     kind_of = F.col("kind")
     is_base = kind_of.between(0, len(BASE) - 1)
     role_kinds = {role: [i for i, k in enumerate(KINDS) if k[1] == role] for role in ROLES}
-    near = Window.partitionBy("_ss_row").orderBy("start").rangeBetween(-scope, scope)
+    # both frames have the part itself and those of the same start, and grow by a row at a time
+    behind = Window.partitionBy("_ss_row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("_ss_row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
+
+    def within(parts: Column, room: int) -> Column:
+        """One of `parts` lies at most `room` code points off; -1: they overlap."""
+        last_end, next_start = F.max(F.when(parts, F.col("end"))).over(behind), F.min(F.when(parts, F.col("start"))).over(ahead)
+        off = F.coalesce(F.col("start") - last_end <= room, F.lit(False))
+        return off | F.coalesce(next_start - F.col("end") <= room, F.lit(False))
+
     in_scope = {
-        role: F.max(F.when(kind_of.isin(kinds), F.when(is_base, 2).otherwise(1))).over(near)
+        role: F.when(within(kind_of.isin(kinds) & is_base, scope), 2).when(within(kind_of.isin(kinds), scope), 1)
         for role, kinds in role_kinds.items()
     }
-    base_span = F.when(is_base, F.struct("start", "end"))
     rows = rows.select(
         "*",
         *[F.coalesce(level, F.lit(0)).alias(f"near_{role}") for role, level in in_scope.items()],
-        F.collect_list(base_span).over(near).alias("near_base"),
+        within(is_base, -1).alias("inside_base"),
     )
     linked = F.lit(False)
     for role, kinds in role_kinds.items():
         others = [F.col(f"near_{r}") for r in ROLES if r != role]
         linked = linked | (kind_of.isin(kinds) & ((F.greatest(*others) == 2) | (F.least(*others) >= 1)))
-    inside_base = F.exists("near_base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     names = F.element_at(F.array(*[F.lit(k[0]) for k in KINDS]), F.greatest(kind_of, F.lit(0)) + 1)
     span = F.struct("start", kind_of.alias("order"), "end", names.alias("kind"), is_base.alias("base"))
-    kept = F.when(is_base | ((kind_of >= len(BASE)) & linked & ~inside_base), span)
+    kept = F.when(is_base | ((kind_of >= len(BASE)) & linked & ~F.col("inside_base")), span)
     per_doc = rows.groupBy("_ss_row").agg(
         F.first("_ss_doc", ignorenulls=True).alias("_ss_doc"), F.array_sort(F.collect_list(kept)).alias("_ss_spans")
     )
