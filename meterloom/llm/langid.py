@@ -5,7 +5,9 @@ A text's features are its runs of 1 to 3 letters, with word borders, hashed to
 whole text and a linear softmax gives the languages. Vectors and weights are
 trained together by stochastic gradient descent in numpy on the driver, on at
 most `PER_LANGUAGE` labelled rows of each language (those with the smallest hash
-of their id), which reach the driver as feature averages of fixed width.
+of their id), which reach the driver as feature averages of fixed width. All labels
+are learned: beyond `LANGUAGES` of them each has fewer rows, and when that leaves
+less than `FEWEST` training fails with a message.
 
 Calibration is by `FOLDS` folds: every sampled row is judged by a model that has
 not seen it, so the bounds rest on the whole sample. A temperature minimises the
@@ -35,8 +37,10 @@ UNKNOWN = "und"
 BUCKETS = 4096
 WIDTH = 16
 PER_LANGUAGE = 600
-#: Labels beyond the most frequent ones are not learned.
+#: With more labels than this, each has fewer rows, so that the sample does not grow.
 LANGUAGES = 200
+#: Rows of each label below which nothing is learned from so many labels.
+FEWEST = 30
 EPOCHS = 12
 BATCH = 32
 RATE = 1.0
@@ -178,26 +182,37 @@ def _means_of(texts: list) -> tuple[list[int], np.ndarray]:
     return [i for i, _ in found], np.array([m for _, m in found]).reshape(len(found), BUCKETS)
 
 
+def rows_per_label(labels: int) -> int:
+    """Rows of each label to learn from, PER_LANGUAGE * LANGUAGES of all labels at most."""
+    return min(PER_LANGUAGE, PER_LANGUAGE * LANGUAGES // max(labels, 1))
+
+
 def train(docs: DataFrame, usable=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
-    """A model from at most PER_LANGUAGE rows of each label; `usable` is a condition on rows."""
+    """A model of all labels from at most PER_LANGUAGE rows of each; `usable` is a condition on rows."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     labelled = labelled.where(usable) if usable is not None else labelled
-    counts = labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()
+    most = PER_LANGUAGE * LANGUAGES // FEWEST
+    counts = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).limit(most + 1).collect()
     if not counts:
         return None
+    if len(counts) > most:
+        raise ValueError(f"{lang_col} has more than {most} labels; that many cannot be learned from {FEWEST} rows of each")
+    per_language = rows_per_label(len(counts))
     # A hash of the id thins each language out to little more than its share of the sample, so that
     # the exact choice of the least hashes meets a few hundred rows of a language, however many it has.
-    wanted = PER_LANGUAGE + 6 * PER_LANGUAGE**0.5
-    shares = F.create_map(*[F.lit(v) for lang, n in counts for v in (lang, min(1.0, wanted / n))])
+    wanted = per_language + 6 * per_language**0.5
+    shares = docs.sparkSession.createDataFrame(
+        [(lang, min(1.0, wanted / n)) for lang, n in counts], labelled.select(F.col(lang_col).alias("lang")).schema.add("share", "double")
+    )
     hashed = F.xxhash64(F.col(id_col))
     spot = hashed.bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
     by_hash = Window.partitionBy("lang").orderBy("spot", "id")
     sample = (
-        labelled.where(F.col(lang_col).isin([lang for lang, _ in counts]))
-        .select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), spot.alias("spot"))
-        .where(F.col("spot") < shares[F.col("lang")])
+        labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), spot.alias("spot"))
+        .join(F.broadcast(shares), "lang")
+        .where(F.col("spot") < F.col("share"))
         .withColumn("n", F.row_number().over(by_hash))
-        .where(F.col("n") <= PER_LANGUAGE)
+        .where(F.col("n") <= per_language)
         .select("id", F.col("lang").alias("label"))
     )
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("label"), F.col(text_col).alias("text"))
@@ -214,7 +229,7 @@ def train(docs: DataFrame, usable=None, id_col: str = "doc_id", text_col: str =
                         schema=pa.schema([("id", pa.int64()), ("label", pa.string()), ("mean", pa.binary())]),
                     )
 
-    # bounded: PER_LANGUAGE rows of each of at most LANGUAGES labels
+    # bounded: PER_LANGUAGE * LANGUAGES rows, whatever the number of labels
     chosen = rows.join(F.broadcast(sample.dropDuplicates()), ["id", "label"]).select(
         F.col("id").cast("long").alias("id"), "label", "text"
     )
@@ -236,7 +251,7 @@ def predict(
     schema = docs.select(*names).schema
     for name, kind in zip(made, ("string", "double", "boolean")):
         schema = schema.add(name, kind)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x LANGUAGES numbers at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two tables of BUCKETS x labels
 
     def label(batches: Iterator) -> Iterator:
         import pyarrow as pa

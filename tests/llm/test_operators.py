@@ -447,6 +447,21 @@ def test_op10_unlearned_languages_go_and_clean_documents_stay(spark, learned):
     assert all(r["rejected"] for r in langid.predict(strange, model).collect())
 
 
+def test_op10_learns_every_label(spark, monkeypatch):
+    words = ["aba aca", "ebe ede", "ifi igi", "oho oko", "umu unu"]
+    rows = [(i, f"{words[i % 5]} {words[i % 5]}", f"l{i % 5}") for i in range(0, 600)] + [(600 + i, words[0], "l0") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 90)
+    assert langid.rows_per_label(5) == 36
+    model = langid.train(df)
+    assert model.languages == [f"l{i}" for i in range(5)]
+    assert all(r["lang_pred"] == r["lang"] for r in langid.predict(df, model).collect())
+    monkeypatch.setattr(langid, "FEWEST", 40)
+    with pytest.raises(ValueError, match="more than 4 labels"):
+        langid.train(df)
+
+
 def test_op10_mean_does_not_depend_on_chunks(monkeypatch):
     text = "Die Sprache, la langue; the language " * 50
     whole = langid.feature_mean(text)
