@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterloom.llm import automaton, exact, fingerprint, hyperminhash, langid, packing, pieces, secret_scan, shard, suffixes
+from meterloom.llm import automaton, exact, fingerprint, hyperminhash, infill, langid, packing, pieces, secret_scan, shard, suffixes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +113,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_swar_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(_documents(spark, sf_dir))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        F.length("prefix").cast("long").alias("prefix_chars"),
+        F.length("middle").cast("long").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -126,5 +139,6 @@ QUERIES = {
         op8_binary_packing,
         op9_exact_dedup,
         op10_language_id,
+        op11_swar_infill,
     )
 }

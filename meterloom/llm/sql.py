@@ -105,3 +105,32 @@ select doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed,
        sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 1) - 1))) as kept_sha256
 from bytes left join pieces using (doc_id)
 """
+
+ORACLE["op11_swar_infill"] = """
+with units as (
+    select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u,
+           sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h
+    from documents
+), numbers as (
+    select *, len(u) as n,
+           cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2,
+           cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4
+    from units
+), cuts as (
+    select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+           case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90
+                then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form
+    from numbers
+), parts as (
+    select *, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m,
+           array_to_string(u[b + 1:n], '') as s
+    from cuts
+)
+select doc_id, cast(n as bigint) as n, form,
+       case when form <> 'plain' then cast(length(p) as bigint) end as prefix_chars,
+       case when form <> 'plain' then cast(length(m) as bigint) end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+                        else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+       sha256(t) as restored_sha256
+from parts
+"""
