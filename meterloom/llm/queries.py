@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterloom.llm import automaton, exact, fingerprint, hyperminhash, infill, langid, packing, pieces, secret_scan, shard, suffixes
+from meterloom.llm import automaton, exact, fingerprint, hyperminhash, infill, langid, packing, pieces, secret_scan, shard, suffixes, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(_documents(spark, sf_dir), carry=["doc_id"])
 
@@ -126,6 +130,11 @@ def op11_swar_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.grid(_embeddings(spark, sf_dir))
+    return whitening.whiten(rows, whitening.fit(rows))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -140,5 +149,6 @@ QUERIES = {
         op9_exact_dedup,
         op10_language_id,
         op11_swar_infill,
+        op12_spectrum_whitening,
     )
 }

@@ -56,7 +56,8 @@ def documents():
 
 CLASHING = (
     "spans kept keep_id size shard slot digest crc start end payload kind n place component bucket nid label score "
-    "rejected lang_pred length offset sequence_id task h id next vector n_shingles component_id found".split()
+    "rejected lang_pred length offset sequence_id task h id next vector n_shingles component_id found "
+    "x c i v component deviation whitened explained rank query_id norm band items cell form prefix output a b".split()
 )
 
 
@@ -76,13 +77,38 @@ def unique_rows():
     return out
 
 
-def _folder(spark, rows, path, clashing=False):
-    df = spark.createDataFrame(rows, SCHEMA)
-    if clashing:
-        from pyspark.sql import functions as F
+VECTOR_SCHEMA = "vec_id bigint, embedding array<float>, label int"
+
+
+def vectors():
+    """Vectors in a few clusters, of differing lengths, with copies and unsound rows."""
+    rng = random.Random(12)
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(4)]
+    rows = []
+    for i in range(400):
+        scale = rng.choice((0.25, 1.0, 1.0, 7.0))
+        rows.append((i, [scale * (c + rng.gauss(0, 0.4)) for c in centres[i % 4]], i % 4))
+    rows += [(i, rows[7][1], 3) for i in range(400, 460)]  # copies of one vector
+    rows.append((400, rows[9][1], 1))  # another vector under an id that is taken
+    rows.append(rows[5])  # a repeated row
+    zero, ones = [0.0] * 8, [1.0] * 7
+    odd = [None, [], zero, ones, ones + [None], ones + [float("nan")], ones + [float("-inf")]]
+    rows += [(460 + i, v, 0) for i, v in enumerate(odd)]
+    rows += [(None, centres[0], 0), (None, None, None)]
+    return rows
 
-        df = df.withColumns({c: F.lit("clash") for c in CLASHING})
-    df.repartition(3).write.parquet(f"{path}/documents.parquet")
+
+def _folder(spark, rows, path, clashing=False):
+    for name, table, schema in (
+        ("documents", rows, SCHEMA),
+        ("embeddings", vectors() if rows else [], VECTOR_SCHEMA),
+    ):
+        df = spark.createDataFrame(table, schema)
+        if clashing:
+            from pyspark.sql import functions as F
+
+            df = df.withColumns({c: F.lit("clash") for c in CLASHING})
+        df.repartition(3).write.parquet(f"{path}/{name}.parquet")
     return str(path)
 
 

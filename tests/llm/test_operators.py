@@ -36,6 +36,9 @@ def test_clashing_columns(spark, unique_dir, clashing_dir, name):
     if name.startswith("op8"):  # which sequence a piece becomes depends on how the table is cut
         for r in (*plain, *clashing):
             r.pop("sequence_id")
+    if name.startswith("op12"):  # a sum of doubles, whose last digits depend on how the table is cut
+        for r in (*plain, *clashing):
+            r.pop("identity_error")
     assert as_text(plain) == as_text(clashing)
 
 
