@@ -262,7 +262,8 @@ class Whitening:
 
     def project(self, deviations: np.ndarray) -> np.ndarray:
         scaled = self.spectrum.vectors / np.sqrt(self.spectrum.values)[:, None]
-        return (deviations / self.n).astype(float) @ scaled.T
+        # not a matrix product, whose last digits depend on a row's place in its batch
+        return np.einsum("ij,kj->ik", (deviations / self.n).astype(float), scaled)
 
 
 def squares(deviations: np.ndarray) -> list:
