@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterloom.llm import automaton, exact, fingerprint, hyperminhash, infill, langid, packing, pieces, secret_scan, shard, suffixes, whitening
+from meterloom.llm import (
+    automaton,
+    exact,
+    fingerprint,
+    hyperminhash,
+    infill,
+    langid,
+    neighbours,
+    packing,
+    pieces,
+    secret_scan,
+    shard,
+    suffixes,
+    whitening,
+)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +149,10 @@ def op12_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(rows, whitening.fit(rows))
 
 
+def op13_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_embeddings(spark, sf_dir))[0]
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -150,5 +168,6 @@ QUERIES = {
         op10_language_id,
         op11_swar_infill,
         op12_spectrum_whitening,
+        op13_multiprobe_neighbours,
     )
 }

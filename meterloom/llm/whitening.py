@@ -99,7 +99,7 @@ def _add_up(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["i", "v"])
 
 
-def summed_rows(rows: DataFrame, partial: Callable[[Iterator], np.ndarray | None], n_keys: int) -> np.ndarray | None:
+def summed_rows(rows: DataFrame, partial: Callable[[Iterator], np.ndarray | None]) -> np.ndarray | None:
     """The sum over all tasks of a matrix that `partial` makes of a task's batches; None without any."""
 
     def one_task(batches: Iterator) -> Iterator:
@@ -111,7 +111,7 @@ def summed_rows(rows: DataFrame, partial: Callable[[Iterator], np.ndarray | None
             yield pa.RecordBatch.from_arrays([keys, pa.array([_pack(r) for r in matrix], pa.binary())], ["i", "v"])
 
     schema = "i int, v binary"
-    parts = rows.mapInArrow(one_task, schema).repartition(n_keys, "i")
+    parts = rows.mapInArrow(one_task, schema).repartition("i")
     found = sorted((r.i, _unpack(r.v)) for r in parts.mapInArrow(_add_up, schema).collect())
     return np.array([v for _, v in found]) if found else None
 
@@ -292,9 +292,7 @@ def _products(x: np.ndarray, centre: np.ndarray, largest: int, wide: bool) -> np
 
 def fit(x_rows: DataFrame, components: int = COMPONENTS) -> Whitening | None:
     """The whitening of rows as `grid` makes them; None if there are none."""
-    n, d, least, most = x_rows.agg(
-        F.count("*"), F.max(F.size("x")), F.min(F.array_min("x")), F.max(F.array_max("x"))
-    ).first()
+    n, least, most = x_rows.agg(F.count("*"), F.min(F.array_min("x")), F.max(F.array_max("x"))).first()
     if not n:
         return None
 
@@ -308,7 +306,7 @@ def fit(x_rows: DataFrame, components: int = COMPONENTS) -> Whitening | None:
                 total = own if total is None else total + own
         return None if total is None else total[None, :]
 
-    total = summed_rows(x_rows.select("x"), sums, 1)[0]
+    total = summed_rows(x_rows.select("x"), sums)[0]
     centre = np.array([(2 * s + n) // (2 * n) for s in total], object)
     largest = max(abs(least - centre.max()), abs(most - centre.min()), 1)
     wide = largest**2 * n >= LONG or largest**2 > 2**53
@@ -321,7 +319,7 @@ def fit(x_rows: DataFrame, components: int = COMPONENTS) -> Whitening | None:
                 out = own if out is None else out + own
         return out
 
-    second = summed_rows(x_rows.select("x"), moments, d).astype(object)
+    second = summed_rows(x_rows.select("x"), moments).astype(object)
     rest = np.array([s - n * c for s, c in zip(total, centre)], object)  # sums of the centred entries
     covariance = ((second * n - np.outer(rest, rest)) / (n * n)).astype(float)
     spectrum = leading(covariance, components)
@@ -338,7 +336,7 @@ def fit(x_rows: DataFrame, components: int = COMPONENTS) -> Whitening | None:
             return out
 
         # whitened entries have mean 0 by construction: they are made of differences from the mean
-        seen = summed_rows(x_rows.select("x"), whitened_products, len(spectrum.values)) / n
+        seen = summed_rows(x_rows.select("x"), whitened_products) / n
         found.identity_error = float(np.abs(seen - np.eye(len(seen))).max())
     return found
 
