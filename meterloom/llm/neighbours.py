@@ -56,6 +56,7 @@ BLOCK_ROWS, BLOCK_BYTES = 8192, 8 << 20
 #: Scores held at a time.
 SCORES = 1 << 22
 MASK = (1 << 64) - 1
+PLACES = "array<struct<far: double, vec_id: bigint>>"
 
 
 # Vectors --------------------------------------------------------------------
@@ -356,10 +357,11 @@ def probes(queries: DataFrame, index: Index) -> DataFrame:
 
 def _best_of_block(nearest: int):
     def search(candidates, queries):
-        """(item, vec_id, score): the nearest candidates in the visited buckets of a block, for each query in it."""
+        """(item, best): the nearest candidates in the visited buckets of a block, a row for each query in it."""
         import pyarrow as pa
 
-        schema = pa.schema([("item", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        place = pa.struct([("far", pa.float64()), ("vec_id", pa.int64())])
+        schema = pa.schema([("item", pa.int64()), ("best", pa.list_(place))])
         if not candidates.num_rows or not queries.num_rows:
             return schema.empty_table()
         keys = candidates.column("key").to_numpy()
@@ -409,9 +411,13 @@ def _best_of_block(nearest: int):
             rank = np.lexsort((ids, -exact, i))
             i, exact, ids = i[rank], exact[rank], ids[rank]
             starts_of = np.flatnonzero(np.diff(i, prepend=-1))
-            place = np.arange(len(i)) - np.repeat(starts_of, np.diff([*starts_of.tolist(), len(i)]))
-            kept = place <= nearest
-            out.append(pa.table([asked[at + i[kept]], ids[kept], exact[kept]], schema=schema))
+            rank_in_query = np.arange(len(i)) - np.repeat(starts_of, np.diff([*starts_of.tolist(), len(i)]))
+            kept = rank_in_query <= nearest
+            i, exact, ids = i[kept], exact[kept], ids[kept]
+            starts_of = np.flatnonzero(np.diff(i, prepend=-1))
+            best = pa.StructArray.from_arrays([pa.array(-exact), pa.array(ids)], fields=list(place))
+            lists_of = pa.ListArray.from_arrays(pa.array([*starts_of.tolist(), len(i)], pa.int32()), best)
+            out.append(pa.table([pa.array(asked[at + i[starts_of]]), lists_of.cast(schema.field("best").type)], schema=schema))
         return pa.concat_tables(out)
 
     return search
@@ -467,13 +473,20 @@ def nearest(
     found = (
         candidates.groupBy(*block)
         .cogroup(searched.groupBy(*block))
-        .applyInArrow(_best_of_block(nearest), "item bigint, vec_id bigint, score double")
+        .applyInArrow(_best_of_block(nearest), f"item bigint, best {PLACES}")
     )
-    best = found.repartition("item").groupBy("item", "vec_id").agg(F.max("score").alias("score"))
+    # as many places a query as it has visited cells, at most, times those of a block; all tables' candidates in one order
+    gathered = found.groupBy("item").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))).alias("best"))
+
+    def first_ones(kept, place):
+        known = (F.size(kept) > nearest) | F.exists(kept, lambda x: x["vec_id"] == place["vec_id"])
+        return F.when(known, kept).otherwise(F.concat(kept, F.array(place)))
+
+    best = gathered.select("item", F.aggregate("best", F.array().cast(PLACES), first_ones).alias("best"))
+    of_items = best.select("item", F.inline("best")).withColumn("score", -F.col("far"))
     order = (F.desc("score"), F.asc("vec_id"))
-    of_items = best.withColumn("nth", F.row_number().over(Window.partitionBy("item").orderBy(*order)))
     merged = (
-        of_item.join(of_items.where(F.col("nth") <= nearest + 1), "item")
+        of_item.join(of_items, "item")
         .where("vec_id <> query_id")
         .groupBy("query_id", "vec_id")
         .agg(F.max("score").alias("score"))
