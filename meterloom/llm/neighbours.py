@@ -64,14 +64,13 @@ PLACES = "array<struct<far: double, vec_id: bigint>>"
 
 def usable(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """id, v (doubles) and norm of the rows that take part, each once; written once."""
-    v = F.transform(F.col(vector_col), lambda c: c.cast("double") + F.lit(0.0))  # no negative zeros
+    v = F.col(vector_col).cast("array<double>")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and size(v) > 0")
-    sound = F.forall("v", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(math.inf)), F.lit(False)))
-    # scaled by the largest entry, so that squares neither vanish nor overflow
-    top = F.array_max(F.transform("v", F.abs))
-    length = F.col("top") * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + (c / F.col("top")) * (c / F.col("top"))))
-    rows = rows.where(sound).withColumn("top", top).where("top > 0").withColumn("norm", length).drop("top")
-    rows = settle(rows.where(F.col("norm") < F.lit(math.inf)).dropDuplicates(["id", "v"]), "vectors")
+    sound = F.forall("v", lambda c: F.coalesce(F.abs(c) < F.lit(math.inf), F.lit(False)))  # NaN is above infinity
+    # hypot, as squares might vanish or overflow
+    rows = rows.where(sound).withColumn("norm", F.aggregate("v", F.lit(0.0), F.hypot))
+    rows = rows.where((F.col("norm") > 0) & (F.col("norm") < F.lit(math.inf)))
+    rows = settle(rows.dropDuplicates(["id", "v"]), "vectors")
     usual = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     return rows.where(F.size("v") == usual.d) if usual else rows
 
@@ -482,7 +481,10 @@ def nearest(
         known = (F.size(kept) > nearest) | F.exists(kept, lambda x: x["vec_id"] == place["vec_id"])
         return F.when(known, kept).otherwise(F.concat(kept, F.array(place)))
 
-    best = gathered.select("item", F.aggregate("best", F.array().cast(PLACES), first_ones).alias("best"))
+    first = F.slice("best", 1, nearest + 1)
+    alone = F.size(F.array_distinct(first["vec_id"])) == F.size(first)  # no id with two vectors among them
+    one_each = F.aggregate("best", F.array().cast(PLACES), first_ones)
+    best = gathered.select("item", F.when(alone, first).otherwise(one_each).alias("best"))
     of_items = best.select("item", F.inline("best")).withColumn("score", -F.col("far"))
     order = (F.desc("score"), F.asc("vec_id"))
     merged = (
