@@ -10,10 +10,59 @@ from types import ModuleType
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Executors get these helpers with the task and need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+# What is said of predictions that do not match their rows.
+WRONG_LENGTH = "All arrays must be of the same length"
+WRONG_SHAPE = "Per-column arrays must each be 1-dimensional"
+
+#: A prediction, or the class and text of the error that stood in its way.
+OUTCOME = "value double, error_class string, error string"
+
+
+def loaded(load: Callable, token: str) -> Callable:
+    """`load()`, or what it gave before in this worker; a failed load fails again, without another try.
+
+    A module made here lives as long as the worker; no package is needed there.
+    """
+    worker = sys.modules.setdefault("_meterloom_worker", ModuleType("_meterloom_worker"))
+    if getattr(worker, "token", None) != token:
+        worker.predict = worker.failure = None
+        worker.token = token
+        try:
+            worker.predict = load()
+        except Exception as e:
+            worker.failure = e
+    if worker.failure is not None:
+        raise worker.failure
+    return worker.predict
+
+
+def error_class(error: Exception) -> str:
+    """The class of a file's status that an error in a model stands for."""
+    if isinstance(error, UnicodeDecodeError):
+        return "encoding"
+    if isinstance(error, KeyError):
+        return "missing_column"
+    return "malformed" if isinstance(error, pd.errors.ParserError) else "model"
+
+
+def checked(values, n: int) -> np.ndarray:
+    """Predictions as doubles, one for each of `n` rows."""
+    values = np.asarray(values)
+    if values.ndim != 1:
+        raise ValueError(WRONG_SHAPE)
+    if len(values) != n:
+        raise ValueError(WRONG_LENGTH)
+    return values.astype("float64")
+
 
 def score_python(
     df: DataFrame,
@@ -32,19 +81,11 @@ def score_python(
     fields = [df.schema[k] for k in keys]
     schema = T.StructType([*fields, T.StructField("prediction", T.DoubleType())])
     token = uuid.uuid4().hex
-
     def run(batches):
-        # A module made here lives as long as the worker; no package is needed there.
-        worker = sys.modules.setdefault("_meterloom_worker", ModuleType("_meterloom_worker"))
-        if getattr(worker, "token", None) != token:
-            worker.predict, worker.token = load(), token
-        predict = worker.predict
+        predict = loaded(load, token)
         for batch in batches:
-            values = predict(batch[features])
-            if len(values) != len(batch):
-                raise ValueError(f"{len(values)} predictions for {len(batch)} rows")
             out = batch[list(keys)].copy()
-            out["prediction"] = np.asarray(values, dtype="float64")
+            out["prediction"] = checked(predict(batch[features]), len(batch))
             yield out
 
     columns = list(dict.fromkeys([*keys, *features]))
@@ -58,6 +99,9 @@ class PythonModel:
     `load() -> predict(frame)` as in `score_python`. Rows with a missing feature
     are not handed to the model and have no prediction, unless it takes them
     (`takes_missing`, as NaN).
+
+    `column` raises what the model raises, and so ends the job. `outcome` hands the
+    model the rows of one unit (a file) at a time and returns its errors as values.
     """
 
     features: list[str]
@@ -68,22 +112,47 @@ class PythonModel:
     def column(self, inputs=None) -> Column:
         value = inputs or F.col
         names, load, token, takes_missing = list(self.features), self.load, self.token, self.takes_missing
-
         @F.pandas_udf("double")
         def predict(frame: pd.DataFrame) -> pd.Series:
-            worker = sys.modules.setdefault("_meterloom_worker", ModuleType("_meterloom_worker"))
-            if getattr(worker, "token", None) != token:
-                worker.predict, worker.token = load(), token
+            model = loaded(load, token)
             frame.columns = names
             wanted = np.ones(len(frame), bool) if takes_missing else frame.notna().all(axis=1).to_numpy()
             out = pd.Series(np.nan, index=frame.index, dtype="float64")
             if wanted.any():
-                values = worker.predict(frame[wanted])
-                if len(values) != wanted.sum():
-                    raise ValueError(f"{len(values)} predictions for {wanted.sum()} rows")
-                out[wanted] = np.asarray(values, dtype="float64")
+                out[wanted] = checked(model(frame[wanted]), wanted.sum())
             return out
 
-        inputs_ = F.struct(*[value(f).cast("double").alias(f"c{i}") for i, f in enumerate(names)])
-        predicted = predict(inputs_)
+        predicted = predict(self._inputs(value))
         return F.when(~F.isnan(predicted), predicted)
+
+    def outcome(self, unit: Column, inputs=None) -> Column:
+        """OUTCOME of each row. Rows of a null unit are not handed to the model.
+
+        The rows of a unit that lie in one Arrow batch are scored together and share
+        an error; no other unit has part in it. An error is any `Exception`; what ends
+        the worker itself (or the job's memory) still ends the job.
+        """
+        value = inputs or F.col
+        names, load, token, takes_missing = list(self.features), self.load, self.token, self.takes_missing
+        @F.pandas_udf(OUTCOME)
+        def judge(units: pd.Series, frame: pd.DataFrame) -> pd.DataFrame:
+            frame.columns = names
+            wanted = units.notna().to_numpy()
+            if not takes_missing:
+                wanted &= frame.notna().all(axis=1).to_numpy()
+            n = len(frame)
+            values, classes, errors = np.full(n, np.nan), np.full(n, None, object), np.full(n, None, object)
+            codes, _ = pd.factorize(units[wanted])
+            places = np.flatnonzero(wanted)
+            for code in range(codes.max(initial=-1) + 1):
+                at = places[codes == code]
+                try:
+                    values[at] = checked(loaded(load, token)(frame.iloc[at].reset_index(drop=True)), len(at))
+                except Exception as e:
+                    values[at], classes[at], errors[at] = np.nan, error_class(e), str(e)
+            return pd.DataFrame({"value": values, "error_class": classes, "error": errors})
+
+        return judge(unit, self._inputs(value))
+
+    def _inputs(self, value) -> Column:
+        return F.struct(*[value(f).cast("double").alias(f"c{i}") for i, f in enumerate(self.features)])

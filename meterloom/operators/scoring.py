@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from meterloom.functions.models import Stack
 from meterloom.operators.pipeline import pipeline_features, score_pipeline
+from meterloom.operators.pymodel import PythonModel
 
 CSV_NAMES = {"row_id": "Row Id", "prediction": "Prediction"}
 
@@ -19,8 +20,22 @@ def model_features(model) -> list[str]:
     return pipeline_features(model) if isinstance(model, PipelineModel) else list(model.features)
 
 
-def with_prediction(df: DataFrame, model, output: str = "prediction") -> DataFrame:
-    """Add a model's prediction, whatever its kind."""
+#: Where the errors of a Python model stand when it scores by unit.
+ERRORS = ("_error_class", "_error")
+
+
+def with_prediction(df: DataFrame, model, output: str = "prediction", unit: Column | None = None) -> DataFrame:
+    """Add a model's prediction, whatever its kind; with `unit`, a Python model's errors as columns ERRORS."""
+    if isinstance(model, PythonModel) and unit is not None:
+        judged = df.withColumn("_outcome", model.outcome(unit))
+        value = F.col("_outcome.value")
+        return judged.withColumns(
+            {
+                output: F.when(~F.isnan(value), value),
+                ERRORS[0]: F.col("_outcome.error_class"),
+                ERRORS[1]: F.col("_outcome.error"),
+            }
+        ).drop("_outcome")
     if isinstance(model, PipelineModel):
         return score_pipeline(df, model).withColumnRenamed("prediction", output)
     if isinstance(model, Stack):
@@ -38,6 +53,7 @@ def score(
     on_null: str = "null",
     means: dict[str, float] | DataFrame | None = None,
     unit: str | None = None,
+    apart: Column | None = None,
     output: str = "prediction",
 ) -> DataFrame:
     """Add the model's prediction to every row.
@@ -49,10 +65,11 @@ def score(
       "mean": the feature's mean is used: from `means` if given (by feature, or a
         table as from `unit_means`); else over the rows that share the value of
         column `unit`, or over all of `df` without a unit.
+    apart: what must not share a call of a Python model, see `PythonModel.outcome`.
     """
     features = model_features(model)
     if on_null == "drop":
-        return with_prediction(df.dropna(subset=features), model, output)
+        return with_prediction(df.dropna(subset=features), model, output, apart)
     if on_null == "mean":
         if means is None:
             means = feature_means(df, features) if unit is None else unit_means(df, features, unit)
@@ -61,20 +78,21 @@ def score(
             mean = {f: F.col(f"_mean_{f}") for f in features}
         else:
             mean = {f: F.lit(means[f]) for f in features}
-        return _with_filled(df, model, output, mean).drop(*[f"_mean_{f}" for f in features])
+        return _with_filled(df, model, output, mean, apart).drop(*[f"_mean_{f}" for f in features])
     if on_null != "null":
         raise ValueError(f"unknown on_null {on_null!r}")
-    return with_prediction(df, model, output).withColumn("null_features", null_features(features))
+    return with_prediction(df, model, output, apart).withColumn("null_features", null_features(features))
 
 
-def _with_filled(df: DataFrame, model, output: str, mean: dict[str, Column]) -> DataFrame:
+def _with_filled(df: DataFrame, model, output: str, mean: dict[str, Column], apart: Column | None = None) -> DataFrame:
     """Predict with stand-ins for missing features; the features themselves stay as they are."""
     own = {f: f"_own_{f}" for f in mean}
     filled = df.withColumnsRenamed(own).withColumns(
         {f: F.coalesce(F.col(f"`{own[f]}`"), m) for f, m in mean.items()}
     )
-    scored = with_prediction(filled, model, output)
-    return scored.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in df.columns], output)
+    scored = with_prediction(filled, model, output, apart)
+    made = [c for c in (output, *ERRORS) if c in scored.columns]
+    return scored.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in df.columns], *made)
 
 
 def _mean(feature: str) -> Column:

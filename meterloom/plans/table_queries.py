@@ -28,10 +28,10 @@ from meterloom.operators.rowid import with_row_id
 from meterloom.operators.schema import infer_types
 from meterloom.operators.scoring import in_row_order, score, to_output
 from meterloom.operators.training import fit_linear, fit_stack, holdout_error
-from meterloom.plans.score_files import read_run, score_files, status_table
-from meterloom.plans.staging import stage_csv, stage_lines, table, upload_name
+from meterloom.plans.score_files import read_run, run, score_files, status_table, write_run
+from meterloom.plans.staging import as_text, stage_csv, stage_lines, table, upload_name
 from meterloom.session import scratch_path
-from meterloom.sinks.files import spread_by_place, write_csv, write_result
+from meterloom.sinks.files import CSV_WRITE_OPTIONS, run_path, spread_by_place, write_csv, write_result
 from meterloom.sources.admission import admit, list_files
 from meterloom.sources.lines import read_lines
 from meterloom.sources.uploads import read_headers, read_uploads
@@ -272,6 +272,38 @@ def leading_index(spark, sf_dir):
     return rows.select("row_id", "c_name", "c_nationkey", "c_acctbal")
 
 
+def leading_index_time(spark, sf_dir):
+    """Events indexed by their time; some have no time, and some have text in its place."""
+    events = table(spark, sf_dir, "events")
+    at = F.when(F.col("event_id") % 17 == 0, F.lit("noon")).when(F.col("event_id") % 19 == 0, F.lit("")).otherwise(
+        F.col("ts").cast("string")
+    )
+    path = stage_lines(events, F.concat_ws(",", at, "event_id", "value"), "event_id,value", "events")
+    schema = T.StructType.fromDDL("event_id bigint, value double")
+    uploads = read_uploads(spark, path, schema, glob="*.txt", leading_index="timestamp")
+    good = uploads.rows.select(F.col("row_key").alias("at"), "event_id", "value", F.lit("ok").alias("outcome"))
+    bad = uploads.quarantine.select(
+        F.lit(None).cast("timestamp").alias("at"),
+        F.split_part("raw", F.lit(","), F.lit(2)).cast("bigint").alias("event_id"),
+        F.lit(None).cast("double").alias("value"),
+        F.col("reason").alias("outcome"),
+    )
+    return good.unionByName(bad)
+
+
+def leading_index_text(spark, sf_dir):
+    """Customers indexed by segment and name, scored, written in the order of the index and read back."""
+    customer = table(spark, sf_dir, "customer")
+    line = F.concat_ws(",", "c_mktsegment", "c_name", "c_acctbal", "c_custkey")
+    path = stage_lines(customer, line, "c_acctbal,c_custkey", "customer")
+    model = Linear({"c_acctbal": 2.0, "c_custkey": 0.5}, 1.0)
+    folder = run(
+        spark, path, model, scratch_path(spark, "results"), glob="*.txt", leading_index="segment string, name string"
+    )
+    scored = rounded(read_run(spark, folder, "scored"))
+    return scored.select("row_key.segment", "row_key.name", "prediction")
+
+
 def required_columns(spark, sf_dir):
     """Missing features per upload; uploads are the return flags."""
     lineitem = table(spark, sf_dir, "lineitem")
@@ -355,6 +387,33 @@ def upload_status(spark, sf_dir):
 # Row ids --------------------------------------------------------------------
 
 
+def status_model_failure(spark, sf_dir):
+    """One upload per order status; the model raises on one and returns too few predictions for another."""
+    orders = table(spark, sf_dir, "orders")
+    root = scratch_path(spark, "orders")
+    rows = orders.select("o_custkey", "o_totalprice", F.ascii("o_orderstatus").alias("letter"), "o_orderstatus")
+    as_text(rows).write.partitionBy("o_orderstatus").options(**CSV_WRITE_OPTIONS).csv(root)
+
+    def load():
+        def predict(frame):
+            letter = chr(int(frame["letter"].iloc[0]))
+            if letter == "P":
+                raise ValueError("no prediction for pending orders")
+            values = 7.0 + 0.5 * frame["o_custkey"] + 0.01 * frame["o_totalprice"]
+            return values[1:] if letter == "F" else values
+
+        return predict
+
+    scored = score_files(spark, root, PythonModel(["o_custkey", "o_totalprice", "letter"], load))
+    read_back = read_run(spark, write_run(scored, run_path(scratch_path(spark, "results"))), "scored")
+    upload = upload_name(F.col("source_file")).alias("upload")
+    n_scored = read_back.groupBy(upload).agg(
+        F.count("*").alias("n_scored"), F.sum(F.col("prediction").cast("decimal(18,4)")).cast("double").alias("total")
+    )
+    status = status_table(scored.files).groupBy(upload, "status", "error_class", "detail").agg(F.sum("rows").alias("rows"))
+    return status.join(n_scored, "upload", "left").withColumn("n_scored", F.coalesce("n_scored", F.lit(0)))
+
+
 def row_id_keyed(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "ts", "value")
     return with_row_id(events, "event_id").select("event_id", "value", "row_id")
@@ -743,7 +802,7 @@ QUERIES = {
         csv_scan_typed, csv_scan_quoted, csv_scan_inferred, csv_odd_header, csv_sink_infinite,
         row_id_text_key, row_id_null_key, csv_bind_by_name, header_dedup, schema_infer, null_tokens,
         utf8_check, ragged_rows, cast_quarantine, leading_index, required_columns, file_admission,
-        upload_status, row_id_keyed, row_id_file_order, row_id_per_upload, score_linear, score_tree,
+        leading_index_time, leading_index_text, upload_status, status_model_failure, row_id_keyed, row_id_file_order, row_id_per_upload, score_linear, score_tree,
         score_forest, score_stack, score_null_features, score_drop_null, score_mean_imputed,
         score_output, score_uploads, score_uploads_python, score_uploads_pipeline, score_uploads_mean,
         score_stack_pipeline, score_large_ensemble, python_model, model_spec_roundtrip, model_roundtrip,

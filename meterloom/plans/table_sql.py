@@ -190,6 +190,12 @@ ORACLE = {
                when 7 then 5.0 else value end end::double as other,
         case when event_id % 13 < 6 then 'value' else '' end as bad_columns from events""",
     "leading_index": """select c_custkey as row_id, c_name, c_nationkey, c_acctbal from customer""",
+    "leading_index_time": """
+        select case when event_id % 17 <> 0 and event_id % 19 <> 0 then ts end as at, event_id,
+          case when event_id % 17 <> 0 then value end as value,
+          case when event_id % 17 = 0 then 'bad_index' else 'ok' end as outcome from events""",
+    "leading_index_text": """select c_mktsegment as segment, c_name as name,
+        round((1.0::double + 2.0::double * c_acctbal) + 0.5::double * c_custkey, 4) as prediction from customer""",
     "required_columns": """
         select l_returnflag as upload, feature, count(*) as n_rows
         from lineitem join (values ('N', 'l_discount'), ('R', 'l_quantity'), ('R', 'l_tax'))
@@ -198,6 +204,16 @@ ORACLE = {
         event_type in ('click', 'signup', 'view') as admitted, count(*) as n_lines
         from events group by 1""",
     "upload_status": _status(),
+    "status_model_failure": """
+        select 'o_orderstatus=' || o_orderstatus as upload,
+          case o_orderstatus when 'P' then 500 when 'F' then 500 else 200 end as status,
+          case o_orderstatus when 'P' then 'model' when 'F' then 'model' else 'ok' end as error_class,
+          case o_orderstatus when 'P' then 'no prediction for pending orders'
+            when 'F' then 'All arrays must be of the same length' end as detail,
+          count(*) as rows, count(*) filter (o_orderstatus not in ('P', 'F')) as n_scored,
+          sum(((7.0::double + 0.5::double * o_custkey) + 0.01::double * o_totalprice)::decimal(18,4))
+            filter (o_orderstatus not in ('P', 'F'))::double as total
+        from orders group by o_orderstatus""",
     "row_id_keyed": """select event_id, value,
         row_number() over (order by event_id) - 1 as row_id from events""",
     "row_id_file_order": """select row_number() over (order by o_orderkey) - 1 as row_id,

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterloom.operators.scoring import CSV_NAMES, in_row_order
 
@@ -48,6 +49,25 @@ def spread_by_place(
     return df.repartitionById(files, file).sortWithinPartitions(*sort)
 
 
+def key_parts(df: DataFrame, key: str) -> list[str]:
+    """The columns of a typed index: itself, or the fields of a struct."""
+    kind = df.schema[key].dataType
+    return [f"{key}.`{f.name}`" for f in kind.fields] if isinstance(kind, T.StructType) else [key]
+
+
+def in_key_order(
+    df: DataFrame, n_rows: int, key: str, unit: str, *, first: tuple[str, ...] = (), rows_per_file: int | None = None
+) -> DataFrame:
+    """Ordered by unit and typed index (null last, then by place); within a file by `first` before that.
+
+    The order is sampled, so `df` should be a written table.
+    """
+    files = max(1, -(-n_rows // (rows_per_file or ROWS_PER_FILE)))
+    order = [F.col(c).asc_nulls_last() for c in (unit, *key_parts(df, key), "place")]
+    ranged = df.repartitionByRange(files, *order)
+    return ranged.sortWithinPartitions(*[F.col(c) for c in first], *order)
+
+
 def plain_number(value, decimals: int):
     """A double as text without an exponent; what a decimal cannot hold is printed as a double."""
     fits = F.abs(value) < F.lit(10.0 ** (37 - decimals))

@@ -27,12 +27,16 @@ EMPTY_FILE = "No columns to parse from file"
 MISSING_BEFORE, MISSING_AFTER = "KeyError: ", ". Ensure correct columns in your Data!"
 NO_ROWS = "No predictions to display."
 
+#: The typed index of a row, if its file has one.
+ROW_KEY = "row_key"
+
 
 @dataclass
 class Uploads:
     """`judged`: every data row of the accepted files, parsed once, with
     source_file, row_id, place (position through all files in path order), the
-    declared columns, reason (null for a valid row), bad_columns and raw.
+    declared columns, reason (null for a valid row), bad_columns and raw; with a
+    typed leading index also `row_key`.
     `files`: one row per file with its header, counts and status.
     """
 
@@ -42,9 +46,9 @@ class Uploads:
 
     @property
     def rows(self) -> DataFrame:
-        """The valid rows: source_file, row_id, declared columns, place."""
+        """The valid rows: source_file, row_id (and row_key), declared columns, place."""
         return self.judged.where(F.col("_fence") & F.col("reason").isNull()).select(
-            "source_file", "row_id", *[F.col(f"`{c}`") for c in self.columns], "place"
+            "source_file", *key_columns(self.judged), *[F.col(f"`{c}`") for c in self.columns], "place"
         )
 
     @property
@@ -55,8 +59,28 @@ class Uploads:
         )
 
 
-def profile_files(numbered: NumberedRecords, leading_index: bool) -> DataFrame:
-    """Header names and record counts per file, from the counts per record shape."""
+def key_columns(rows: DataFrame) -> list[str]:
+    """What names a row within its file."""
+    return ["row_id", ROW_KEY] if ROW_KEY in rows.columns else ["row_id"]
+
+
+def index_fields(leading_index) -> list[T.StructField]:
+    """The index columns: none, one whole number for True, or those of a type or DDL text."""
+    if not leading_index:
+        return []
+    if leading_index is True:
+        return [T.StructField("row_id", T.LongType())]
+    kind = leading_index
+    if isinstance(kind, str):
+        kind = T._parse_datatype_string(kind)
+    return list(kind.fields) if isinstance(kind, T.StructType) else [T.StructField(ROW_KEY, kind)]
+
+
+def profile_files(numbered: NumberedRecords, n_index: int = 0) -> DataFrame:
+    """Header names and record counts per file, from the counts per record shape.
+
+    A file has a leading index if its first row has `n_index` fields more than its header.
+    """
     groups = numbered.groups
     headers = groups.where(F.col("first") == -1).select(
         "source_file", F.col("first_raw").alias("raw"), F.col("width").alias("n_columns")
@@ -67,7 +91,7 @@ def profile_files(numbered: NumberedRecords, leading_index: bool) -> DataFrame:
     named = settle(cut.withColumn("names", names).drop("fields"), "headers")
 
     extra = F.col("width") - F.col("n_columns")
-    indexed = F.lit(leading_index) & F.bool_or((F.col("first") == 0) & (extra == 1))
+    indexed = F.lit(n_index > 0) & F.bool_or((F.col("first") == 0) & (extra == n_index))
     long_rows = lambda allowed: F.coalesce(
         F.sum(F.when(~F.col("open_quote") & (extra > allowed), F.col("n"))), F.lit(0)
     )
@@ -79,7 +103,7 @@ def profile_files(numbered: NumberedRecords, leading_index: bool) -> DataFrame:
             F.bool_and("valid").alias("valid"),
             F.coalesce(F.sum(F.when(F.col("open_quote"), F.col("n"))), F.lit(0)).alias("n_open"),
             indexed.alias("leading_index"),
-            F.when(indexed, long_rows(1)).otherwise(long_rows(0)).alias("n_long"),
+            F.when(indexed, long_rows(n_index)).otherwise(long_rows(0)).alias("n_long"),
         )
     )
 
@@ -129,6 +153,28 @@ def classify(files: DataFrame, required: list[str], strict: bool, known: list[st
     )
 
 
+def with_failures(files: DataFrame, failures: DataFrame) -> DataFrame:
+    """`files` with the status of those a model could not score.
+
+    failures: source_file, error_class (as `pymodel.error_class` has it), error.
+    """
+    kind = F.col("failure")
+    status = F.when(kind == "model", 500).when(kind.isNotNull(), 422).otherwise(F.col("status"))
+    detail = (
+        F.when(kind == "model", F.col("error"))
+        .when(kind == "missing_column", F.concat(F.lit(MISSING_BEFORE), "error", F.lit(MISSING_AFTER)))
+        .when(kind == "encoding", F.lit(BAD_ENCODING))
+        .when(kind == "malformed", F.lit(BAD_CSV))
+        .otherwise(F.col("detail"))
+    )
+    named = failures.select("source_file", F.col("error_class").alias("failure"), "error")
+    return (
+        files.join(named, "source_file", "left")
+        .withColumns({"status": status, "detail": detail, "error_class": F.coalesce(kind, "error_class")})
+        .drop("failure", "error")
+    )
+
+
 def read_uploads(
     spark: SparkSession,
     paths,
@@ -137,7 +183,7 @@ def read_uploads(
     *,
     glob: str = "*.csv",
     multiline: bool = False,
-    leading_index: bool = False,
+    leading_index: bool | str | T.DataType = False,
     strict: bool = False,
     one_numbering: bool = False,
 ) -> Uploads:
@@ -145,10 +191,16 @@ def read_uploads(
 
     required: columns each file must have; all of `schema` if not given.
     multiline: quoted fields may hold line breaks.
-    leading_index: a first row with one field too many makes column 1 the row id.
+    leading_index: a first row with more fields than the header makes the first columns
+      the row's index. True: one whole number, which is the row id. A type, or several
+      columns with types as DDL ("at timestamp", "building string, hour int"): a typed
+      `row_key` (a struct, if several) beside the dense row id. An index value that does
+      not fit is quarantined as `bad_index`, and so is a missing row id; a missing
+      value of a typed key is null, and such rows come last in order.
     strict: reject a file with any malformed row instead of quarantining the row.
     one_numbering: number rows through all files in path order, not per file.
     """
+    index = index_fields(leading_index)
     if schema is None:
         schema = infer_schema(spark, paths, glob=glob, multiline=multiline, leading_index=leading_index)
         required = [] if required is None else required
@@ -159,7 +211,7 @@ def read_uploads(
     columns = schema.fieldNames()
     files = settle(
         classify(
-            listed.join(profile_files(numbered, leading_index), "source_file", "left"),
+            listed.join(profile_files(numbered, len(index)), "source_file", "left"),
             columns if required is None else required,
             strict,
             columns,
@@ -170,13 +222,13 @@ def read_uploads(
     where = F.transform(
         F.array(*map(F.lit, columns)),
         lambda name: (
-            F.nullif(F.array_position("names", name), F.lit(0)) - 1 + F.col("leading_index").cast("int")
+            F.nullif(F.array_position("names", name), F.lit(0)) - 1 + F.col("leading_index").cast("int") * len(index)
         ).cast("int"),
     )
     binding = files.select(
         "source_file",
         where.alias("where"),
-        (F.col("n_columns") + F.col("leading_index").cast("int")).alias("allowed"),
+        (F.col("n_columns") + F.col("leading_index").cast("int") * len(index)).alias("allowed"),
         "leading_index",
         "first_place",
         (F.col("bad_rows") > 0).alias("malformed"),
@@ -199,10 +251,21 @@ def read_uploads(
         source = F.array(*[text[i] for i in members]) if len(by_type) > 1 else F.col("texts")
         arrays[f"values_{k}"] = F.transform(source, _parser(data_type))
         value |= {i: F.get(f"values_{k}", F.lit(j)) for j, i in enumerate(members)}
-    own_row_id = F.col("place") if one_numbering else F.col("row_no")
-    row_id = F.when(
-        F.col("leading_index"), F.get("fields", F.lit(0)).try_cast("long")
-    ).otherwise(own_row_id)
+    row_id = F.col("place") if one_numbering else F.col("row_no")
+    indexed = F.col("leading_index")
+    # as for the columns, one array of texts: each value is cut and cleaned once
+    index_text = [F.get("index_texts", F.lit(i)) for i in range(len(index))]
+    index_value = [F.when(indexed, parse_as(t, f.dataType)) for t, f in zip(index_text, index)]
+    unfit_index = reduce(
+        Column.__or__, [t.isNotNull() & v.isNull() for t, v in zip(index_text, index_value)], F.lit(False)
+    )
+    keyed = {}
+    if leading_index is True:
+        row_id = F.when(indexed, index_value[0]).otherwise(row_id)
+        unfit_index = index_value[0].isNull()
+    elif index:
+        parts = F.struct(*[v.alias(f.name) for v, f in zip(index_value, index)])
+        keyed = {ROW_KEY: index_value[0] if index[0].name == ROW_KEY else F.when(indexed, parts)}
     typed = (
         parsed.withColumn(
             "texts",
@@ -211,9 +274,10 @@ def read_uploads(
                 for i in range(len(columns))
             ]),
         )
+        .withColumn("index_texts", F.array(*[drop_null_tokens(F.get("fields", F.lit(i))) for i in range(len(index))]))
         .withColumns(arrays)
         .withColumn("place", F.col("first_place") + F.col("row_no"))
-        .withColumn("row_id", row_id)
+        .withColumns({"row_id": row_id, "bad_index": indexed & unfit_index, **keyed})
     )
     unfit = {
         c: text[i].isNotNull() & value[i].isNull()
@@ -223,6 +287,7 @@ def read_uploads(
     reason = (
         F.when(F.col("open_quote"), F.lit("open_quote"))
         .when(F.col("width") > F.col("allowed"), F.lit("long_row"))
+        .when(F.col("bad_index"), F.lit("bad_index"))
         .when(reduce(Column.__or__, unfit.values(), F.lit(False)), F.lit("bad_value"))
     )
     unfit_names = F.array(*[F.when(u, F.lit(c)) for c, u in unfit.items()]).cast("array<string>")
@@ -232,6 +297,7 @@ def read_uploads(
     judged = fence(typed.withColumn("reason", reason)).select(
         "source_file",
         "row_id",
+        *keyed,
         "place",
         *[value[i].alias(c) for i, c in enumerate(columns)],
         "reason",
@@ -285,4 +351,4 @@ def _first_place() -> Column:
 def read_headers(spark: SparkSession, paths, glob: str = "*.csv", multiline: bool = False) -> DataFrame:
     """source_file, names, n_columns, n_rows, ...: one row per file that has a header."""
     reader = read_stitched if multiline else read_lines
-    return profile_files(reader(spark, paths, glob), leading_index=False)
+    return profile_files(reader(spark, paths, glob))
