@@ -474,14 +474,14 @@ def nearest(
         .cogroup(searched.groupBy(*block))
         .applyInArrow(_best_of_block(nearest), f"item bigint, best {PLACES}")
     )
-    # as many places a query as it has visited cells, at most, times those of a block; all tables' candidates in one order
-    gathered = found.groupBy("item").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))).alias("best"))
+    # a query has a place for each candidate it keeps of a block; a candidate comes once from each table at most
+    gathered = found.groupBy("item").agg(F.sort_array(F.flatten(F.collect_list("best"))).alias("best"))
 
     def first_ones(kept, place):
         known = (F.size(kept) > nearest) | F.exists(kept, lambda x: x["vec_id"] == place["vec_id"])
         return F.when(known, kept).otherwise(F.concat(kept, F.array(place)))
 
-    first = F.slice("best", 1, nearest + 1)
+    first = F.slice(F.array_distinct(F.slice("best", 1, TABLES * (nearest + 1))), 1, nearest + 1)
     alone = F.size(F.array_distinct(first["vec_id"])) == F.size(first)  # no id with two vectors among them
     one_each = F.aggregate("best", F.array().cast(PLACES), first_ones)
     best = gathered.select("item", F.when(alone, first).otherwise(one_each).alias("best"))
