@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Executors get these helpers with the task and need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _flat(root, place: dict[str, int]):
-    """Arrays over the nodes of a tree; a leaf leads to itself. Also the depth."""
-    feature, threshold, strict, missing, left, right, value = [], [], [], [], [], [], []
-    depth = 0
+    """Arrays over the nodes of a tree; a leaf leads to itself. Also the depth.
+
+    `group` is the row of a node in the table of category sets (`_sets`), or -1.
+    """
+    feature, threshold, strict, missing, left, right, value, zero, group = [], [], [], [], [], [], [], [], []
+    depth, sets = 0, []
     todo = [(root, None, None, 0)]
     while todo:
         node, parent, side, level = todo.pop()
@@ -20,20 +29,46 @@ def _flat(root, place: dict[str, int]):
             (left if side == 0 else right)[parent] = at
         leaf = hasattr(node, "value")
         feature.append(0 if leaf else place[node.feature])
-        threshold.append(0.0 if leaf else float(node.threshold))
-        strict.append(not leaf and node.strict)
+        numeric = not leaf and hasattr(node, "threshold")
+        threshold.append(float(node.threshold) if numeric else 0.0)
+        strict.append(numeric and node.strict)
+        side = node.zero if numeric else None
+        zero.append(-1 if side is None else int(side == "left"))
+        group.append(-1)
+        if not leaf and not numeric:
+            group[-1] = len(sets)
+            sets.append((node.categories, node.whole))
         missing.append(-1 if leaf or node.missing is None else int(node.missing == "left"))
         left.append(at)
         right.append(at)
         value.append(float(node.value) if leaf else 0.0)
         if not leaf:
             todo += [(node.left, at, 0, level + 1), (node.right, at, 1, level + 1)]
-    arrays = [np.array(a) for a in (feature, threshold, strict, missing, left, right, value)]
-    return (*arrays, depth)
+    arrays = [np.array(a) for a in (feature, threshold, strict, missing, left, right, value, zero, group)]
+    return (*arrays, _sets(sets), depth)
+
+
+def _sets(sets):
+    """Known categories, a bit for each set and category, and which sets cut to whole numbers; None without sets."""
+    if not sets:
+        return None
+    known = np.unique(np.concatenate([np.array(c, float) for c, _ in sets] or [np.zeros(0)]))
+    bits = np.zeros((len(sets), len(known) + 1), bool)
+    for i, (categories, _) in enumerate(sets):
+        bits[i, np.searchsorted(known, np.array(categories, float))] = True
+    return np.append(known, np.nan), bits, np.array([w for _, w in sets])
+
+
+def _is_member(sets, group, own):
+    """Whether each value is in the set of its group."""
+    known, bits, whole = sets
+    own = np.where(whole[group], np.trunc(own), own)
+    at = np.searchsorted(known[:-1], own)
+    return bits[group, at] & (known[at] == own)
 
 
 def _needed(flat) -> set[int]:
-    feature, _, _, missing, left, right, _, _ = flat
+    feature, _, _, missing, left, right, *_ = flat
     inner = left != right
     return set(feature[inner & (missing < 0)].tolist())
 
@@ -44,6 +79,7 @@ def walk_trees(trees, weights, intercept: float, features: list[str], inputs) ->
     flats = [_flat(t.root, place) for t in trees]
     needed = sorted(set().union(*[_needed(f) for f in flats])) if flats else []
     weights, intercept = [float(w) for w in weights], float(intercept)
+    is_member, nearly_zero = _is_member, 1e-35
 
     @F.arrow_udf("double")
     def walk(columns):
@@ -55,12 +91,18 @@ def walk_trees(trees, weights, intercept: float, features: list[str], inputs) ->
         values = np.stack([f.fill_null(0.0).to_numpy(zero_copy_only=False) for f in fields])
         rows = np.arange(n)
         total = np.full(n, intercept)
-        for (feature, threshold, strict, missing, left, right, value, depth), weight in zip(flats, weights):
+        # without a side for what is missing, NaN is above any threshold, as in columns
+        for (feature, threshold, strict, missing, left, right, value, zero, group, sets, depth), weight in zip(flats, weights):
             node = np.zeros(n, np.int64)
             for _ in range(depth):
                 own, bound = values[feature[node], rows], threshold[node]
                 goes_left = np.where(strict[node], own < bound, own <= bound)
-                goes_left = np.where(null[feature[node], rows], missing[node] == 1, goes_left)
+                if sets is not None:
+                    chosen = group[node]
+                    goes_left = np.where(chosen >= 0, is_member(sets, np.maximum(chosen, 0), own), goes_left)
+                goes_left = np.where((zero[node] >= 0) & (np.abs(own) <= nearly_zero), zero[node] == 1, goes_left)
+                absent = null[feature[node], rows] | (np.isnan(own) & (missing[node] >= 0))
+                goes_left = np.where(absent, missing[node] == 1, goes_left)
                 node = np.where(goes_left, left[node], right[node])
             total += weight * value[node]
         blank = null[needed].any(axis=0) if needed else np.zeros(n, bool)

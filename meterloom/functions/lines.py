@@ -47,6 +47,12 @@ def split_fields(raw: Column, width: int) -> Column:
     return F.array(*[parsed.getField(f"c{i}") for i in range(width)])
 
 
+def nth_field(raw: Column, at: Column) -> Column:
+    """One field of a line without quotes and with more than `at` fields, without cutting the others."""
+    up_to = F.call_function("substring_index", raw, F.lit(","), (at + 1).cast("int"))
+    return F.substring_index(up_to, ",", -1)
+
+
 def width_tiers(widest: int) -> list[int]:
     """Widths at which lines are parsed: powers of four up to the widest."""
     tiers = [8]
@@ -55,8 +61,8 @@ def width_tiers(widest: int) -> list[int]:
     return tiers
 
 
-def with_fields(df: DataFrame, own: Column, tiers: list[int]) -> DataFrame:
-    """Add `fields`: at least the first `own` fields as strings, null or absent where there are fewer.
+def with_fields(df: DataFrame, own: Column, tiers: list[int], skip: Column | None = None) -> DataFrame:
+    """Add `fields`: at least the first `own` fields as strings, null or absent where there are fewer; null for `skip`.
 
     Lines without a quote need no CSV parser. The others are parsed at the
     smallest of `tiers` that holds `own` fields, so that one wide file does not
@@ -73,7 +79,8 @@ def with_fields(df: DataFrame, own: Column, tiers: list[int]) -> DataFrame:
         here = F.col(f"_parsed_{i}").isNotNull()
         fields = F.when(here, as_array) if fields is None else fields.when(here, as_array)
         below = width
-    return df.withColumn("fields", fields.otherwise(F.split(raw, ",", -1))).drop(
+    cut = F.split(raw, ",", -1) if skip is None else F.when(~skip, F.split(raw, ",", -1))
+    return df.withColumn("fields", fields.otherwise(cut)).drop(
         *[f"_parsed_{i}" for i in range(len(tiers))]
     )
 

@@ -41,6 +41,16 @@ class Linear:
         return {"kind": "linear", "weights": self.weights, "intercept": self.intercept}
 
 
+#: A feature no farther from 0 than this counts as 0 where 0 is missing.
+NEARLY_ZERO = 1e-35
+
+
+def _with_missing(test: Column, value: Column, side: str | None) -> Column:
+    if side is None:
+        return test
+    return F.when(value.isNull() | F.isnan(value), F.lit(side == "left")).otherwise(test)
+
+
 @dataclass(frozen=True)
 class Leaf:
     value: float
@@ -50,21 +60,84 @@ class Leaf:
 class Split:
     """`left` where feature <= threshold (feature < threshold if `strict`), else `right`.
 
-    `missing` names the side a missing feature takes; without it the prediction
-    is null.
+    `missing` names the side a missing feature (null or NaN) takes; without it the
+    prediction is null. `zero` names the side of a feature of nearly 0, for models
+    that treat 0 as missing.
     """
 
     feature: str
     threshold: float
-    left: Split | Leaf
-    right: Split | Leaf
+    left: Split | CategorySplit | Leaf
+    right: Split | CategorySplit | Leaf
     strict: bool = False
     missing: str | None = None
+    zero: str | None = None
+
+    def goes_left(self, value: Column) -> Column:
+        threshold = F.lit(float(self.threshold))
+        test = value < threshold if self.strict else value <= threshold
+        if self.zero is not None:
+            test = F.when(F.abs(value) <= NEARLY_ZERO, F.lit(self.zero == "left")).otherwise(test)
+        return _with_missing(test, value, self.missing)
+
+
+@dataclass(frozen=True)
+class CategorySplit:
+    """`left` where the feature is one of `categories`, else `right`.
+
+    `missing` as in `Split`; `whole` cuts a feature to a whole number first.
+    """
+
+    feature: str
+    categories: tuple[float, ...]
+    left: Split | CategorySplit | Leaf
+    right: Split | CategorySplit | Leaf
+    missing: str | None = None
+    whole: bool = False
+
+    def goes_left(self, value: Column) -> Column:
+        # beyond ten values Spark looks them up in a set made once, not one by one
+        cut = F.when(value >= 0, F.floor(value)).otherwise(F.ceil(value)).cast("double") if self.whole else value
+        return _with_missing(cut.isin([float(c) for c in self.categories]), value, self.missing)
+
+
+@dataclass(frozen=True)
+class SymmetricTree:
+    """A tree that asks one question a level: leaf number sum(2^i) over the tests i that go right.
+
+    tests: (feature, threshold, strict, missing) as in `Split`; 2^len(tests) leaves.
+    As a column it is a comparison a level and one lookup in a literal array,
+    instead of 2^depth nested cases.
+    """
+
+    tests: tuple[tuple, ...]
+    leaves: tuple[float, ...]
+
+    def __post_init__(self):
+        if len(self.leaves) != 1 << len(self.tests):
+            raise ValueError(f"{len(self.tests)} tests need {1 << len(self.tests)} leaves, not {len(self.leaves)}")
+
+    @property
+    def features(self) -> list[str]:
+        return sorted({t[0] for t in self.tests})
+
+    def column(self, inputs=None) -> Column:
+        value = inputs or F.col
+        bits, present = F.lit(0), F.lit(True)
+        for i, (feature, threshold, strict, missing) in enumerate(self.tests):
+            split = Split(feature, threshold, Leaf(0.0), Leaf(0.0), strict, missing)
+            bits = bits + F.when(split.goes_left(value(feature)), F.lit(0)).otherwise(F.lit(1 << i))
+            if missing is None:
+                present = present & value(feature).isNotNull()
+        return F.when(present, F.get(F.array(*[F.lit(float(v)) for v in self.leaves]), bits))
+
+    def spec(self) -> dict:
+        return {"kind": "symmetric", "tests": [list(t) for t in self.tests], "leaves": list(self.leaves)}
 
 
 @dataclass(frozen=True)
 class Tree:
-    root: Split | Leaf
+    root: Split | CategorySplit | Leaf
 
     @property
     def features(self) -> list[str]:
@@ -72,17 +145,13 @@ class Tree:
 
     def column(self, inputs=None) -> Column:
         value = inputs or F.col
-        if node_count(self) > MAX_COMPILED_NODES:
+        if node_count(self) > MAX_COMPILED_NODES and self.features:
             return walk_trees([self], [1.0], 0.0, self.features, value)
 
         def walk(node) -> Column:
             if isinstance(node, Leaf):
                 return F.lit(float(node.value))
-            feature, threshold = value(node.feature), F.lit(float(node.threshold))
-            goes_left = feature < threshold if node.strict else feature <= threshold
-            if node.missing is not None:
-                goes_left = F.coalesce(goes_left, F.lit(node.missing == "left"))
-            return F.when(goes_left, walk(node.left)).otherwise(walk(node.right))
+            return F.when(node.goes_left(value(node.feature)), walk(node.left)).otherwise(walk(node.right))
 
         present = [value(f).isNotNull() for f in sorted(needed_features(self.root))]
         return F.when(reduce(Column.__and__, present, F.lit(True)), walk(self.root))
@@ -108,12 +177,14 @@ class Ensemble:
         if node_count(self) <= MAX_COMPILED_NODES:
             terms = [F.lit(float(w)) * m.column(inputs) for m, w in members]
             return reduce(Column.__add__, terms, F.lit(float(self.intercept)))
-        trees = [(m, w) for m, w in members if isinstance(m, Tree)]
+        trees = [(m, w) for m, w in members if isinstance(m, Tree) and m.features]
+        others = [F.lit(float(w)) * m.column(inputs) for m, w in members if not (isinstance(m, Tree) and m.features)]
+        if not trees:
+            return reduce(Column.__add__, others, F.lit(float(self.intercept)))
         features = list(dict.fromkeys(f for m, _ in trees for f in m.features))
         walked = walk_trees(
             [m for m, _ in trees], [w for _, w in trees], self.intercept, features, inputs or F.col
         )
-        others = [F.lit(float(w)) * m.column(inputs) for m, w in members if not isinstance(m, Tree)]
         return reduce(Column.__add__, others, walked)
 
     def spec(self) -> dict:
@@ -180,14 +251,17 @@ def _split_features(node) -> set[str]:
 def _node_spec(node) -> dict:
     if isinstance(node, Leaf):
         return {"value": node.value}
-    spec = {
-        "feature": node.feature,
-        "threshold": node.threshold,
-        "left": _node_spec(node.left),
-        "right": _node_spec(node.right),
-    }
-    if node.strict:
-        spec["strict"] = True
+    spec = {"feature": node.feature, "left": _node_spec(node.left), "right": _node_spec(node.right)}
+    if isinstance(node, CategorySplit):
+        spec["categories"] = list(node.categories)
+        if node.whole:
+            spec["whole"] = True
+    else:
+        spec["threshold"] = node.threshold
+        if node.strict:
+            spec["strict"] = True
+        if node.zero is not None:
+            spec["zero"] = node.zero
     if node.missing is not None:
         spec["missing"] = node.missing
     return spec
@@ -196,18 +270,23 @@ def _node_spec(node) -> dict:
 def _node(spec: dict):
     if "value" in spec:
         return Leaf(spec["value"])
-    left, right = _node(spec["left"]), _node(spec["right"])
-    strict, missing = spec.get("strict", False), spec.get("missing")
-    return Split(spec["feature"], spec["threshold"], left, right, strict, missing)
+    left, right, missing = _node(spec["left"]), _node(spec["right"]), spec.get("missing")
+    if "categories" in spec:
+        whole = spec.get("whole", False)
+        return CategorySplit(spec["feature"], tuple(spec["categories"]), left, right, missing, whole)
+    strict, zero = spec.get("strict", False), spec.get("zero")
+    return Split(spec["feature"], spec["threshold"], left, right, strict, missing, zero)
 
 
 def node_count(model) -> int:
     if isinstance(model, Leaf):
         return 1
-    if isinstance(model, Split):
+    if isinstance(model, (Split, CategorySplit)):
         return 1 + node_count(model.left) + node_count(model.right)
     if isinstance(model, Tree):
         return node_count(model.root)
+    if isinstance(model, SymmetricTree):
+        return len(model.tests)
     if isinstance(model, Ensemble):
         return sum(map(node_count, model.members))
     if isinstance(model, Stack):
@@ -221,6 +300,8 @@ def from_spec(spec: dict):
         return Linear(dict(spec["weights"]), spec["intercept"])
     if kind == "tree":
         return Tree(_node(spec["root"]))
+    if kind == "symmetric":
+        return SymmetricTree(tuple(tuple(t) for t in spec["tests"]), tuple(spec["leaves"]))
     if kind == "ensemble":
         members = tuple(from_spec(m) for m in spec["members"])
         return Ensemble(members, tuple(spec["weights"]), spec["intercept"])

@@ -10,13 +10,21 @@ matrix products without rounding; the parts' sums are joined once at the end.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterloom.session import fence
+
+# Executors get these helpers with the task and need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BITS = 50
 PART_BITS = 17
 BLOCK_ROWS = 4096
@@ -43,14 +51,18 @@ def product_sums(df: DataFrame, columns: list[str], group: Column | None = None)
     """{group: {(a, b): Fraction}} over the usable rows; "" stands for the constant 1.
 
     Two passes: the ranges of the columns, then one small matrix per task and
-    group. Groups are whole numbers; without `group` the only one is 0.
+    group. Groups are whole numbers; without `group` the only one is 0. In each
+    pass a derived column is computed once: the fence keeps the tests on its value
+    from being replaced by its expression.
     """
     names = ["", *columns]
-    numbers = df.where(usable(columns)).select(
+    n = len(columns)
+    projected = df.select(
         (F.lit(0) if group is None else group).cast("long").alias("grp"),
         *[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)],
     )
-    n = len(columns)
+    finite = [F.abs(F.col(f"c{i}")) < F.lit(float("inf")) for i in range(n)]  # NaN is above infinity
+    numbers = fence(projected).where(reduce(Column.__and__, finite, F.col("_fence"))).drop("_fence")
     bounds = numbers.agg(*[f(f"c{i}") for i in range(n) for f in (F.min, F.max)]).first()
     centres, exponents = [], []
     for low, high in zip(bounds[::2], bounds[1::2]):

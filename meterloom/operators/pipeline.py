@@ -14,7 +14,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.functions.models import Ensemble, Leaf, Linear, Split, Stack, Tree
+from meterloom.functions.models import CategorySplit, Ensemble, Leaf, Linear, Split, Stack, Tree
 from meterloom.session import scratch_path
 
 REGRESSORS = {
@@ -176,6 +176,14 @@ def compile_pipeline(spark, model: PipelineModel):
     return Ensemble(members, (1.0 / len(members),) * len(members))
 
 
+def _category_split(feature: str, split, left, right) -> CategorySplit:
+    """The smaller of the two sets decides, so that a category never seen takes the larger side."""
+    n, of_left = split["numCategories"], {float(c) for c in split["leftCategoriesOrThreshold"]}
+    if len(of_left) <= n / 2:
+        return CategorySplit(feature, tuple(sorted(of_left)), left, right)
+    return CategorySplit(feature, tuple(c for c in map(float, range(n)) if c not in of_left), right, left)
+
+
 def _tree(rows, features: list[str]) -> Tree:
     by_id = {row["id"]: row for row in rows}
 
@@ -185,8 +193,9 @@ def _tree(rows, features: list[str]) -> Tree:
             return Leaf(float(row["prediction"]))
         split = row["split"]
         if split["numCategories"] >= 0:
-            name = features[split["featureIndex"]]
-            raise ValueError(f"feature {name!r} is split by categories; score the model as a pipeline")
+            return _category_split(
+                features[split["featureIndex"]], split, build(row["leftChild"]), build(row["rightChild"])
+            )
         return Split(
             features[split["featureIndex"]],
             float(split["leftCategoriesOrThreshold"][0]),

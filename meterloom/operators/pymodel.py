@@ -54,13 +54,13 @@ def error_class(error: Exception) -> str:
     return "malformed" if isinstance(error, pd.errors.ParserError) else "model"
 
 
-def checked(values, n: int) -> np.ndarray:
-    """Predictions as doubles, one for each of `n` rows."""
+def checked(values, n: int, wrong_length: str | None = None) -> np.ndarray:
+    """Predictions as doubles, one for each of `n` rows; `wrong_length` is said if there are more or fewer."""
     values = np.asarray(values)
     if values.ndim != 1:
         raise ValueError(WRONG_SHAPE)
     if len(values) != n:
-        raise ValueError(WRONG_LENGTH)
+        raise ValueError(wrong_length or f"{len(values)} predictions for {n} rows")
     return values.astype("float64")
 
 
@@ -147,7 +147,7 @@ class PythonModel:
             for code in range(codes.max(initial=-1) + 1):
                 at = places[codes == code]
                 try:
-                    values[at] = checked(loaded(load, token)(frame.iloc[at].reset_index(drop=True)), len(at))
+                    values[at] = checked(loaded(load, token)(frame.iloc[at].reset_index(drop=True)), len(at), WRONG_LENGTH)
                 except Exception as e:
                     values[at], classes[at], errors[at] = np.nan, error_class(e), str(e)
             return pd.DataFrame({"value": values, "error_class": classes, "error": errors})

@@ -139,9 +139,8 @@ def holdout_error(df: DataFrame, label: str, prediction: str = "prediction") ->
     """One row: n, rmse, mae, r2, over rows whose label and prediction are finite."""
     y = F.col(label).cast("double")
     error = y - F.col(prediction).cast("double")
-    judged = df.where(usable([label, prediction])).select(
-        y.alias("y"), error.alias("error"), F.abs(error).alias("size")
-    )
+    # an error is finite only where label and prediction are; other rows take no part in the sums
+    judged = df.select(y.alias("y"), error.alias("error"), F.abs(error).alias("size"))
     sums = product_sums(judged, ["y", "error", "size"]).get(0)
     n, rmse, mae, r2 = 0, None, None, None
     if sums:

@@ -7,11 +7,23 @@ are written by Spark to the shared folder and read back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterloom.functions.models import Ensemble, Leaf, Linear, Split, Stack, Tree, load_model, save_model
+from meterloom.functions.dumps import load_dump
+from meterloom.functions.models import (
+    CategorySplit,
+    Ensemble,
+    Leaf,
+    Linear,
+    Split,
+    Stack,
+    SymmetricTree,
+    Tree,
+    load_model,
+    save_model,
+)
 from meterloom.functions.values import NULL_TOKENS
 from meterloom.operators.catalog import catalog, missing_features, profile_features
 from meterloom.operators.paging import clamp_page, display, page, page_count, page_in_order, page_summary
@@ -31,7 +43,7 @@ from meterloom.operators.training import fit_linear, fit_stack, holdout_error
 from meterloom.plans.score_files import read_run, run, score_files, status_table, write_run
 from meterloom.plans.staging import as_text, stage_csv, stage_lines, table, upload_name
 from meterloom.session import scratch_path
-from meterloom.sinks.files import CSV_WRITE_OPTIONS, run_path, spread_by_place, write_csv, write_result
+from meterloom.sinks.files import CSV_WRITE_OPTIONS, run_path, spread_by_place, write_csv, write_csv_parts, write_result
 from meterloom.sources.admission import admit, list_files
 from meterloom.sources.lines import read_lines
 from meterloom.sources.uploads import read_headers, read_uploads
@@ -92,14 +104,13 @@ def csv_scan_inferred(spark, sf_dir):
 
 
 def csv_odd_header(spark, sf_dir):
-    """One file of two thousand columns beside the orders; both bind by name."""
+    """All orders in files of two thousand columns beside the orders themselves; both bind by name."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
     root = scratch_path(spark, "orders")
     stage_csv(orders, "", f"{root}/narrow")
     header = ",".join(["x"] * 1997 + ["o_totalprice", "o_custkey", "o_orderkey"])
-    first = orders.where(F.col("o_orderkey") % 1000 == 0).coalesce(1)
     line = F.concat(F.repeat(F.lit(","), 1997), F.concat_ws(",", "o_totalprice", "o_custkey", F.col("o_orderkey") + 1))
-    stage_lines(first, line, header, "", f"{root}/wide")
+    stage_lines(orders, line, header, "", f"{root}/wide")
     schema = "o_orderkey bigint, o_custkey bigint, o_totalprice double"
     rows = read_uploads(spark, root, T.StructType.fromDDL(schema), glob="part-*").rows
     return rows.select(upload_name(F.col("source_file")).alias("upload"), "o_orderkey", "o_custkey", "o_totalprice")
@@ -474,6 +485,98 @@ def score_forest(spark, sf_dir):
     return _scored_lineitem(spark, sf_dir, FOREST)
 
 
+def with_gaps(spark, sf_dir) -> DataFrame:
+    """`lineitem` with some discounts and taxes missing."""
+    return table(spark, sf_dir, "lineitem").withColumns(
+        {"l_discount": F.nullif("l_discount", F.lit(0.1)), "l_tax": F.nullif("l_tax", F.lit(0.0))}
+    )
+
+
+def score_category_split(spark, sf_dir):
+    """A large and a small set of categories as tests; what is missing goes right."""
+    suppliers = tuple(float(c) for c in range(0, 10_000, 3))
+    model = Tree(
+        CategorySplit(
+            "l_suppkey", suppliers,
+            CategorySplit("l_linenumber", (1.0, 3.0, 5.0), Leaf(10.0), Leaf(20.0)),
+            Split("l_discount", 0.05, Leaf(30.0), CategorySplit("l_linenumber", (2.0,), Leaf(40.0), Leaf(50.0)), missing="right"),
+        )
+    )
+    return to_output(score(with_gaps(spark, sf_dir), model), "l_orderkey", "l_linenumber")
+
+
+def score_symmetric_trees(spark, sf_dir):
+    """Fifty trees of four levels, each a table of sixteen leaves."""
+    trees = tuple(
+        SymmetricTree(
+            (
+                ("l_quantity", float(i), False, None),
+                ("l_discount", (i % 11) / 100, False, None),
+                ("l_tax", (i % 9) / 100, True, "left"),
+                ("l_quantity", float(i * 3 % 50), True, None),
+            ),
+            tuple(float((i * 7 + leaf * 3) % 11) for leaf in range(16)),
+        )
+        for i in range(50)
+    )
+    model = Ensemble(trees, (0.5,) * len(trees), 1.0)
+    return to_output(score(with_gaps(spark, sf_dir), model), "l_orderkey", "l_linenumber")
+
+
+#: Three small models as the text that other libraries write.
+SPLIT_DUMP = """[
+  {"nodeid": 0, "depth": 0, "split": "f0", "split_condition": 25, "yes": 1, "no": 2, "missing": 1, "children": [
+    {"nodeid": 1, "depth": 1, "split": "f1", "split_condition": 0.0500000007, "yes": 3, "no": 4, "missing": 4,
+     "children": [{"nodeid": 3, "leaf": 1.5}, {"nodeid": 4, "leaf": -2.25}]},
+    {"nodeid": 2, "leaf": 4}]},
+  {"nodeid": 0, "depth": 0, "split": "f2", "split_condition": 0.0399999991, "yes": 1, "no": 2, "missing": 2, "children": [
+    {"nodeid": 1, "leaf": 0.5}, {"nodeid": 2, "leaf": 0.75}]}
+]"""
+LEAFWISE_TEXT = """tree
+version=v4
+num_class=1
+num_tree_per_iteration=1
+objective=regression
+feature_names=l_quantity l_discount l_tax l_linenumber
+
+Tree=0
+num_leaves=4
+num_cat=1
+split_feature=0 3 2
+threshold=24 0 0.02
+decision_type=2 1 10
+left_child=1 -1 -3
+right_child=2 -2 -4
+leaf_value=1 2 4 8
+cat_boundaries=0 1
+cat_threshold=42
+shrinkage=1
+
+end of trees
+"""
+SYMMETRIC_JSON = """{
+  "features_info": {"float_features": [
+    {"feature_index": 0, "flat_feature_index": 0, "feature_id": "l_quantity", "nan_value_treatment": "AsIs"},
+    {"feature_index": 1, "flat_feature_index": 1, "feature_id": "l_tax", "nan_value_treatment": "AsTrue"}]},
+  "oblivious_trees": [{"leaf_values": [1, 2, 4, 8], "splits": [
+    {"border": 30.5, "float_feature_index": 0, "split_type": "FloatFeature"},
+    {"border": 0.0299999993, "float_feature_index": 1, "split_type": "FloatFeature"}]}],
+  "scale_and_bias": [2, [0.5]]
+}"""
+
+
+def score_model_dump(spark, sf_dir):
+    """Models written as text by three libraries, read back and compiled to columns."""
+    scored = with_gaps(spark, sf_dir)
+    kinds = {"split": SPLIT_DUMP, "leafwise": LEAFWISE_TEXT, "symmetric": SYMMETRIC_JSON}
+    for name, text in kinds.items():
+        path = scratch_path(spark, "dump")
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+        model = load_dump(spark, path, base_score=0.25, features=FEATURES)
+        scored = score(scored, model, output=name).drop("null_features")
+    return scored.select("l_orderkey", "l_linenumber", *kinds)
+
+
 def score_stack(spark, sf_dir):
     return _scored_lineitem(spark, sf_dir, STACK)
 
@@ -708,6 +811,27 @@ def csv_sink_roundtrip(spark, sf_dir):
     )
 
 
+def csv_sink_joined(spark, sf_dir):
+    """Parts of bounded size, with one header between them; joined by name, they are one file in row order."""
+    events = stored_events(spark, sf_dir)
+    path = write_csv_parts(events, scratch_path(spark, "results"), order="row_id", columns=["row_id", "prediction"], max_bytes=1 << 16)
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_size").alias("size"),
+    )
+    of_file = Window.partitionBy("name").orderBy("start", "at")
+    numbered = lines.withColumn("in_file", F.row_number().over(of_file))
+    counts = numbered.groupBy("name").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    before = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    starts = counts.withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return numbered.join(starts.drop("n", "size"), "name").select(
+        (F.col("earlier") + F.col("in_file") - 2).alias("line_no"),
+        F.split_part("value", F.lit(","), F.lit(1)).alias("row_id"),
+        F.split_part("value", F.lit(","), F.lit(2)).try_cast("double").alias("prediction"),
+        (F.col("size") <= 1 << 16).alias("within_bound"),
+    )
+
+
 def csv_sink_plain_numbers(spark, sf_dir):
     """Predictions of up to eleven digits without an exponent."""
     orders = table(spark, sf_dir, "orders").select(
@@ -803,11 +927,11 @@ QUERIES = {
         row_id_text_key, row_id_null_key, csv_bind_by_name, header_dedup, schema_infer, null_tokens,
         utf8_check, ragged_rows, cast_quarantine, leading_index, required_columns, file_admission,
         leading_index_time, leading_index_text, upload_status, status_model_failure, row_id_keyed, row_id_file_order, row_id_per_upload, score_linear, score_tree,
-        score_forest, score_stack, score_null_features, score_drop_null, score_mean_imputed,
+        score_forest, score_category_split, score_symmetric_trees, score_model_dump, score_stack, score_null_features, score_drop_null, score_mean_imputed,
         score_output, score_uploads, score_uploads_python, score_uploads_pipeline, score_uploads_mean,
         score_stack_pipeline, score_large_ensemble, python_model, model_spec_roundtrip, model_roundtrip,
         model_compiled, fit_linear_one, fit_linear_two, fit_linear_many, fit_stack_oof, score_out_of_fold,
-        eval_metrics, csv_sink_roundtrip, csv_sink_plain_numbers, page_slice, page_unnumbered, pages,
+        eval_metrics, csv_sink_roundtrip, csv_sink_joined, csv_sink_plain_numbers, page_slice, page_unnumbered, pages,
         page_bounds, page_summaries, result_display, feature_profile, stream_score,
     )
 }

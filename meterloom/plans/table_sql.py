@@ -144,8 +144,7 @@ ORACLE = {
     "csv_scan_inferred": """select o_orderkey, o_custkey, o_orderstatus, o_totalprice,
         strftime(o_orderdate, '%Y-%m-%d') as o_orderdate, o_orderpriority from orders""",
     "csv_odd_header": """select 'narrow' as upload, o_orderkey, o_custkey, o_totalprice from orders
-        union all select 'wide', o_orderkey + 1, o_custkey, o_totalprice from orders
-        where o_orderkey % 1000 = 0""",
+        union all select 'wide', o_orderkey + 1, o_custkey, o_totalprice from orders""",
     "csv_sink_infinite": """select o_orderkey as row_id, case o_orderkey % 5
         when 0 then 'inf'::double when 1 then '-inf'::double when 2 then 1e300::double
         when 3 then o_totalprice end as prediction from orders""",
@@ -226,6 +225,41 @@ ORACLE = {
     "score_linear": _lineitem(LINEITEM_LINEAR),
     "score_tree": _lineitem(TREE),
     "score_forest": _lineitem(FOREST),
+    "score_category_split": """
+        select l_orderkey, l_linenumber,
+          case when l_suppkey % 3 = 0 and l_suppkey < 10000
+               then case when l_linenumber in (1, 3, 5) then 10.0::double else 20.0::double end
+               when nullif(l_discount, 0.1::double) <= 0.05::double then 30.0::double
+               when l_linenumber = 2 then 40.0::double else 50.0::double end as prediction from lineitem""",
+    "score_symmetric_trees": """
+        with known as (select distinct l_quantity, nullif(l_discount, 0.1::double) as l_discount,
+            nullif(l_tax, 0.0::double) as l_tax from lineitem),
+        leaves as (select l_quantity, l_discount, l_tax, i,
+            case when l_quantity <= i then 0 else 1 end
+            + case when l_discount <= (i % 11) / 100.0::double then 0 else 2 end
+            + case when l_tax is null or l_tax < (i % 9) / 100.0::double then 0 else 4 end
+            + case when l_quantity < i * 3 % 50 then 0 else 8 end as leaf
+          from known, range(50) as r(i)),
+        sums as (select l_quantity, l_discount, l_tax,
+            case when l_discount is not null then 1.0::double + sum(0.5::double * ((i * 7 + leaf * 3) % 11)) end as prediction
+          from leaves group by l_quantity, l_discount, l_tax)
+        select l_orderkey, l_linenumber, prediction from lineitem join sums
+          on lineitem.l_quantity = sums.l_quantity
+          and nullif(lineitem.l_discount, 0.1::double) is not distinct from sums.l_discount
+          and nullif(lineitem.l_tax, 0.0::double) is not distinct from sums.l_tax""",
+    "score_model_dump": f"""with {GAPS} select l_orderkey, l_linenumber,
+          0.25::double + case when l_quantity::float < 25::float
+            then case when l_discount is null or l_discount::float >= 0.0500000007::float then -2.25::double
+              else 1.5::double end
+            else 4.0::double end
+          + case when l_tax is null or l_tax::float >= 0.0399999991::float then 0.75::double else 0.5::double end as split,
+          case when l_quantity <= 24 then case when l_linenumber in (1, 3, 5) then 1.0::double else 2.0::double end
+            when l_tax is null or l_tax <= 0.02::double then 4.0::double else 8.0::double end as leafwise,
+          0.5::double + 2.0::double * case
+            when l_quantity::float > 30.5::float
+            then case when l_tax is null or l_tax::float > 0.0299999993::float then 8 else 2 end
+            else case when l_tax is null or l_tax::float > 0.0299999993::float then 4 else 1 end end as symmetric
+        from gaps""",
     "score_stack": _lineitem(STACK),
     "score_null_features": f"""with {GAPS} select l_orderkey, l_linenumber,
         round({LINEITEM_LINEAR}, 4) as prediction,
@@ -285,6 +319,10 @@ ORACLE = {
           round(1.0::double - sse / (syy - sy * sy / n), 6) as r2 from s""",
     "csv_sink_roundtrip": f"""select row_id, prediction, row_id as place_in_files
         from ({SCORED_EVENTS})""",
+    "csv_sink_joined": f"""
+        select -1::bigint as line_no, 'Row Id' as row_id, null::double as prediction, true as within_bound
+        union all select row_number() over (order by row_id) - 1, row_id::varchar, prediction, true
+          from ({SCORED_EVENTS})""",
     "csv_sink_plain_numbers": """select o_orderkey as row_id,
         ((o_totalprice * 100000)::decimal(38,6))::varchar as printed from orders""",
     "page_slice": f"select * from ({SCORED_EVENTS}) where row_id between 60 and 69",

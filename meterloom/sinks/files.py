@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterloom.operators.scoring import CSV_NAMES, in_row_order
+from meterloom.session import settle
 
 # Text is written so that reading it back gives the same text.
 CSV_WRITE_OPTIONS = {
@@ -19,6 +20,9 @@ CSV_WRITE_OPTIONS = {
     "ignoreTrailingWhiteSpace": False,
 }
 ROWS_PER_FILE = 5_000_000
+#: Most bytes of a CSV part that is to be joined with others.
+FILE_BYTES = 256 << 20
+RUNS_PER_STRETCH = 100_000
 
 
 def run_path(base: str, name: str = "result") -> str:
@@ -96,6 +100,63 @@ def write_csv(df: DataFrame, path: str, decimals: int | None = None) -> str:
     return path
 
 
+def write_csv_parts(
+    df: DataFrame, path: str, *, order: str = "place", columns: list[str] | None = None, max_bytes: int = FILE_BYTES
+) -> str:
+    """CSV parts that, joined in the order of their names, are one file: a header once, then all rows by `order`.
+
+    `order` holds distinct whole numbers from 0, with or without gaps; `df` should be
+    a written table, as it is read three times: for the bytes of its lines, for the
+    bytes of runs of neighbouring rows, and to write. Runs are small shares of
+    `max_bytes`, and a part takes whole runs; no part is larger than `max_bytes`
+    unless a single line is.
+    """
+    columns = columns or [c for c in df.columns if c != order]
+    quoting = {k: v for k, v in CSV_WRITE_OPTIONS.items() if k != "header"}
+    named = df.select(F.col(order).alias("_at"), *[_csv_value(df, c) for c in columns]).withColumnsRenamed(CSV_NAMES)
+    values = F.struct(*[F.col(f"`{c}`") for c in named.columns[1:]])
+    lines = named.select("_at", F.to_csv(values, {k: str(v).lower() if isinstance(v, bool) else v for k, v in quoting.items()}).alias("value"))
+    size = F.octet_length("value").cast("long") + 1  # with the line's end
+    header = ",".join(_csv_name(c) for c in named.columns[1:])
+    total, widest, last = lines.agg(F.sum(size), F.max(size), F.max("_at")).first()
+    widest = max(widest or 0, len(header.encode()) + 1)
+    per_run = max(1, max_bytes // (8 * widest))
+    run_no = F.expr(f"_at div {per_run}")
+    runs = lines.groupBy(run_no.alias("run")).agg(F.sum(size).alias("bytes"))
+    # A row per run, summed within stretches of runs and over stretches, so that no task holds all of them.
+    stretch = F.expr(f"run div {RUNS_PER_STRETCH}")
+    runs = settle(runs.withColumn("stretch", stretch), "runs")
+    of_stretch = runs.groupBy("stretch").agg(F.sum("bytes").alias("n"))
+    before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = of_stretch.select("stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("stretch").orderBy("run").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # A part is filled up to this, so that the run that crosses its edge still fits.
+    room = max(1, max_bytes - min(per_run * widest, max_bytes // 2))
+    end = F.col("start") + F.sum("bytes").over(within) + F.lit(len(header.encode()) + 1)
+    part = F.expr(f"(_end - 1) div {room}").cast("int")
+    parts = runs.join(starts, "stretch").withColumn("_end", end).select("run", part.alias("part"))
+    n_parts = ((total or 0) + len(header.encode())) // room + 1
+    placed = lines.withColumn("run", run_no).join(parts, "run").select("part", "_at", "value")
+    first = df.sparkSession.createDataFrame([(0, -1, header)], "part int, _at bigint, value string")
+    dealt = placed.unionByName(first).repartitionById(int(n_parts), F.col("part")).sortWithinPartitions("_at")
+    dealt.select("value").write.text(path)
+    return path
+
+
+def _csv_name(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"' if any(c in name for c in ',"\n\r') else name
+
+
+def _csv_value(df: DataFrame, column: str):
+    """A column as it is printed; infinite numbers as `inf`, NaN as nothing."""
+    value = F.col(f"`{column}`")
+    if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
+        infinite = F.when(value > 0, F.lit("inf")).otherwise(F.lit("-inf"))
+        finite = F.when(~F.isnan(value), value.cast("string"))
+        value = F.when(F.abs(value) == F.lit(float("inf")), infinite).otherwise(finite)
+    return value.alias(column)
+
+
 def write_result(
     df: DataFrame,
     base: str,

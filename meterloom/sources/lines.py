@@ -7,10 +7,11 @@ Both readers return the same two things:
   file that takes up to `n_bytes` besides the path. `row_no` is dense in file
   order, the header being -1. Facts tell in `malformed` whether a file has long
   rows or open quotes at all; only then are `width` and `open_quote` worked out;
-* groups(source_file, width, open_quote, valid, first, n, first_raw): records per
-  shape, with the first record of each shape and its `row_no`. A few rows a file;
+* groups(source_file, width, open_quote, valid, quoted, first, n, first_raw): records
+  per shape, with the first record of each shape and its `row_no`, and whether any of
+  them holds a quote. A few rows a file;
 
-and `widest`, the field count of the widest header.
+and `widest`, the field count of the widest header that holds a quote.
 """
 
 from __future__ import annotations
@@ -92,6 +93,7 @@ def _group(records: DataFrame, keys: list[str], order: str) -> DataFrame:
         F.count("*").alias("n"),
         F.min_by("raw", order).alias("first_raw"),
         F.array_min(F.collect_set(F.is_valid_utf8("raw"))).alias("valid"),
+        F.bool_or(F.col("raw").contains('"')).alias("quoted"),
     )
 
 
@@ -143,10 +145,12 @@ def read_lines(spark: SparkSession, paths, glob: str = "*.csv") -> NumberedRecor
             F.min("first").alias("first"),
             F.sum("n").alias("n"),
             F.bool_and("valid").alias("valid"),
+            F.bool_or("quoted").alias("quoted"),
         )
     )
+    at, quoted_width = F.struct("block_start", "first"), F.when(F.col("first_raw").contains('"'), F.col("width"))
     headers = split_groups.groupBy("source_file").agg(
-        F.min_by("width", F.struct("block_start", "first")).alias("width"),
+        F.min_by(F.coalesce(quoted_width, F.lit(1)), at).alias("width"),
         F.count_distinct("block_start").alias("n"),
     )
     widest, n_splits = headers.agg(F.max("width"), F.sum("n")).first()
@@ -260,5 +264,6 @@ def read_stitched(spark: SparkSession, paths, glob: str = "*.csv") -> NumberedRe
         return shaped.withColumn("open_quote", F.col("open_tail")).drop("open_tail")
 
     groups = settle(_group(shaped, ["source_file"], "row_no"), "groups")
-    widest = groups.where(F.col("first") == -1).agg(F.max("width")).first()[0]
+    quoted_headers = groups.where((F.col("first") == -1) & F.col("first_raw").contains('"'))
+    widest = quoted_headers.agg(F.max("width")).first()[0]
     return NumberedRecords(groups, widest or 1, records)

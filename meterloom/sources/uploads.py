@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterloom.functions.lines import unique_names, width_tiers, with_fields
+from meterloom.functions.lines import field_count, nth_field, unique_names, width_tiers, with_fields
 from meterloom.functions.values import drop_null_tokens, parse_as
 from meterloom.operators.schema import SPARK_TYPES, infer_types
 from meterloom.session import fence, settle
@@ -27,6 +27,8 @@ EMPTY_FILE = "No columns to parse from file"
 MISSING_BEFORE, MISSING_AFTER = "KeyError: ", ". Ensure correct columns in your Data!"
 NO_ROWS = "No predictions to display."
 
+#: A line is wide if it has this many times the fields that are wanted of it.
+SPARSE = 8
 #: The typed index of a row, if its file has one.
 ROW_KEY = "row_key"
 
@@ -101,6 +103,7 @@ def profile_files(numbered: NumberedRecords, n_index: int = 0) -> DataFrame:
         .agg(
             (F.sum("n") - 1).alias("n_rows"),
             F.bool_and("valid").alias("valid"),
+            F.bool_or("quoted").alias("quoted"),
             F.coalesce(F.sum(F.when(F.col("open_quote"), F.col("n"))), F.lit(0)).alias("n_open"),
             indexed.alias("leading_index"),
             F.when(indexed, long_rows(n_index)).otherwise(long_rows(0)).alias("n_long"),
@@ -236,7 +239,17 @@ def read_uploads(
     ).where("status = 200").drop("status")
 
     records = numbered.records(binding, n_bytes=8 * len(columns)).where(F.col("row_no") >= 0)
-    parsed = with_fields(records, F.col("allowed") + 1, _tiers(files))
+    # Few columns of a wide line without a quote are picked out of it; other lines are cut into all their fields.
+    sparse = ~F.col("raw").contains('"') & (F.col("allowed") > SPARSE * (len(columns) + len(index)))
+    records = records.withColumn("sparse", sparse)
+    parsed = with_fields(records, F.col("allowed") + 1, _tiers(files), skip=F.col("sparse")).withColumn(
+        "n_fields", F.when(F.col("sparse"), field_count(F.col("raw")))
+    )
+
+    def field(at: Column) -> Column:
+        picked = F.when(at < F.col("n_fields"), nth_field(F.col("raw"), at))
+        return F.when(F.col("sparse"), picked).otherwise(F.get("fields", at))
+
     # Values are parsed array by array, one per type: the generated code stays
     # small however many columns there are.
     by_type: dict[T.DataType, list[int]] = {}
@@ -270,11 +283,11 @@ def read_uploads(
         parsed.withColumn(
             "texts",
             F.array(*[
-                drop_null_tokens(F.get("fields", F.get("where", F.lit(i))))
+                drop_null_tokens(field(F.get("where", F.lit(i))))
                 for i in range(len(columns))
             ]),
         )
-        .withColumn("index_texts", F.array(*[drop_null_tokens(F.get("fields", F.lit(i))) for i in range(len(index))]))
+        .withColumn("index_texts", F.array(*[drop_null_tokens(field(F.lit(i))) for i in range(len(index))]))
         .withColumns(arrays)
         .withColumn("place", F.col("first_place") + F.col("row_no"))
         .withColumns({"row_id": row_id, "bad_index": indexed & unfit_index, **keyed})
@@ -309,13 +322,14 @@ def read_uploads(
 
 
 def _tiers(files: DataFrame) -> list[int]:
-    """The parse widths that the accepted files need; a handful of numbers."""
-    widest = files.where("status = 200").agg(F.max("n_columns")).first()[0] or 1
+    """The parse widths that the accepted files with quotes need; a handful of numbers."""
+    files = files.where("status = 200 and quoted")
+    widest = files.agg(F.max("n_columns")).first()[0] or 1
     tiers = width_tiers(widest + 2)
     tier = F.lit(tiers[-1])
     for width in reversed(tiers[:-1]):
         tier = F.when(F.col("n_columns") + 2 <= width, width).otherwise(tier)
-    needed = files.where("status = 200").select(tier.alias("t")).distinct().collect()
+    needed = files.select(tier.alias("t")).distinct().collect()
     return sorted(r.t for r in needed) or tiers[:1]
 
 
