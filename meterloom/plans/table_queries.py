@@ -7,7 +7,7 @@ are written by Spark to the shared folder and read back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -315,13 +315,18 @@ def leading_index_text(spark, sf_dir):
     return scored.select("row_key.segment", "row_key.name", "prediction")
 
 
+def among(column: str, known: list[str]) -> Column:
+    """The value if it is known, else (null too) the last known one, so that every row has an upload."""
+    return F.when(F.col(column).isin(known[:-1]), F.col(column)).otherwise(F.lit(known[-1]))
+
+
 def required_columns(spark, sf_dir):
     """Missing features per upload; uploads are the return flags."""
     lineitem = table(spark, sf_dir, "lineitem")
     root = scratch_path(spark, "lineitem")
     kept = {"A": FEATURES, "N": ["l_tax", "l_quantity", "l_partkey"], "R": ["l_discount"]}
     for flag, columns in kept.items():
-        rows = lineitem.where(F.col("l_returnflag") == flag).select(*columns)
+        rows = lineitem.where(among("l_returnflag", list(kept)) == flag).select(*columns)
         stage_csv(rows, "", f"{root}/{flag}")
     missing = missing_features(read_headers(spark, root), FEATURES)
     return missing.groupBy(upload_name(F.col("source_file")).alias("upload"), "feature").agg(
@@ -336,7 +341,7 @@ def file_admission(spark, sf_dir):
     formats = {"click": "csv", "signup": "csv", "error": "text", "view": "text", "purchase": "json"}
     for kind, format in formats.items():
         line = F.concat_ws(" ", "event_id", "value").alias("value")
-        rows = events.where(F.col("event_type") == kind).select(line)
+        rows = events.where(among("event_type", list(formats)) == kind).select(line)
         rows.write.format(format).save(f"{root}/{kind}")
     listed = list_files(spark, root)
     declared = listed.select(
@@ -374,7 +379,7 @@ def upload_status(spark, sf_dir):
         "5-LOW": (header, F.concat(key, F.lit(","), cust, F.lit(',"'), price)),
     }
     for priority, (head, line) in lines.items():
-        rows = orders.where(F.col("o_orderpriority") == priority)
+        rows = orders.where(among("o_orderpriority", list(lines)) == priority)
         stage_lines(rows, line, head, "", f"{root}/{priority[0]}")
     nothing = orders.where(F.col("o_orderkey") < 0)
     nothing.select(key.alias("value")).write.text(f"{root}/empty")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from meterloom.functions.values import NULL_TOKENS
+from meterloom.sources.uploads import BAD_CSV, BAD_ENCODING, EMPTY_FILE, MISSING_AFTER, MISSING_BEFORE, NO_ROWS
 
 
 def _list(values) -> str:
@@ -97,14 +98,19 @@ STACK_META = (
 )
 
 STATUS_DETAIL = {
-    "encoding": "Error Parsing File. Please Upload a Valid CSV File!",
-    "malformed": "Error parsing CSV file. Upload a valid CSV file with valid columns",
-    "missing_column": "KeyError: o_custkey. Ensure correct columns in your Data!",
-    "empty": "No columns to parse from file",
-    "no_rows": "No predictions to display.",
+    "encoding": BAD_ENCODING,
+    "malformed": BAD_CSV,
+    "missing_column": f"{MISSING_BEFORE}o_custkey{MISSING_AFTER}",
+    "empty": EMPTY_FILE,
+    "no_rows": NO_ROWS,
 }
 
 
+#: The upload of an order; what has none of the first four priorities belongs to the last.
+PRIORITY = """case when o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED')
+    then left(o_orderpriority, 1) else '5' end"""
+
+
 def _status() -> str:
     outcomes = {
         # upload: (class and status by default, in strict mode, which rows are malformed)
@@ -122,7 +128,7 @@ def _status() -> str:
             parts.append(
                 f"select '{upload}' as upload, {str(strict).lower()} as strict, {status} as status, "
                 f"'{error}' as error_class, {detail} as detail, count(*)::bigint as rows, "
-                f"sum({bad})::bigint as bad_rows from orders where o_orderpriority like '{upload}%'"
+                f"sum({bad})::bigint as bad_rows from orders where {PRIORITY} = '{upload}'"
             )
         for upload, status, error in (("empty", 500, "empty"), ("header", 200, "no_rows")):
             parts.append(
@@ -196,12 +202,13 @@ ORACLE = {
     "leading_index_text": """select c_mktsegment as segment, c_name as name,
         round((1.0::double + 2.0::double * c_acctbal) + 0.5::double * c_custkey, 4) as prediction from customer""",
     "required_columns": """
-        select l_returnflag as upload, feature, count(*) as n_rows
+        select flag as upload, feature, count(*) as n_rows
         from lineitem join (values ('N', 'l_discount'), ('R', 'l_quantity'), ('R', 'l_tax'))
-          as missing(flag, feature) on l_returnflag = flag group by 1, 2""",
-    "file_admission": """select event_type as upload,
-        event_type in ('click', 'signup', 'view') as admitted, count(*) as n_lines
-        from events group by 1""",
+          as missing(flag, feature)
+          on case when l_returnflag in ('A', 'N') then l_returnflag else 'R' end = flag group by 1, 2""",
+    "file_admission": """select upload, upload in ('click', 'signup', 'view') as admitted, count(*) as n_lines
+        from (select case when event_type in ('click', 'signup', 'error', 'view') then event_type
+              else 'purchase' end as upload from events) group by 1""",
     "upload_status": _status(),
     "status_model_failure": """
         select 'o_orderstatus=' || o_orderstatus as upload,
