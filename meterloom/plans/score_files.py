@@ -11,9 +11,9 @@ from meterloom.operators.catalog import feature_schema
 from meterloom.operators.pymodel import PythonModel
 from meterloom.operators.scoring import ERRORS, model_features, score, unit_means
 from meterloom.session import settle
-from meterloom.sinks.files import in_key_order, key_parts, run_path, spread_by_place, write_csv
+from meterloom.sinks.files import in_key_order, key_parts, run_path, spread_by_place, write_csv, write_csv_parts
 from meterloom.sources.lines import small_side
-from meterloom.sources.uploads import ROW_KEY, key_columns, read_uploads, with_failures
+from meterloom.sources.uploads import ROW_KEY, index_fields, key_columns, read_uploads, with_failures
 
 #: Upper estimate of a failed file's path.
 PATH_BYTES = 1024
@@ -146,9 +146,15 @@ def run(spark: SparkSession, paths, model, base: str, *, format: str = "parquet"
     """Score and write one run into a folder of its own; returns the folder.
 
     `read_run` reads its tables. With format "csv" the predictions are also
-    exported as CSV files to `<folder>/csv`.
+    exported as CSV files to `<folder>/csv`; with "joined csv" as parts of bounded
+    size that are one CSV file when joined in the order of their names.
     """
+    if format == "joined csv" and index_fields(options.get("leading_index")) and options["leading_index"] is not True:
+        raise ValueError("parts that join need the order of dense row ids, not of a typed index")
     folder = write_run(score_files(spark, paths, model, **options), run_path(base))
+    if format == "joined csv":
+        scored = _stored_rows(spark, folder, "scored").select("source_file", "row_id", "prediction", "place")
+        write_csv_parts(scored, f"{folder}/csv")
     if format == "csv":
         scored = _stored_rows(spark, folder, "scored")
         n_places = scored.agg(F.max("place")).first()[0] or 0
