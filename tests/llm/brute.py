@@ -27,10 +27,11 @@ def spans(text, kinds, base_kinds, scope):
     out = []
     for p in found:
         if not p[5]:
-            near = [q for q in found if abs(q[0] - p[0]) <= scope and q[4] != p[4]]
+            # the scope is measured from the end of one part to the start of the next
+            near = [q for q in found if max(q[0] - p[2], p[0] - q[2]) <= scope and q[4] != p[4]]
             strong = any(q[5] for q in near)
             both = len({q[4] for q in near}) == 2
-            overlaps = any(q[5] and abs(q[0] - p[0]) <= scope and q[0] < p[2] and q[2] > p[0] for q in found)
+            overlaps = any(q[5] and q[0] < p[2] and q[2] > p[0] for q in found)
             if overlaps or not (strong or both):
                 continue
         out.append(p)
