@@ -3,21 +3,23 @@
 A document is the set of hashes of its word runs. The top bits of a hash choose
 one of `REGISTERS` buckets; of the least remaining value in a bucket only the
 number of leading zeros and the `MANTISSA` bits after the first one are kept, 16
-bits in all. Four registers make a band; documents that agree in a band meet.
+bits in all. Seven registers make a band; documents that agree in a band meet.
 Of those pairs, the share of agreeing registers, corrected for registers that
 agree by chance, estimates the similarity; pairs that may reach the bound are
-confirmed on their full sets.
+confirmed on their full sets. Texts that share a template at a similarity of 0.3
+meet in 1.2 of 100 pairs, at 0.4 in 9.
 
 A band's bucket may hold a third of all documents, so its pairs are never all
-made. Equal sets are one node. In a first round every node is compared with one
+made. Equal sets are one node, and of buckets with equal members one is kept. In
+a first round every node is compared with one
 centre of its bucket; nodes linked to a centre are then one component, and only
 pairs across components are left. While those are many and links turn up,
 further rounds take other centres; at last all pairs across components that
 share a bucket and are near in size are compared, so no link between components
 is lost.
 
-The chance that two sets at the bound agree in no band is (1 - 0.8^4)^32, below
-one in ten million.
+The chance that two sets at the bound agree in no band is (1 - 0.8^7)^56, below
+two in a million.
 
 Defined cases: a text without words, or null, has an empty set and is linked
 with nothing. A null id is no component's name: a component is named by its
@@ -38,10 +40,12 @@ from meterloom.llm.components import connected
 from meterloom.llm.grams import LOWER, mix, shingles
 from meterloom.session import settle
 
-REGISTERS = 128
-BUCKET_BITS = 7
+REGISTERS = 512
+BUCKET_BITS = 9
 MANTISSA = 10
-PER_BAND = 4
+PER_BAND, BANDS = 7, 56
+#: Registers kept for the estimate.
+ESTIMATED = 128
 SIMILARITY = 80
 #: Standard deviations below the bound at which an estimate rules a pair out.
 MARGIN = 5.0
@@ -54,7 +58,9 @@ def lowered(text: str | None) -> np.ndarray:
     return LOWER[np.frombuffer((text or "").encode("utf-8"), np.uint8)]
 
 
-_SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64))[:, None]
+_SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64))
+#: For each bucket, the order in which an empty one asks the others.
+_PROBES = np.argsort(mix(np.arange(REGISTERS * REGISTERS, dtype=np.uint64)).reshape(REGISTERS, REGISTERS), axis=1)
 
 
 def _register(values: np.ndarray) -> np.ndarray:
@@ -68,19 +74,37 @@ def _register(values: np.ndarray) -> np.ndarray:
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """REGISTERS numbers of 16 bits from sorted distinct hashes; all 0 for an empty set.
 
-    A bucket that no hash falls into takes the least of all hashes under a
-    permutation of its own, so that small sets too agree in a register about as
-    often as they are similar, and not wherever both have nothing.
+    A bucket that no hash falls into asks others in an order of its own and takes
+    the least value of the first that has one, hashed anew, so that small sets too
+    agree in a register about as often as they are similar, and not wherever both
+    have nothing.
     """
     out = np.zeros(REGISTERS, np.uint16)
     if not len(hashes):
         return out
     bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     first = np.flatnonzero(np.diff(bucket, prepend=-1))  # sorted: the least value of its bucket
+    least, filled = np.zeros(REGISTERS, np.uint64), np.zeros(REGISTERS, bool)
+    least[bucket[first]], filled[bucket[first]] = hashes[first], True
     out[bucket[first]] = _register(hashes[first] << np.uint64(BUCKET_BITS))
-    for b in np.array_split(np.flatnonzero(out == 0), 8):
-        if len(b):
-            out[b] = _register(mix(hashes[None, :] ^ _SEEDS[b]).min(axis=1))
+    empty = np.flatnonzero(~filled)
+    for low, high in ((0, 8), (8, 64), (64, REGISTERS)):
+        if len(empty):
+            probes = _PROBES[empty, low:high]
+            hit = filled[probes]
+            at, found = hit.argmax(axis=1), hit.any(axis=1)
+            e = empty[found]
+            out[e] = _register(mix(least[probes[found, at[found]]] ^ _SEEDS[e]))
+            empty = empty[~found]
+    return out
+
+
+def bands(sketches: np.ndarray) -> np.ndarray:
+    """A hash of 64 bits for each sketch (row) and band."""
+    parts = sketches[:, : BANDS * PER_BAND].reshape(-1, BANDS, PER_BAND).astype(np.uint64)
+    out = np.broadcast_to(_SEEDS[:BANDS], parts.shape[:2])
+    for i in range(PER_BAND):
+        out = mix(out ^ parts[:, :, i])
     return out
 
 
@@ -108,11 +132,12 @@ def may_be_near(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.nda
     chance = chance_agreement(size_a, size_b)
     estimate = (agree / np.maximum(filled, 1) - chance) / (1 - chance)
     bound = similarity / 100
+    filled = np.minimum(filled, np.maximum(size_a, size_b))  # registers of a small set repeat its few hashes
     return estimate >= bound - MARGIN * np.sqrt(bound * (1 - bound) / np.maximum(filled, 1))
 
 
 def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest of the set, crc of the text, registers (32 numbers of four registers)."""
+    """doc_id, n_shingles, digest of the set, crc of the text, registers (of the estimate, four in a number), bands."""
 
     def work(batches: Iterator) -> Iterator:
         import zlib
@@ -130,28 +155,32 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
                     digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                     crcs.append(zlib.crc32((t or "").encode("utf-8")))
                     registers.append(sketch(own))
-                flat = np.concatenate(registers).view(np.int64) if registers else np.empty(0, np.int64)
-                offsets = np.arange(len(texts) + 1, dtype=np.int32) * (REGISTERS // PER_BAND)
+                sketches = np.stack(registers)
+                kept = np.ascontiguousarray(sketches[:, :ESTIMATED]).view(np.int64)
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+                    for m in (kept, bands(sketches).view(np.int64))
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                        pa.array(crcs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                        pa.array(crcs, pa.int64()), *lists,
                     ],
-                    names=["doc_id", "n_shingles", "digest", "crc", "registers"],
+                    names=["doc_id", "n_shingles", "digest", "crc", "registers", "bands"],
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(
-        work, "doc_id bigint, n_shingles bigint, digest binary, crc bigint, registers array<bigint>"
+        work, "doc_id bigint, n_shingles bigint, digest binary, crc bigint, registers array<bigint>, bands array<bigint>"
     )
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, nid, size) of all buckets with more than one node."""
-    members = nodes.select("nid", "n_shingles", F.posexplode("registers").alias("band", "word"))
-    members = members.select(F.xxhash64("band", "word").alias("bucket"), "nid", F.col("n_shingles").alias("size"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    return settle(members.join(shared, "bucket"), "buckets")
+    """(bucket, nid, size) of all buckets with more than one node; of buckets with equal members one."""
+    members = nodes.select("nid", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
+    same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("nid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "nid")).alias("y")]
+    shared = members.groupBy("bucket").agg(*same).where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
+    return settle(members.join(settle(shared.select("bucket"), "shared"), "bucket"), "buckets")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -170,7 +199,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame
     def work(batches: Iterator) -> Iterator:
         for batch in (whole.slice(at, 4096) for whole in batches for at in range(0, whole.num_rows, 4096)):
             sketches = [
-                batch.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(-1, REGISTERS)
+                batch.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(-1, ESTIMATED)
                 for c in ("ra", "rb")
             ]
             sizes = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("na", "nb")]
@@ -218,8 +247,9 @@ def classes(docs: DataFrame, words: int, similarity: int = SIMILARITY, id_col: s
             F.min(F.struct("doc_id", "crc")).alias("any"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("registers").alias("registers"),
+            F.first("bands").alias("bands"),
         )
-        .select("digest", F.coalesce("named", "any").alias("rep"), "n_shingles", "registers")
+        .select("digest", F.coalesce("named", "any").alias("rep"), "n_shingles", "registers", "bands")
     )
     nodes = settle(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
     buckets = _buckets(nodes)
@@ -251,9 +281,11 @@ def _link(docs, nodes, buckets, words, similarity, id_col, text_col) -> DataFram
     labels = spark.createDataFrame([], "node bigint, component bigint")
     found = None
     for turn in range(STAR_ROUNDS + 1):
-        members = buckets.join(labels, buckets["nid"] == labels["node"], "left").select(
-            "bucket", "nid", "size", F.coalesce("component", "nid").alias("component")
-        )
+        members = buckets.withColumn("component", F.col("nid"))
+        if turn:
+            members = buckets.join(labels, buckets["nid"] == labels["node"], "left").select(
+                "bucket", "nid", "size", F.coalesce("component", "nid").alias("component")
+            )
         groups = members.groupBy("bucket", "component").agg(
             F.count("*").alias("n"), F.min(F.struct(F.xxhash64("nid", F.lit(turn)), "nid", "size")).alias("first")
         )
@@ -274,6 +306,11 @@ def _link(docs, nodes, buckets, words, similarity, id_col, text_col) -> DataFram
             )
         )
         open_ = settle(open_, "open-buckets")
+        if turn:  # members of one component need no more comparisons
+            buckets = settle(buckets.join(open_.select("bucket"), "bucket", "left_semi"), "buckets")
+            members = buckets.join(labels, buckets["nid"] == labels["node"], "left").select(
+                "bucket", "nid", "size", F.coalesce("component", "nid").alias("component")
+            )
         size, across = open_.agg(F.sum("n"), F.sum("across")).first()
         if not size:
             break
