@@ -132,7 +132,13 @@ class WordTokenizer:
                 start = end + 1
         return out
 
-    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        tokens, ids = self.encode_joined(texts)
+        raw, ends = ids.tobytes(), np.cumsum(tokens).tolist()
+        return [raw[4 * (b - n) : 4 * b] for b, n in zip(ends, tokens.tolist())]
+
+    def encode_joined(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text and the ids of all, one after the other, each text closed by `end`."""
         encoded = [t.encode("utf-8") for t in texts]
         text_ends = np.cumsum([len(t) + 1 for t in encoded])
@@ -200,7 +206,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
             edges = [0, *(np.flatnonzero(size) + 1).tolist(), batch.num_rows]
             for at, to in zip(edges, edges[1:]):  # bounds what is held in encoded form
                 part = batch.slice(at, to - at)
-                tokens, ids = tokenizer.encode([t or "" for t in part.column(1).to_pylist()], END_ID)
+                tokens, ids = tokenizer.encode_joined([t or "" for t in part.column(1).to_pylist()], END_ID)
                 of, sizes = cut_lengths(tokens, length)
                 starts = np.cumsum(sizes) - sizes  # in all ids of the batch
                 own = starts - (np.cumsum(tokens) - tokens)[of]
