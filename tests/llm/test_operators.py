@@ -358,6 +358,30 @@ def test_op8_words_are_encoded_as_in_the_text():
         assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == whole, text
 
 
+def test_op8_words_are_forgotten_and_found_again(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(packing, "REMEMBERED_WORDS", 40)
+    encoder = packing.WordTokenizer()
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abé1.") for _ in range(rng.randint(1, 60))) for _ in range(150)]
+    for _ in range(60):
+        texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 30))) for _ in range(rng.randint(0, 5))] + ["", "a\x01b \x01 c"]
+        wanted = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(i, "<u4").tolist() for i in encoder.encode(texts)] == wanted
+        assert len(encoder.known.hashes) <= 40
+    tokens, ids = encoder.encode_joined(["a b", "", "a"], end=2)
+    assert tokens.tolist() == [3, 1, 2] and ids[[2, 3, 5]].tolist() == [2, 2, 2]
+
+
+def test_op8_lengths():
+    import numpy as np
+
+    tokens = np.array([1, 3, 4095, 4096, 4097, 3 * 4096 + 10])
+    of, sizes = packing.cut_lengths(tokens)
+    assert [sizes[of == i].tolist() for i in range(len(tokens))] == [packing.piece_lengths(n) for n in tokens.tolist()]
+
+
 def test_op9_ties(spark, awkward_dir, rows):
     got = result(spark, "op9_exact_dedup", awkward_dir)
     groups = collections.defaultdict(list)
