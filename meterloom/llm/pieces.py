@@ -10,7 +10,10 @@ committed and forgotten. Memory depends on the vocabulary, not on the text.
 Where no piece can reach across a place (a space mark after another character,
 in vocabularies whose pieces hold the mark at their start only) all paths meet
 there at once; such segments are searched on their own and short ones are
-remembered with their ids.
+remembered with their ids. Short segments not yet known are searched together:
+one step of the search takes the same position of all of them, over the same
+window of the last `longest` positions. Which pieces end where is looked up by
+hashes and confirmed by their characters.
 
 Normalisation is that of a model with the `identity` rule: a space becomes the
 mark U+2581 and one mark is put before the text. Characters without a piece
@@ -40,6 +43,9 @@ UNKNOWN_PENALTY = 10.0
 NORMAL, BYTE = 1, 6
 REMEMBERED_SEGMENTS = 400_000
 LONGEST_REMEMBERED = 48
+#: Characters, padding included, of segments searched together; a step holds some 20 numbers for each.
+TOGETHER = 1 << 16
+NO_END = -2
 SCHEMA = "doc_id bigint, text string, ids binary, decoded string"
 
 
@@ -142,11 +148,125 @@ class Vocabulary:
         return "".join(out).replace(MARK, " ")[1:]
 
 
+def _hashes(codes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length, 64-bit hashes of the runs that end at each row of `codes` (position by segment).
+
+    The hashes of length m start at row m - 1, as no shorter run is that long.
+    """
+    mixed = codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    mixed ^= mixed >> np.uint64(31)
+    total, weight = mixed, 1
+    yield 1, total
+    for m in range(2, min(longest, len(codes)) + 1):
+        weight = weight * 0x5851F42D4C957F2D % (1 << 64)
+        total = total[1:] + mixed[: len(codes) - m + 1] * np.uint64(weight)
+        yield m, total
+
+
+class BatchSearch:
+    """The same search over many short segments at once."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        by_length: dict[int, list[str]] = {}
+        for piece in vocabulary.entry:
+            by_length.setdefault(len(piece), []).append(piece)
+        self.tables = {}
+        for m, pieces in by_length.items():
+            codes = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32).reshape(-1, m)
+            *_, (_, hashed) = _hashes(np.ascontiguousarray(codes.T), m)
+            order = np.argsort(hashed[-1])
+            hashed = hashed[-1][order]
+            if (hashed[1:] == hashed[:-1]).any():
+                raise ValueError("two pieces of one length share a hash")
+            maybe = np.zeros(1 << 16, bool)
+            maybe[hashed >> np.uint64(48)] = True
+            score, ids = zip(*(vocabulary.entry[p] for p in pieces))
+            self.tables[m] = maybe, hashed, codes[order], np.array(score)[order], np.array(ids, np.int32)[order]
+
+    def __call__(self, segments: list[str]) -> list[bytes]:
+        """Packed ids of each segment; none is empty."""
+        lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+        order = np.argsort(lengths, kind="stable")
+        out: list[bytes] = [b""] * len(segments)
+        a = 0
+        while a < len(order):
+            # as many of the next segments as fit with padding to the longest of them
+            sizes = lengths[order[a : a + TOGETHER]]
+            n = max(1, int(np.searchsorted(sizes * np.arange(1, len(sizes) + 1), TOGETHER, "right")))
+            taken = order[a : a + n]
+            for k, packed in zip(taken.tolist(), self._search([segments[k] for k in taken.tolist()], lengths[taken])):
+                out[k] = packed
+            a += n
+        return out
+
+    def _search(self, segments: list[str], lengths: np.ndarray) -> list[bytes]:
+        vocabulary, n, width = self.vocabulary, len(segments), int(lengths[-1])
+        longest = min(vocabulary.longest, width)
+        codes = np.full((n, width), 0xFFFFFFFF, np.uint32)
+        codes[np.arange(width) < lengths[:, None]] = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
+        codes = np.ascontiguousarray(codes.T)
+        # by position, length (the longest first) and segment: the piece of that length that ends there
+        gain = np.full((width, longest, n), -np.inf)
+        piece = np.full((width, longest, n), -1, np.int32)
+        gain[:, longest - 1] = vocabulary.unknown
+        for m, hashed in _hashes(codes, longest):
+            if m not in self.tables:
+                continue
+            maybe, known, own, score, ids = self.tables[m]
+            start, row = np.nonzero(maybe[hashed >> np.uint64(48)])
+            wanted = hashed[start, row]
+            found = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            same = known[found] == wanted
+            start, row, found = start[same], row[same], found[same]
+            same = (codes[start[:, None] + np.arange(m), row[:, None]] == own[found]).all(axis=1)
+            start, row, found = start[same], row[same], found[same]
+            gain[start + m - 1, longest - m, row] = score[found]
+            piece[start + m - 1, longest - m, row] = ids[found]
+        # by position, after as many places before the text
+        best = np.full((longest + width + 1, n), -np.inf)
+        best[longest] = 0.0
+        choice = np.empty((width, n), np.int64)
+        rows = np.arange(n)
+        for i in range(width):
+            paths = best[i + 1 : i + 1 + longest] + gain[i]
+            choice[i] = paths.argmax(axis=0)  # the first, so of equal scores the longer last piece
+            best[i + 1 + longest] = paths[choice[i], rows]
+        # back from the ends, all segments a piece at a time
+        ended = np.full((n, width), NO_END, np.int32)
+        at = lengths - 1
+        while len(rows):
+            taken = choice[at, rows]
+            ended[rows, at] = piece[at, taken, rows]
+            at = at - (longest - taken)
+            going = at >= 0
+            rows, at = rows[going], at[going]
+        counts = np.cumsum((ended != NO_END).sum(axis=1)).tolist()
+        packed = ended[ended != NO_END].astype("<u4").tobytes()
+        out = [packed[4 * a : 4 * b] for a, b in zip([0, *counts], counts)]
+        for k in np.flatnonzero((ended == -1).any(axis=1)).tolist():
+            # characters without a piece become bytes
+            out[k] = self._with_bytes(segments[k], ended[k].tolist())
+        return out
+
+    def _with_bytes(self, segment: str, ended: list[int]) -> bytes:
+        ids = []
+        for c, i in zip(segment, ended):
+            if i == -1:
+                ids.extend(self.vocabulary.byte_ids[b] for b in c.encode("utf-8"))
+            elif i != NO_END:
+                ids.append(i)
+        return array("I", ids).tobytes()
+
+
 class Encoder:
     """Encodes texts with remembered segments; one per Python worker."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self.together = BatchSearch(vocabulary)
         self.known = Recent(REMEMBERED_SEGMENTS)
         # marks and the run after them, or what stands before the first mark
         self.segment = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if vocabulary.cuts_at_mark else None
@@ -163,7 +283,7 @@ class Encoder:
         parts = [self.segment.findall(t) for t in marked]
         distinct = set().union(*parts)
         long = [s for s in distinct if len(s) > LONGEST_REMEMBERED]
-        known = self.known.settle(distinct.difference(long), self._segments)
+        known = self.known.settle(distinct.difference(long), self.together)
         if not long:
             return [b"".join(map(known.__getitem__, own)) for own in parts]
         rare = dict(zip(long, self._segments(long)))

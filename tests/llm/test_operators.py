@@ -235,6 +235,18 @@ def test_op4(spark, awkward_dir, rows):
     assert rows_of(got, "doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip") == wanted
 
 
+def test_segments_searched_together_as_alone():
+    """Pieces, ties, characters without a piece and control characters, of many lengths, in tables of several blocks."""
+    vocabulary = pieces.Vocabulary()
+    encoder = pieces.Encoder(vocabulary)
+    rng = random.Random(5)
+    letters = "▁abcdefinorst" * 3 + "aaaa\x00é€日本\U0001f600~\t"
+    segments = ["".join(rng.choices(letters, k=rng.randint(1, 48))) for _ in range(6000)]
+    segments += ["a" * 48, "▁" * 48, "\U0001f600" * 48, "a", "\x00"]
+    assert encoder.together(segments) == encoder._segments(segments)
+    assert encoder.together([]) == []
+
+
 def test_op4_search_commits_early_and_agrees_with_library():
     import numpy as np
     import sentencepiece
