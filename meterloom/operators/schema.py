@@ -27,16 +27,17 @@ def _kind(text: Column) -> Column:
     )
 
 
-def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(ord, column, type, n_values) for the string columns of `df`.
+def infer_types(df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """(ord, column, type, n_values) for the string columns of `df`, for each value of the columns `by`.
 
     long, else double (also for whole numbers with gaps, and for columns without
     any value), else boolean, else string. Dates stay strings. One aggregation
-    with a few counts per column; its single row is unpivoted.
+    with a few counts per column; its single row (one for each group) is unpivoted.
     """
-    columns = columns or df.columns
-    kinds = df.select(*[_kind(F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(columns)])
-    counted = kinds.agg(
+    by = by or []
+    columns = columns or [c for c in df.columns if c not in by]
+    kinds = df.select(*by, *[_kind(F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(columns)])
+    counted = kinds.groupBy(*by).agg(
         F.count("*").alias("n_rows"),
         *[
             F.struct(*[F.count_if(F.col(f"k{i}") == k).alias(f"n{k}") for k in range(4)]).alias(f"s{i}")
@@ -44,6 +45,7 @@ def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         ],
     )
     tall = counted.select(
+        *by,
         "n_rows",
         F.inline(
             F.array(*[
@@ -59,4 +61,14 @@ def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         .when(F.col("s.n2") == n_values, "boolean")
         .otherwise("string")
     )
-    return tall.select("ord", "column", found.alias("type"), n_values.alias("n_values"))
+    return tall.select(*by, "ord", "column", found.alias("type"), n_values.alias("n_values"))
+
+
+def as_variant(text: Column, kind: Column) -> Column:
+    """`text` (null tokens already removed) as a VARIANT of the type that `kind` names; null where it has no value."""
+    value = F.lit(None).cast("variant")
+    for name, typed in (
+        ("long", parse_as(text, T.LongType())), ("double", to_number(text)), ("boolean", to_boolean(text)), ("string", text),
+    ):
+        value = F.when((kind == name) & typed.isNotNull(), typed.cast("variant")).otherwise(value)
+    return value

@@ -46,6 +46,7 @@ from meterloom.session import scratch_path
 from meterloom.sinks.files import CSV_WRITE_OPTIONS, run_path, spread_by_place, write_csv, write_csv_parts, write_result
 from meterloom.sources.admission import admit, list_files
 from meterloom.sources.lines import read_lines
+from meterloom.sources.typed import read_uploads_typed
 from meterloom.sources.uploads import read_headers, read_uploads
 from meterloom.streaming.uploads import score_stream
 
@@ -103,6 +104,33 @@ def csv_scan_inferred(spark, sf_dir):
     return rows.select(*orders.columns)
 
 
+def csv_scan_types_per_file(spark, sf_dir):
+    """All orders in five kinds of uploads, in which `code` has five types; one kind lacks another column."""
+    orders = table(spark, sf_dir, "orders")
+    root = scratch_path(spark, "orders")
+    codes = {
+        "whole": F.col("o_custkey"),
+        "gaps": F.when(F.col("o_custkey") % 4 != 0, F.col("o_custkey")),
+        "price": F.col("o_totalprice"),
+        "flag": F.col("o_custkey") % 2 == 0,
+        "word": F.concat("o_orderstatus", F.col("o_custkey").cast("string")),
+    }
+    for i, (kind, code) in enumerate(codes.items()):
+        own = orders.where(F.col("o_orderkey") % len(codes) == i).select("o_orderkey", code.alias("code"), "o_custkey")
+        stage_csv((own.drop("o_custkey") if kind == "word" else own).coalesce(1), "", f"{root}/{kind}")
+    rows = read_uploads_typed(spark, root).rows
+    kind = F.schema_of_variant("code")
+    return rows.select(
+        upload_name(F.col("source_file")).alias("upload"),
+        F.try_variant_get("o_orderkey", "$", "long").alias("o_orderkey"),
+        kind.alias("kind"),
+        F.when(kind.isin("BIGINT", "DOUBLE"), F.try_variant_get("code", "$", "double")).alias("number"),
+        F.when(kind == "BOOLEAN", F.try_variant_get("code", "$", "boolean")).alias("flag"),
+        F.when(kind == "STRING", F.try_variant_get("code", "$", "string")).alias("word"),
+        F.try_variant_get("o_custkey", "$", "long").alias("o_custkey"),
+    )
+
+
 def csv_odd_header(spark, sf_dir):
     """All orders in files of two thousand columns beside the orders themselves; both bind by name."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
@@ -928,7 +956,7 @@ def stream_score(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        csv_scan_typed, csv_scan_quoted, csv_scan_inferred, csv_odd_header, csv_sink_infinite,
+        csv_scan_typed, csv_scan_quoted, csv_scan_inferred, csv_scan_types_per_file, csv_odd_header, csv_sink_infinite,
         row_id_text_key, row_id_null_key, csv_bind_by_name, header_dedup, schema_infer, null_tokens,
         utf8_check, ragged_rows, cast_quarantine, leading_index, required_columns, file_admission,
         leading_index_time, leading_index_text, upload_status, status_model_failure, row_id_keyed, row_id_file_order, row_id_per_upload, score_linear, score_tree,

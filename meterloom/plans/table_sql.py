@@ -149,6 +149,16 @@ ORACLE = {
         lang, source, n_chars from documents""",
     "csv_scan_inferred": """select o_orderkey, o_custkey, o_orderstatus, o_totalprice,
         strftime(o_orderdate, '%Y-%m-%d') as o_orderdate, o_orderpriority from orders""",
+    "csv_scan_types_per_file": """
+        with k as (select *, ['whole', 'gaps', 'price', 'flag', 'word'][o_orderkey % 5 + 1] as upload from orders)
+        select upload, o_orderkey,
+          case upload when 'whole' then 'BIGINT' when 'gaps' then case when o_custkey % 4 <> 0 then 'DOUBLE' end
+            when 'price' then 'DOUBLE' when 'flag' then 'BOOLEAN' else 'STRING' end as kind,
+          case upload when 'whole' then o_custkey when 'gaps' then case when o_custkey % 4 <> 0 then o_custkey end
+            when 'price' then o_totalprice end::double as number,
+          case when upload = 'flag' then o_custkey % 2 = 0 end as flag,
+          case when upload = 'word' then o_orderstatus || o_custkey end as word,
+          case when upload <> 'word' then o_custkey end as o_custkey from k""",
     "csv_odd_header": """select 'narrow' as upload, o_orderkey, o_custkey, o_totalprice from orders
         union all select 'wide', o_orderkey + 1, o_custkey, o_totalprice from orders""",
     "csv_sink_infinite": """select o_orderkey as row_id, case o_orderkey % 5

@@ -333,6 +333,15 @@ def _tiers(files: DataFrame) -> list[int]:
     return sorted(r.t for r in needed) or tiers[:1]
 
 
+def header_columns(spark: SparkSession, paths, glob: str = "*.csv", multiline: bool = False) -> list[str]:
+    """Every name in any header, in the order of the headers."""
+    headers = read_headers(spark, paths, glob, multiline)
+    at = headers.select("source_file", F.posexplode("names").alias("at", "name"))
+    # A row per distinct name.
+    first = at.groupBy("name").agg(F.min(F.struct("source_file", "at")).alias("first")).orderBy("first")
+    return [r.name for r in first.collect()]
+
+
 def infer_schema(spark: SparkSession, paths, columns: list[str] | None = None, **options) -> T.StructType:
     """Column names and types of a folder of CSV files, from their text.
 
@@ -340,11 +349,7 @@ def infer_schema(spark: SparkSession, paths, columns: list[str] | None = None, *
     order of the headers. One pass over the text for the values, by one aggregate.
     """
     if columns is None:
-        headers = read_headers(spark, paths, options.get("glob", "*.csv"), options.get("multiline", False))
-        at = headers.select("source_file", F.posexplode("names").alias("at", "name"))
-        # A row per distinct name.
-        first = at.groupBy("name").agg(F.min(F.struct("source_file", "at")).alias("first")).orderBy("first")
-        columns = [r.name for r in first.collect()]
+        columns = header_columns(spark, paths, options.get("glob", "*.csv"), options.get("multiline", False))
     text = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     rows = read_uploads(spark, paths, text, [], **options).rows
     found = {r["column"]: r["type"] for r in infer_types(rows, columns).collect()}
