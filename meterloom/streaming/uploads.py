@@ -31,7 +31,7 @@ def arriving_files(
         .schema("path string, modificationTime timestamp, length long, content binary")
         .options(pathGlobFilter=glob, recursiveFileLookup=True, **bound)
         .load(folder)
-        .select("path", "length")
+        .select("path", "length", F.col("_metadata.file_path").alias("source_file"))
     )
 
 
@@ -78,7 +78,8 @@ def score_stream(
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         # Names only: at most max_files, or those of max_bytes.
-        paths = [row["path"] for row in batch.select("path").collect()]
+        names = {row["path"]: row["source_file"] for row in batch.select("path", "source_file").collect()}
+        paths = list(names)
         if not paths:
             return
         try:
@@ -93,6 +94,7 @@ def score_stream(
             if good:
                 score_paths(session, good, out, batch_id)
             keyed = options.get("leading_index", False) not in (True, False)
+            failed = {names[p]: e for p, e in failed.items()}
             _set_aside(session, out, batch_id, failed, keep=bool(good), keyed=keyed)
 
     writer = (
