@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterloom.functions.models import (
-    Ensemble, Leaf, Linear, Split, Stack, Tree, from_spec, load_model, node_count, save_model,
+    CategorySplit, Ensemble, Leaf, Linear, Split, Stack, SymmetricTree, Tree, from_spec, load_model, node_count, save_model,
 )
 from meterloom.operators.scoring import score, to_output
 from meterloom.operators.pymodel import PythonModel, score_python
@@ -156,3 +156,36 @@ def test_python_model_must_answer_every_row(table):
 
     with pytest.raises(Exception, match="predictions for"):
         score_python(table, ["x"], load).collect()
+
+
+def test_forms_of_walked_trees_agree_with_columns(spark, monkeypatch):
+    """Tables, nested and level by level; NaN, missing, -0.0 and thresholds of NaN."""
+    from meterloom.functions import forests, models
+
+    draw = random.Random(5)
+    odd = [None, float("nan"), 0.0, -0.0, 1e-36, 1.5, -2.0, 3.0]
+    frame = spark.createDataFrame([(x, y) for x in odd for y in odd], "x double, y double")
+
+    def test():
+        threshold = draw.choice([0.0, 1.5, -2.0, float("nan"), draw.uniform(-3, 3)])
+        return draw.choice("xy"), threshold, draw.random() < 0.5, draw.choice([None, "left", "right"])
+
+    def tree(depth):
+        if not depth:
+            return Leaf(draw.uniform(-5, 5))
+        feature, threshold, strict, missing = test()
+        left, right = tree(depth - 1), tree(draw.choice([0, depth - 1]))
+        if draw.random() < 0.2:
+            return CategorySplit(feature, (1.5, 3.0, 0.0), left, right, missing, draw.random() < 0.5)
+        return Split(feature, threshold, left, right, strict, missing, draw.choice([None, "left", "right"]))
+
+    members = [Tree(tree(d)) for d in (1, 2, 3, 4, 5, 6)]
+    members += [SymmetricTree(tuple(test() for _ in range(k)), tuple(map(float, range(1 << k)))) for k in (1, 4, 9)]
+    rows = lambda m: [r[0] for r in frame.select(m.column()).collect()]
+    monkeypatch.setattr(models, "MAX_COMPILED_NODES", 10**9)
+    wanted = [rows(m) for m in members]
+    monkeypatch.setattr(models, "MAX_COMPILED_NODES", 0)
+    for limits in ((8, 16, 32 << 20), (0, 16, 4096), (0, -1, 1)):
+        for name, value in zip(("TABLE_TESTS", "WHOLE_TREE", "OUTCOMES"), limits):
+            monkeypatch.setattr(forests, name, value)
+        assert [rows(m) for m in members] == wanted
