@@ -189,3 +189,16 @@ def test_forms_of_walked_trees_agree_with_columns(spark, monkeypatch):
         for name, value in zip(("TABLE_TESTS", "WHOLE_TREE", "OUTCOMES"), limits):
             monkeypatch.setattr(forests, name, value)
         assert [rows(m) for m in members] == wanted
+
+
+def test_no_generated_method_is_too_long_to_be_compiled(spark):
+    """The JVM only interprets methods of more than 8,000 bytes."""
+    import re
+
+    table = spark.range(10).selectExpr("id as row_id", "id * 0.5D as x", "nullif(id * 0.1D, 0.2D) as y")
+    symmetric = SymmetricTree((("x", 0.5, False, None), ("y", 1.5, True, "left")) * 2, tuple(map(float, range(16))))
+    trees = Tree(Split("x", 0.5, Split("y", 0.5, Leaf(1.0), Leaf(2.0), missing="left"), Leaf(3.0), missing="right"))
+    for member, n in ((symmetric, 8), (symmetric, 50), (trees, 20), (trees, 200)):
+        df = to_output(score(table, Ensemble((member,) * n, (0.5,) * n)))
+        text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+        assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text))) < 8000
