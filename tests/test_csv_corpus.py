@@ -2,9 +2,11 @@
 
 import io
 import math
+import os
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterloom.functions.values import NULL_TOKENS
@@ -309,3 +311,22 @@ def test_more_inferred_types(spark):
     frame = spark.createDataFrame(values, ", ".join(f"{k} string" for k in MORE))
     got = {r["column"]: r["type"] for r in infer_types(frame).collect()}
     assert got == {k: wanted for k, (_, wanted) in MORE.items()}
+
+
+def test_packed_lines_have_a_header_a_file(spark, tmp_path):
+    """Files of bounded rows, packed; all rows come back."""
+    import glob
+
+    from meterloom.plans.staging import stage_lines
+    from meterloom.sources.uploads import read_uploads
+
+    rows = spark.range(0, 250, 1, 3).selectExpr("id", "id * 2 as twice")
+    line = F.concat(F.lit("," * 500), F.concat_ws(",", "id", "twice"))
+    header = ",".join(["x"] * 500 + ["id", "twice"])
+    path = stage_lines(rows, line, header, "", str(tmp_path / "wide"), packed_rows=20)
+    files = glob.glob(f"{path}/part-*.gz")
+    assert len(files) >= 13 and sum(map(os.path.getsize, files)) < 250 * 500 / 10
+    schema = T.StructType.fromDDL("id bigint, twice bigint")
+    got = read_uploads(spark, path, schema, glob="part-*").rows
+    assert sorted(tuple(r) for r in got.select("id", "twice").collect()) == [(i, 2 * i) for i in range(250)]
+    assert got.agg(F.max("row_id")).first()[0] == 19
