@@ -25,9 +25,27 @@ REGRESSORS = {
 }
 
 
+#: Values (features and label) of a partition above which trees are fitted on rows dealt anew.
+FIT_VALUES = 2_000_000
+
+
+def _dealt_for_trees(df: DataFrame, n_columns: int) -> DataFrame:
+    """`df` in partitions of at most about FIT_VALUES values.
+
+    Trees are fitted on rows held as objects, some sixty bytes a value, and a task reads
+    a partition of them whole in every round; a file's split holds many more rows than that.
+    """
+    sizes = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"))  # a row per partition
+    largest, n = sizes.agg(F.max("n"), F.sum("n")).first()
+    rows = max(1, FIT_VALUES // n_columns)
+    return df if (largest or 0) <= rows else df.repartition(-(-n // rows))
+
+
 def fit_pipeline(df: DataFrame, features: list[str], label: str, kind: str = "linear", **params):
     """A `PipelineModel`: features into a vector, then one regressor. Rows with a
     missing feature or label are left out of the fit."""
+    if kind != "linear":
+        df = _dealt_for_trees(df, len(features) + 1)
     stages = [
         VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip"),
         REGRESSORS[kind](

@@ -187,3 +187,20 @@ def test_no_rows(spark, table):
     assert sums.of("", "") == sums.of("a", "y") == 0
     with pytest.raises(ValueError):
         fit_linear(table.where("id < 0"), ["a"], "y")
+
+
+def test_trees_are_fitted_on_bounded_partitions(spark, monkeypatch):
+    """A large split is dealt to more partitions, every row once; small ones stay as they are."""
+    from meterloom.operators import pipeline
+
+    df = spark.range(0, 1000, 1, 2).selectExpr("id * 1.0D as x", "id % 7 * 1.0D as y")
+    assert pipeline._dealt_for_trees(df, 2) is df
+    monkeypatch.setattr(pipeline, "FIT_VALUES", 400)
+    dealt = pipeline._dealt_for_trees(df, 2)
+    sizes = [r[1] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 250 and sorted(r.x for r in dealt.collect()) == [float(i) for i in range(1000)]
+    seen = []
+    dealing = pipeline._dealt_for_trees
+    monkeypatch.setattr(pipeline, "_dealt_for_trees", lambda *a: seen.append(1) or dealing(*a))
+    fitted = pipeline.fit_pipeline(df, ["x"], "y", "boosted", maxIter=1, maxDepth=2)
+    assert seen and fitted.transform(df.limit(3)).count() == 3
