@@ -330,3 +330,23 @@ def test_packed_lines_have_a_header_a_file(spark, tmp_path):
     got = read_uploads(spark, path, schema, glob="part-*").rows
     assert sorted(tuple(r) for r in got.select("id", "twice").collect()) == [(i, 2 * i) for i in range(250)]
     assert got.agg(F.max("row_id")).first()[0] == 19
+
+
+@pytest.mark.parametrize("n", [2, 11, 60])
+def test_parse_of_many_columns_is_no_long_method(spark, tmp_path, n):
+    """The JVM only interprets methods of more than 8,000 bytes."""
+    import re
+
+    from meterloom.sources.uploads import read_uploads
+
+    names = [f"c{i}" for i in range(n)]
+    (tmp_path / "a.csv").write_text(",".join(names) + "\n" + ",".join(str(i) for i in range(n)) + "\n")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    rows = read_uploads(spark, str(tmp_path), schema).rows
+    assert rows.select(names).first() == tuple(str(i) for i in range(n))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # adaptive plans show no code
+    try:
+        text = spark._jvm.PythonSQLUtils.explainString(rows.select(names)._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text))) < 8000
