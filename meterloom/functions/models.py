@@ -124,8 +124,6 @@ class SymmetricTree:
 
     def column(self, inputs=None) -> Column:
         value = inputs or F.col
-        if node_count(self) > MAX_COMPILED_NODES and self.features:
-            return walk_trees([self], [1.0], 0.0, self.features, value)
         bits, present = F.lit(0), F.lit(True)
         for i, (feature, threshold, strict, missing) in enumerate(self.tests):
             split = Split(feature, threshold, Leaf(0.0), Leaf(0.0), strict, missing)
@@ -183,8 +181,15 @@ class Ensemble:
         is_tree = lambda m: isinstance(m, (Tree, SymmetricTree)) and m.features
         trees = [(m, w) for m, w in members if is_tree(m)]
         others = [F.lit(float(w)) * m.column(inputs) for m, w in members if not is_tree(m)]
-        if not trees:
-            return reduce(Column.__add__, others, F.lit(float(self.intercept)))
+        if not any(isinstance(m, Tree) for m, _ in trees):
+            # no Python for symmetric trees alone: a higher-order function takes the sum out of
+            # whole-stage code, and Spark then cuts it into methods that the JVM compiles
+            terms = [F.lit(float(w)) * m.column(inputs) for m, w in members]
+            start = F.lit(float(self.intercept))
+            if self.features:
+                first = (inputs or F.col)(self.features[0])
+                start = F.aggregate(F.array(first), start, lambda total, _: total)
+            return reduce(Column.__add__, terms, start)
         features = list(dict.fromkeys(f for m, _ in trees for f in m.features))
         walked = walk_trees(
             [m for m, _ in trees], [w for _, w in trees], self.intercept, features, inputs or F.col
