@@ -12,11 +12,16 @@ meet in 1.2 of 100 pairs, at 0.4 in 9.
 A band's bucket may hold a third of all documents, so its pairs are never all
 made. Equal sets are one node, and of buckets with equal members one is kept. In
 a first round every node is compared with one
-centre of its bucket; nodes linked to a centre are then one component, and only
-pairs across components are left. While those are many and links turn up,
-further rounds take other centres; at last all pairs across components that
-share a bucket and are near in size are compared, so no link between components
-is lost.
+centre of its bucket, the one that meets most others; nodes linked to a centre
+are then one component, and only pairs across components are left. These are
+found by what tells them from their centre: a set's runs are put in the order of
+their hashes, those that the centre lacks first. Two sets of sizes m and n that
+share at least c = 0.8 / 1.8 (m + n) runs share one among the first m - c + 1 of
+the one and the first n - c + 1 of the other, whatever the order. Copies of one
+template with so many edits of their own that they are near neither it nor each
+other thus never meet. While many pairs meet and links turn up, further rounds
+take other centres; at last all that meet across components are compared, so no
+link between components that share a bucket is lost.
 
 The chance that two sets at the bound agree in no band is (1 - 0.8^7)^56, below
 two in a million.
@@ -33,7 +38,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterloom.llm.components import connected
@@ -49,8 +54,10 @@ ESTIMATED = 128
 SIMILARITY = 80
 #: Standard deviations below the bound at which an estimate rules a pair out.
 MARGIN = 5.0
-#: Pairs across components for each member of a bucket, up to which all are compared at once.
+#: Pairs across components for each node compared with a centre, up to which all are compared at once.
 FEW = 4
+#: Rounds end when of so many comparisons with centres less than one gave a link, or after STAR_ROUNDS.
+FOUND = 50
 STAR_ROUNDS = 6
 
 
@@ -176,11 +183,15 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, nid, size) of all buckets with more than one node; of buckets with equal members one."""
-    members = nodes.select("nid", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
+    """(bucket, nid, meetings) of all buckets with more than one node; of buckets with equal members one.
+
+    meetings: nodes in all these buckets of the node.
+    """
+    members = nodes.select("nid", F.explode("bands").alias("bucket"))
     same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("nid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "nid")).alias("y")]
     shared = members.groupBy("bucket").agg(*same).where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
-    return settle(members.join(settle(shared.select("bucket"), "shared"), "bucket"), "buckets")
+    kept = settle(members.join(settle(shared.select("bucket", "n"), "shared"), "bucket"), "buckets")
+    return kept.join(kept.groupBy("nid").agg(F.sum("n").alias("meetings")), "nid").select("bucket", "nid", "meetings")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -213,6 +224,46 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame
     return pairs.join(left, "a").join(right, "b").mapInArrow(work, "a bigint, b bigint")
 
 
+def _compared(met: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
+    """(nid, centre) with the set's size, whether the two are linked, and the first of its runs, what the centre lacks first.
+
+    As many runs are kept as any partner can ask for. Rows come sorted by `centre`, whose set is kept for its members.
+    """
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        last, last_set = None, None
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+            sizes, linked, runs = [], [], []
+            for row in batch.to_pylist():
+                if row["centre"] != last:
+                    last, last_set = row["centre"], shingles(lowered(row["tc"]), words)
+                own = shingles(lowered(row["tn"]), words)
+                spot = np.minimum(np.searchsorted(last_set, own), len(last_set) - 1)
+                has = last_set[spot] == own
+                n, common = len(own), int(has.sum())
+                linked.append(100 * common >= similarity * (n + len(last_set) - common))
+                first = np.concatenate([own[~has], own[has]])[: n + 1 - -(-similarity * n // 100)]
+                sizes.append(n)
+                runs.append((first >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            cuts = np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("nid"), batch.column("centre"), batch.column("main"), pa.array(sizes, pa.int64()),
+                    pa.array(linked, pa.bool_()),
+                    pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(runs))),
+                ],
+                names=["nid", "centre", "main", "size", "linked", "runs"],
+            )
+
+    members = met.join(texts.withColumnRenamed("text", "tn"), "nid")
+    centres = texts.join(met.select(F.col("centre").alias("nid")).distinct(), "nid", "left_semi")
+    both = members.join(centres.select(F.col("nid").alias("centre"), F.col("text").alias("tc")), "centre")
+    schema = "nid bigint, centre bigint, main bigint, size bigint, linked boolean, runs array<int>"
+    return both.select("nid", "centre", "main", "tn", "tc").mapInArrow(work, schema)
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough. Rows come sorted by `b`, whose set is kept for its partners."""
 
@@ -272,67 +323,101 @@ def classes(docs: DataFrame, words: int, similarity: int = SIMILARITY, id_col: s
     )
 
 
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """`rows` with the component of `nid`; a node without links is its own."""
+    if labels is None:
+        return rows.withColumn("component", F.col("nid"))
+    named = rows.join(labels.withColumnRenamed("component", "own"), F.col("nid") == F.col("node"), "left")
+    return named.select(*rows.columns, F.coalesce("own", "nid").alias("component"))
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """`labels` (node, component) after further links (a, b)."""
+    if labels is None:
+        return settle(connected(links), "labels")
+    for end in ("a", "b"):
+        other = "b" if end == "a" else "a"
+        links = _labelled(links.select(F.col(end).alias("nid"), other), labels).select(F.col("component").alias(end), other)
+    moved = settle(connected(links), "moved").select(F.col("node").alias("was"), F.col("component").alias("now"))
+    kept = labels.join(moved, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
+    fresh = moved.join(labels, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
+    return settle(kept.unionByName(fresh), "labels")
+
+
+def _centres(buckets: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """(nid, centre, main): every node with the centres of its buckets that hold nodes of more than one component.
+
+    The centre is not of the bucket's largest component, if there are components yet.
+    main: of the node's centres, the one that meets most others.
+    """
+    members = _labelled(buckets, labels)
+    groups = members.groupBy("bucket", "component").agg(
+        F.count("*").alias("n"), F.max(F.struct("meetings", F.xxhash64("nid", F.lit(turn)), "nid")).alias("first")
+    )
+    if labels is None:
+        chosen = groups
+    else:
+        largest = groups.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("largest"))
+        chosen = groups.join(largest, "bucket").where("component <> largest")
+    chosen = chosen.groupBy("bucket").agg(F.max("first").alias("first"))
+    chosen = chosen.select("bucket", F.col("first.nid").alias("centre"), F.col("first.meetings").alias("weight"))
+    met = members.join(chosen, "bucket").where("nid <> centre").select("nid", "centre", "weight").distinct()
+    main = F.max(F.struct("weight", "centre")).over(Window.partitionBy("nid"))["centre"]
+    return met.select("nid", "centre", main.alias("main"))
+
+
 def _link(docs, nodes, buckets, words, similarity, id_col, text_col) -> DataFrame:
     """(node, component) of all nodes that are linked with another."""
     texts = _texts(docs, nodes, buckets.select("nid").distinct(), id_col, text_col)
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    tested = links
-    labels = spark.createDataFrame([], "node bigint, component bigint")
-    found = None
-    for turn in range(STAR_ROUNDS + 1):
-        members = buckets.withColumn("component", F.col("nid"))
-        if turn:
-            members = buckets.join(labels, buckets["nid"] == labels["node"], "left").select(
-                "bucket", "nid", "size", F.coalesce("component", "nid").alias("component")
-            )
-        groups = members.groupBy("bucket", "component").agg(
-            F.count("*").alias("n"), F.min(F.struct(F.xxhash64("nid", F.lit(turn)), "nid", "size")).alias("first")
-        )
-        open_ = (
-            groups.groupBy("bucket")
-            .agg(
-                F.sum("n").alias("n"),
-                F.sum(F.col("n") * F.col("n")).alias("within"),
-                F.min("first").alias("centre"),
-                F.max(F.struct("n", "component")).alias("largest"),
-                F.count("*").alias("parts"),
-            )
-            .where("parts > 1")
-            .select(
-                "bucket", "n", ((F.col("n") * F.col("n") - F.col("within")) / 2).alias("across"),
-                F.col("centre.nid").alias("centre"), F.col("centre.size").alias("centre_size"),
-                F.col("largest.component").alias("largest"),
-            )
-        )
-        open_ = settle(open_, "open-buckets")
-        if turn:  # members of one component need no more comparisons
-            buckets = settle(buckets.join(open_.select("bucket"), "bucket", "left_semi"), "buckets")
-            members = buckets.join(labels, buckets["nid"] == labels["node"], "left").select(
-                "bucket", "nid", "size", F.coalesce("component", "nid").alias("component")
-            )
-        size, across = open_.agg(F.sum("n"), F.sum("across")).first()
-        if not size:
+    first, labels = None, None
+    for turn in range(STAR_ROUNDS):
+        judged = settle(_compared(_centres(buckets, labels, turn), texts, words, similarity), "compared")
+        met, found = judged.agg(F.count("*"), F.count_if("linked")).first()
+        if found or labels is None:
+            new = judged.where("linked").select(F.col("nid").alias("a"), F.col("centre").alias("b"))
+            labels = _merged(labels, new)
+        first = first or judged  # whose centres have most of what others have
+        runs = _open_runs(first, labels)
+        # partners of equal size meet in the runs up to here
+        asked = runs.where("main = centre").where((100 + similarity) * F.col("rest") >= 2 * similarity * F.col("size"))
+        groups = asked.groupBy("centre", "run").agg(F.count("*").alias("n"), F.count_if("outside").alias("out"))
+        across = groups.agg(F.sum(F.col("out") * (F.col("n") - 1))).first()[0] or 0
+        if across <= FEW * met or FOUND * found < met:
             break
-        last = turn == STAR_ROUNDS or across <= FEW * size or found == 0
-        near_size = 100 * F.least("size", "other_size") >= similarity * F.greatest("size", "other_size")
-        if last:
-            others = members.select("bucket", F.col("nid").alias("other"), F.col("component").alias("oc"), F.col("size").alias("other_size"))
-            outside = members.join(open_.select("bucket", "largest"), "bucket").where("component <> largest")
-            met = outside.join(others, "bucket").where((F.col("component") != F.col("oc")) & near_size)
-        else:
-            centres = open_.select("bucket", F.col("centre").alias("other"), F.col("centre_size").alias("other_size"))
-            met = members.join(centres, "bucket").where((F.col("nid") != F.col("other")) & near_size)
-        pairs = met.select(F.greatest("nid", "other").alias("a"), F.least("nid", "other").alias("b")).distinct()
-        pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        new = settle(_confirmed(settle(_plausible(pairs, nodes, similarity), "plausible"), texts, words, similarity), "links")
-        found = new.count()
-        links = links.unionByName(new)
-        tested = tested.unionByName(pairs)
-        labels = settle(connected(links), "labels")
-        if last:
-            break
-    return labels
+    pairs = settle(_meeting(runs, similarity), "pairs")
+    left = settle(_confirmed(_plausible(pairs, nodes, similarity), texts, words, similarity), "links")
+    return labels if left.isEmpty() else _merged(labels, left)
+
+
+def _open_runs(judged: DataFrame, labels: DataFrame) -> DataFrame:
+    """(centre, run, nid, main, size, rest, component, outside) of the nodes of centres that were compared with several components.
+
+    rest: the set's runs from this one on. outside: not in the largest component of those compared with the centre.
+    """
+    members = _labelled(judged, labels)
+    parts = members.groupBy("centre", "component").agg(F.count("*").alias("n")).groupBy("centre")
+    several = parts.agg(F.count("*").alias("parts"), F.max(F.struct("n", "component"))["component"].alias("largest"))
+    open_ = members.join(several.where("parts > 1").select("centre", "largest"), "centre")
+    fixed = ["centre", "nid", "main", "size", "component", (F.col("component") != F.col("largest")).alias("outside")]
+    each = open_.select(*fixed, F.posexplode("runs").alias("at", "run"))
+    return each.select("centre", "run", "nid", "main", "size", (F.col("size") - F.col("at")).alias("rest"), "component", "outside")
+
+
+def _meeting(runs: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) across components that share one of the runs that sets so near must share.
+
+    Pairs with one main centre are asked for there only.
+    """
+    others = runs.select(
+        "centre", "run", F.col("nid").alias("other"), F.col("main").alias("other_main"), F.col("size").alias("other_size"),
+        F.col("rest").alias("other_rest"), F.col("component").alias("other_component"),
+    )
+    met = runs.where("outside").join(others, ["centre", "run"]).where(
+        (F.col("component") != F.col("other_component"))
+        & ((F.col("main") != F.col("other_main")) | (F.col("main") == F.col("centre")))
+        & ((100 + similarity) * F.least("rest", "other_rest") >= similarity * (F.col("size") + F.col("other_size")))
+    )
+    return met.select(F.greatest("nid", "other").alias("a"), F.least("nid", "other").alias("b")).distinct()
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: int = SIMILARITY, id_col="doc_id", text_col="text"):

@@ -289,6 +289,38 @@ def test_op5_chains_in_one_bucket(spark, tmp_path):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_op5_edited_copies_do_not_all_meet(spark, tmp_path, monkeypatch):
+    """Copies of one template, each with edits of its own, share buckets; few pairs of them may be near."""
+    from conftest import SCHEMA
+    from meterloom.llm import hyperminhash
+
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base)]
+    for i in range(240):
+        own = list(base)
+        for at in rng.sample(range(0, 300, 4), 4 + 14 * (i % 3 > 0)):
+            own[at] = f"e{rng.randrange(10**9)}"
+        texts.append(" ".join(own))
+    again = texts[7].split(" ")
+    texts.append(" ".join([*again[:150], "x", *again[151:]]))  # near a copy that is not near the template
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    made = {}
+
+    def settle(df, label, *by, settle=hyperminhash.settle):
+        out = settle(df, label, *by)
+        made[label] = made.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(hyperminhash, "settle", settle)
+    got = result(spark, "op5_hyperminhash", str(tmp_path))
+    classes, sizes = brute.near_classes(texts, 4)
+    wanted = {(i, n, c, c == i) for i, (c, n) in enumerate(zip(classes, sizes))}
+    assert set(rows_of(got, "doc_id", "n_shingles", "component_id", "kept")) == wanted
+    assert len(set(classes)) > 100 and made["pairs"] < 5 * len(texts)
+
+
 def test_op5_awkward_ids(spark, awkward_dir, rows):
     got = result(spark, "op5_hyperminhash", awkward_dir)
     assert rows_of(got, "doc_id", "n_shingles") == collections.Counter((d, len(brute.shingle_set(t, 4))) for d, t, *_ in rows)
