@@ -5,7 +5,8 @@ A text's features are its runs of 1 to 3 letters, with word borders, hashed to
 whole text and a linear softmax gives the languages. Vectors and weights are
 trained together by stochastic gradient descent in numpy on the driver, on at
 most `PER_LANGUAGE` labelled rows of each language (those with the smallest hash
-of their id), which reach the driver as feature averages of fixed width. All labels
+of their id), which reach the driver as packed feature averages of fixed width and
+stay there in single precision, with a few rows at a time in double. All labels
 are learned: beyond `LANGUAGES` of them each has fewer rows, and when that leaves
 less than `FEWEST` training fails with a message.
 
@@ -26,6 +27,7 @@ every text is `und`. Null ids hash like the empty text.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,6 +58,8 @@ STEEP = 20.0
 NOISE = 1e-5
 #: Code points of a text that are held as features at a time.
 CHUNK = 1 << 18
+#: Feature averages that training holds in double precision at a time.
+AVERAGES = 128
 _MULTIPLY = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 
 
@@ -109,10 +113,20 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _descend(means: np.ndarray, target: np.ndarray, n_languages: int, seed: int) -> tuple[np.ndarray, ...]:
-    """Table, bias and log shares learned from feature averages."""
-    scale = 1.0 / np.linalg.norm(means, axis=1).mean()  # averages then have a length of about 1
-    x, y = (means * scale).astype(np.float32), target
+def _wide(means: np.ndarray, rows: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """`means[rows]` in double precision, a few rows at a time, with their place."""
+    for at in range(0, len(rows), AVERAGES):
+        here = slice(at, min(len(rows), at + AVERAGES))
+        yield here, means[rows[here]].astype(np.float64)
+
+
+def _descend(means: np.ndarray, rows: np.ndarray, y: np.ndarray, n_languages: int, seed: int) -> tuple[np.ndarray, ...]:
+    """Table, bias and log shares learned from the feature averages `means[rows]`."""
+    lengths = np.concatenate([np.linalg.norm(some, axis=1) for _, some in _wide(means, rows)])
+    scale = 1.0 / lengths.mean()  # averages then have a length of about 1
+    x = np.empty((len(rows), means.shape[1]), np.float32)
+    for here, some in _wide(means, rows):
+        x[here] = some * scale
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 1 / np.sqrt(WIDTH), (x.shape[1], WIDTH)).astype(np.float32)
     weight, bias = np.zeros((WIDTH, n_languages), np.float32), np.zeros(n_languages, np.float32)
@@ -129,7 +143,12 @@ def _descend(means: np.ndarray, target: np.ndarray, n_languages: int, seed: int)
             weight -= rate * hidden.T @ error
             bias -= rate * error.sum(axis=0)
             embed -= rate * step
-    used = np.stack([means[y == k].sum(axis=0) for k in range(n_languages)], axis=1)
+    del x
+    used = np.zeros((n_languages, means.shape[1]))
+    for k in range(n_languages):
+        for _, some in _wide(means, rows[y == k]):
+            used[k] = np.concatenate([used[k : k + 1], some]).sum(axis=0)
+    used = used.T.copy()
     used /= np.maximum(used.sum(axis=0), 1e-300)
     likely = np.log((1 - UNSEEN) * used + UNSEEN / len(used))
     return (embed @ weight).astype(np.float64) * scale, bias.astype(np.float64), likely
@@ -149,9 +168,10 @@ def fit(means: np.ndarray, labels: list[str], seed: int = 7) -> Model | None:
         folds = [(part != k, part == k) for k in range(FOLDS)]
     logits, usual, truth = [], [], []
     for learned, held in folds:
-        table, bias, likely = _descend(means[learned], target[learned], n, seed)
-        logits.append(means[held] @ table + bias)
-        usual.append(means[held] @ likely)
+        table, bias, likely = _descend(means, np.flatnonzero(learned), target[learned], n, seed)
+        for _, some in _wide(means, np.flatnonzero(held)):
+            logits.append(some @ table + bias)
+            usual.append(some @ likely)
         truth.append(target[held])
     logits, usual, truth = np.concatenate(logits), np.concatenate(usual), np.concatenate(truth)
     one_hot = np.eye(n, dtype=np.float32)
@@ -225,7 +245,7 @@ def train(docs: DataFrame, usable=None, id_col: str = "doc_id", text_col: str =
                 mean = feature_mean(row["text"])
                 if mean is not None:
                     yield pa.RecordBatch.from_pydict(
-                        {"id": [row["id"]], "label": [row["label"]], "mean": [mean.astype("<f4").tobytes()]},
+                        {"id": [row["id"]], "label": [row["label"]], "mean": [zlib.compress(mean.astype("<f4").tobytes(), 1)]},
                         schema=pa.schema([("id", pa.int64()), ("label", pa.string()), ("mean", pa.binary())]),
                     )
 
@@ -236,8 +256,12 @@ def train(docs: DataFrame, usable=None, id_col: str = "doc_id", text_col: str =
     chosen = chosen.dropDuplicates(["id", "label"])  # repeated ids must not lift the bound
     got = chosen.mapInArrow(features, "id bigint, label string, mean binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["id"] is not None, r["id"], r["label"], r["mean"]))
-    means = np.array([np.frombuffer(r["mean"], "<f4") for r in got], np.float64).reshape(len(got), BUCKETS)
-    return fit(means, [r["label"] for r in got])
+    means = np.empty((len(got), BUCKETS), np.float32)
+    for i, r in enumerate(got):
+        means[i] = np.frombuffer(zlib.decompress(r["mean"]), "<f4")
+    labels = [r["label"] for r in got]
+    del got
+    return fit(means, labels)
 
 
 def predict(

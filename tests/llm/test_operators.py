@@ -544,3 +544,24 @@ def test_op10_mean_does_not_depend_on_chunks(monkeypatch):
 def test_names_follow_the_contract():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES)
     assert numbers == list(range(1, 11))
+
+
+def test_op10_trains_in_bounded_driver_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    means = (rng.random((1200, langid.BUCKETS)) < 0.1).astype(np.float32) / 400
+    labels = ["pq"[i % 2] for i in range(len(means))]
+    tracemalloc.start()
+    try:
+        model = langid.fit(means, labels)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.languages == ["p", "q"]
+    # one copy in single precision of what a fold learns from, and a few rows in double
+    assert most < 1.6 * means.nbytes
+    again = langid.fit(means.astype(np.float64), labels)
+    assert (again.table == model.table).all() and (again.strange_below == model.strange_below).all()
