@@ -565,3 +565,38 @@ def test_op10_trains_in_bounded_driver_memory():
     assert most < 1.6 * means.nbytes
     again = langid.fit(means.astype(np.float64), labels)
     assert (again.table == model.table).all() and (again.strange_below == model.strange_below).all()
+
+
+def test_op7_anchors_come_back_as_a_row_for_each_document(spark, monkeypatch):
+    import numpy as np
+    from meterloom.llm import repeats
+
+    shared = [bytes(random.Random(i).randrange(97, 123) for _ in range(400)) for i in range(6)]
+    rows = [(d, d, [(0, b"".join(shared[(d + j) % 6] for j in range(3)))]) for d in range(40)]
+    pieces = spark.createDataFrame(rows, repeats._PIECES)
+    made = []
+    settle = repeats.settle
+    monkeypatch.setattr(repeats, "settle", lambda df, label: made.append((label, settle(df, label))) or made[-1][1])
+    got = repeats._shared_anchors(pieces, repeats.Bytes, 50, 24).collect()
+    assert [(label, df.count()) for label, df in made] == [("anchors", 40)]
+    assert sorted(r["doc"] for r in got) == list(range(40))
+    first = {}
+    for d, _, slices in rows:
+        for h in repeats.anchors(repeats.Bytes.hashes(slices[0][1]), np.array([len(slices[0][1])]), 50, 24)[1].tolist():
+            first.setdefault(h, d)
+    for r in got:
+        hashes = repeats._unpack(r["hashes"])
+        assert (np.diff(hashes.astype(np.int64)) > 0).all()
+        assert np.frombuffer(r["sources"], np.int64).tolist() == [first[h] for h in hashes.tolist()]
+    assert repeats._shared_anchors(pieces, repeats.Bytes, 50, 24, sources=False).columns == ["doc", "hashes"]
+
+
+def test_op7_index_finds_hashes_where_a_search_does():
+    import numpy as np
+    from meterloom.llm.suffixes import SuffixIndex
+
+    rng = np.random.default_rng(11)
+    for size in (0, 3, 51, 700):
+        index = SuffixIndex([(1, rng.integers(97, 100, size, np.uint8).tobytes())], 50)
+        asked = np.concatenate([index.hashes, index.hashes + np.uint64(1), rng.integers(0, 1 << 63, 500, np.uint64), np.zeros(1, np.uint64)])
+        assert (index._spots(asked) == np.searchsorted(index.hashes, asked)).all()
