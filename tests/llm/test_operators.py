@@ -368,6 +368,64 @@ def test_op7_order():
         assert suffix_order(np.array(x)) == sorted(range(len(x)), key=lambda i: x[i:])
 
 
+def test_op7_order_of_long_texts():
+    import numpy as np
+    from meterloom.llm.suffixes import suffix_order
+
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6))) for _ in range(30)]
+    base = " ".join(rng.choices(vocabulary, k=300)).encode()
+    for raw in (base, base + base[300:] + base[:200], b"a" * 700, b"ab" * 400, bytes(range(1, 256)) * 3, b"abac" * 90 + b"abad" * 90):
+        x = list(raw) + [0]
+        assert suffix_order(np.array(x)) == sorted(range(len(x)), key=lambda i: x[i:])
+
+
+def test_op7_order_is_not_built_member_by_member():
+    import sys
+
+    import numpy as np
+    from meterloom.llm import suffixes
+
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    text = np.append(np.frombuffer(" ".join(rng.choices(vocabulary, k=4000)).encode(), np.uint8), 0).astype(np.int64)
+    lines = 0
+
+    def trace(frame, event, _):
+        nonlocal lines
+        if frame.f_code.co_filename != suffixes.__file__:
+            return None
+        lines += event == "line"
+        return trace
+
+    before = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        suffixes.suffix_order(text)
+    finally:
+        sys.settrace(before)
+    assert lines < 5 * len(text)
+
+
+def test_op6_op7_slices_hashed_together_are_as_alone():
+    from meterloom.llm import repeats
+
+    rng = random.Random(6)
+    for _ in range(60):
+        letters = rng.choice(["ab ", "abc\t \n", "a", "é語 x"])
+        texts = ["".join(rng.choices(letters, k=rng.choice([0, 3, 20, 60, 200]))).encode() for _ in range(rng.randint(1, 8))]
+        for units in (repeats.Words, repeats.Bytes):
+            for k in (4, 8, 10):
+                hashes, sizes, _ = units.read(texts)
+                wanted, at = [], 0
+                for text, size in zip(texts, sizes.tolist()):
+                    own, own_sizes, _ = units.read([text])
+                    assert own_sizes.tolist() == [size]
+                    wanted += [(at + p, h) for p, h in zip(*(x.tolist() for x in repeats.anchors(own, own_sizes, 10, k)))]
+                    at += size
+                assert list(zip(*(x.tolist() for x in repeats.anchors(hashes, sizes, 10, k)))) == wanted
+
+
 def test_op8(spark, awkward_dir, rows):
     import numpy as np
     import public_tokenizers
